@@ -22,11 +22,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, prepare, scratch, stash
+from .common import lower_az, near_bitmap, prepare, scratch, stash
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Words of 64 bits in the broadcast bitmap: 2 MB, whatever the input.
-BITMAP_WORDS = 1 << 17
 #: Rows of one group that are compared with the retained text under one key.
 SALT_ROWS = 1024
 #: Bytes of arrivals per micro-batch.
@@ -50,16 +48,6 @@ def located(docs: DataFrame) -> DataFrame:
     return read(stash(docs.select("doc_id", "text"), "dedup-content"))
 
 
-def near_bitmap(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows whose key may be among the wanted keys: a semi join against a bitmap of fixed size, never missing one."""
-    bits = BITMAP_WORDS * 64
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    words = wanted.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / 64).cast("long").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits"))
-    marked = rows.withColumn("_p", place).withColumn("_w", F.floor(F.col("_p") / 64).cast("long"))
-    hit = F.expr("(shiftrightunsigned(_bits, cast(_p % 64 as int)) & 1) = 1")
-    return marked.join(F.broadcast(words), "_w").where(hit).drop("_p", "_w", "_bits")
-
-
 def stream_state(arrivals: DataFrame, path: str, batch_bytes: int) -> DataFrame:
     """Run the stateful stream over the written arrivals to its end; its keyed state: digest, last (doc_id, at), n."""
     spark, checkpoint = arrivals.sparkSession, scratch(arrivals.sparkSession, "dedup-state")
@@ -69,6 +57,7 @@ def stream_state(arrivals: DataFrame, path: str, batch_bytes: int) -> DataFrame:
     own = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores would each reserve megabytes
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     }
     before = {k: spark.conf.get(k, None) for k in own}
