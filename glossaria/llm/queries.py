@@ -21,5 +21,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "representative")
 
 
+def op8_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_bpe import encoded
+
+    return encoded(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
