@@ -33,5 +33,11 @@ def op9_sentencepiece_backtracking(spark: SparkSession, sf_dir: str) -> DataFram
     return encoded(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
