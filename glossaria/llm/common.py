@@ -138,12 +138,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text, A-Z lower-cased: (64-bit hash, row, start, end) per word in text order."""
+def words(data: np.ndarray, at: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple:
+    """Words `[^\\x20\\x09-\\x0D]+` of each text, A-Z lower-cased: (64-bit hash, row, start, end) per word in text order.
+
+    For each of prefixes, two more arrays: hash and row of the first so many bytes of each longer word.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, *[none.astype(np.uint64), none] * len(prefixes)
     solid = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True  # a text starts here: no word goes over it
@@ -159,7 +162,12 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     h[inner] -= total[start[inner] - 1]
     h *= inverse[start]
     row = np.searchsorted(at, start, "right") - 1
-    return mix(h), row, start, end + 1
+    more = []
+    for k in prefixes:
+        longer = end - start >= k
+        x = total[start[longer] + k - 1] - np.where(inner[longer], total[start[longer] - 1], np.uint64(0))
+        more += [mix(x * inverse[start[longer]] + np.uint64(k)), row[longer]]
+    return mix(h), row, start, end + 1, *more
 
 
 def to_signed(x: np.ndarray) -> np.ndarray:
