@@ -14,7 +14,8 @@ Sets of copies collapse to the smallest doc_id first (128-bit set hash), and wit
 Each list of equal keys yields star pairs to one hub only, found in a streaming pass over the sorted shuffle partition, so
 a list of any length costs its length. After the stars are verified and joined into components, pairs inside a list that
 lie in different components and are not yet verified are verified too: every link between components is found, links
-within one are not needed for the classes.
+within one are not needed for the classes. Before verification two sound bounds apply: the sizes, and the parity bitmaps of both
+sets (256 bits), whose differing bits can't outnumber the differing shingles.
 
 Defined cases: null or blank texts have n_shingles 0 and link with nothing; fewer than five words make one shingle of the
 whole sequence; a null doc_id takes no part and has a null component; repeated rows get a row each with the same
@@ -43,6 +44,7 @@ LEAST = 4  # smallest size with a partner that is not equal: 4 of 5
 #: Documents in the sample that estimates the length of lists, entries kept of it, and the length from which a list is avoided.
 SAMPLE_DOCS, HOT_KEYS, HOT_COUNT = 10_000, 1 << 16, 3
 SALT_ROWS = 512
+BITS = ["p0", "p1", "p2", "p3"]
 IP, P, I = 0, 1, 2  # indexed and probing, probing only, indexed only
 
 
@@ -100,6 +102,12 @@ def set_hash(x: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return hi, lo
 
 
+def parity(x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """256 bits per set, as 4 columns of signed 64-bit integers: each bit the parity of the shingles that fall on it."""
+    odd = np.bincount(row * 256 + (x >> np.uint64(56)).astype(np.int64), minlength=rows * 256).astype(np.uint8).reshape(rows, 256) & 1
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 class Scheme:
     """The segments of the sets of one slice under one band each, and the allocation of the probing side."""
 
@@ -191,7 +199,7 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose = np.zeros(len(size), bool)
         for s, _ in schemes(x, row, size):
             loose |= s.loose & (np.bincount(s.row, minlength=len(size)) > 0)
-        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(size), pa.array(to_signed(hi)), pa.array(to_signed(lo)), pa.array(loose)], names=["doc_id", "n", "hi", "lo", "loose"])
+        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(size), pa.array(to_signed(hi)), pa.array(to_signed(lo)), pa.array(loose), *map(pa.array, np.ascontiguousarray(parity(x, row, len(size)).T))], names=["doc_id", "n", "hi", "lo", "loose", *BITS])
 
 
 def lists(hot=None):
@@ -307,57 +315,71 @@ def _hot(docs: DataFrame, profiled: DataFrame):
     return spark.sparkContext.broadcast((key[order], found["c"].to_numpy(np.int64)[order]))
 
 
+def _may_link(a: str, b: str) -> str:
+    """Sound bounds for a pair whose sizes and parity bits carry these endings."""
+    apart = " + ".join(f"bit_count({x}{a} ^ {x}{b})" for x in BITS)
+    return f"5 * least(n{a}, n{b}) >= 4 * greatest(n{a}, n{b}) and 9 * ({apart}) <= n{a} + n{b}"
+
+
 def join(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, representative (smallest doc_id with an equal set)."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiled = stash(docs.mapInArrow(profile, "doc_id long, n long, hi long, lo long, loose boolean"), "profiles")
+    profiled = stash(docs.mapInArrow(profile, "doc_id long, n long, hi long, lo long, loose boolean, " + ", ".join(f"{x} long" for x in BITS)), "profiles")
     nodes = profiled.where("n > 0 and doc_id is not null")
     equal = nodes.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = nodes.join(equal.where("copies > 1"), ["hi", "lo", "n"]).select(F.col("doc_id").alias("node"), "rep").distinct()
     copies = stash(copies, "copies")
-    sizes = nodes.select(F.col("doc_id").alias("id"), "n").dropDuplicates(["id"])
+    same = copies.select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    bounds = nodes.select(F.col("doc_id").alias("id"), "n", *BITS).dropDuplicates(["id"])
 
-    hot = _hot(docs, profiled)
-    rows = docs.mapInArrow(lists(hot), "sig long, node long")
+    rows = docs.mapInArrow(lists(_hot(docs, profiled)), "sig long, node long")
     shared = rows.repartition(F.shiftright("sig", 2)).sortWithinPartitions("sig", "node").mapInArrow(gather, "key long, node long, hub long, code long, hub_code long")
     shared = stash(shared, "lists")
 
+    def ending(x: str) -> dict[str, str]:
+        return {"id": x, **{c: f"{c}_{x}" for c in ("n", *BITS)}}
+
     def represented(pairs: DataFrame) -> DataFrame:
-        """Pairs of nodes as distinct pairs (a < b) of representatives of fitting sizes."""
+        """Pairs of nodes as distinct pairs (a < b) of representatives within the bounds."""
         for x in ("a", "b"):
             pairs = pairs.join(copies.withColumnsRenamed({"node": x, "rep": "rep_" + x}), x, "left").withColumn(x, F.coalesce("rep_" + x, x)).drop("rep_" + x)
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for x in ("a", "b"):
-            pairs = pairs.join(sizes.withColumnsRenamed({"id": x, "n": "n_" + x}), x)
-        return pairs.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b")
+            pairs = pairs.join(bounds.withColumnsRenamed(ending(x)), x)
+        return pairs.where(_may_link("_a", "_b")).select("a", "b")
 
     fits = f"(hub_code = {IP} or (hub_code = {P} and code <> {P})) and hub <> node"
-    stars = stash(represented(shared.where(fits).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "stars")
-    links = stash(verified(stars, docs), "links")
-    comps = components(links.unionByName(copies.select(F.col("rep").alias("a"), F.col("node").alias("b"))))
-
-    # pairs of a list that lie in different components and were not hub and spoke
-    at = shared.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("key", "node", "code", "comp")
-    open_keys = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y and c > 2").select("key")
-    unsettled = stash(at.join(open_keys, "key", "left_semi"), "unsettled")
-    p = unsettled.where(f"code <> {I}").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    i = unsettled.where(f"code <> {P}").select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    rest = p.join(i, "key").where("comp_a <> comp_b").select("a", "b").distinct()
-    loose = nodes.where("loose").select(F.col("doc_id").alias("a"), F.col("n").alias("size"))
-    wide = F.floor(F.log2("n"))
-    beside = loose.withColumn("wide", F.explode(F.sequence(F.floor(F.log2(F.col("size") * 0.79)), F.floor(F.log2(F.col("size") * 1.26)))))
-    rest = rest.unionByName(beside.join(nodes.withColumn("wide", wide).select("wide", F.col("doc_id").alias("b"), "n"), "wide").where("a <> b and 5 * least(n, size) >= 4 * greatest(n, size)").select("a", "b"))
-    rest = stash(represented(rest).join(stars, ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
-        final = comps
-    else:
-        more = stash(verified(rest, docs), "links")
-        final = comps if more.isEmpty() else components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    tried = stash(represented(shared.where(fits).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "stars")
+    links = stash(verified(tried, docs), "links")
+    comps = components(links.unionByName(same))
+
+    # lists that span components: all pairs of different components that the bounds let through
+    carried = ["n", *BITS]
+    at = shared.select("key", "node", "code").join(bounds.withColumnRenamed("id", "node"), "node").join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    spanning = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y and c > 2").select("key")
+    held = stash(at.join(spanning, "key", "left_semi"), "unsettled")
+    p = held.where(f"code <> {I}").withColumnsRenamed({"node": "a", "comp": "comp_a", **{c: f"{c}_a" for c in carried}}).drop("code")
+    i = held.where(f"code <> {P}").withColumnsRenamed({"node": "b", "comp": "comp_b", **{c: f"{c}_b" for c in carried}}).drop("code")
+    found = p.join(i, "key").where(f"comp_a <> comp_b and {_may_link('_a', '_b')}").select("a", "b").distinct()
+    new = stash(represented(found.unionByName(_beside(nodes))).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not new.isEmpty():
+        more = stash(verified(new, docs), "links")
+        if not more.isEmpty():
+            comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
     reps = copies.select(F.col("node").alias("id"), "rep")
     return (
         profiled.select(F.col("doc_id").alias("id"), F.col("n").alias("n_shingles"))
-        .join(final, "id", "left")
+        .join(comps, "id", "left")
         .join(reps, "id", "left")
         .select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("comp", "id").alias("component_id"), F.coalesce("rep", "id").alias("representative"))
     )
+
+
+def _beside(nodes: DataFrame) -> DataFrame:
+    """Pairs of each loose set with every set of fitting size that the bounds let through, met by size class."""
+    carried = ["n", *BITS]
+    loose = nodes.where("loose").select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in carried])
+    loose = loose.withColumn("wide", F.explode(F.sequence(F.floor(F.log2(F.col("n_a") * 0.79)), F.floor(F.log2(F.col("n_a") * 1.26)))))
+    others = nodes.select(F.col("doc_id").alias("b"), F.floor(F.log2("n")).alias("wide"), *[F.col(c).alias(f"{c}_b") for c in carried])
+    return loose.join(others, "wide").where(f"a <> b and {_may_link('_a', '_b')}").select("a", "b")
