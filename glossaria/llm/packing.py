@@ -32,8 +32,9 @@ LENGTH, END = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 WINDOW_TOKENS = 1 << 22
 LOOK = 8
-#: Words kept with their ids, and the longest word that is kept.
-CACHED, CACHED_CHARS = 300_000, 64
+#: Words kept with their ids (up to as many again from before), and the longest odd word that is kept.
+CACHED, CACHED_CHARS = 200_000, 64
+MARKS = ".,;:!?"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -47,7 +48,8 @@ class WordIds:
     """Ids of texts as little-endian unsigned 32-bit bytes, word by word.
 
     The vocabulary's pre-tokenizer never joins over a blank or line break, so those cut a text safely; each distinct word
-    is encoded once while it stays in the cache.
+    is encoded once while it stays in the cache. Words of letters alone, with at most one mark behind, are encoded many at
+    a time: each ends with one word-end token, which cuts the ids again (else they are encoded one by one).
     """
 
     def __init__(self, path: str):
@@ -56,17 +58,53 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.mark = dict(zip(MARKS, self.each(list(MARKS)), strict=True))
+
+    def each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.batch(texts, add_special_tokens=False)]
+
+    def letters(self, found: list[str]) -> list[bytes]:
+        """Ids of words of letters only."""
+        out = []
+        for i in range(0, len(found), 512):
+            some = found[i : i + 512]
+            ids = np.array(self.batch([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                out += self.each(some)
+                continue
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHED:
-            known = self.known = {"": b""}
-        new = list(set().union(*cut).difference(known)) if cut else []
+        if len(self.known) > CACHED:
+            self.known, self.old = {"": b""}, self.known
+        known, old = self.known, self.old
+        new = set().union(*cut).difference(known) if cut else set()
+        stems, odd = {}, []
+        for word in new:
+            if word in old:
+                known[word] = old[word]
+                continue
+            stem = word[:-1] if word[-1] in MARKS else word
+            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
+                stems[word] = stem.lower() if stem.isascii() else stem
+            else:
+                odd.append(word)
+        need = list(set(stems.values()))
+        by_stem = dict(zip(need, self.letters(need), strict=True))
+        for word, stem in stems.items():
+            ids = by_stem[stem]
+            known[word] = ids + self.mark[word[-1]] if word[-1] in MARKS else ids
         once = {}
-        for word, found in zip(new, self.batch(new, add_special_tokens=False), strict=True):
-            (known if len(word) <= CACHED_CHARS else once)[word] = np.array(found.ids, "<u4").tobytes()
+        for word, ids in zip(odd, self.each(odd), strict=True):
+            (known if len(word) <= CACHED_CHARS else once)[word] = ids
         if once:
             known = known | once
         return [b"".join([known[w] for w in words]) for words in cut]
