@@ -45,5 +45,11 @@ def op6_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
