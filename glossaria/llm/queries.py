@@ -57,5 +57,12 @@ def op5_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp", "archive", "position")
 
 
+def op1_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert_ann import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
