@@ -383,3 +383,12 @@ def _beside(nodes: DataFrame) -> DataFrame:
     loose = loose.withColumn("wide", F.explode(F.sequence(F.floor(F.log2(F.col("n_a") * 0.79)), F.floor(F.log2(F.col("n_a") * 1.26)))))
     others = nodes.select(F.col("doc_id").alias("b"), F.floor(F.log2("n")).alias("wide"), *[F.col(c).alias(f"{c}_b") for c in carried])
     return loose.join(others, "wide").where(f"a <> b and {_may_link('_a', '_b')}").select("a", "b")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with their columns: of each component the smallest doc_id, of its rows all with it.
+
+    Documents without words stay, as they link with nothing; rows with a null doc_id stay.
+    """
+    gone = join(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
