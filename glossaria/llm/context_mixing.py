@@ -2,9 +2,9 @@
 
 A text is its UTF-8 bytes and an end symbol. Each symbol is a path of binary decisions in a code tree chosen by the byte
 before (Huffman trees of the training counts, so a byte takes about as many decisions as it has bits of order-1 entropy).
-Three predictors, each a table hashed by a context (two bytes, four bytes, the letters of the word so far), give the
+Three predictors, each a table hashed by a context (two bytes, four bytes, the letters of the word so far; A-Z lower-cased), give the
 odds of a decision's bit from the training counts of their context. A mixer adds the odds with weights gated by the depth
-in the tree and the kind of byte before; the weights start from values learned on MIX_DOCS training texts that are kept out
+in the tree and the place in the word; the weights start from values learned on MIX_DOCS training texts that are kept out
 of the counts, and are refined online after every block of BLOCK symbols of the text itself. The cost in bits of all
 decisions is the text's code length; score is its log10 probability, bits_per_byte the length per byte.
 
@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 from .common import fold, prepare, stash, text_slices, to_signed, words
 
 FOLDS, HELD = 7, 2
-END, SYMBOLS, NODES = 256, 257, 256
+END, SYMBOLS = 256, 257
+#: Symbols with a leaf of their own in the trees, the last leaf stands for all others (which cost the same then).
+LEAVES = 128
 #: Slots of the predictors' tables, and shards of each.
-SLOTS = (1 << 14, 1 << 15, 1 << 16)
+SLOTS = (1 << 15, 1 << 16, 1 << 17)
 SHARDS = 16
 MIX_DOCS, MIX_EPOCHS = 192, 4
-BLOCK, GATES, RATE = 256, 16, 0.006
+BLOCK, GATES, RATE = 256, 15, 0.006
 HEAVY = 1 << 17
 #: Odds are kept as eighths in a byte.
 SCALE = 16.0
@@ -50,6 +52,8 @@ SCALE = 16.0
 SLICE, COUNTED = 1 << 17, 1 << 22
 _END_TOKEN = np.uint64(0x9D39247E33776D41)
 _LETTERS = np.zeros(256, bool)
+_LOW = np.arange(SYMBOLS, dtype=np.uint16)
+_LOW[ord("A") : ord("Z") + 1] += 32
 _LETTERS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = True
 
 
@@ -98,55 +102,58 @@ class Trees:
     """A code tree by the byte before: (first, length) of each symbol's path in flat arrays of nodes and bits."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts.reshape(256, SYMBOLS).astype(np.float64)
-        total = self.counts.sum(0)
+        counts = counts.reshape(256, SYMBOLS).astype(np.float64)
+        total = counts.sum(0)
+        total[END] += total.sum() + 1  # the end has a leaf in any case
+        listed = np.argsort(-total, kind="stable")[: LEAVES - 1]
+        self.leaf = np.full(SYMBOLS, LEAVES - 1, np.uint8)
+        self.leaf[listed] = np.arange(LEAVES - 1)
+        self.rest_bits = float(np.log2(SYMBOLS - LEAVES + 1))
+        by_leaf = np.zeros((256, LEAVES))
+        np.add.at(by_leaf.T, self.leaf, counts.T)
+        share = by_leaf.sum(0) / max(by_leaf.sum(), 1)
         nodes, bits = [], []
-        self.first = np.zeros(256 * SYMBOLS, np.int32)
-        self.length = np.zeros(256 * SYMBOLS, np.int32)
+        self.first = np.zeros(256 * LEAVES, np.int32)
+        self.length = np.zeros(256 * LEAVES, np.int32)
         at = 0
-        seen = {}
         for prev in range(256):
-            row = self.counts[prev]
-            weight = row + 0.5 * total / max(total.sum(), 1) + 1e-3
-            key = row.any()
-            paths = seen["none"] if not key and "none" in seen else self._huffman(weight)
-            if not key:
-                seen["none"] = paths
-            for symbol, path in enumerate(paths):
-                self.first[prev * SYMBOLS + symbol], self.length[prev * SYMBOLS + symbol] = at, len(path)
+            for leaf, path in enumerate(self._huffman(by_leaf[prev] + 0.5 * share + 1e-3)):
+                self.first[prev * LEAVES + leaf], self.length[prev * LEAVES + leaf] = at, len(path)
                 nodes += [n for n, _ in path]
                 bits += [b for _, b in path]
                 at += len(path)
         self.node, self.bit = np.array(nodes, np.uint32), np.array(bits, np.int8)
-        share = (self.counts.sum(1) + 1) / (self.counts.sum() + 256)
+        part = (counts.sum(1) + 1) / (counts.sum() + 256)
         self.regions = []
         for slots in SLOTS:
-            size = np.maximum(1, (share * (slots - 256)).astype(np.int64))
+            size = np.maximum(1, (part * (slots - 256)).astype(np.int64))
             self.regions.append((np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.uint32), size.astype(np.uint32)))
 
     @staticmethod
     def _huffman(weight: np.ndarray) -> list[list[tuple[int, int]]]:
-        heap = [(w, s, s) for s, w in enumerate(weight)]
+        """Of each leaf, the (node, bit) pairs from the root."""
+        n = len(weight)
+        heap = [(w, i) for i, w in enumerate(weight)]
         heapq.heapify(heap)
-        child, fresh = {}, SYMBOLS
-        while len(heap) > 1:
+        child = {}
+        for fresh in range(n, 2 * n - 1):
             a, b = heapq.heappop(heap), heapq.heappop(heap)
-            child[fresh] = (a[2], b[2])
-            heapq.heappush(heap, (a[0] + b[0], fresh, fresh))
-            fresh += 1
-        paths: list = [None] * SYMBOLS
-        todo = [(heap[0][2], [])]
+            child[fresh] = (a[1], b[1])
+            heapq.heappush(heap, (a[0] + b[0], fresh))
+        paths: list = [None] * n
+        todo = [(heap[0][1], [])]
         while todo:
-            node, path = todo.pop()
-            if node < SYMBOLS:
-                paths[node] = path
+            i, path = todo.pop()
+            if i < n:
+                paths[i] = path
             else:
-                todo += [(c, [*path, (node - SYMBOLS, bit)]) for bit, c in enumerate(child[node])]
+                todo += [(c, [*path, (i - n, bit)]) for bit, c in enumerate(child[i])]
         return paths
 
-    def slots(self, symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The byte before, and the slot of each predictor."""
-        b1, b2, b3, b4 = (before(symbols, place, k) for k in (1, 2, 3, 4))
+    def slots(self, symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """The byte before, the slot of each predictor, and the letters of the word so far (4 stands for more)."""
+        raw = before(symbols, place, 1).astype(np.uint32)
+        b1, b2, b3, b4 = (before(_LOW.take(symbols), place, k) for k in (1, 2, 3, 4))
         # letters of the word so far: difference of weighted sums over the run of letters before each symbol
         n = len(symbols)
         inside = _LETTERS[np.minimum(b1, 255)] & (place > 0)
@@ -159,8 +166,8 @@ class Trees:
         four = b2 | b3.astype(np.uint32) << np.uint32(9) | b4.astype(np.uint32) << np.uint32(18)
         out = []
         for context, (start, size) in zip((b2.astype(np.uint32), four, word), self.regions, strict=True):
-            out.append(start.take(b1) + (_scatter(context) * size.take(b1) >> np.uint32(16)))
-        return b1, out
+            out.append(start.take(raw) + (_scatter(context) * size.take(raw) >> np.uint32(16)))
+        return raw, out, np.minimum(index - run, 4)
 
 
 # ---- training ---------------------------------------------------------------------------------------------------
@@ -194,7 +201,7 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _context_counts(trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(s * SYMBOLS, np.int32) for s in SLOTS]
+        counts = [np.zeros(s * LEAVES, np.int32) for s in SLOTS]
         held, size = [[] for _ in SLOTS], 0
 
         def add() -> None:
@@ -205,8 +212,9 @@ def _context_counts(trees):
 
         for _, data, at in text_slices(batches, limit=SLICE):
             symbols, _, place = stream(data, at)
+            leaf = trees.value.leaf.take(symbols)
             for k, slot in enumerate(trees.value.slots(symbols, place)[1]):
-                held[k].append((slot * np.uint32(SYMBOLS) + symbols).astype(np.int32))
+                held[k].append((slot * np.uint32(LEAVES) + leaf).astype(np.int32))
             size += len(symbols)
             if size > COUNTED:
                 add()
@@ -226,23 +234,23 @@ def _odds(trees):
         """Sum a shard's counts task by task, and turn them into the odds of every node of every slot."""
         k, shard = int(key[0]), int(key[1])
         slots = SLOTS[k] // SHARDS
-        table = np.zeros(slots * SYMBOLS, np.float32)
+        table = np.zeros(slots * LEAVES, np.float32)
         for x in batches:
             for at, c in zip(x["at"], x["c"], strict=True):
                 table[np.frombuffer(at, np.uint32)] += np.frombuffer(c, np.uint32)
-        table = table.reshape(slots, SYMBOLS)
-        out = np.zeros((slots, NODES), np.int8)
+        table = table.reshape(slots, LEAVES)
+        out = np.zeros((slots, LEAVES), np.int8)
         start, size = trees.value.regions[k]
         for prev in range(256):
             a, b = max(int(start[prev]) - shard * slots, 0), min(int(start[prev]) + int(size[prev]) - shard * slots, slots)
             if a >= b or not table[a:b].any():
                 continue
-            sides = np.zeros((2, SYMBOLS, NODES), np.float32)
-            row = slice(prev * SYMBOLS, (prev + 1) * SYMBOLS)
+            sides = np.zeros((2, LEAVES, LEAVES), np.float32)
+            row = slice(prev * LEAVES, (prev + 1) * LEAVES)
             first, length = trees.value.first[row], trees.value.length[row]
-            symbol = np.repeat(np.arange(SYMBOLS), length)
+            leaf = np.repeat(np.arange(LEAVES), length)
             path = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            sides[trees.value.bit[path], symbol, trees.value.node[path]] = 1
+            sides[trees.value.bit[path], leaf, trees.value.node[path]] = 1
             zero, one = table[a:b] @ sides[0], table[a:b] @ sides[1]
             out[a:b] = np.clip(np.rint(np.log((one + 0.3) / (zero + 0.3)) * SCALE), -127, 127)
         yield pd.DataFrame({"k": [k], "shard": [shard], "odds": [out.tobytes()]})
@@ -261,28 +269,30 @@ class Mixer:
         """Bits of each text, and the weights that each text ends with."""
         symbols, length, place = stream(data, at)
         docs = len(length)
-        b1, slots = self.trees.slots(symbols, place)
+        b1, slots, letters = self.trees.slots(symbols, place)
         # all texts move on together, a block of each at a time
         step = place // BLOCK
         order = np.argsort(step.astype(np.int16) if step.max() < 1 << 15 else step, kind="stable")
         steps = np.bincount(step)
         b1 = b1.take(order)
-        path = b1 * np.uint32(SYMBOLS) + symbols.take(order)
+        leaf = self.trees.leaf.take(symbols)
+        path = b1 * np.uint32(LEAVES) + leaf.take(order)
         count = self.trees.length.take(path)
         ends = np.cumsum(count, dtype=np.int64)
         begin = ends - count
         at_path = np.repeat(self.trees.first.take(path) - begin.astype(np.int32), count) + np.arange(ends[-1], dtype=np.int32)
         node, bit = self.trees.node.take(at_path), self.trees.bit.take(at_path)
         doc = np.repeat(np.arange(docs, dtype=np.int32), length)
-        kind = (_LETTERS[np.minimum(b1, 255)] * np.int32(8) + doc.take(order) * np.int32(GATES)).astype(np.int32)
+        kind = letters.take(order) * np.int32(3) + doc.take(order) * np.int32(GATES)
         depth = np.arange(ends[-1], dtype=np.int32) - np.repeat(begin.astype(np.int32), count)
-        gate = np.minimum(depth, 7) + np.repeat(kind, count)
+        gate = np.minimum(depth, 2) + np.repeat(kind, count)
         x = []
         for odds, slot in zip(self.odds, slots, strict=True):
-            x.append(odds.take(np.repeat(slot.take(order) * np.uint32(NODES), count) + node).astype(np.float32) * np.float32(1 / SCALE))
+            x.append(odds.take(np.repeat(slot.take(order) * np.uint32(LEAVES), count) + node).astype(np.float32) * np.float32(1 / SCALE))
         sign = (2 * bit - 1).astype(np.float32)
         w = [np.tile(self.weight[:, k], docs) for k in range(len(SLOTS))]
         bits = np.zeros(docs)
+        rest = np.bincount(doc[leaf == LEAVES - 1], minlength=docs) * self.trees.rest_bits
         a = 0
         for end in ends[np.cumsum(steps) - 1]:
             g, s = gate[a:end].astype(np.intp), sign[a:end]
@@ -297,7 +307,7 @@ class Mixer:
             for k in range(len(SLOTS)):
                 w[k] += RATE * np.bincount(g, wrong * x[k][a:end], len(w[k])).astype(np.float32)
             a = end
-        return bits / np.log(2), np.stack(w, axis=1)
+        return bits / np.log(2) + rest, np.stack(w, axis=1)
 
 
 def train(texts: DataFrame, mixing: list[str], pairs: list[tuple[int, int]]) -> Mixer:
@@ -309,10 +319,10 @@ def train(texts: DataFrame, mixing: list[str], pairs: list[tuple[int, int]]) ->
     trees = Trees(counts)
     shared = spark.sparkContext.broadcast(trees)
     found = texts.mapInArrow(_context_counts(shared), "k int, shard int, at binary, c binary").groupBy("k", "shard").applyInPandas(_odds(shared), "k int, shard int, odds binary").collect()
-    odds = [np.zeros((s, NODES), np.int8) for s in SLOTS]
+    odds = [np.zeros((s, LEAVES), np.int8) for s in SLOTS]
     for r in found:
         n = SLOTS[r.k] // SHARDS
-        odds[r.k][r.shard * n : (r.shard + 1) * n] = np.frombuffer(r.odds, np.int8).reshape(n, NODES)
+        odds[r.k][r.shard * n : (r.shard + 1) * n] = np.frombuffer(r.odds, np.int8).reshape(n, LEAVES)
     mixer = Mixer(trees, [o.reshape(-1) for o in odds])
     if mixing:
         encoded = [t.encode()[:100_000] for t in mixing]  # a bound on the sample's size, not on what is scored

@@ -33,7 +33,7 @@ from .common import fold, prepare, text_slices, words
 
 FOLDS = 5
 #: Bounds of the training sample, of the vocabulary, and the number of averaged classifiers.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS, MODELS = 4000, 16000, 4096, 3
+MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS, MODELS = 2000, 6000, 4096, 3
 #: Distinct features of one training text that are kept, lowest hashes first.
 MAX_TEXT_WORDS = 8000
 PREFIXES = (4, 5, 6)
