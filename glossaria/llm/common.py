@@ -77,14 +77,30 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % parts
 
 
+def _bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """(_w, _bits): at most BITMAP_WORDS words with a bit for each key's hash."""
+    place = F.pmod(F.xxhash64(key), F.lit(BITMAP_WORDS * 64))
+    return keys.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / 64).cast("long").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits"))
+
+
+def _looked_up(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with _hit: whether the bitmap of keys has the key's bit."""
+    place = F.pmod(F.xxhash64(key), F.lit(BITMAP_WORDS * 64))
+    marked = rows.withColumn("_p", place).withColumn("_w", F.floor(F.col("_p") / 64).cast("long"))
+    found = marked.join(F.broadcast(_bitmap(keys, key)), "_w", "left")
+    return found.withColumn("_hit", F.expr("coalesce((shiftrightunsigned(_bits, cast(_p % 64 as int)) & 1) = 1, false)")).drop("_p", "_w", "_bits")
+
+
 def near_bitmap(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows whose key may be among the wanted keys: a semi join against a bitmap of fixed size, never missing one."""
-    bits = BITMAP_WORDS * 64
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    words = wanted.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / 64).cast("long").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits"))
-    marked = rows.withColumn("_p", place).withColumn("_w", F.floor(F.col("_p") / 64).cast("long"))
-    hit = F.expr("(shiftrightunsigned(_bits, cast(_p % 64 as int)) & 1) = 1")
-    return marked.join(F.broadcast(words), "_w").where(hit).drop("_p", "_w", "_bits")
+    return _looked_up(rows, wanted, key).where("_hit").drop("_hit")
+
+
+def without_keys(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Anti join that shuffles only the rows whose key's bit is set; the others (most, where few keys go) stay in place."""
+    looked = _looked_up(rows, gone, key)
+    sure = looked.where("not _hit").drop("_hit")
+    return sure.unionByName(looked.where("_hit").drop("_hit").join(gone.select(key), key, "left_anti").select(sure.columns))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

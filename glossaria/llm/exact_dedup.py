@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, near_bitmap, prepare, scratch, stash
+from .common import lower_az, near_bitmap, prepare, scratch, stash, without_keys
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of one group that are compared with the retained text under one key.
@@ -104,6 +104,8 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, batch_by
     checked = texts.join(kept_text, ["digest", "salt"]).select("at", "id", "digest", "text_sha256", "last", "n", (F.col("text") == F.col("kept_text")).alias("same"), F.when(F.col("text") != F.col("kept_text"), F.col("text")).alias("other"))
     checked = stash(checked, "dedup-checked")
     # a digest shared by different texts: what equals the retained text stays its group, the others group by full text
+    if checked.where("not same").isEmpty():
+        return single.select(out).unionByName(checked.select(F.col("id").alias("doc_id"), F.col("last.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("last.at")).alias("kept"), "text_sha256", "at"))
     split = checked.where("not same").groupBy("digest").agg(F.count(F.lit(1)).alias("away"))
     with_kept = checked.where("same").join(split, "digest", "left").select(F.col("id").alias("doc_id"), F.col("last.id").alias("keep_id"), (F.col("n") - F.coalesce("away", F.lit(0))).alias("group_size"), (F.col("at") == F.col("last.at")).alias("kept"), "text_sha256", "at")
     others = checked.where("not same")
@@ -122,5 +124,5 @@ def survivors(docs: DataFrame) -> DataFrame:
             raise
         docs = stash(docs, "dedup-docs")
         return survivors(docs)
-    gone = dedup(docs).where("not kept").select(F.col("at").alias("_at"))
-    return marked.join(gone, "_at", "left_anti").select(columns)
+    gone = stash(dedup(docs).where("not kept").select(F.col("at").alias("_at")), "dedup-gone")
+    return without_keys(marked, gone, "_at").select(columns)

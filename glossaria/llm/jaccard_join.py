@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, mix, near_bitmap, prepare, stash, text_slices, to_signed, words
+from .common import LOWER, UPPER, mix, near_bitmap, prepare, stash, text_slices, to_signed, without_keys, words
 from .components import components
 
 N = 5
@@ -390,5 +390,6 @@ def survivors(docs: DataFrame) -> DataFrame:
 
     Documents without words stay, as they link with nothing; rows with a null doc_id stay.
     """
-    gone = join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stash(join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "near-gone")
+    own = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    return without_keys(own, gone.withColumnRenamed("doc_id", "_id"), "_id").select(docs.columns)
