@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Typography that is brought to plain ASCII, as pairs of (characters, replacement)
-TYPOGRAPHY = (("‘’‚‛", "'"), ("“”„‟", '"'), ("–—―", "-"), ("            　", " "))
-ZERO_WIDTH = "​‌‍﻿"
+SPACES = "\u00a0" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u202f\u205f\u3000"
+TYPOGRAPHY = (("\u2018\u2019\u201a\u201b", "'"), ("\u201c\u201d\u201e\u201f", '"'), ("\u2013\u2014\u2015", "-"), (SPACES, " "))
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooo" + "\0" + "uuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
 # Entities that are decoded by name
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&reg;": "®", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–", "&laquo;": "«", "&raquo;": "»", "&amp;": "&"}
@@ -16,7 +17,7 @@ MARKDOWN = r"([\\`*_{}\[\]()#+\-.!|])"
 
 def strip_bom(text: Column) -> Column:
     """Drop a leading U+FEFF; one inside stays."""
-    return F.regexp_replace(text, "^﻿", "")
+    return F.regexp_replace(text, "^\ufeff", "")
 
 
 def collapse(text: Column) -> Column:
@@ -31,7 +32,7 @@ def cache_key(source: Column, target: Column, text: Column) -> Column:
 def typography(text: Column) -> Column:
     for chars, to in TYPOGRAPHY:
         text = F.translate(text, chars, to * len(chars))
-    return F.regexp_replace(F.regexp_replace(text, f"[{ZERO_WIDTH}]", ""), "…", "...")
+    return F.regexp_replace(F.regexp_replace(text, f"[{ZERO_WIDTH}]", ""), "\u2026", "...")
 
 
 def decode_entities(text: Column) -> Column:

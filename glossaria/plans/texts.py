@@ -13,7 +13,7 @@ from . import views as v
 from .registry import query
 
 pages = lambda spark, sf: v.read(spark, sf, "pages")
-first_line = F.trim(F.split_part("text", F.lit("\n"), F.lit(1)))
+first_line = lambda: F.trim(F.split_part("text", F.lit("\n"), F.lit(1)))
 LINE = "trim(split_part(text, chr(10), 1))"
 BODY = "regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', chr(10), 'g'), '(?s)<!--.*?-->', chr(10), 'g')"
 
@@ -89,7 +89,7 @@ def _predicate(name: str, column, sql: str, table: str = "documents", key: str =
     """A query of the rows whose text meets a predicate."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return v.read(spark, sf, table).select(key, expression.alias("t")).where(column(F.col("t"))).select(key)
+        return v.read(spark, sf, table).select(key, expression().alias("t")).where(column(F.col("t"))).select(key)
 
     run.__name__ = name
     query(name, f"with x as (select {key}, {text} as t from {table}) select {key} from x where {sql}")(run)
@@ -101,25 +101,25 @@ _n = lambda p: f"len(regexp_extract_all(t, '{p}'))"
 _BALANCED = f"{_n(chr(92) + '(')} = {_n(chr(92) + ')')} and {_n(chr(92) + '[')} = {_n(chr(92) + ']')} and {_n(chr(92) + '{')} = {_n(chr(92) + '}')} and ({_n(chr(39) * 2)} - {_n('[A-Za-z]' + chr(39) * 2 + '[A-Za-z]')}) % 2 = 0 and {_n(chr(34))} % 2 = 0"
 _BASIC = f"length(t) >= 2 and regexp_matches(t, '\\p{{L}}') and not (not regexp_matches(t, '\\s') and lower(t) in ({_never}))"
 _predicate("basic_requirements", val.basic, _BASIC)
-_predicate("unbalanced_delimiters", lambda t: ~val.balanced(t), f"not ({_BALANCED})", table="pages", key="page_id", expression=F.substring("html", 1, 200), text="left(html, 200)")
-_predicate("placeholder_only", lambda t: val.placeholder_only(t), "t = '' or not regexp_matches(t, '\\p{L}')", table="conversations", key="conv_id", expression=F.regexp_extract("text", "[0-9]+", 0), text="regexp_extract(text, '[0-9]+')")
+_predicate("unbalanced_delimiters", lambda t: ~val.balanced(t), f"not ({_BALANCED})", table="pages", key="page_id", expression=lambda: F.substring("html", 1, 200), text="left(html, 200)")
+_predicate("placeholder_only", lambda t: val.placeholder_only(t), "t = '' or not regexp_matches(t, '\\p{L}')", table="conversations", key="conv_id", expression=lambda: F.regexp_extract("text", "[0-9]+", 0), text="regexp_extract(text, '[0-9]+')")
 _words = "list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '')"
 _one = f"regexp_replace({_words}[1], '[.,:;!?]+$', '')"
 _predicate("human_text", val.human, f"""case when t = '' then false when regexp_matches(t, '[^\\x00-\\x7F]') and regexp_matches(t, '\\p{{L}}') then true
 when len({_words}) = 1 then regexp_matches({_one}, '^[A-Z][a-zA-Z0-9'']*$') or (regexp_matches({_one}, '^[A-Z0-9_]+$') and regexp_matches({_one}, '[A-Z]')) or lower({_one}) in ({_labels})
 else len(list_filter(list_transform({_words}, lambda w: regexp_replace(w, '[^A-Za-z0-9_]', '', 'g')), lambda w: regexp_matches(w, '(?i)[aeiou]') and length(w) >= 2)) >= len({_words}) * 0.5 end""")
-_predicate("url_like", val.is_url, "regexp_matches(lower(t), '^(http|https|ftp)://')", table="pages", key="page_id", expression=F.col("url"), text="url")
-_predicate("version_like", val.is_version, "regexp_matches(t, '(?i)^v?[0-9]+\\.[0-9]+(\\.[0-9]+)?(-[a-z0-9.-]+)?(\\+[a-z0-9.-]+)?$') or regexp_matches(t, '^[0-9]{4}\\.[0-9]{1,2}(\\.[0-9]+)?$')", table="orders", key="o_orderkey", expression=F.col("o_totalprice").cast("decimal(18,2)").cast("string"), text="cast(cast(o_totalprice as decimal(18,2)) as varchar)")
-_predicate("query_string_like", val.is_query_string, "regexp_matches(t, '(?i)^[?&]?[a-z_][a-z0-9_]*=[^&\\s]*') or regexp_matches(t, '%[0-9A-F]{2}')", table="pages", key="page_id", expression=F.regexp_extract("url", r"\?.*$", 0), text="regexp_extract(url, '\\?.*$')")
-_predicate("numeric_like", val.is_numeric, "regexp_matches(trim(t), '^[+-]?[0-9][0-9\\s.,()/-]*%?$')", table="orders", key="o_orderkey", expression=F.col("o_totalprice").cast("decimal(18,2)").cast("string"), text="cast(cast(o_totalprice as decimal(18,2)) as varchar)")
-_predicate("common_short_text", fn.common_short, "trim(t) <> '' and len(string_split_regex(trim(t), '\\s+')) <= 2 and length(trim(t)) <= 24 and not regexp_matches(trim(t), '[.!?/]')", table="part", key="p_partkey", expression=F.col("p_name"), text="p_name")
-_predicate("unbalanced_parens", lambda t: F.regexp_count(t, F.lit(r"\(")) != F.regexp_count(t, F.lit(r"\)")), f"{_n(chr(92) + '(')} <> {_n(chr(92) + ')')}", table="pages", key="page_id", expression=F.substring("html", 1, 180), text="left(html, 180)")
+_predicate("url_like", val.is_url, "regexp_matches(lower(t), '^(http|https|ftp)://')", table="pages", key="page_id", expression=lambda: F.col("url"), text="url")
+_predicate("version_like", val.is_version, "regexp_matches(t, '(?i)^v?[0-9]+\\.[0-9]+(\\.[0-9]+)?(-[a-z0-9.-]+)?(\\+[a-z0-9.-]+)?$') or regexp_matches(t, '^[0-9]{4}\\.[0-9]{1,2}(\\.[0-9]+)?$')", table="orders", key="o_orderkey", expression=lambda: F.col("o_totalprice").cast("decimal(18,2)").cast("string"), text="cast(cast(o_totalprice as decimal(18,2)) as varchar)")
+_predicate("query_string_like", val.is_query_string, "regexp_matches(t, '(?i)^[?&]?[a-z_][a-z0-9_]*=[^&\\s]*') or regexp_matches(t, '%[0-9A-F]{2}')", table="pages", key="page_id", expression=lambda: F.regexp_extract("url", r"\?.*$", 0), text="regexp_extract(url, '\\?.*$')")
+_predicate("numeric_like", val.is_numeric, "regexp_matches(trim(t), '^[+-]?[0-9][0-9\\s.,()/-]*%?$')", table="orders", key="o_orderkey", expression=lambda: F.col("o_totalprice").cast("decimal(18,2)").cast("string"), text="cast(cast(o_totalprice as decimal(18,2)) as varchar)")
+_predicate("common_short_text", fn.common_short, "trim(t) <> '' and len(string_split_regex(trim(t), '\\s+')) <= 2 and length(trim(t)) <= 24 and not regexp_matches(trim(t), '[.!?/]')", table="part", key="p_partkey", expression=lambda: F.col("p_name"), text="p_name")
+_predicate("unbalanced_parens", lambda t: F.regexp_count(t, F.lit(r"\(")) != F.regexp_count(t, F.lit(r"\)")), f"{_n(chr(92) + '(')} <> {_n(chr(92) + ')')}", table="pages", key="page_id", expression=lambda: F.substring("html", 1, 180), text="left(html, 180)")
 
 
 @query("rejection_histogram")
 def rejection_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """Reasons of the whole cascade over first lines."""
-    rows = extract.translatable(v.read(spark, sf, "documents").select(first_line.alias("text")))
+    rows = extract.translatable(v.read(spark, sf, "documents").select(first_line().alias("text")))
     return reports.histogram(rows.select(F.coalesce("reason", F.lit("translatable")).alias("reason")), "reason")
 
 
@@ -136,7 +136,7 @@ _PLAIN = f"regexp_replace(translate({LINE}, '{''.join(_ACC)}', '{''.join(_BAS)}'
 @query("slugify_ascii", f"""with s as (select doc_id, array_to_string(list_slice(regexp_extract_all(lower({_PLAIN}), '[a-z0-9]+'), 1, 4), '_') as s from documents)
 select doc_id, case when length(s) > 48 then regexp_replace(left(s, 48), '_+$', '') else s end as slug from s where s <> ''""")
 def slugify_ascii(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.read(spark, sf, "documents").select("doc_id", fn.slug(first_line).alias("slug"))
+    rows = v.read(spark, sf, "documents").select("doc_id", fn.slug(first_line()).alias("slug"))
     return rows.where(~F.col("slug").startswith("text_"))
 
 
@@ -216,7 +216,7 @@ def distinct_phrases(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("relevance_scores", "select doc_id, (case when contains(lower(t), 'the') then 10 else 0 end) + (case when contains(lower(t), 'and') then 10 else 0 end) + (case when regexp_matches(t, '^[A-Z]') then 2 else 0 end) + (case when regexp_matches(t, '[.!?]$') then 2 else 0 end) + (case when contains(t, ' ') then 1 else 0 end) + (case when length(t) between 5 and 100 then 2 else 0 end) as score from (select doc_id, trim(split_part(text, chr(10), 1)) as t from documents)")
 def relevance_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return v.read(spark, sf, "documents").select("doc_id", fn.relevance(first_line, F.array(F.lit("the"), F.lit("and"))).alias("score"))
+    return v.read(spark, sf, "documents").select("doc_id", fn.relevance(first_line(), F.array(F.lit("the"), F.lit("and"))).alias("score"))
 
 
 @query("typography", "select doc_id, replace(translate(text, '‘’“”–—', '''''\"\"--'), '…', '...') as text from documents")

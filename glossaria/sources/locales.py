@@ -54,7 +54,7 @@ def decoded(content: Column) -> Column:
     """UTF-8 without its mark; bytes with a NUL are UTF-16LE."""
     wide = F.contains(content, F.unhex(F.lit("00")))
     text = F.when(wide, F.decode(content, "UTF-16LE")).otherwise(F.decode(content, "UTF-8"))
-    return F.regexp_replace(text, "^﻿", "")
+    return F.regexp_replace(text, "^\ufeff", "")
 
 
 _JSONC = re.compile(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', re.S)
@@ -64,7 +64,7 @@ _TRAILING = re.compile(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', re.S)
 def clean_jsonc(text: str) -> str:
     """JSON text without comments and trailing commas, both outside strings only."""
     keep = lambda m: m[1] or ""
-    return _TRAILING.sub(keep, _JSONC.sub(keep, text.removeprefix("﻿"))).strip()
+    return _TRAILING.sub(keep, _JSONC.sub(keep, text.removeprefix("\ufeff"))).strip()
 
 
 def parse_jsonc(text: str) -> dict:
