@@ -52,9 +52,10 @@ SCALE = 16.0
 SLICE, COUNTED = 1 << 17, 1 << 22
 _END_TOKEN = np.uint64(0x9D39247E33776D41)
 _LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = True
+_INSIDE = np.append(_LETTERS, False)
 _LOW = np.arange(SYMBOLS, dtype=np.uint16)
 _LOW[ord("A") : ord("Z") + 1] += 32
-_LETTERS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = True
 
 
 # ---- symbols, trees, contexts -----------------------------------------------------------------------------------
@@ -73,10 +74,11 @@ def stream(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def before(symbols: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
-    """The symbol k places before, 0 before the text's start."""
+    """The symbol k places before, 0 before the text's start. place is 0 where a text begins."""
     out = np.zeros(len(symbols), np.uint16)
     out[k:] = symbols[:-k]
-    out[place < k] = 0
+    for start in np.flatnonzero(place == 0).tolist():
+        out[start : start + k] = 0  # where a text is shorter, the next one's first places are meant too
     return out
 
 
@@ -152,11 +154,13 @@ class Trees:
 
     def slots(self, symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """The byte before, the slot of each predictor, and the letters of the word so far (4 stands for more)."""
-        raw = before(symbols, place, 1).astype(np.uint32)
-        b1, b2, b3, b4 = (before(_LOW.take(symbols), place, k) for k in (1, 2, 3, 4))
+        low, raw = _LOW.take(symbols), before(symbols, place, 1)
+        by = raw.astype(np.intp)
+        b1, b2, b3, b4 = (before(low, place, k) for k in (1, 2, 3, 4))
         # letters of the word so far: difference of weighted sums over the run of letters before each symbol
         n = len(symbols)
-        inside = _LETTERS[np.minimum(b1, 255)] & (place > 0)
+        inside = _INSIDE.take(b1)
+        inside[place == 0] = False
         index = np.arange(n, dtype=np.int32)
         run = np.maximum.accumulate(np.where(inside, np.int32(-1), index))
         power, inverse = _word_power(1 << (max(n, SLICE) - 1).bit_length())
@@ -166,8 +170,8 @@ class Trees:
         four = b2 | b3.astype(np.uint32) << np.uint32(9) | b4.astype(np.uint32) << np.uint32(18)
         out = []
         for context, (start, size) in zip((b2.astype(np.uint32), four, word), self.regions, strict=True):
-            out.append(start.take(raw) + (_scatter(context) * size.take(raw) >> np.uint32(16)))
-        return raw, out, np.minimum(index - run, 4)
+            out.append(start.take(by) + (_scatter(context) * size.take(by) >> np.uint32(16)))
+        return raw.astype(np.uint32), out, np.minimum(index - run, 4)
 
 
 # ---- training ---------------------------------------------------------------------------------------------------
@@ -280,18 +284,22 @@ class Mixer:
         count = self.trees.length.take(path)
         ends = np.cumsum(count, dtype=np.int64)
         begin = ends - count
-        at_path = np.repeat(self.trees.first.take(path) - begin.astype(np.int32), count) + np.arange(ends[-1], dtype=np.int32)
+        # the symbol that each decision belongs to: marks at the first decisions, summed up
+        marks = np.zeros(ends[-1], np.int8)
+        marks[begin[1:]] = 1
+        of = np.cumsum(marks, dtype=np.int64)
+        depth = np.arange(ends[-1], dtype=np.int32) - begin.astype(np.int32).take(of)
+        at_path = self.trees.first.take(path).take(of) + depth
         node, bit = self.trees.node.take(at_path), self.trees.bit.take(at_path)
         doc = np.repeat(np.arange(docs, dtype=np.int32), length)
         kind = letters.take(order) * np.int32(3) + doc.take(order) * np.int32(GATES)
-        depth = np.arange(ends[-1], dtype=np.int32) - np.repeat(begin.astype(np.int32), count)
-        gate = np.minimum(depth, 2) + np.repeat(kind, count)
+        gate = np.minimum(depth, 2) + kind.take(of)
         x = []
         for odds, slot in zip(self.odds, slots, strict=True):
-            x.append(odds.take(np.repeat(slot.take(order) * np.uint32(LEAVES), count) + node).astype(np.float32) * np.float32(1 / SCALE))
+            x.append(odds.take((slot.take(order) * np.uint32(LEAVES)).take(of) + node).astype(np.float32) * np.float32(1 / SCALE))
         sign = (2 * bit - 1).astype(np.float32)
         w = [np.tile(self.weight[:, k], docs) for k in range(len(SLOTS))]
-        bits = np.zeros(docs)
+        nats = np.empty(ends[-1], np.float32)
         rest = np.bincount(doc[leaf == LEAVES - 1], minlength=docs) * self.trees.rest_bits
         a = 0
         for end in ends[np.cumsum(steps) - 1]:
@@ -301,12 +309,14 @@ class Mixer:
                 margin += w[k].take(g) * x[k][a:end]
             margin *= s
             wrong = 1 / (1 + np.exp(margin))  # probability of the other bit
-            # the nats of a decision go by gate first, then by text
-            bits += np.bincount(g, -np.log1p(-np.minimum(wrong, np.float32(0.99999))), docs * GATES).reshape(docs, GATES).sum(1)
+            np.log1p(-np.minimum(wrong, np.float32(0.99999)), out=nats[a:end])
             wrong *= s
             for k in range(len(SLOTS)):
                 w[k] += RATE * np.bincount(g, wrong * x[k][a:end], len(w[k])).astype(np.float32)
             a = end
+        # a text's decisions lie together in each step: sums over these runs, then over the steps
+        run = np.concatenate([[0], np.flatnonzero(np.diff(doc.take(order)) | np.diff(step.take(order))) + 1])
+        bits = -np.bincount(doc.take(order.take(run)), np.add.reduceat(nats, begin.take(run), dtype=np.float64), docs)
         return bits / np.log(2) + rest, np.stack(w, axis=1)
 
 
