@@ -116,13 +116,11 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, batch_by
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns: those that aren't kept go by an anti join on file and row."""
-    columns = docs.columns
     try:
-        marked = docs.select(*columns, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at"))
+        marked = docs.select(F.struct(*docs.columns).alias("whole"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place"))
     except Exception as e:
         if "_metadata" not in str(e):
             raise
-        docs = stash(docs, "dedup-docs")
-        return survivors(docs)
-    gone = stash(dedup(docs).where("not kept").select(F.col("at").alias("_at")), "dedup-gone")
-    return without_keys(marked, gone, "_at").select(columns)
+        return survivors(stash(docs, "dedup-docs"))
+    gone = stash(dedup(docs).where("not kept").select(F.col("at").alias("place")), "dedup-gone")
+    return without_keys(marked, gone, "place").select("whole.*")

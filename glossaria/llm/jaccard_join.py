@@ -391,5 +391,5 @@ def survivors(docs: DataFrame) -> DataFrame:
     Documents without words stay, as they link with nothing; rows with a null doc_id stay.
     """
     gone = stash(join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "near-gone")
-    own = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    return without_keys(own, gone.withColumnRenamed("doc_id", "_id"), "_id").select(docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"))
+    return without_keys(own, gone, "doc_id").select("whole.*")

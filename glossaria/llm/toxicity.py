@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Classifiers (numpy) learn from confirmed toxic texts P and unlabelled texts U only; the class prior pi is the share of
-confirmed toxic rows among the labelled rows of the training folds. The risk of a classifier g is
+confirmed toxic rows among the labelled rows of the training folds, or less where the commonest toxic words say so. The risk of a classifier g is
 pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)]): what the unlabelled texts cost as negatives, less what the toxic ones
 among them would, never below zero (where the bracket is negative, its gradient is ascended). Several classifiers on
 different draws of U are averaged.
@@ -94,6 +94,11 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     share_u = (np.where(words_u[at] == words_p, in_u[at], 0) if len(words_u) else 0 * in_p) / max(len(u), 1)
     share_p = in_p / max(len(positive), 1)
     # over-represented: the count among positives lies well above what the unlabelled share explains
+    # the labelled share may overstate the prior: texts with a word of the toxic ones alone make up prior * share_p of U
+    strong = np.flatnonzero((in_p >= max(4, 0.02 * len(positive))) & (share_p > 4 * share_u))
+    strong = strong[np.argsort(-in_p[strong], kind="stable")][:16]
+    if len(strong):
+        prior = min(prior, max(1e-4, float(np.median(share_u[strong] / share_p[strong]))))
     expected = len(u) * prior * share_p  # texts of U with the feature, if it were in toxic texts only
     z = (share_p - share_u) / np.sqrt(np.maximum(share_u, 1 / max(len(u), 1)) / max(len(positive), 1))
     chosen = np.flatnonzero((z > 5) & (in_p >= max(4, 0.005 * len(positive))) & (len(u) * share_u * PURITY <= expected + 1.5 * np.sqrt(expected) * PURITY))
