@@ -11,7 +11,7 @@ AIM of them (a share of 1 is an exact scan). Data that a curve can follow gets n
 no index helps, gets wide ones. Every row is indexed.
 
 Equal vectors are one point with a list of its K + 1 smallest ids, which is exact since no query needs more; so a third of
-all rows in one place makes no large block. Blocks hold BLOCK points each, however the data are spread.
+all rows in one place makes no large block. Blocks hold the same number of points, however the data are spread.
 
 Defined cases: vectors that are null, of length zero or with null or non-finite components, of a length other than the
 commonest, or zero take no part; a null id takes no part; of repeated rows (equal id) each is a candidate once per id;
@@ -33,7 +33,8 @@ from .common import prepare, stash
 
 K = 20
 CURVES, DIMS, BITS = 8, 8, 7
-BLOCK = 512
+#: Points of a block: as many as half a window, within these bounds, so that a query meets about three blocks of a curve.
+BLOCK, MOST = 512, 1 << 16
 PILOT, AIM = 96, 0.96
 WIDTHS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.125, 0.15, 0.2, 0.25, 0.35, 0.5, 1.0)
 
@@ -169,10 +170,11 @@ def search(vectors: DataFrame, queries: DataFrame, column: str = "embedding", wi
 
     # blocks of the curves meet the queries whose windows touch them; a full width needs one curve only
     order_used = ranked.where("curve = 0") if half >= n else ranked
-    block = F.floor(F.col("rank") / BLOCK).cast("long")
+    size = min(max(BLOCK, half), MOST)
+    block = F.floor(F.col("rank") / size).cast("long")
     stored = order_used.withColumn("block", block).join(base.select("point", "v"), "point").select("curve", "block", "point", F.lit(None).cast("long").alias("query_id"), "v")
-    last = (n - 1) // BLOCK
-    window = F.sequence(F.greatest(F.floor((F.col("rank") - half) / BLOCK), F.lit(0)).cast("long"), F.least(F.floor((F.col("rank") + half) / BLOCK), F.lit(last)).cast("long"))
+    last = (n - 1) // size
+    window = F.sequence(F.greatest(F.floor((F.col("rank") - half) / size), F.lit(0)).cast("long"), F.least(F.floor((F.col("rank") + half) / size), F.lit(last)).cast("long"))
     looking = order_used.join(asked, "point").withColumn("block", F.explode(window)).select("curve", "block", "point", "query_id", F.col("q").alias("v"))
 
     def rerank(rows: pd.DataFrame) -> pd.DataFrame:
