@@ -18,14 +18,20 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 FALLBACK = "/tmp/checkpoints/glossaria"
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
 #: Words of 64 bits in a broadcast bitmap of keys: 2 MB, whatever the input.
 BITMAP_WORDS = 1 << 17
-#: Text bytes that one vectorised slice holds (a longer text is a slice of its own).
-SLICE_BYTES = 1 << 20
+#: Text bytes that one vectorised slice holds (a longer text is a slice of its own): its arrays fit a core's cache.
+SLICE_BYTES = 1 << 17
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even where it isn't installed (local mode, other working folder)."""
+    """Let Python workers import this package even where it isn't installed (local mode, other working folder).
+
+    Arrow batches get fewer rows than by default, as rows hold whole texts; a session that chose its own number keeps it.
+    """
+    if spark.conf.get(BATCH_CONF, "10000") == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
