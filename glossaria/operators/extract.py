@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -133,27 +133,62 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     return files.join(each, "file", "left").select("file", put("text", "edits").alias("text"))
 
 
-def wrap_tags(files: DataFrame, keys: DataFrame, call: Callable[[str], str] = lambda k: '{{ __("' + k + '") }}') -> DataFrame:
-    """<tag>text</tag> of known texts to calls: found, joined with the key map, put back as edits."""
+# How a call is written, by framework
+CALL_TEXT = {"react": "{t('\0')}", "vue": "{{ $t('\0') }}", "svelte": "{$t('\0')}", "laravel": '{{ __("\0") }}', "code": "t('\0')"}
+#: Places of texts by framework: (pattern with the text as its only group, what stands around the key there).
+PLACES = {
+    "laravel": [(r"<[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?>([^<>]+)</", CALL_TEXT["laravel"])],
+    "vue": [(r"<[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?>([^<>{}]+)</", CALL_TEXT["vue"]), (r"""(?<=\s)((?:title|alt|placeholder|aria-label|label)="[^"{}]+")""", ":\1=\"$t('\0')\"")],
+    "react": [(r"<[a-zA-Z][\w.]*(?:\s[^<>]*)?>([^<>{}]+)</", CALL_TEXT["react"]), (r"""(?<=\s)((?:title|alt|placeholder|aria-label|label)="[^"{}]+")""", "\1={t('\0')}"), (r"""\b(?:toast(?:\.\w+)?|alert|notify|showMessage)\(\s*('[^'\n]+'|"[^"\n]+")\s*[,)]""", CALL_TEXT["code"])],
+}
+
+
+def call_text(framework: str, key: Column) -> Column:
+    before, after = CALL_TEXT.get(framework, CALL_TEXT["code"]).split("\0")
+    return F.concat(F.lit(before), key, F.lit(after))
+
+
+def wrap_texts(files: DataFrame, keys: DataFrame, framework: str = "laravel") -> DataFrame:
+    """Files (file, text) with the texts that a key map (text, key) knows turned into calls: places found by pattern, joined
+    with the map, put back as edits. What is a call already is left, so a second run changes nothing."""
+    places = PLACES[framework]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?>([^<>]+)</")
+        patterns = [(re.compile(p), form) for p, form in places]
         for x in frames:
             rows = []
             for f, t in zip(x["file"], x["text"], strict=True):
-                for m in p.finditer(t or ""):
-                    s = m[2]
-                    if s.strip() and not any(c in s for c in TRANSLATED):
-                        a = m.start(2) + len(s) - len(s.lstrip())
-                        rows.append((f, a, a + len(s.strip()), s.strip()))
-            yield pd.DataFrame(rows, columns=["file", "start", "end", "found"])
-
-    found = files.mapInPandas(run, "file string, start long, end long, found string")
-    before, after = call("\0").split("\0")
-    edits = found.join(keys.select(F.col("text").alias("found"), "key"), "found").select("file", "start", "end", F.concat(F.lit(before), "key", F.lit(after)).alias("new"))
+                for p, form in patterns:
+                    for m in p.finditer(t or ""):
+                        s, (start, end), name = m[1], m.span(1), ""
+                        if "\1" in form:  # attribute="text"
+                            name, _, s = s.partition("=")
+                        found = s.strip().strip("\"'").strip() if s.strip()[:1] in "\"'" else s.strip()
+                        if found and not any(c in s for c in TRANSLATED):
+                            if not name and form != CALL_TEXT["code"]:
+                                start, end = start + len(s) - len(s.lstrip()), end - (len(s) - len(s.rstrip()))
+                            before, after = form.replace("\1", name).split("\0")
+                            rows.append((f, start, end, found, before, after))
+            yield pd.DataFrame(rows, columns=["file", "start", "end", "found", "before", "after"])
+
+    found = files.mapInPandas(run, "file string, start long, end long, found string, before string, after string")
+    edits = found.join(keys.select(F.col("text").alias("found"), "key"), "found").select("file", "start", "end", F.concat("before", "key", "after").alias("new"))
     return apply_edits(files, edits)
 
 
+def collapse_defaults(code: Column) -> Column:
+    """t(k, "default"), t(k) || "default" and t(k) ?? "default" to t(k)."""
+    quoted = r"""(?:'[^'\n]*'|"[^"\n]*")"""
+    code = F.regexp_replace(code, rf"(\bt\(\s*{quoted})\s*,\s*{quoted}\s*\)", "$1)")
+    return F.regexp_replace(code, rf"(\bt\(\s*{quoted}\s*\))\s*(?:\|\||\?\?)\s*{quoted}", "$1")
+
+
+def line_of(text: Column, offset: Column) -> Column:
+    """The line (from 1) that an offset lies in."""
+    head = F.substring(text, F.lit(1), offset)
+    return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+
+
 def inline(files: DataFrame, values: DataFrame) -> DataFrame:
     """t('key') of known keys back to quoted texts: for keys that are withdrawn."""
     from ..functions.text import quote_literal

@@ -307,3 +307,31 @@ def tombstone_filter(spark: SparkSession, sf: str) -> DataFrame:
 def ignore_list_filter(spark: SparkSession, sf: str) -> DataFrame:
     ignored = v.read(spark, sf, "benchmark").select(fn.collapse(F.col("text")).alias("t")).distinct()
     return v.values(spark, sf).withColumn("t", fn.collapse(F.col("value"))).join(ignored, "t", "left_anti").select("key", "value")
+
+
+@query("namespace_files", f"with {v.CATALOG} select split_part(key, '.', 1) as ns, arg_min(file, ord) as file from catalog group by 1")
+def namespace_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = v.catalog(spark, sf).withColumn("ns", F.split_part("key", F.lit("."), F.lit(1)))
+    return rows.groupBy("ns").agg(F.min_by("file", "ord").alias("file"))
+
+
+_HOLES = f"{v.VALUES}, h as (select key, locale, 'Hi {{n' || (ord % 3) || '}}' as value from vals)"
+
+
+@query("placeholder_mismatch", f"with {_HOLES} select t.key, t.locale from h t join h s on s.key = t.key and s.locale = 'en' where t.locale <> 'en' and t.value <> s.value")
+def placeholder_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    """Translations whose placeholders differ from their source's, as sets."""
+    rows = v.values(spark, sf).withColumn("value", F.concat(F.lit("Hi {n"), (F.col("ord") % 3).cast("string"), F.lit("}")))
+    return joins.diagnostics(rows, v.locales(spark, sf)).where("code = 'placeholders'").select("key", "locale")
+
+
+@query("keys_in_locales", f"with {v.VALUES} select locale, count(*) as keys, count(*) filter (trim(value) = '') as blank, min(length(value)) as shortest, max(length(value)) as longest from vals group by locale")
+def keys_in_locales(spark: SparkSession, sf: str) -> DataFrame:
+    return v.values(spark, sf).groupBy("locale").agg(F.count(F.lit(1)).alias("keys"), F.count_if(cat.blank(F.col("value"))).alias("blank"), F.min(F.length("value")).alias("shortest"), F.max(F.length("value")).alias("longest"))
+
+
+@query("selection_review", f"with {v.DIAGNOSTICS} select key, string_agg(distinct locale, ',' order by locale) as locales from diag where code like 'untranslated%' and key in (select key from vals where ord % 2 = 0) group by key")
+def selection_review(spark: SparkSession, sf: str) -> DataFrame:
+    rows = v.coarse(spark, sf)
+    d = joins.diagnostics(rows, v.locales(spark, sf)).where("code like 'untranslated%'")
+    return joins.only(d, rows.where("ord % 2 = 0")).groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("locale")), ",").alias("locales"))

@@ -241,4 +241,4 @@ def wrap_known_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Known texts of tags rewritten to calls."""
     files = pages(spark, sf).select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))
     known = extract.tag_texts(pages(spark, sf)).where("tag = 'li' or tag = 'a'").select("text").distinct().withColumn("key", fn.key_of(F.lit("Views"), F.lit("text"), F.col("text")))
-    return extract.wrap_tags(files, known)
+    return extract.wrap_texts(files, known)

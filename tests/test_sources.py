@@ -67,7 +67,15 @@ def test_calls(spark):
 def test_rewrites(spark):
     files = spark.createDataFrame([("f", "<p>Hello there</p><b>Other</b>{{ __('x') }}")], "file string, text string")
     keys = spark.createDataFrame([("Hello there", "a.b")], "text string, key string")
-    assert extract.wrap_tags(files, keys).first().text == '<p>{{ __("a.b") }}</p><b>Other</b>{{ __(\'x\') }}'
+    assert extract.wrap_texts(files, keys).first().text == '<p>{{ __("a.b") }}</p><b>Other</b>{{ __(\'x\') }}'
+    react = spark.createDataFrame([("f", "<B title=\"Hello there\"> Hello there </B>; toast('Hello there')")], "file string, text string")
+    done = extract.wrap_texts(react, keys, "react")
+    assert done.first().text == "<B title={t('a.b')}> {t('a.b')} </B>; toast(t('a.b'))"
+    assert extract.wrap_texts(done, keys, "react").first().text == done.first().text
+    vue = spark.createDataFrame([("f", '<b title="Hello there">Hello there</b>')], "file string, text string")
+    assert extract.wrap_texts(vue, keys, "vue").first().text == "<b :title=\"$t('a.b')\">{{ $t('a.b') }}</b>"
+    one = spark.range(1).select(extract.collapse_defaults(F.lit("t('a', \"x\") + (t('b') || 'y')")).alias("c"), extract.line_of(F.lit("a\nb\nc"), F.lit(4)).alias("l"), extract.call_text("vue", F.lit("k")).alias("v")).first()
+    assert (one.c, one.l, one.v) == ("t('a') + (t('b'))", 3, "{{ $t('k') }}")
     code = spark.createDataFrame([("f", "x = t('a.b') + t('c.d')")], "file string, text string")
     values = spark.createDataFrame([("a.b", "It's")], "key string, value string")
     assert extract.inline(code, values).first().text == "x = 'It\\'s' + t('c.d')"
