@@ -5,7 +5,9 @@ Nothing here collects rows; every helper works on one task's Arrow slice or retu
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 FALLBACK = "/tmp/checkpoints/glossaria"
@@ -53,8 +56,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/glossaria/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder; below the fallback folder it is deleted when this process ends."""
+    path = f"{shared_dir(spark)}/glossaria/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    if path.startswith(FALLBACK):
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -65,11 +72,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def clear(spark: SparkSession) -> None:
+    """Delete the scratch tables that this process has made; results that still read them are void then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        at = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(conf).delete(at, True)
 
 
 def lower_az(text: Column) -> Column:
