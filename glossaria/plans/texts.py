@@ -242,3 +242,30 @@ def wrap_known_texts(spark: SparkSession, sf: str) -> DataFrame:
     files = pages(spark, sf).select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))
     known = extract.tag_texts(pages(spark, sf)).where("tag = 'li' or tag = 'a'").select("text").distinct().withColumn("key", fn.key_of(F.lit("Views"), F.lit("text"), F.col("text")))
     return extract.wrap_texts(files, known)
+
+
+@query("english_words")
+def english_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of first lines by language that sound like English."""
+    d = v.read(spark, sf, "documents")
+    return d.groupBy("lang").agg(F.count_if(val.english_text(first_line())).alias("english"), F.count(F.lit(1)).alias("n"))
+
+
+_SHORTS = ", ".join(f"'{w}'" for w in val.SHORT)
+
+
+@query("short_english_words", f"select n_nationkey from nation where lower(left(n_name, 2)) in ({_SHORTS})")
+def short_english_words(spark: SparkSession, sf: str) -> DataFrame:
+    return v.read(spark, sf, "nation").where(val.english_word(F.substring("n_name", 1, 2))).select("n_nationkey")
+
+
+@query("invalid_base_values")
+def invalid_base_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of pages that a catalogue shouldn't hold, with the reason where the cascade names one."""
+    rows = extract.html_texts(pages(spark, sf)).select("text").distinct()
+    return rows.select("text", val.value_invalid(F.col("text")).alias("invalid"), val.base_reason(F.col("text")).alias("reason")).where("invalid or reason is not null").select("text", "reason")
+
+
+@query("unreported_examples")
+def unreported_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.attribute_values(pages(spark, sf), "href").where(val.not_reported(F.col("value"))).distinct()

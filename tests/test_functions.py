@@ -70,3 +70,19 @@ def test_small(value):
     assert value(fn.language_of(F.col("s")), s="/x/App.TSX") == "typescriptreact"
     assert value(fn.version_parts(F.col("s")), s="v1.10.2-beta") == [1, 10, 2]
     assert value(fn.decode_entities(F.col("s")), s="a &amp; b&nbsp;&lt;") == "a & b <"
+
+
+@pytest.mark.parametrize(("word", "ok"), [("the", True), ("strength", False), ("xzqv", False), ("aeiouy", False), ("of", True), ("zz", False), ("hello", True), ("bcdf", False)])
+def test_english(value, word, ok):
+    assert value(val.english_word(F.col("s")), s=word) == ok
+
+
+@pytest.mark.parametrize(("text", "bad"), [("{name}: {count}", True), ("font-medium {color}", True), ("Hello {name}", False), ("https://x.y/z", True), ("?lang=en", True), ("/schedule/", True), ("md:w-[20px]", True), ("return x;", True), ("Save the file", False), ("{{ a ? 'b' : 'c' }}", True)])
+def test_value_invalid(value, text, bad):
+    assert value(val.value_invalid(F.col("s")), s=text) == bad
+
+
+def test_base_reason(value):
+    assert value(val.base_reason(F.col("s")), s="flex-col items-center p-2") == "css_utility"
+    assert value(val.base_reason(F.col("s")), s="Save the file") is None
+    assert value(val.not_reported(F.col("s")), s="imap.mail.com:993 (SSL)") and not value(val.not_reported(F.col("s")), s="Save the file")
