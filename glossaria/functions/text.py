@@ -214,3 +214,54 @@ def key_issues(key: Column) -> Column:
 def diagnostic_parts(message: Column) -> Column:
     """(key, locale) named in a diagnostic's message as 'key' and [locale]."""
     return F.struct(F.regexp_extract(message, r"['\"]([A-Za-z0-9_.\-]+)['\"]", 1).alias("key"), F.regexp_extract(message, r"\[([A-Za-z\-]+)\]", 1).alias("locale"))
+
+
+def component_key(path: Column, key: Column) -> Column:
+    """The key that a reference in a component's file should have: components.<Name> before its segments, without a repeated
+    name, a leading app or a suffix for the kind; null if fewer than two segments are left."""
+    name = F.nullif(F.regexp_replace(F.regexp_extract(path, r"(?i)(?:^|/)components/([^/]+)", 1), r"(?i)\.(tsx|ts|jsx|js|vue|svelte)$", ""), F.lit(""))
+    drop_first = lambda a, word: F.when(F.lower(F.get(a, F.lit(0))) == word, F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(a)
+    given = F.filter(F.split(F.regexp_replace(key, r"(?i)(_text|_label|_title|_message|_placeholder)$", ""), r"\."), lambda s: s != "")
+    rest = F.when(name.isNull(), given).otherwise(drop_first(drop_first(given, F.lower(name)), F.lit("app")))
+    clean = F.filter(F.transform(rest, lambda s: F.lower(F.regexp_replace(F.regexp_replace(s, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))), lambda s: s != "")
+    parts = F.concat(F.when(name.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.lit("components"), name)), clean)
+    return F.when(F.size(parts) >= 2, F.array_join(parts, "."))
+
+
+# Words in keys that speak of failure, of success, of an action, of a state; and pairs of opposites
+FAILURE = (
+    "failed failure error unable cannot could_not not_able invalid wrong incorrect bad missing absent unsuccessful unavailable inaccessible forbidden denied "
+    "rejected declined refused blocked no_ not_ non_ un_ in_ dis_ mis_ anti_ contra_ counter_ de_ revert reset broken crashed corrupted damaged lost stolen "
+    "expired timeout cancelled aborted empty void null undefined none nothing zero blank clear"
+).split()
+SUCCESS = "success complete done finished ready ok good valid correct available accessible allowed permitted granted approved accepted confirmed verified active alive working functional operational running loaded saved stored full filled populated prepared initialized started launched".split()
+ACTION = (
+    "import export save load create delete add remove edit modify update change replace show hide display reveal conceal open close start stop begin end finish "
+    "terminate submit cancel confirm reject accept approve deny allow forbid grant revoke enable disable activate deactivate turn_on turn_off switch toggle power "
+    "connect disconnect link join leave enter exit login logout signin signout upload download send receive transmit transfer copy move rename duplicate install "
+    "setup teardown build destroy compile execute run halt lock secure encrypt decrypt protect guard increase decrease grow shrink expand contract magnify minify "
+    "zoom_in zoom_out merge split combine separate divide unite group"
+).split()
+STATE = "active enabled disabled on off open closed visible hidden shown busy idle waiting pending processing loading saving deleting updating online offline connected disconnected synced linked locked secured protected focused selected checked marked".split()
+OPPOSITES = (
+    "import-export save-load create-delete add-remove show-hide display-conceal open-close start-stop begin-end submit-cancel confirm-reject approve-deny enable-disable "
+    "activate-deactivate turn_on-turn_off switch-toggle success-failure enabled-disabled on-off visible-hidden connect-disconnect login-logout upload-download "
+    "install-uninstall lock-unlock increase-decrease expand-contract merge-split join-separate"
+).split()
+
+
+def opposite(a: Column, b: Column) -> Column:
+    """Whether two keys mean the contrary: one holds a word of a pair and the other its opposite, or one speaks of failure
+    and the other of an action, a success or a state."""
+    x, y = F.lower(a), F.lower(b)
+    says = lambda key, words: key.rlike("|".join(words))
+    out = (says(x, FAILURE) & says(y, [*ACTION, *SUCCESS, *STATE])) | (says(y, FAILURE) & says(x, [*ACTION, *SUCCESS, *STATE]))
+    for pair in OPPOSITES:
+        p, q = pair.split("-")
+        out = out | (x.contains(p) & y.contains(q)) | (x.contains(q) & y.contains(p))
+    return out
+
+
+def key_likeness(a: Column, b: Column) -> Column:
+    """similarity(), but 0 for keys that mean the contrary."""
+    return F.when(a == b, 1.0).when(F.abs(F.size(F.split(a, r"\.")) - F.size(F.split(b, r"\."))) > 1, 0.1).when(opposite(a, b), 0.0).otherwise(similarity(a, b))

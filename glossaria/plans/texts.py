@@ -194,7 +194,7 @@ def edit_distance_topk(spark: SparkSession, sf: str) -> DataFrame:
 def key_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Best similar key with the same first segment, at 0.6 or more."""
     keys = v.values(spark, sf).select("key").distinct().withColumn("root", F.split_part("key", F.lit("."), F.lit(1)))
-    pairs = keys.join(keys.withColumnRenamed("key", "other"), "root").where("key <> other").withColumn("score", F.round(fn.similarity(F.col("key"), F.col("other")), 6)).where("score >= 0.6")
+    pairs = keys.join(keys.withColumnRenamed("key", "other"), "root").where("key <> other").withColumn("score", F.round(fn.key_likeness(F.col("key"), F.col("other")), 6)).where("score >= 0.6")
     return pairs.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "other")).alias("b")).select("key", F.col("b.other").alias("other"), (-F.col("b.s")).alias("score"))
 
 

@@ -86,3 +86,15 @@ def test_base_reason(value):
     assert value(val.base_reason(F.col("s")), s="flex-col items-center p-2") == "css_utility"
     assert value(val.base_reason(F.col("s")), s="Save the file") is None
     assert value(val.not_reported(F.col("s")), s="imap.mail.com:993 (SSL)") and not value(val.not_reported(F.col("s")), s="Save the file")
+
+
+def test_component_key(value):
+    key = lambda p, k: value(fn.component_key(F.col("p"), F.col("k")), p=p, k=k)
+    assert key("src/components/LoginForm.vue", "loginform.app.Save-Now_label") == "components.LoginForm.save_now"
+    assert key("src/pages/x.ts", "a.b_title") == "a.b" and key("src/pages/x.ts", "a") is None
+
+
+def test_likeness(value):
+    like = lambda a, b: value(fn.key_likeness(F.col("a"), F.col("b")), a=a, b=b)
+    assert like("common.import_file", "common.failed_to_import_file") == 0.0 and like("a.save", "a.load") == 0.0
+    assert like("common.greeting", "common.greetings") > 0.3 and like("x.y", "x.y") == 1.0
