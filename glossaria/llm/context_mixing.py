@@ -42,7 +42,7 @@ END, SYMBOLS = 256, 257
 LEAVES = 128
 #: Slots of the predictors' tables, and shards of each.
 SLOTS = (1 << 15, 1 << 16, 1 << 17)
-SHARDS = 16
+SHARDS = 128
 MIX_DOCS, MIX_EPOCHS = 192, 4
 BLOCK, GATES, RATE = 256, 15, 0.006
 HEAVY = 1 << 17
@@ -390,7 +390,14 @@ def scored(docs: DataFrame) -> DataFrame:
     counts = stash(trained.select("text").mapInArrow(_token_counts, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c")), "tokens")
     tokens = counts.where("kind = 0").select("key", "c")
     n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    heavy = tokens.orderBy(F.desc("c"), "key").limit(HEAVY).toPandas()
+    # the most frequent tokens by a threshold from a histogram of counts (a few hundred rows), so that no task sends its own top
+    step = F.floor(F.log2("c") * 8).cast("int")
+    room, least = HEAVY, 1 << 30
+    for r in sorted(tokens.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.step):
+        if r.n > room:
+            break
+        room, least = room - r.n, r.step
+    heavy = tokens.where(step >= least).toPandas()
     pairs = [(r.key, r.c) for r in counts.where("kind = 1").collect()]
     # the texts that set the first weights: a bounded sample of the training texts, left out of the counts where others remain
     n_docs = trained.count()
