@@ -6,6 +6,7 @@ Nothing here collects rows; every helper works on one task's Arrow slice or retu
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import uuid
@@ -21,7 +22,7 @@ _made: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 FALLBACK = "/tmp/checkpoints/glossaria"
-BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
 #: Words of 64 bits in a broadcast bitmap of keys: 2 MB, whatever the input.
 BITMAP_WORDS = 1 << 17
 #: Text bytes that one vectorised slice holds (a longer text is a slice of its own): its arrays fit a core's cache.
@@ -31,10 +32,11 @@ SLICE_BYTES = 1 << 17
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package even where it isn't installed (local mode, other working folder).
 
-    Arrow batches get fewer rows than by default, as rows hold whole texts; a session that chose its own number keeps it.
+    Arrow batches are bounded to fewer bytes than by default, as rows hold whole texts; a session that chose its own bound
+    keeps it.
     """
-    if spark.conf.get(BATCH_CONF, "10000") == "10000":
-        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+    if spark.conf.get(BATCH_CONF, "64m") in ("64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
@@ -134,6 +136,16 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), data[at[i] : at[j]], (at[i : j + 1] - at[i])
             i = j
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back to the system at a task's end: a worker that waits shouldn't hold its last task's arrays."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 # ---- vectorised words -------------------------------------------------------------------------------------------

@@ -58,7 +58,9 @@ def stream_state(arrivals: DataFrame, path: str, batch_bytes: int) -> DataFrame:
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores would each reserve megabytes
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+        "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of a finished stream are unloaded by it
     }
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():

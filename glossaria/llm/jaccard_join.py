@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, mix, near_bitmap, prepare, stash, text_slices, to_signed, without_keys, words
+from .common import LOWER, UPPER, mix, near_bitmap, prepare, stash, text_slices, tidy, to_signed, without_keys, words
 from .components import components
 
 N = 5
@@ -290,6 +290,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held, held_set = (a, ta), shingle_set(ta)
             keep.append(linked(held_set, shingle_set(tb)))
         yield x.loc[np.array(keep, bool), ["a", "b"]]
+    tidy()
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
