@@ -18,7 +18,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import join
 
-    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "representative")
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
-    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp", "archive", "position")
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op1_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,5 +10,26 @@ from n join g on n.t = g.t
 """
 
 
+OP5 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+g as (select h, max(page_id) as keeper from p where strlen(h) >= 1000 group by h)
+select page_id, strlen(p.h) as payload_bytes, sha1(p.h) as payload_digest,
+  case when keeper <> page_id then 'revisit' else 'response' end as record_type, case when keeper <> page_id then keeper end as refers_to
+from p left join g on p.h = g.h
+"""
+
+OP10 = f"""
+with recursive d as (select doc_id, list_filter(string_split_regex({LOWER_AZ}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, chr(1))]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(1)))) end as g from d),
+shingle as (select doc_id, unnest(g) as x from s),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingle a join shingle b on a.x = b.x and a.doc_id < b.doc_id group by all),
+link as (select a, b from pair join s x on x.doc_id = a join s y on y.doc_id = b where 100 * c >= 80 * (len(x.g) + len(y.g) - c)),
+edge as (select a, b from link union all select b, a from link),
+reach as (select doc_id as id, doc_id as node from documents union select reach.id, edge.b from reach join edge on edge.a = reach.node)
+select s.doc_id, len(s.g) as n_shingles, r.component_id from s join (select id, min(node) as component_id from reach group by id) r on r.id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3}
+    return {"op3_exact_dedup": OP3, "op5_warc_index_merge": OP5, "op10_jaccard_join": OP10}

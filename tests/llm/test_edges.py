@@ -114,12 +114,58 @@ def test_registered(spark, sf):
     found = queries.queries()
     assert sorted({int(n[2:].split("_")[0]) for n in found}) == list(range(1, 11))
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, text in sql.oracle_sql().items():
         ours, theirs = found[name](spark, sf).toPandas(), c.sql(text).df()
-        columns = sorted(theirs.columns)
+        columns, key = sorted(theirs.columns), "page_id" if "page_id" in theirs else "doc_id"
         assert sorted(ours.columns) == columns
-        pd.testing.assert_frame_equal(ours[columns].sort_values("doc_id").reset_index(drop=True), theirs[columns].sort_values("doc_id").reset_index(drop=True), check_dtype=False)
+        pd.testing.assert_frame_equal(ours[columns].sort_values(key).reset_index(drop=True), theirs[columns].sort_values(key).reset_index(drop=True), check_dtype=False)
+
+
+def test_stages_against_brute_force(spark, sf, tmp_path):
+    """Each stage's rows from its own input: the classifier's own decisions, groups, components, redactions and ids in plain Python."""
+    from tokenizers import Tokenizer
+
+    docs, rows = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        before = {r.doc_id: r for r in docs.collect()}
+        stage(spark, docs, sf).write.parquet(path)
+        judged = kneser_ney.scored(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect() if name == "quality" else None
+        docs = spark.read.parquet(path)
+        rows[name] = after = docs.collect()
+        low = {i: (r.text or "").translate(jaccard_join._LOWER) for i, r in before.items()}
+        if name == "quality":
+            assert {r.doc_id for r in after} == {r.doc_id for r in judged if r.kept} and len(after) < len(before)
+        elif name == "exact":
+            last = {t: max(i for i in low if low[i] == t) for t in set(low.values())}
+            assert {r.doc_id for r in after} == set(last.values())
+        elif name == "near":
+            sets = {i: jaccard_join.shingle_set(t) for i, t in low.items()}
+            root = {i: i for i in sets}
+
+            def find(i):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for x in sorted(sets):
+                for y in sorted(sets):
+                    if y < x and jaccard_join.linked(sets[x], sets[y]):
+                        p, q = find(x), find(y)
+                        root[max(p, q)] = min(p, q)
+            assert {r.doc_id for r in after} == {i for i in sets if find(i) == i}
+        elif name == "pii":
+            assert {(r.doc_id, r.text) for r in after} == {(i, pii.redacted(r.text)) for i, r in before.items()}
+            assert all(r.n_chars == len(r.text) for r in after)
+        else:
+            tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+            want = {i: len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for i, r in before.items()}
+            got = {}
+            for r in after:
+                got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+            assert got == want
 
 
 def test_run(spark, sf):
