@@ -31,9 +31,9 @@ class Project:
     extra: dict = field(default_factory=dict)
 
     @classmethod
-    def read(cls, package_json: str) -> Project:
-        """From the text of a package.json; `layout` goes before `localeLayout`, `sourceLocale` before `defaultLocale`."""
-        own = parse_jsonc(package_json).get("aiI18n") or {}
+    def read(cls, package_json: str, section: str = "i18n") -> Project:
+        """From a section of the text of a package file; `layout` goes before `localeLayout`, `sourceLocale` before `defaultLocale`."""
+        own = (parse_jsonc(package_json) or {}).get(section) or {}
         base = own.get("sourceLocale") or own.get("defaultLocale") or "en"
         return cls(tuple(own.get("locales") or (base,)), base, own.get("srcRoot") or "src", own.get("localesDir") or "locales", own.get("layout") or own.get("localeLayout") or "single", tuple(own.get("messagePatterns") or ()), tuple(own.get("tsExtractKeys") or ()), own)
 

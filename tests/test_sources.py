@@ -38,7 +38,7 @@ def test_scan(spark, tmp_path):
 
 
 def test_project():
-    p = src.Project.read('{"aiI18n": {"locales": ["en", "fr"], "defaultLocale": "fr", "localeLayout": "grouped"}}')
+    p = src.Project.read('{"i18n": {"locales": ["en", "fr"], "defaultLocale": "fr", "localeLayout": "grouped"}}')
     assert (p.base, p.layout, p.locales) == ("fr", "grouped", ("en", "fr"))
 
 
