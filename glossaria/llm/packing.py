@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,8 @@ WINDOW_TOKENS = 1 << 22
 LOOK = 8
 #: Words kept with their ids (up to as many again from before), and the longest odd word that is kept.
 CACHED, CACHED_CHARS = 200_000, 64
-MARKS = ".,;:!?"
+#: All ASCII punctuation; none of it counts as a letter or digit.
+MARKS = string.punctuation
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -48,8 +50,9 @@ class WordIds:
     """Ids of texts as little-endian unsigned 32-bit bytes, word by word.
 
     The vocabulary's pre-tokenizer never joins over a blank or line break, so those cut a text safely; each distinct word
-    is encoded once while it stays in the cache. Words of letters alone, with at most one mark behind, are encoded many at
-    a time: each ends with one word-end token, which cuts the ids again (else they are encoded one by one).
+    is encoded once while it stays in the cache. The pre-tokenizer also parts letters from marks behind them, so words of
+    letters are encoded without their marks, in lower case, many at a time: each ends with one word-end token, which cuts
+    the ids again (else they are encoded one by one).
     """
 
     def __init__(self, path: str):
@@ -62,7 +65,6 @@ class WordIds:
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        self.mark = dict(zip(MARKS, self.each(list(MARKS)), strict=True))
 
     def each(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.batch(texts, add_special_tokens=False)]
@@ -87,21 +89,22 @@ class WordIds:
             self.known, self.old = {"": b""}, self.known
         known, old = self.known, self.old
         new = set().union(*cut).difference(known) if cut else set()
-        stems, odd = {}, []
+        stems, odd = [], []
         for word in new:
-            if word in old:
-                known[word] = old[word]
+            found = old.get(word)
+            if found is not None:
+                known[word] = found
                 continue
-            stem = word[:-1] if word[-1] in MARKS else word
+            stem = word.rstrip(MARKS)
             if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
-                stems[word] = stem.lower() if stem.isascii() else stem
+                stems.append((word, stem.lower() if stem.isascii() else stem, word[len(stem) :]))
             else:
                 odd.append(word)
-        need = list(set(stems.values()))
-        by_stem = dict(zip(need, self.letters(need), strict=True))
-        for word, stem in stems.items():
-            ids = by_stem[stem]
-            known[word] = ids + self.mark[word[-1]] if word[-1] in MARKS else ids
+        for todo, encode in (({s for _, s, _ in stems}, self.letters), ({t for _, _, t in stems}, self.each)):
+            todo = [x for x in todo if x not in known]
+            known.update(zip(todo, encode(todo), strict=True))
+        for word, stem, tail in stems:
+            known[word] = known[stem] + known[tail]
         once = {}
         for word, ids in zip(odd, self.each(odd), strict=True):
             (known if len(word) <= CACHED_CHARS else once)[word] = ids
