@@ -4,7 +4,7 @@ Writing: a page whose payload (HTML in UTF-8) has at least LEAST bytes and equal
 revisit record of the page with the largest id, else a response record. Records are built by built-in functions and written
 by Spark as text files whose line separator is the blank line pair that ends a WARC record, so any file system will do.
 
-Reading: each archive is parsed record by record along its Content-Length. A task sorts the captures it read into a run by
+Reading: each archive is parsed record by record along its Content-Length; positions count its uncompressed bytes. A task sorts the captures it read into a run by
 (URL key, timestamp, page); runs are dealt by ranges of that order and each range merges its k runs with a loser tree, which
 gives globally ordered capture histories over partitions in order. A range is as even as the sampled order allows, a
 frequent host is split by URL, time and page.
@@ -19,10 +19,11 @@ are records like others; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
 
 import pandas as pd
 import pyarrow as pa
@@ -77,8 +78,8 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Archives of at most ARCHIVE_ROWS records each, as .txt parts of a folder, uncompressed."""
-    records(pages).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
+    """Archives of at most ARCHIVE_ROWS records each, as compressed parts of a folder."""
+    records(pages).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -112,8 +113,8 @@ def _run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Read archives; each becomes a locally sorted run of captures."""
     for some in rows:
         for path, data in zip(some["path"], some["content"], strict=True):
-            out = []
-            for at, header, block in parse(bytes(data)):
+            out, data = [], bytes(data)
+            for at, header, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 page = _PAGE.match(header.get("warc-record-id", ""))
                 refers = _PAGE.match(header.get("warc-refers-to", ""))
                 if header["warc-type"] == "response":
