@@ -99,22 +99,25 @@ _SPELLED = (
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
 DIGITS: dict[str, str] = {w: str(d) for line in _SPELLED for d, w in enumerate(line.split())} | {"oh": "0", "ein": "1", "zwo": "2", "une": "1"}
-_PLUS, _POINT = "plus|más|mas", "dot|point|punkt|punto"
+_PLUS, _POINT, _DASH = "plus|más|mas", "dot|point|punkt|punto", "dash|hyphen|minus"
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 #: Least number of digits in a row, spelled or not, that counts as a run of spelled digits.
 RUN = 4
 _NUMBER = rf"(?:{_WORD}|[0-9]+)"
-_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:{_PLUS})[ \t]+)?{_NUMBER}(?:(?:[ \t]+(?:{_POINT})[ \t]+|[ \t]*[,.-][ \t]*|[ \t]+){_NUMBER}){{{RUN - 1},}}(?!\w)")
+_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:{_PLUS})[ \t]+)?{_NUMBER}(?:(?:[ \t]+(?:{_POINT}|{_DASH})[ \t]+|[ \t]*[,.-][ \t]*|[ \t]+){_NUMBER}){{{RUN - 1},}}(?!\w)")
 _TOKEN = re.compile(rf"(?i)(?<!\w)(?:({_WORD})|({_PLUS})|({_POINT}))(?!\w)")
 _AT, _DOT = "at|arroba|ät|@", "dot|punkt|punto|point|\\."
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _BRACKET_AT = re.compile(rf"(?i)(?<=[a-z0-9._%+-])[ \t]*{_OPEN}[ \t]*(?:{_AT})[ \t]*{_CLOSE}[ \t]*(?=[a-z0-9-])")
 _BRACKET_DOT = re.compile(rf"(?i)(?<=[a-z0-9-])[ \t]*{_OPEN}[ \t]*(?:{_DOT})[ \t]*{_CLOSE}[ \t]*(?=[a-z0-9-])")
 #: name at host dot tld in words, also with one of the two as a spaced sign
-_WORDY = re.compile(r"(?i)(?<![\w.])[a-z0-9._%+-]+(?P<at>[ \t]+(?:at|arroba)[ \t]+|[ \t]*@[ \t]*)[a-z0-9-]+(?P<rest>(?:(?:[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]*\.[ \t]*)[a-z0-9-]+)*(?:[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]+\.[ \t]*|\.[ \t]+|\.)[a-z]{2,24})(?![\w-])")
+_WORDY = re.compile(r"(?i)(?<![\w.])(?P<local>(?:[a-z0-9._%+-]+[ \t]+(?:dot|punkt|punto)[ \t]+)*)[a-z0-9._%+-]+(?P<at>[ \t]+(?:at|arroba)[ \t]+|[ \t]*@[ \t]*)[a-z0-9-]+(?P<rest>(?:(?:[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]*\.[ \t]*)[a-z0-9-]+)*(?:[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]+\.[ \t]*|\.[ \t]+|\.)[a-z]{2,24})(?![\w-])")
 _WORDY_DOT = re.compile(r"(?i)[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]*\.[ \t]*")
-_SIGNS = ("[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "[dot", "(dot", "{dot", "<dot", "[ dot", "( dot", "[@", "(@", "[.", "(.", "[ät", "(ät", "[punkt", "(punkt", "[arroba", "(arroba", "[punto", "(punto", " dot ", " punkt ", " punto ", " @", "@ ")
-_RUN_WORDS = {*DIGITS, *"0123456789", *_PLUS.split("|"), *_POINT.split("|")}
+# Character references of the two signs
+_REFERENCES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
+_REFERENCE = re.compile("|".join(_REFERENCES), re.I)
+_SIGNS = (*_REFERENCES, "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "[dot", "(dot", "{dot", "<dot", "[ dot", "( dot", "[@", "(@", "[.", "(.", "[ät", "(ät", "[punkt", "(punkt", "[arroba", "(arroba", "[punto", "(punto", " dot ", " punkt ", " punto ", " @", "@ ")
+_RUN_WORDS = {*DIGITS, *"0123456789", *_PLUS.split("|"), *_POINT.split("|"), *_DASH.split("|")}
 
 
 class Tape:
@@ -140,12 +143,13 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
         if len({m[0].lower() for m in _TOKEN.finditer(run[0]) if m[1]} | {*_DIGIT.findall(run[0])}) < 2:
             continue  # one word again and again is no number
         at, glue = run.start(), False
-        for m in re.finditer(rf"(?i){_WORD}|{_PLUS}|{_POINT}|[0-9]+|[^0-9\w]+", run[0]):
+        for m in re.finditer(rf"(?i){_WORD}|{_PLUS}|{_POINT}|{_DASH}|[0-9]+|[^0-9\w]+", run[0]):
             i, j, word = at + m.start(), at + m.end(), m[0].lower()
             if word in DIGITS:
                 yield i, j, DIGITS[word]
             elif word[0].isalpha():
-                yield i, j, "." if _TOKEN.fullmatch(word)[3] else "+"
+                known = _TOKEN.fullmatch(word)
+                yield i, j, "" if known is None else "." if known[3] else "+"
             elif not word[0].isdigit():
                 yield i, j, "." if word.strip() == "." else ""
 
@@ -156,6 +160,8 @@ def _wordy(text: str) -> Iterator[tuple[int, int, str]]:
             # a bare "at" needs a spelled dot beside it
             if not m["at"].strip() == "@" and not re.search(r"(?i)[ \t](?:dot|punkt|punto)[ \t]", m["rest"]):
                 continue
+            for d in re.finditer(r"(?i)[ \t]+(?:dot|punkt|punto)[ \t]+", m["local"]):
+                yield m.start("local") + d.start(), m.start("local") + d.end(), "."
             yield m.start("at"), m.end("at"), "@"
             for d in _WORDY_DOT.finditer(m["rest"]):
                 yield m.start("rest") + d.start(), m.start("rest") + d.end(), "."
@@ -185,6 +191,7 @@ def disguised(text: str) -> Tape | None:
     if spelled:
         tape.rewrite(_spelled(tape.text))
     if sign:
+        tape.rewrite((m.start(), m.end(), _REFERENCES[m[0].lower()]) for m in _REFERENCE.finditer(tape.text))
         for pattern, to in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
             tape.rewrite((m.start(), m.end(), to) for m in pattern.finditer(tape.text))
         tape.rewrite(_wordy(tape.text))

@@ -231,6 +231,8 @@ def test_archives(spark, monkeypatch):
     ("j​o@еxample.com", "email", "j​o@еxample.com"), ("ｊｏｅ＠example．com", "email", "ｊｏｅ＠example．com"),
     ("call plus four nine one five one two three four five six seven", "phone", "plus four nine one five one two three four five six seven"),
     ("four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
+    ("ask john dot doe at example dot com, or", "email", "john dot doe at example dot com"), ("x&#64;y&#46;org", "email", "x&#64;y&#46;org"),
+    ("plus one dash five five five dash one two three dash four five six seven", "phone", "plus one dash five five five dash one two three dash four five six seven"),
     ("at one nine two dot one six eight dot one dot one.", "ip", "one nine two dot one six eight dot one dot one"), ("192[.]168[.]1[.]1", "ip", "192[.]168[.]1[.]1"),
 ])
 def test_disguises(text, kind, span):
