@@ -43,7 +43,8 @@ LEAVES = 128
 #: Slots of the predictors' tables, and shards of each.
 SLOTS = (1 << 15, 1 << 16, 1 << 17)
 SHARDS = 128
-MIX_DOCS, MIX_EPOCHS = 192, 4
+#: Texts that set the first weights, the longest of them, and passes over them.
+MIX_DOCS, MIX_BYTES, MIX_EPOCHS = 192, 100_000, 4
 BLOCK, GATES, RATE = 256, 15, 0.006
 HEAVY = 1 << 17
 #: Odds are kept as eighths in a byte.
@@ -211,8 +212,9 @@ def _context_counts(trees):
         def add() -> None:
             for k, table in enumerate(counts):
                 if held[k]:
-                    table += np.bincount(np.concatenate(held[k]), minlength=len(table)).astype(np.int32)
+                    at = np.concatenate(held[k])
                     held[k].clear()
+                    np.add(table, np.bincount(at, minlength=len(table)), out=table, casting="unsafe")
 
         for _, data, at in text_slices(batches, limit=SLICE):
             symbols, _, place = stream(data, at)
@@ -335,7 +337,7 @@ def train(texts: DataFrame, mixing: list[str], pairs: list[tuple[int, int]]) ->
         odds[r.k][r.shard * n : (r.shard + 1) * n] = np.frombuffer(r.odds, np.int8).reshape(n, LEAVES)
     mixer = Mixer(trees, [o.reshape(-1) for o in odds])
     if mixing:
-        encoded = [t.encode()[:100_000] for t in mixing]  # a bound on the sample's size, not on what is scored
+        encoded = [t.encode() for t in mixing]
         data, at = np.frombuffer(b"".join(encoded), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in encoded])])
         for _ in range(MIX_EPOCHS):
             _, w = mixer.cost(data, at)
@@ -401,7 +403,7 @@ def scored(docs: DataFrame) -> DataFrame:
     pairs = [(r.key, r.c) for r in counts.where("kind = 1").collect()]
     # the texts that set the first weights: a bounded sample of the training texts, left out of the counts where others remain
     n_docs = trained.count()
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < int(min(0.2, MIX_DOCS / max(n_docs, 1)) * (1 << 30))
+    chosen = (F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < int(min(0.2, MIX_DOCS / max(n_docs, 1)) * (1 << 30))) & (F.octet_length(F.coalesce("text", F.lit(""))) <= MIX_BYTES)
     mixing = [r.text or "" for r in trained.where(chosen).select("doc_id", "text").orderBy("doc_id").limit(2 * MIX_DOCS).collect()]
     mixer = train(trained.where(~chosen).select("text"), mixing, pairs)
 
