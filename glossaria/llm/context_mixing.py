@@ -47,6 +47,8 @@ SHARDS = 128
 MIX_DOCS, MIX_BYTES, MIX_EPOCHS = 192, 100_000, 4
 BLOCK, GATES, RATE = 256, 15, 0.006
 HEAVY = 1 << 17
+#: The mixed odds end here on either side, so no bit is impossible.
+EDGE = np.float32(11.5)
 #: Odds are kept as eighths in a byte.
 SCALE = 16.0
 #: Bytes of a slice: small enough for a core's cache; symbols counted at a time.
@@ -310,8 +312,9 @@ class Mixer:
             for k in range(1, len(SLOTS)):
                 margin += w[k].take(g) * x[k][a:end]
             margin *= s
+            np.clip(margin, -EDGE, EDGE, out=margin)
             wrong = 1 / (1 + np.exp(margin))  # probability of the other bit
-            np.log1p(-np.minimum(wrong, np.float32(0.99999)), out=nats[a:end])
+            np.log1p(-wrong, out=nats[a:end])
             wrong *= s
             for k in range(len(SLOTS)):
                 w[k] += RATE * np.bincount(g, wrong * x[k][a:end], len(w[k])).astype(np.float32)
