@@ -110,7 +110,8 @@ class WordIds:
             (known if len(word) <= CACHED_CHARS else once)[word] = ids
         if once:
             known = known | once
-        return [b"".join([known[w] for w in words]) for words in cut]
+        found = known.__getitem__
+        return [b"".join(map(found, words)) for words in cut]
 
 
 @lru_cache
