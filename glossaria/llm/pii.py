@@ -3,8 +3,8 @@
 Plain identifiers are found on the text itself. A text that shows signs of a disguise also goes through a chain of
 transducers, each of which rewrites the tape and carries for every character of the rewritten text the source span it came
 from: homoglyphs and digits of other scripts to ASCII, invisible characters to nothing; runs of spelled digits to digits;
-at/dot disguises to "@" and ".". Identifiers found on the tape are mapped back to source characters and added where no
-plain span of their kind overlaps.
+at/dot disguises to "@" and ".". Identifiers found on the tape are mapped back to source characters and added unless they
+lie within a plain span of their kind: one that a plain span only overlaps is kept whole beside it.
 
 Scale: one scan, no shuffle; a text without digits, "@" or signs of a disguise costs a few substring searches.
 
@@ -199,14 +199,14 @@ def disguised(text: str) -> Tape | None:
 
 
 def added(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the tape shows."""
+    """Spans that only the tape shows: those within no plain span of their kind."""
     tape = disguised(text)
     if tape is None or tape.text == text:
         return []
     out: list[Span] = []
     for kind, i, j in plain(tape.text):
         s, e = tape.start[i], tape.end[j - 1]
-        if not any(k == kind and s < y and x < e for k, x, y in base):
+        if not any(k == kind and x <= s and e <= y for k, x, y in base):
             out.append((kind, s, e))
     return out
 
@@ -236,7 +236,7 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: str) -> str:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the first and longest names it."""
+    """The text with every span replaced by its kind in brackets; overlapping spans are replaced as one, which the first and longest names."""
     base = plain(text)
     spans = sorted(base + added(text, base), key=lambda x: (x[1], -x[2]))
     out, at = [], 0

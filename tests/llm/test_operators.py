@@ -241,6 +241,18 @@ def test_disguises(text, kind, span):
     assert span not in pii.redacted(text)
 
 
+@pytest.mark.parametrize(("text", "kind", "span"), [
+    ("to j\u0430ne.doe@example.com.", "email", "j\u0430ne.doe@example.com"), ("to jane\u200b.doe@example.com.", "email", "jane\u200b.doe@example.com"),
+    ("to jane@example.c\u043em.", "email", "jane@example.c\u043em"), ("to jane@mail.example [dot] com.", "email", "jane@mail.example [dot] com"),
+    ("call +1 555 123 45\uff16\uff17 now", "phone", "+1 555 123 45\uff16\uff17"),
+])
+def test_disguise_beside_a_plain_part(text, kind, span):
+    base = pii.plain(text)
+    assert [k for k, _, _ in base] == [kind]  # a part stands plainly, and stays
+    assert [(k, text[s:e]) for k, s, e in pii.added(text, base)] == [(kind, span)]
+    assert pii.redacted(text) == text.replace(span, f"[{kind.upper()}]")
+
+
 @pytest.mark.parametrize("text", ["the at thing in that at place. dot of", "meet us at example.com", "un un un un un un un un un un un un un", "one two three", "", "naïve café — “quoted”", "Ein Haus. Zwei."])
 def test_clean_texts(text):
     assert pii.plain(text) + pii.added(text, []) == [] and pii.redacted(text) == text
