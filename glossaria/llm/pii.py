@@ -1,12 +1,11 @@
 """Personal data by offset-preserving deobfuscation.
 
-Plain identifiers are found on the text itself. A text that shows signs of a disguise also goes through a chain of
-transducers, each of which rewrites the tape and carries for every character of the rewritten text the source span it came
+Plain identifiers are found on the text itself. Every text also goes through a chain of transducers, each of which rewrites the tape and carries for every character of the rewritten text the source span it came
 from: homoglyphs and digits of other scripts to ASCII, invisible characters to nothing; runs of spelled digits to digits;
 at/dot disguises to "@" and ".". Identifiers found on the tape are mapped back to source characters and added unless they
 lie within a plain span of their kind: one that a plain span only overlaps is kept whole beside it.
 
-Scale: one scan, no shuffle; a text without digits, "@" or signs of a disguise costs a few substring searches.
+Scale: one scan, no shuffle; a text that no transducer changes costs a search by each pattern and no tape.
 
 Defined cases: null text is empty text (no spans); null doc_id stays null; repeated rows give a row each; very long texts are
 searched whole; an empty table gives no rows; other columns are kept by redact() and ignored otherwise. Spans count code
@@ -116,8 +115,9 @@ _WORDY_DOT = re.compile(r"(?i)[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]*\.[ \t]*")
 # Character references of the two signs
 _REFERENCES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
 _REFERENCE = re.compile("|".join(_REFERENCES), re.I)
-_SIGNS = (*_REFERENCES, "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "[dot", "(dot", "{dot", "<dot", "[ dot", "( dot", "[@", "(@", "[.", "(.", "[ät", "(ät", "[punkt", "(punkt", "[arroba", "(arroba", "[punto", "(punto", " dot ", " punkt ", " punto ", " @", "@ ")
-_RUN_WORDS = {*DIGITS, *"0123456789", *_PLUS.split("|"), *_POINT.split("|"), *_DASH.split("|")}
+# Necessary parts of the bracket patterns and of _WORDY, quick to search
+_BRACKETED = re.compile(rf"(?i){_OPEN}[ \t]*(?:{_AT}|{_DOT})[ \t]*{_CLOSE}")
+_SPACED_DOT = re.compile(r"(?i)[ \t](?:dot|punkt|punto)[ \t]")
 
 
 class Tape:
@@ -126,7 +126,7 @@ class Tape:
     def __init__(self, text: str):
         self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
 
-    def rewrite(self, edits: Iterator[tuple[int, int, str]]) -> None:
+    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace [start, end) of the tape by a text, for edits in order; each new character stands for all replaced ones."""
         text, start, end, at = [], [], [], 0
         for i, j, new in edits:
@@ -138,12 +138,21 @@ class Tape:
         self.start, self.end = start + self.start[at:], end + self.end[at:]
 
 
+def _glyphs(text: str) -> Iterator[tuple[int, int, str]]:
+    if _has_glyph(text):
+        yield from ((m.start(), m.end(), GLYPHS[m[0]]) for m in _GLYPH.finditer(text))
+
+
 def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
+    whole = None
     for run in _SPELLED_RUN.finditer(text):
         if len({m[0].lower() for m in _TOKEN.finditer(run[0]) if m[1]} | {*_DIGIT.findall(run[0])}) < 2:
             continue  # one word again and again is no number
-        at, glue = run.start(), False
-        for m in re.finditer(rf"(?i){_WORD}|{_PLUS}|{_POINT}|{_DASH}|[0-9]+|[^0-9\w]+", run[0]):
+        if whole is None:
+            whole = {x for _, s, e in plain(text) for x in (s, e)}
+        at = run.start()
+        tokens = list(re.finditer(rf"(?i){_WORD}|{_PLUS}|{_POINT}|{_DASH}|[0-9]+|[^0-9\w]+", run[0]))
+        for k, m in enumerate(tokens):
             i, j, word = at + m.start(), at + m.end(), m[0].lower()
             if word in DIGITS:
                 yield i, j, DIGITS[word]
@@ -151,10 +160,30 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
                 known = _TOKEN.fullmatch(word)
                 yield i, j, "" if known is None else "." if known[3] else "+"
             elif not word[0].isdigit():
+                # a plain identifier and the figures beside it are not one number
+                if {i, j} & whole and all(t[0].isdigit() for t in tokens[k - 1 : k + 2 : 2]):
+                    continue
                 yield i, j, "." if word.strip() == "." else ""
 
 
+def _references(text: str) -> Iterator[tuple[int, int, str]]:
+    if "&" in text:
+        yield from ((m.start(), m.end(), _REFERENCES[m[0].lower()]) for m in _REFERENCE.finditer(text))
+
+
+def _bracket_at(text: str) -> Iterator[tuple[int, int, str]]:
+    if _BRACKETED.search(text):
+        yield from ((m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(text))
+
+
+def _bracket_dot(text: str) -> Iterator[tuple[int, int, str]]:
+    if _BRACKETED.search(text):
+        yield from ((m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(text))
+
+
 def _wordy(text: str) -> Iterator[tuple[int, int, str]]:
+    if "@" not in text and not _SPACED_DOT.search(text):
+        return
     for m in _WORDY.finditer(text):
         if re.search(r"[ \t]", m["at"] + m["rest"]):
             # a bare "at" needs a spelled dot beside it
@@ -164,6 +193,9 @@ def _wordy(text: str) -> Iterator[tuple[int, int, str]]:
                 yield m.start("local") + d.start(), m.start("local") + d.end(), "."
             yield m.start("at"), m.end("at"), "@"
             for d in _WORDY_DOT.finditer(m["rest"]):
+                # a spaced full stop behind a plain address ends its sentence
+                if m["at"] == "@" and d[0] != "." and d[0].strip() == "." and "." in m["rest"][: d.start()]:
+                    break
                 yield m.start("rest") + d.start(), m.start("rest") + d.end(), "."
 
 
@@ -177,24 +209,16 @@ def _has_glyph(text: str) -> bool:
     return any(c in text for c in _LATIN_GLYPHS)
 
 
+_TRANSDUCERS = (_glyphs, _spelled, _references, _bracket_at, _bracket_dot, _wordy)
+
+
 def disguised(text: str) -> Tape | None:
-    """The tape of a text with signs of a disguise, else None."""
-    glyph = _has_glyph(text)
-    low = text.lower()
-    sign = glyph or any(s in low for s in _SIGNS)
-    spelled = b"\1" * RUN in bytes([w in _RUN_WORDS for w in low.replace("-", " ").replace(",", " ").replace(".", " ").split()]) if not glyph else True
-    if not (sign or spelled):
-        return None
-    tape = Tape(text)
-    if glyph:
-        tape.rewrite((m.start(), m.end(), GLYPHS[m[0]]) for m in _GLYPH.finditer(text))
-    if spelled:
-        tape.rewrite(_spelled(tape.text))
-    if sign:
-        tape.rewrite((m.start(), m.end(), _REFERENCES[m[0].lower()]) for m in _REFERENCE.finditer(tape.text))
-        for pattern, to in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
-            tape.rewrite((m.start(), m.end(), to) for m in pattern.finditer(tape.text))
-        tape.rewrite(_wordy(tape.text))
+    """The tape of a text that a transducer changes, else None; every transducer is asked about every text."""
+    tape = None
+    for transducer in _TRANSDUCERS:
+        if edits := list(transducer(tape.text if tape else text)):
+            tape = tape or Tape(text)
+            tape.rewrite(edits)
     return tape
 
 

@@ -253,6 +253,21 @@ def test_disguise_beside_a_plain_part(text, kind, span):
     assert pii.redacted(text) == text.replace(span, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize(("text", "kind"), [
+    *[(x, "email") for x in ("jane{@}host.com", "jane<@>host.com", "jane< at >host.com", "jane@host{.}com", "jane@host{punkt}com", "jane@host[point]com", "jane[\tat\t]host[\tdot\t]com", "bob\tat\tmail\tdot\torg", "jane@mail. com")],
+    ("+1 555 two one two 0199", "phone"), ("4111, 1111, 1111, 1111", "card"), ("192 . 168 . 1 . 1", "ip"),
+])
+@pytest.mark.parametrize("beside", ["", " Other \u2013 text"])
+def test_every_text_meets_every_transducer(text, kind, beside):
+    whole = text + beside  # a glyph elsewhere changes nothing
+    assert (kind, 0, len(text)) in pii.plain(whole) + pii.added(whole, pii.plain(whole))
+
+
+@pytest.mark.parametrize("text", ["to jane@example.com. Then go", "to jane@example.com . Then go", "10.0.0.1, 10.0.0.2", "call +1 555 123 4567, 12 rooms", "from 4111 1111 1111 1111, 2024, 11, 26"])
+def test_plain_span_among_plain_text(text):
+    assert pii.plain(text) and pii.added(text, pii.plain(text)) == []
+
+
 @pytest.mark.parametrize("text", ["the at thing in that at place. dot of", "meet us at example.com", "un un un un un un un un un un un un un", "one two three", "", "naïve café — “quoted”", "Ein Haus. Zwei."])
 def test_clean_texts(text):
     assert pii.plain(text) + pii.added(text, []) == [] and pii.redacted(text) == text
