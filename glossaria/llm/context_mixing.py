@@ -38,8 +38,8 @@ from .common import fold, prepare, stash, text_slices, to_signed, words
 
 FOLDS, HELD = 7, 2
 END, SYMBOLS = 256, 257
-#: Symbols with a leaf of their own in the trees, the last leaf stands for all others (which cost the same then).
-LEAVES = 128
+#: Every symbol has a leaf of its own in the trees.
+LEAVES = SYMBOLS
 #: Slots of the predictors' tables, and shards of each.
 SLOTS = (1 << 15, 1 << 16, 1 << 17)
 SHARDS = 128
@@ -108,21 +108,13 @@ class Trees:
 
     def __init__(self, counts: np.ndarray):
         counts = counts.reshape(256, SYMBOLS).astype(np.float64)
-        total = counts.sum(0)
-        total[END] += total.sum() + 1  # the end has a leaf in any case
-        listed = np.argsort(-total, kind="stable")[: LEAVES - 1]
-        self.leaf = np.full(SYMBOLS, LEAVES - 1, np.uint8)
-        self.leaf[listed] = np.arange(LEAVES - 1)
-        self.rest_bits = float(np.log2(SYMBOLS - LEAVES + 1))
-        by_leaf = np.zeros((256, LEAVES))
-        np.add.at(by_leaf.T, self.leaf, counts.T)
-        share = by_leaf.sum(0) / max(by_leaf.sum(), 1)
+        share = counts.sum(0) / max(counts.sum(), 1)
         nodes, bits = [], []
         self.first = np.zeros(256 * LEAVES, np.int32)
         self.length = np.zeros(256 * LEAVES, np.int32)
         at = 0
         for prev in range(256):
-            for leaf, path in enumerate(self._huffman(by_leaf[prev] + 0.5 * share + 1e-3)):
+            for leaf, path in enumerate(self._huffman(counts[prev] + 0.5 * share + 1e-3)):
                 self.first[prev * LEAVES + leaf], self.length[prev * LEAVES + leaf] = at, len(path)
                 nodes += [n for n, _ in path]
                 bits += [b for _, b in path]
@@ -220,9 +212,8 @@ def _context_counts(trees):
 
         for _, data, at in text_slices(batches, limit=SLICE):
             symbols, _, place = stream(data, at)
-            leaf = trees.value.leaf.take(symbols)
             for k, slot in enumerate(trees.value.slots(symbols, place)[1]):
-                held[k].append((slot * np.uint32(LEAVES) + leaf).astype(np.int32))
+                held[k].append((slot * np.uint32(LEAVES) + symbols).astype(np.int32))
             size += len(symbols)
             if size > COUNTED:
                 add()
@@ -283,8 +274,7 @@ class Mixer:
         order = np.argsort(step.astype(np.int16) if step.max() < 1 << 15 else step, kind="stable")
         steps = np.bincount(step)
         b1 = b1.take(order)
-        leaf = self.trees.leaf.take(symbols)
-        path = b1 * np.uint32(LEAVES) + leaf.take(order)
+        path = b1 * np.uint32(LEAVES) + symbols.take(order)
         count = self.trees.length.take(path)
         ends = np.cumsum(count, dtype=np.int64)
         begin = ends - count
@@ -304,7 +294,6 @@ class Mixer:
         sign = (2 * bit - 1).astype(np.float32)
         w = [np.tile(self.weight[:, k], docs) for k in range(len(SLOTS))]
         nats = np.empty(ends[-1], np.float32)
-        rest = np.bincount(doc[leaf == LEAVES - 1], minlength=docs) * self.trees.rest_bits
         a = 0
         for end in ends[np.cumsum(steps) - 1]:
             g, s = gate[a:end].astype(np.intp), sign[a:end]
@@ -322,7 +311,7 @@ class Mixer:
         # a text's decisions lie together in each step: sums over these runs, then over the steps
         run = np.concatenate([[0], np.flatnonzero(np.diff(doc.take(order)) | np.diff(step.take(order))) + 1])
         bits = -np.bincount(doc.take(order.take(run)), np.add.reduceat(nats, begin.take(run), dtype=np.float64), docs)
-        return bits / np.log(2) + rest, np.stack(w, axis=1)
+        return bits / np.log(2), np.stack(w, axis=1)
 
 
 def train(texts: DataFrame, mixing: list[str], pairs: list[tuple[int, int]]) -> Mixer:

@@ -178,6 +178,23 @@ def test_mixing_is_a_distribution(spark):
     assert together[1] == pytest.approx(alone[0])  # a text's cost doesn't depend on its neighbours
 
 
+def test_every_byte_is_learned(spark):
+    rng = random.Random(11)
+    scripts = [[chr(c) for c in range(a, a + 24)] for a in (0x3B1, 0x430, 0x5D0, 0x905, 0x4E00, 0x10D0)]
+    words = [["".join(rng.choice(s) for _ in range(4)) for _ in range(12)] for s in scripts]
+    common_words = [chr(c) * 3 for c in range(33, 127)]
+    texts = [" ".join(rng.choice(common_words) for _ in range(60)) for _ in range(150)] + [" ".join(rng.choice(w) for _ in range(10)) for w in words for _ in range(15)]
+    pairs = defaultdict(int)
+    for t in texts:
+        for a, b in zip(b"\0" + t.encode(), [*t.encode(), 256], strict=True):
+            pairs[a * 257 + b] += 1
+    mixer = context_mixing.train(frame(spark, texts).select("text"), texts[:2] + texts[-2:], list(pairs.items()))
+    for w in words:  # each script's own words cost far less than 8 bits a byte, the rare scripts' too
+        t = " ".join(rng.choice(w) for _ in range(20))
+        bits, _ = mixer.cost(*flat([t]))
+        assert bits[0] < 1.5 * len(t.encode())
+
+
 def test_base_score(spark):
     rng = random.Random(4)
     texts = [prose(rng, rng.randrange(0, 40), 30) for _ in range(80)] + [None, "  ", "Only\x0bonce here"]
