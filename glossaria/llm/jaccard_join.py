@@ -6,20 +6,22 @@ hash into m segments, somewhat more than the largest H of its pairs. A set index
 segment subset, and for the first D segments its one-deletion neighbourhood. The larger set of a pair probes its own band
 and, where sizes allow, the band below with an allocation v: 0 skips a segment, 1 asks for an equal subset, 2 for one
 that differs by at most one shingle. As sum(v) >= H + 1, one segment must answer, so no link is missed. The allocation is
-by cost: empty subsets and those whose lists are long in a bounded sample get 0, made up for by 2 on cheaper segments;
-the sample only steers cost, never results. Sets that no allocation covers ("loose") are compared with all sets of fitting
-size in the bands beside theirs; they come up about never.
-
-Sets of copies collapse to the smallest doc_id first (128-bit set hash), and within a task before anything is shuffled.
-Each list of equal keys yields star pairs to one hub only, found in a streaming pass over the sorted shuffle partition, so
-a list of any length costs its length. After the stars are verified and joined into components, pairs inside a list that
-lie in different components and are not yet verified are verified too: every link between components is found, links
-within one are not needed for the classes. Before verification two sound bounds apply: the sizes, and the parity bitmaps of both
-sets (256 bits), whose differing bits can't outnumber the differing shingles.
+by cost, over all documents: once the lists are gathered their lengths are known, and each set takes v = 0 for as many
+segments as it can spare, those with the longest lists. 2 serves sets with fewer than H + 1 segments in use. Sets
+that no allocation covers ("loose") are compared with all sets of fitting size in the bands beside theirs; they come up about
+never.
+
+Copies of a set are one node from the start: rows in the lists carry the first 64 bits of the set's hash, and sets that
+share these without being equal are candidates themselves. Equal 128-bit hashes count as equal sets; every other link is
+verified on the words. Each list yields star pairs to one hub first, found in a streaming pass over the sorted shuffle
+partition, so a list of any length costs its length. After the stars are verified and joined into components, pairs of a
+probing and an indexed set of one list that lie in different components and are not yet verified are verified too: every
+link between components is found, links within one are not needed for the classes. Before verification two sound bounds
+apply: the sizes, and the parity bitmaps of both sets (256 bits), whose differing bits can't outnumber the differing shingles.
 
 Defined cases: null or blank texts have n_shingles 0 and link with nothing; fewer than five words make one shingle of the
 whole sequence; a null doc_id takes no part and has a null component; repeated rows get a row each with the same
-component (of rows sharing a doc_id but not the text, any can link it); an empty table gives no rows; very long texts are
+component, and each row of a doc_id with several texts links it; an empty table gives no rows; very long texts are
 cut into slices of their own and never truncated; other columns of any name are ignored.
 """
 
@@ -35,17 +37,23 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWER, UPPER, mix, near_bitmap, prepare, stash, text_slices, tidy, to_signed, without_keys, words
 from .components import components
 
 N = 5
 LEAST = 4  # smallest size with a partner that is not equal: 4 of 5
-#: Documents in the sample that estimates the length of lists, entries kept of it, and the length from which a list is avoided.
-SAMPLE_DOCS, HOT_KEYS, HOT_COUNT = 10_000, 1 << 16, 3
+#: Rows of a list up to which its length is exact; a longer one counts as this long.
+LONG = 1 << 13
 SALT_ROWS = 512
+#: Sets with more copies than this, and than a HEAVY-th of all rows, are met by broadcast: at most HEAVY of them.
+COPIES, HEAVY = 512, 1 << 14
+#: Distinct sets that a task remembers, so as not to emit copies again.
+SEEN = 1 << 16
 BITS = ["p0", "p1", "p2", "p3"]
-IP, P, I = 0, 1, 2  # indexed and probing, probing only, indexed only
+#: Rows of a list: own band (indexed, may probe), band below (may probe), probes of one-deletion neighbourhoods, indexed one-deletions.
+OWN, BELOW, TWICE, DELETED = 0, 1, 2, 3
 
 
 @lru_cache
@@ -109,50 +117,37 @@ def parity(x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 
 class Scheme:
-    """The segments of the sets of one slice under one band each, and the allocation of the probing side."""
+    """The segments of the sets of one slice under one band each.
+
+    spare is the number of a set's segments that need not probe; where it is negative, so many of its segments with
+    one-deletion neighbourhoods probe for these too. A set that lacks even those is loose.
+    """
 
-    def __init__(self, x: np.ndarray, row: np.ndarray, size: np.ndarray, band: np.ndarray, hot: tuple[np.ndarray, np.ndarray] | None):
+    def __init__(self, x: np.ndarray, row: np.ndarray, size: np.ndarray, band: np.ndarray):
         _, hi, m, d = bands()
-        b = band[row]
+        rows, b = len(size), band[row]
         token = mix(x + np.uint64(0x51ED270B) * (b + 1).astype(np.uint64))
         seg = (((token >> np.uint64(32)) * m[b].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         order = np.lexsort((seg, row))
-        self.token, self.t_row, t_seg = token[order], row[order], seg[order]
+        self.token, t_row, t_seg = token[order], row[order], seg[order]
         new = np.ones(len(order), bool)
-        new[1:] = (t_seg[1:] != t_seg[:-1]) | (self.t_row[1:] != self.t_row[:-1])
+        new[1:] = (t_seg[1:] != t_seg[:-1]) | (t_row[1:] != t_row[:-1])
         first = np.flatnonzero(new)
         self.of = np.cumsum(new) - 1  # segment entry of each token
-        self.row, self.seg = self.t_row[first], t_seg[first]
+        self.row, self.seg = t_row[first], t_seg[first]
         self.count = np.diff(np.append(first, len(order)))
         self.sum = np.add.reduceat(self.token, first) if len(first) else np.zeros(0, np.uint64)
         self.place = (self.seg.astype(np.uint64) << np.uint64(8)) + band[self.row].astype(np.uint64) + np.uint64(1)
-        self.key = self.keyed(self.sum, self.place, 0)
         self.deletes = (self.seg < d[band[self.row]]) & (self.count >= 2)
-        rows = len(size)
         need = (size + np.minimum(size, hi[np.maximum(band, 0)])) // 9 + 1
-        cost = np.zeros(len(self.key))
-        if hot is not None and len(hot[0]) and len(self.key):
-            at = np.minimum(np.searchsorted(hot[0], self.key), len(hot[0]) - 1)
-            cost = np.where(hot[0][at] == self.key, hot[1][at], 0)
-        cold = cost == 0
-        per = lambda mask: np.bincount(self.row[mask], minlength=rows)
-        c0, c1, u0, u1 = per(cold), np.bincount(self.row, minlength=rows), per(cold & self.deletes), per(self.deletes)
-        rest = need - (equal := np.minimum(need, c0))
-        rest = rest - (up := np.minimum(rest, u0))
-        rest = rest - (more := np.minimum(rest, c1 - c0))
-        rest = rest - (up_hot := np.minimum(rest, u1 - u0))
-        self.loose = rest > 0
-        order = np.lexsort((-self.count, cost, self.row))
-        self.probe = self._first(order, equal + more, rows)
-        self.twice = self._first(order[self.deletes[order]], up + up_hot, rows)
-
-    def _first(self, order: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
-        """Marks the first n[row] entries of each row in this order."""
-        r = self.row[order]
-        start = np.searchsorted(r, np.arange(rows))
-        out = np.zeros(len(self.row), bool)
-        out[order] = np.arange(len(r)) - start[r] < n[r]
-        return out
+        self.spare = np.bincount(self.row, minlength=rows) - need
+        short = np.maximum(-self.spare, 0)
+        self.loose = short > np.bincount(self.row[self.deletes], minlength=rows)
+        # the first short[row] entries with neighbourhoods of each set probe for these
+        mine = np.flatnonzero(self.deletes)
+        start = np.searchsorted(self.row[mine], np.arange(rows))
+        self.twice = np.zeros(len(self.row), bool)
+        self.twice[mine] = np.arange(len(mine)) - start[self.row[mine]] < short[self.row[mine]]
 
     @staticmethod
     def keyed(content: np.ndarray, place: np.ndarray, space: int) -> np.ndarray:
@@ -166,25 +161,25 @@ class Scheme:
 
     def rows(self, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """(keys, row, code) of what goes into the lists: subsets in space 0, one-deletions of indexed sets in space 1."""
-        yield self.key[self.probe], self.row[self.probe], IP if own else P
+        yield self.keyed(self.sum, self.place, 0), self.row, OWN if own else BELOW
         if own:
-            yield self.key[~self.probe], self.row[~self.probe], I
-            yield *self.deletions(self.deletes, 1), I
-        yield *self.deletions(self.twice, 0), P
-        yield self.keyed(self.sum[self.twice], self.place[self.twice], 1), self.row[self.twice], P
+            yield *self.deletions(self.deletes, 1), DELETED
+        if self.twice.any():
+            yield *self.deletions(self.twice, 0), TWICE
+            yield self.keyed(self.sum[self.twice], self.place[self.twice], 1), self.row[self.twice], TWICE
 
 
-def schemes(x: np.ndarray, row: np.ndarray, size: np.ndarray, hot=None) -> Iterator[tuple[Scheme, bool]]:
+def schemes(x: np.ndarray, row: np.ndarray, size: np.ndarray) -> Iterator[tuple[Scheme, bool]]:
     """The schemes of a slice: own bands, then for those sets that can be larger partners across, the band below."""
     lo, hi, _, _ = bands()
     band = np.searchsorted(lo, size, "right") - 1
     mine = (band >= 0)[row]
     if mine.any():
-        yield Scheme(x[mine], row[mine], size, band, hot), True
+        yield Scheme(x[mine], row[mine], size, band), True
     below = (band >= 1) & (-(-4 * size // 5) <= hi[np.maximum(band - 1, 0)])
     mine = below[row]
     if mine.any():
-        yield Scheme(x[mine], row[mine], size, np.where(below, band - 1, -1), hot), False
+        yield Scheme(x[mine], row[mine], size, np.where(below, band - 1, -1)), False
 
 
 def _ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -192,75 +187,102 @@ def _ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
 
 
+_PROFILE = "doc_id long, n long, hi long, lo long, own long, below long, loose boolean, " + ", ".join(f"{x} long" for x in BITS)
+
+
 def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, at in text_slices(batches):
         x, row, size = shingles(data, at)
         hi, lo = set_hash(x, row, len(size))
-        loose = np.zeros(len(size), bool)
-        for s, _ in schemes(x, row, size):
-            loose |= s.loose & (np.bincount(s.row, minlength=len(size)) > 0)
-        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(size), pa.array(to_signed(hi)), pa.array(to_signed(lo)), pa.array(loose), *map(pa.array, np.ascontiguousarray(parity(x, row, len(size)).T))], names=["doc_id", "n", "hi", "lo", "loose", *BITS])
-
-
-def lists(hot=None):
-    """The task that emits (key with code, node): one set of equal sets per task."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        table = hot.value if hot is not None else None
-        for rows, data, at in text_slices(batches):
-            ids, valid = _ids(rows)
-            x, row, size = shingles(data, at)
-            hi, lo = set_hash(x, row, len(size))
-            use = valid & (size >= LEAST)
-            for i in np.flatnonzero(use):
-                k = (int(hi[i]), int(lo[i]))
-                use[i] = k not in seen
-                seen.add(k)
-            mine = use[row]
-            keys, nodes = [], []
-            for s, own in schemes(x[mine], row[mine], np.where(use, size, 0), table):
-                for key, r, code in s.rows(own):
-                    keys.append(key | np.uint64(code))
-                    nodes.append(ids[r])
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(to_signed(np.concatenate(keys))), pa.array(np.concatenate(nodes))], names=["sig", "node"])
-
-    return emit
+        loose, spare = np.zeros(len(size), bool), np.zeros((2, len(size)), np.int64)
+        for s, own in schemes(x, row, size):
+            met = np.bincount(s.row, minlength=len(size)) > 0
+            loose |= s.loose & met
+            spare[0 if own else 1] = np.where(met, np.maximum(s.spare, 0), 0)
+        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), *map(pa.array, (size, to_signed(hi), to_signed(lo), *spare, loose)), *map(pa.array, np.ascontiguousarray(parity(x, row, len(size)).T))], names=[c.split()[0] for c in _PROFILE.split(", ")])
+
+
+def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Emits (key with code, node): a node is the first hash of a set, so copies of a set are one node."""
+    seen: set[int] = set()
+    for rows, data, at in text_slices(batches):
+        _, valid = _ids(rows)
+        x, row, size = shingles(data, at)
+        hi, _ = set_hash(x, row, len(size))
+        use = valid & (size >= LEAST)
+        if len(seen) > SEEN:
+            seen.clear()
+        for i, k in zip(np.flatnonzero(use).tolist(), hi[use].tolist(), strict=True):
+            use[i] = k not in seen
+            seen.add(k)
+        mine = use[row]
+        keys, nodes = [], []
+        for s, own in schemes(x[mine], row[mine], np.where(use, size, 0)):
+            for key, r, code in s.rows(own):
+                keys.append(key | np.uint64(code))
+                nodes.append(hi[r])
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(to_signed(np.concatenate(keys))), pa.array(to_signed(np.concatenate(nodes)))], names=["sig", "node"])
+
+
+_GATHERED = "key long, node long, code int, hub long, hub_code int, length int"
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (sig, node): the lists with at least two rows whose first row probes, each row with its hub.
+    """Over rows sorted by (sig, node): the lists of at least two sets, one of them indexed and another probing.
 
-    Memory is one Arrow batch and the open list's hub, however long the list.
+    Each row gets its list's hub (the first row) and length. Memory is one Arrow batch and LONG rows of the open list:
+    beyond these its rows go out as they come, with LONG + 1 as their length.
     """
-    open_key, hub, hub_code, alone = None, 0, I, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = batch.column(0).to_numpy()
-        node = batch.column(1).to_numpy()
+    held_sig, held_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    long_key, long_hub, long_code = None, 0, 0
+
+    def rows(sig: np.ndarray, node: np.ndarray, hub: np.ndarray, hub_code: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sig >> 2), pa.array(node), pa.array((sig & 3).astype(np.int32)), pa.array(hub), pa.array(hub_code.astype(np.int32)), pa.array(length.astype(np.int32))], names=[c.split()[0] for c in _GATHERED.split(", ")])
+
+    def closed(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
+        """Whole lists."""
+        if not len(sig):
+            return None
         key, code = sig >> 2, sig & 3
         first = np.concatenate([[True], key[1:] != key[:-1]])
-        if open_key is not None and key[0] == open_key:
-            first[0] = False
         start = np.flatnonzero(first)
-        # the list of each row: -1 is the one still open from the batch before
         of = np.cumsum(first) - 1
-        hubs, codes = np.append(node[start], hub), np.append(code[start], hub_code)
-        keep = ~first & (codes[of] != I)
-        length = np.bincount(of[of >= 0], minlength=len(start))
-        lead = np.zeros(len(key), bool)
-        lead[start] = (length > 1) & (codes[:-1][: len(start)] != I) if len(start) else False
-        out = keep | lead
-        cols = [key[out], node[out], hubs[of[out]], code[out], codes[of[out]]]
-        if alone and open_key is not None and keep.any() and of[0] == -1 and hub_code != I:
-            cols = [np.append(c, v) for c, v in zip(cols, (open_key, hub, hub, hub_code, hub_code), strict=True)]
-            alone = False
-        if len(start):
-            open_key, hub, hub_code, alone = key[-1], node[start[-1]], code[start[-1]], length[-1] < 2
-        if len(cols[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["key", "node", "hub", "code", "hub_code"])
+        length = np.diff(np.append(start, len(sig)))
+        last = start + length - 1
+        # codes ascend in a list: some row is indexed if the first is OWN or the last DELETED, some row may probe if the first isn't DELETED
+        good = (length > 1) & (code[start] != DELETED) & ((code[start] == OWN) | (code[last] == DELETED))
+        out = good[of]
+        at = start[of[out]]
+        return rows(sig[out], node[out], node[at], code[at], np.minimum(length, LONG + 1)[of[out]]) if out.any() else None
+
+    for batch in batches:
+        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(sig):
+            continue
+        new = np.ones(len(sig), bool)  # copies of a set meet here
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node = sig[new], node[new]
+        if long_key is not None:
+            n = int(np.searchsorted(sig >> 2, long_key, "right"))
+            if n:
+                yield rows(sig[:n], node[:n], np.full(n, long_hub), np.full(n, long_code), np.full(n, LONG + 1))
+            if n == len(sig):
+                continue
+            long_key, sig, node = None, sig[n:], node[n:]
+        if len(held_sig) and held_sig[-1] == sig[0] and held_node[-1] == node[0]:
+            sig, node = sig[1:], node[1:]
+        sig, node = np.concatenate([held_sig, sig]), np.concatenate([held_node, node])
+        cut = int(np.searchsorted(sig >> 2, sig[-1] >> 2))
+        if (done := closed(sig[:cut], node[:cut])) is not None:
+            yield done
+        held_sig, held_node = sig[cut:], node[cut:]
+        if (n := len(held_sig)) > LONG:
+            long_key, long_hub, long_code = held_sig[0] >> 2, held_node[0], held_sig[0] & 3
+            yield rows(held_sig, held_node, np.full(n, long_hub), np.full(n, long_code), np.full(n, LONG + 1))
+            held_sig, held_node = held_sig[:0], held_node[:0]
+    if (done := closed(held_sig, held_node)) is not None:
+        yield done
 
 
 _LOWER = str.maketrans(UPPER, LOWER)
@@ -304,86 +326,89 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return left.join(right, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long").distinct()
 
 
-def _hot(docs: DataFrame, profiled: DataFrame):
-    """The longest lists of a bounded sample of documents, for the allocation's costs: at most HOT_KEYS entries."""
-    spark = docs.sparkSession
-    n = profiled.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    found = some.select("doc_id", "text").mapInArrow(lists(), "sig long, node long").groupBy(F.shiftright("sig", 2).alias("key")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HOT_COUNT).orderBy(F.desc("c"), "key").limit(HOT_KEYS).toPandas()
-    key = (found["key"].to_numpy(np.int64) << 2).view(np.uint64)
-    order = np.argsort(key)
-    return spark.sparkContext.broadcast((key[order], found["c"].to_numpy(np.int64)[order]))
-
-
 def _may_link(a: str, b: str) -> str:
     """Sound bounds for a pair whose sizes and parity bits carry these endings."""
     apart = " + ".join(f"bit_count({x}{a} ^ {x}{b})" for x in BITS)
     return f"5 * least(n{a}, n{b}) >= 4 * greatest(n{a}, n{b}) and 9 * ({apart}) <= n{a} + n{b}"
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows (hi, lo, n) with the columns of their set. Sets with a large share of all rows, of which there can be but
+    HEAVY, are met by broadcast, so that no task gets all rows of one."""
+    total = rows.count()
+    heavy = F.col("copies") > max(COPIES, total // HEAVY)
+    big = sets.where(heavy).drop("copies")
+    found = rows.join(F.broadcast(big.withColumn("_big", F.lit(True))), ["hi", "lo", "n"], "left")
+    hot = found.where("_big").drop("_big")
+    return hot.unionByName(found.where("_big is null").select(rows.columns).join(sets.where(~heavy).drop("copies"), ["hi", "lo", "n"]))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, representative (smallest doc_id with an equal set)."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiled = stash(docs.mapInArrow(profile, "doc_id long, n long, hi long, lo long, loose boolean, " + ", ".join(f"{x} long" for x in BITS)), "profiles")
+    profiled = stash(docs.mapInArrow(profile, _PROFILE), "profiles")
     nodes = profiled.where("n > 0 and doc_id is not null")
-    equal = nodes.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = nodes.join(equal.where("copies > 1"), ["hi", "lo", "n"]).select(F.col("doc_id").alias("node"), "rep").distinct()
-    copies = stash(copies, "copies")
-    same = copies.select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    bounds = nodes.select(F.col("doc_id").alias("id"), "n", *BITS).dropDuplicates(["id"])
-
-    rows = docs.mapInArrow(lists(_hot(docs, profiled)), "sig long, node long")
-    shared = rows.repartition(F.shiftright("sig", 2)).sortWithinPartitions("sig", "node").mapInArrow(gather, "key long, node long, hub long, code long, hub_code long")
+    facts = ["own", "below", "loose", *BITS]  # the same in all copies of a set
+    sets = stash(nodes.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in facts]), "sets")
+
+    shared = docs.mapInArrow(lists, "sig long, node long").repartition(F.shiftright("sig", 2)).sortWithinPartitions("sig", "node").mapInArrow(gather, _GATHERED)
     shared = stash(shared, "lists")
+    # the allocation: of each set and band, the spare segments with the longest lists don't probe
+    place = F.row_number().over(Window.partitionBy("node", "code").orderBy(F.desc("length"), "key"))
+    spare = sets.groupBy(F.col("hi").alias("node")).agg(F.min("own").alias("own"), F.min("below").alias("below"))
+    probes = F.when(F.col("code") == OWN, F.col("place") > F.col("own")).when(F.col("code") == BELOW, F.col("place") > F.col("below")).otherwise(F.col("code") == TWICE)
+    shared = shared.join(spare, "node").withColumn("place", place).select("key", "node", "code", "hub", "hub_code", probes.alias("probes")).where(f"probes or code in ({OWN}, {DELETED})")
+    shared = stash(shared, "allocated")
 
-    def ending(x: str) -> dict[str, str]:
-        return {"id": x, **{c: f"{c}_{x}" for c in ("n", *BITS)}}
+    def ending(x: str, more: list[str]) -> dict[str, str]:
+        return {"hi": f"node_{x}", "rep": x, **{c: f"{c}_{x}" for c in ("n", *BITS, *more)}}
 
     def represented(pairs: DataFrame) -> DataFrame:
-        """Pairs of nodes as distinct pairs (a < b) of representatives within the bounds."""
+        """Pairs (node_a, node_b) as distinct pairs (a < b) of representatives within the bounds."""
         for x in ("a", "b"):
-            pairs = pairs.join(copies.withColumnsRenamed({"node": x, "rep": "rep_" + x}), x, "left").withColumn(x, F.coalesce("rep_" + x, x)).drop("rep_" + x)
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for x in ("a", "b"):
-            pairs = pairs.join(bounds.withColumnsRenamed(ending(x)), x)
-        return pairs.where(_may_link("_a", "_b")).select("a", "b")
-
-    fits = f"(hub_code = {IP} or (hub_code = {P} and code <> {P})) and hub <> node"
-    tried = stash(represented(shared.where(fits).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "stars")
+            pairs = pairs.join(sets.select("hi", "rep", "n", *BITS).withColumnsRenamed(ending(x, [])), f"node_{x}")
+        return pairs.where(f"a <> b and {_may_link('_a', '_b')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    fits = f"hub <> node and ((probes and hub_code = {OWN}) or (hub_code in ({BELOW}, {TWICE}) and code = {DELETED}))"
+    stars = shared.where(fits).select(F.least("hub", "node").alias("node_a"), F.greatest("hub", "node").alias("node_b")).distinct()
+    # sets that share the first hash are one node: they are pairs as well
+    twins = sets.groupBy("hi").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("hi").alias("node_a"), F.col("hi").alias("node_b"))
+    tried = stash(represented(stars.unionByName(twins)), "stars")
     links = stash(verified(tried, docs), "links")
-    comps = components(links.unionByName(same))
+    # a doc_id with several texts connects their sets
+    several = nodes.select("doc_id", "hi", "lo", "n").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
+    own = nodes.join(several, "doc_id", "left_semi").join(sets.select("hi", "lo", "n", "rep"), ["hi", "lo", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    edges = stash(links.unionByName(own), "set-edges")
+    comps = components(edges)
 
     # lists that span components: all pairs of different components that the bounds let through
     carried = ["n", *BITS]
-    at = shared.select("key", "node", "code").join(bounds.withColumnRenamed("id", "node"), "node").join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    spanning = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y and c > 2").select("key")
+    known = sets.select("hi", "rep", *carried).join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    at = shared.select("key", F.col("node").alias("hi"), "code", "probes").join(known, "hi")
+    spanning = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("probes").alias("some")).where("some and x <> y").select("key")
     held = stash(at.join(spanning, "key", "left_semi"), "unsettled")
-    p = held.where(f"code <> {I}").withColumnsRenamed({"node": "a", "comp": "comp_a", **{c: f"{c}_a" for c in carried}}).drop("code")
-    i = held.where(f"code <> {P}").withColumnsRenamed({"node": "b", "comp": "comp_b", **{c: f"{c}_b" for c in carried}}).drop("code")
-    found = p.join(i, "key").where(f"comp_a <> comp_b and {_may_link('_a', '_b')}").select("a", "b").distinct()
-    new = stash(represented(found.unionByName(_beside(nodes))).join(tried, ["a", "b"], "left_anti"), "pairs")
+    p = held.where("probes").drop("code", "probes").withColumnsRenamed(ending("a", ["comp"]))
+    i = held.where(f"code in ({OWN}, {DELETED})").drop("code", "probes").withColumnsRenamed(ending("b", ["comp"]))
+    found = p.join(i, "key").where(f"comp_a <> comp_b and {_may_link('_a', '_b')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    new = stash(found.unionByName(_beside(sets)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if not new.isEmpty():
         more = stash(verified(new, docs), "links")
         if not more.isEmpty():
             comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
-    reps = copies.select(F.col("node").alias("id"), "rep")
-    return (
-        profiled.select(F.col("doc_id").alias("id"), F.col("n").alias("n_shingles"))
-        .join(comps, "id", "left")
-        .join(reps, "id", "left")
-        .select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("comp", "id").alias("component_id"), F.coalesce("rep", "id").alias("representative"))
-    )
+    classed = stash(sets.select("hi", "lo", "n", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "n", "copies", "rep", F.coalesce("comp", "rep").alias("comp")), "classes")
+    out = _with_sets(nodes.select("doc_id", "hi", "lo", "n"), classed).select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("rep").alias("representative"))
+    rest = profiled.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("representative"))
+    return out.unionByName(rest)
 
 
-def _beside(nodes: DataFrame) -> DataFrame:
+def _beside(sets: DataFrame) -> DataFrame:
     """Pairs of each loose set with every set of fitting size that the bounds let through, met by size class."""
     carried = ["n", *BITS]
-    loose = nodes.where("loose").select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in carried])
+    loose = sets.where("loose").select(F.col("rep").alias("a"), *[F.col(c).alias(f"{c}_a") for c in carried])
     loose = loose.withColumn("wide", F.explode(F.sequence(F.floor(F.log2(F.col("n_a") * 0.79)), F.floor(F.log2(F.col("n_a") * 1.26)))))
-    others = nodes.select(F.col("doc_id").alias("b"), F.floor(F.log2("n")).alias("wide"), *[F.col(c).alias(f"{c}_b") for c in carried])
-    return loose.join(others, "wide").where(f"a <> b and {_may_link('_a', '_b')}").select("a", "b")
+    others = sets.select(F.col("rep").alias("b"), F.floor(F.log2("n")).alias("wide"), *[F.col(c).alias(f"{c}_b") for c in carried])
+    return loose.join(others, "wide").where(f"a <> b and {_may_link('_a', '_b')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def survivors(docs: DataFrame) -> DataFrame:
