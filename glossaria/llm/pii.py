@@ -5,10 +5,11 @@ from: homoglyphs and digits of other scripts to ASCII, invisible characters to n
 at/dot disguises to "@" and ".". Identifiers found on the tape are mapped back to source characters and added unless they
 lie within a plain span of their kind: one that a plain span only overlaps is kept whole beside it.
 
-Scale: one scan, no shuffle; a text that no transducer changes costs a search by each pattern and no tape.
+Scale: one scan, no shuffle; a text that no transducer changes costs a search by each pattern and no tape. Addresses, in
+signs or in words, are looked for from their sign outwards, so that the cost is in proportion to the text, whatever it is.
 
 Defined cases: null text is empty text (no spans); null doc_id stays null; repeated rows give a row each; very long texts are
-searched whole; an empty table gives no rows; other columns are kept by redact() and ignored otherwise. Spans count code
+searched whole, and so are long runs of letters, figures or signs in them; an empty table gives no rows; other columns are kept by redact() and ignored otherwise. Spans count code
 points, end exclusive.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 from .common import prepare, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_LOCAL, _FIGURES, _BLANKS = string.ascii_letters + string.digits + "._%+-", string.digits, " \t"
+# What stands behind the sign of an address, and what stands behind its first number of an ip
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_THREE = re.compile(r"(?<=[0-9])(?:\.[0-9]+){3}")
+CARD = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -44,8 +48,44 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def run_start(text: str, end: int, least: int, chars: str) -> int:
+    """Where the run of these characters that ends before end begins, not before least; costs the run's length."""
+    step = 64
+    while True:
+        a = max(least, end - step)
+        rest = text[a:end].rstrip(chars)
+        if rest or a == least:
+            return a + len(rest)
+        step *= 4
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """From each "@" outwards, so a long run of letters without one costs nothing."""
+    least, at = 0, text.find("@")
+    while at >= 0:
+        start = run_start(text, at, least, _LOCAL)
+        host = _HOST.match(text, at + 1) if start < at else None
+        least = host.end() if host else at + 1
+        if host:
+            yield start, least
+        at = text.find("@", least)
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """From the three last numbers to the first one's beginning."""
+    least, m = 0, _THREE.search(text)
+    while m:
+        start = run_start(text, m.start(), least, _FIGURES)
+        if start < m.start():
+            yield start, m.end()
+            least = m.end()
+            m = _THREE.search(text, least)
+        else:  # the number before belongs to the last match
+            m = _THREE.search(text, m.start() + 1)
+
+
 def _ip_ok(s: str) -> bool:
-    return all(int(p) <= 255 for p in s.split("."))
+    return all(len(n := p.lstrip("0")) <= 3 and int(n or "0") <= 255 for p in s.split("."))
 
 
 def _card_ok(s: str) -> bool:
@@ -61,10 +101,10 @@ def plain(text: str) -> list[Span]:
     """Identifiers as they stand: leftmost, non-overlapping per kind, failing matches dropped without another try."""
     found: list[Span] = []
     if "@" in text:
-        found += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        found += [("email", *span) for span in _emails(text)]
     if _DIGIT.search(text):
         if "." in text:
-            found += [("ip", *m.span()) for m in IP.finditer(text) if _ip_ok(m[0])]
+            found += [("ip", i, j) for i, j in _ips(text) if _ip_ok(text[i:j])]
         found += [("card", *m.span()) for m in CARD.finditer(text) if len(m[0]) >= 13 and _card_ok(m[0])]
         if "+" in text:
             found += [("phone", *m.span()) for m in PHONE.finditer(text) if _phone_ok(m[0])]
@@ -109,8 +149,9 @@ _AT, _DOT = "at|arroba|ät|@", "dot|punkt|punto|point|\\."
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _BRACKET_AT = re.compile(rf"(?i)(?<=[a-z0-9._%+-])[ \t]*{_OPEN}[ \t]*(?:{_AT})[ \t]*{_CLOSE}[ \t]*(?=[a-z0-9-])")
 _BRACKET_DOT = re.compile(rf"(?i)(?<=[a-z0-9-])[ \t]*{_OPEN}[ \t]*(?:{_DOT})[ \t]*{_CLOSE}[ \t]*(?=[a-z0-9-])")
-#: name at host dot tld in words, also with one of the two as a spaced sign
-_WORDY = re.compile(r"(?i)(?<![\w.])(?P<local>(?:[a-z0-9._%+-]+[ \t]+(?:dot|punkt|punto)[ \t]+)*)[a-z0-9._%+-]+(?P<at>[ \t]+(?:at|arroba)[ \t]+|[ \t]*@[ \t]*)[a-z0-9-]+(?P<rest>(?:(?:[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]*\.[ \t]*)[a-z0-9-]+)*(?:[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]+\.[ \t]*|\.[ \t]+|\.)[a-z]{2,24})(?![\w-])")
+#: What can stand between name and host of a spelled address; what stands behind it
+_AT_WORD = re.compile(r"(?i)@|(?<=[ \t])(?:at|arroba)(?=[ \t])")
+_WORDY_REST = re.compile(r"(?i)[a-z0-9-]+(?P<rest>(?:(?:[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]*\.[ \t]*)[a-z0-9-]+)*(?:[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]+\.[ \t]*|\.[ \t]+|\.)[a-z]{2,24})(?![\w-])")
 _WORDY_DOT = re.compile(r"(?i)[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]*\.[ \t]*")
 # Character references of the two signs
 _REFERENCES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
@@ -181,22 +222,54 @@ def _bracket_dot(text: str) -> Iterator[tuple[int, int, str]]:
         yield from ((m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(text))
 
 
+def _name(text: str, end: int, least: int) -> tuple[int, list[tuple[int, int]]] | None:
+    """The name that ends before end, in words joined by spelled dots: its start and those dots with their blanks."""
+    start, parts, dots = end, [], []
+    while (at := run_start(text, start, least, _LOCAL)) < start:
+        parts.append((at, start))
+        blank = run_start(text, at, least, _BLANKS)
+        word = run_start(text, blank, least, _LOCAL) if blank < at else blank
+        before = run_start(text, word, least, _BLANKS) if text[word:blank].lower() in ("dot", "punkt", "punto") else word
+        if before == word or run_start(text, before, least, _LOCAL) == before:
+            break
+        dots.append((before, at))
+        start = before
+    # the name starts at a word's beginning: the outermost part that has one
+    for k in range(len(parts) - 1, -1, -1):
+        i, j = parts[k]
+        while i < j and i and (text[i - 1] == "." or text[i - 1] == "_" or text[i - 1].isalnum()):
+            i += 1
+        if i < j:
+            return i, dots[:k][::-1]
+    return None
+
+
 def _wordy(text: str) -> Iterator[tuple[int, int, str]]:
     if "@" not in text and not _SPACED_DOT.search(text):
         return
-    for m in _WORDY.finditer(text):
-        if re.search(r"[ \t]", m["at"] + m["rest"]):
-            # a bare "at" needs a spelled dot beside it
-            if not m["at"].strip() == "@" and not re.search(r"(?i)[ \t](?:dot|punkt|punto)[ \t]", m["rest"]):
-                continue
-            for d in re.finditer(r"(?i)[ \t]+(?:dot|punkt|punto)[ \t]+", m["local"]):
-                yield m.start("local") + d.start(), m.start("local") + d.end(), "."
-            yield m.start("at"), m.end("at"), "@"
+    least, sign = 0, _AT_WORD.search(text)
+    while sign:
+        a = run_start(text, sign.start(), least, _BLANKS)
+        b = sign.end()
+        while b < len(text) and text[b] in _BLANKS:
+            b += 1
+        name = _name(text, a, least)
+        m = _WORDY_REST.match(text, b) if name else None
+        if m is None:
+            sign = _AT_WORD.search(text, sign.end())
+            continue
+        least = m.end()
+        spelled_dot = re.search(r"(?i)[ \t](?:dot|punkt|punto)[ \t]", m["rest"])
+        # a bare "at" needs a spelled dot beside it
+        if (b - a > len(sign[0]) or re.search(r"[ \t]", m["rest"])) and (sign[0] == "@" or spelled_dot):
+            yield from ((i, j, ".") for i, j in name[1])
+            yield a, b, "@"
             for d in _WORDY_DOT.finditer(m["rest"]):
                 # a spaced full stop behind a plain address ends its sentence
-                if m["at"] == "@" and d[0] != "." and d[0].strip() == "." and "." in m["rest"][: d.start()]:
+                if b - a == 1 and d[0] != "." and d[0].strip() == "." and "." in m["rest"][: d.start()]:
                     break
                 yield m.start("rest") + d.start(), m.start("rest") + d.end(), "."
+        sign = _AT_WORD.search(text, least)
 
 
 def _has_glyph(text: str) -> bool:

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -489,3 +491,35 @@ def test_many_copies_by_broadcast(spark, monkeypatch):
     texts = [prose(rng, 40)] * 30 + [prose(rng, 40) for _ in range(5)] * 2
     got = {r.doc_id: r.component_id for r in jaccard_join.join(frame(spark, texts)).collect()}
     assert got == {i: c for i, (_, c) in enumerate(brute(texts))}
+
+
+def base_by_patterns(text):
+    """The contract's patterns as they stand."""
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0:
+            found.append(("card", *m.span()))
+    return found + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+def test_plain_spans_are_those_of_the_patterns():
+    rng = random.Random(15)
+    parts = ["a", "b.c", "@", "@", "1", ".", "..", "-", " ", "x.com", "é", "%", "+", "+1", "555", "(", ")", "12.3.4.5", "255.255.1.300", "0001", "\t", "\n", "_", "٣", "4111 1111 1111 1111", "4111-1111-1111-1111", ".1", "1.", "a@b.co", "23 45"]
+    kinds = set()
+    for _ in range(8000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 22)))
+        got = pii.plain(text)
+        kinds |= {k for k, _, _ in got}
+        assert sorted(got) == sorted(base_by_patterns(text)), text
+    assert kinds == set(pii.KINDS)
+
+
+@pytest.mark.parametrize("run", ["a", "1", "%", "a dot ", "1.", "a@", " ", "+1("])
+@pytest.mark.parametrize("end", ["@", ".1.1.1", " dot ", " at b dot com", ""])
+def test_blobs_cost_their_length(run, end):
+    text = run * (300_000 // len(run)) + end
+    start = time.process_time()
+    pii.redacted(text)
+    assert time.process_time() - start < 3
