@@ -522,4 +522,4 @@ def test_blobs_cost_their_length(run, end):
     text = run * (300_000 // len(run)) + end
     start = time.process_time()
     pii.redacted(text)
-    assert time.process_time() - start < 3
+    assert time.process_time() - start < 6  # the square would take minutes
