@@ -14,10 +14,11 @@ never.
 Copies of a set are one node from the start: rows in the lists carry the first 64 bits of the set's hash, and sets that
 share these without being equal are candidates themselves. Equal 128-bit hashes count as equal sets; every other link is
 verified on the words. Each list yields star pairs to one hub first, found in a streaming pass over the sorted shuffle
-partition, so a list of any length costs its length. After the stars are verified and joined into components, pairs of a
-probing and an indexed set of one list that lie in different components and are not yet verified are verified too: every
-link between components is found, links within one are not needed for the classes. Before verification two sound bounds
-apply: the sizes, and the parity bitmaps of both sets (256 bits), whose differing bits can't outnumber the differing shingles.
+partition, so a list of any length costs its length. After the stars are verified and joined into components, lists that
+still span components get ROUNDS more with other hubs, and then pairs of a probing and an indexed set of one list
+that lie in different components and are not yet verified are verified too: every link between components is found, links
+within one are not needed for the classes. Before verification two sound bounds apply: the sizes, and the parity bitmaps of
+both sets (at least two bits a shingle), whose differing bits can't outnumber the differing shingles.
 
 Defined cases: null or blank texts have n_shingles 0 and link with nothing; fewer than five words make one shingle of the
 whole sequence; a null doc_id takes no part and has a null component; repeated rows get a row each with the same
@@ -52,6 +53,9 @@ COPIES, HEAVY = 512, 1 << 14
 #: Distinct sets that a task remembers, so as not to emit copies again.
 SEEN = 1 << 16
 BITS = ["p0", "p1", "p2", "p3"]
+CARRIED = ["n", *BITS, "whole"]
+#: Further rounds of stars, to another hub each, in those lists that still span components.
+ROUNDS = 1
 #: Rows of a list: own band (indexed, may probe), band below (may probe), probes of one-deletion neighbourhoods, indexed one-deletions.
 OWN, BELOW, TWICE, DELETED = 0, 1, 2, 3
 
@@ -110,10 +114,18 @@ def set_hash(x: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return hi, lo
 
 
-def parity(x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """256 bits per set, as 4 columns of signed 64-bit integers: each bit the parity of the shingles that fall on it."""
-    odd = np.bincount(row * 256 + (x >> np.uint64(56)).astype(np.int64), minlength=rows * 256).astype(np.uint8).reshape(rows, 256) & 1
-    return np.packbits(odd, axis=1).view(np.int64)
+def parity(x: np.ndarray, row: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A bitmap per set, each bit the parity of the shingles that fall on it: two bits a shingle or more, a power of two.
+
+    Gives the bitmaps folded to 4 words of 64 bits, and whole. A bitmap folds by the exclusive or of its halves.
+    """
+    words = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(size, 1) / 32)).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(words)])
+    at = start[row] * 64 + ((x >> np.uint64(8)).astype(np.int64) & (words[row] * 64 - 1))
+    odd = (np.bincount(at, minlength=start[-1] * 64) & 1).astype(np.uint8)
+    bits = np.packbits(odd, bitorder="little").view(np.int64)
+    whole = [bits[i:j] for i, j in zip(start[:-1], start[1:], strict=True)]
+    return np.array([np.bitwise_xor.reduce(b.reshape(-1, 4), axis=0) for b in whole]).reshape(len(size), 4), whole
 
 
 class Scheme:
@@ -187,7 +199,7 @@ def _ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
 
 
-_PROFILE = "doc_id long, n long, hi long, lo long, own long, below long, loose boolean, " + ", ".join(f"{x} long" for x in BITS)
+_PROFILE = "doc_id long, n long, hi long, lo long, own long, below long, loose boolean, " + ", ".join(f"{x} long" for x in BITS) + ", whole array<long>"
 
 
 def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +211,9 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met = np.bincount(s.row, minlength=len(size)) > 0
             loose |= s.loose & met
             spare[0 if own else 1] = np.where(met, np.maximum(s.spare, 0), 0)
-        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), *map(pa.array, (size, to_signed(hi), to_signed(lo), *spare, loose)), *map(pa.array, np.ascontiguousarray(parity(x, row, len(size)).T))], names=[c.split()[0] for c in _PROFILE.split(", ")])
+        folded, whole = parity(x, row, size)
+        whole = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(b) for b in whole])]), pa.int32()), pa.array(np.concatenate(whole)))
+        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), *map(pa.array, (size, to_signed(hi), to_signed(lo), *spare, loose)), *map(pa.array, np.ascontiguousarray(folded.T)), whole], names=[c.split()[0] for c in _PROFILE.split(", ")])
 
 
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,9 +341,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _may_link(a: str, b: str) -> str:
-    """Sound bounds for a pair whose sizes and parity bits carry these endings."""
-    apart = " + ".join(f"bit_count({x}{a} ^ {x}{b})" for x in BITS)
-    return f"5 * least(n{a}, n{b}) >= 4 * greatest(n{a}, n{b}) and 9 * ({apart}) <= n{a} + n{b}"
+    """Sound bounds for a pair whose sizes and parity bits carry these endings, the cheap ones first."""
+    folded = " + ".join(f"bit_count({x}{a} ^ {x}{b})" for x in BITS)
+    # of two lengths, the longer bitmap is folded once
+    word = f"(whole{a}[i] ^ if(size(whole{a}) > size(whole{b}), whole{a}[i + size(whole{b})], 0L)) ^ (whole{b}[i] ^ if(size(whole{b}) > size(whole{a}), whole{b}[i + size(whole{a})], 0L))"
+    apart = f"aggregate(sequence(0, least(size(whole{a}), size(whole{b})) - 1), 0, (sum, i) -> sum + bit_count({word}))"
+    return f"5 * least(n{a}, n{b}) >= 4 * greatest(n{a}, n{b}) and case when 9 * ({folded}) > n{a} + n{b} then false when size(whole{a}) = 4 and size(whole{b}) = 4 then true else 9 * ({apart}) <= n{a} + n{b} end"
 
 
 def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -349,8 +366,8 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiled = stash(docs.mapInArrow(profile, _PROFILE), "profiles")
     nodes = profiled.where("n > 0 and doc_id is not null")
-    facts = ["own", "below", "loose", *BITS]  # the same in all copies of a set
-    sets = stash(nodes.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in facts]), "sets")
+    facts = ["own", "below", "loose", *CARRIED[1:]]  # the same in all copies of a set
+    sets = stash(nodes.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in facts]), "sets")
 
     shared = docs.mapInArrow(lists, "sig long, node long").repartition(F.shiftright("sig", 2)).sortWithinPartitions("sig", "node").mapInArrow(gather, _GATHERED)
     shared = stash(shared, "lists")
@@ -361,13 +378,10 @@ def join(docs: DataFrame) -> DataFrame:
     shared = shared.join(spare, "node").withColumn("place", place).select("key", "node", "code", "hub", "hub_code", probes.alias("probes")).where(f"probes or code in ({OWN}, {DELETED})")
     shared = stash(shared, "allocated")
 
-    def ending(x: str, more: list[str]) -> dict[str, str]:
-        return {"hi": f"node_{x}", "rep": x, **{c: f"{c}_{x}" for c in ("n", *BITS, *more)}}
-
     def represented(pairs: DataFrame) -> DataFrame:
         """Pairs (node_a, node_b) as distinct pairs (a < b) of representatives within the bounds."""
         for x in ("a", "b"):
-            pairs = pairs.join(sets.select("hi", "rep", "n", *BITS).withColumnsRenamed(ending(x, [])), f"node_{x}")
+            pairs = pairs.join(sets.select("hi", "rep", *CARRIED).withColumnsRenamed({"hi": f"node_{x}", "rep": x, **{c: f"{c}_{x}" for c in CARRIED}}), f"node_{x}")
         return pairs.where(f"a <> b and {_may_link('_a', '_b')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     fits = f"hub <> node and ((probes and hub_code = {OWN}) or (hub_code in ({BELOW}, {TWICE}) and code = {DELETED}))"
@@ -375,27 +389,40 @@ def join(docs: DataFrame) -> DataFrame:
     # sets that share the first hash are one node: they are pairs as well
     twins = sets.groupBy("hi").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("hi").alias("node_a"), F.col("hi").alias("node_b"))
     tried = stash(represented(stars.unionByName(twins)), "stars")
-    links = stash(verified(tried, docs), "links")
     # a doc_id with several texts connects their sets
     several = nodes.select("doc_id", "hi", "lo", "n").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
     own = nodes.join(several, "doc_id", "left_semi").join(sets.select("hi", "lo", "n", "rep"), ["hi", "lo", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    edges = stash(links.unionByName(own), "set-edges")
-    comps = components(edges)
-
-    # lists that span components: all pairs of different components that the bounds let through
-    carried = ["n", *BITS]
-    known = sets.select("hi", "rep", *carried).join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    at = shared.select("key", F.col("node").alias("hi"), "code", "probes").join(known, "hi")
-    spanning = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("probes").alias("some")).where("some and x <> y").select("key")
-    held = stash(at.join(spanning, "key", "left_semi"), "unsettled")
-    p = held.where("probes").drop("code", "probes").withColumnsRenamed(ending("a", ["comp"]))
-    i = held.where(f"code in ({OWN}, {DELETED})").drop("code", "probes").withColumnsRenamed(ending("b", ["comp"]))
+    comps = components(stash(verified(tried, docs).unionByName(own), "links"))
+
+    def unsettled(lists: DataFrame) -> DataFrame:
+        """The rows of those lists that span components and have a set that probes."""
+        of = sets.select("hi", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "rep", F.coalesce("comp", "rep").alias("comp"))
+        at = lists.select("key", "hi", "code", "probes").join(of, "hi")
+        spanning = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("probes").alias("some")).where("some and x <> y").select("key")
+        return stash(at.join(spanning, "key", "left_semi"), "unsettled")
+
+    def linked_further(new: DataFrame) -> DataFrame:
+        more = stash(verified(new, docs), "links")
+        return comps if more.isEmpty() else components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
+
+    indexed = f"code in ({OWN}, {DELETED})"
+    held = unsettled(shared.withColumnRenamed("node", "hi"))
+    for turn in range(ROUNDS):
+        hub = held.where(indexed).groupBy("key").agg(F.min_by(F.struct(F.col("hi").alias("node"), "comp"), F.xxhash64("hi", F.lit(turn))).alias("hub"))
+        pairs = held.where("probes").join(hub, "key").where("comp <> hub.comp").select(F.least("hi", "hub.node").alias("node_a"), F.greatest("hi", "hub.node").alias("node_b")).distinct()
+        new = stash(represented(pairs).join(tried, ["a", "b"], "left_anti"), "stars")
+        if new.isEmpty():
+            continue
+        comps, tried = linked_further(new), tried.unionByName(new)
+        held = unsettled(held)
+    # what still spans components: all pairs of different components that the bounds let through
+    held = held.join(sets.select("hi", "rep", *CARRIED), ["hi", "rep"])
+    p, i = (held.where(side).select("key", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", *CARRIED)]) for x, side in (("a", "probes"), ("b", indexed)))
     found = p.join(i, "key").where(f"comp_a <> comp_b and {_may_link('_a', '_b')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    new = stash(found.unionByName(_beside(sets)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = stash(found.unionByName(_beside(sets)).distinct(), "pairs")
+    new = stash(found.join(tried, ["a", "b"], "left_anti"), "pairs")
     if not new.isEmpty():
-        more = stash(verified(new, docs), "links")
-        if not more.isEmpty():
-            comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
+        comps = linked_further(new)
     classed = stash(sets.select("hi", "lo", "n", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "n", "copies", "rep", F.coalesce("comp", "rep").alias("comp")), "classes")
     out = _with_sets(nodes.select("doc_id", "hi", "lo", "n"), classed).select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("rep").alias("representative"))
     rest = profiled.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("representative"))
@@ -404,10 +431,9 @@ def join(docs: DataFrame) -> DataFrame:
 
 def _beside(sets: DataFrame) -> DataFrame:
     """Pairs of each loose set with every set of fitting size that the bounds let through, met by size class."""
-    carried = ["n", *BITS]
-    loose = sets.where("loose").select(F.col("rep").alias("a"), *[F.col(c).alias(f"{c}_a") for c in carried])
-    loose = loose.withColumn("wide", F.explode(F.sequence(F.floor(F.log2(F.col("n_a") * 0.79)), F.floor(F.log2(F.col("n_a") * 1.26)))))
-    others = sets.select(F.col("rep").alias("b"), F.floor(F.log2("n")).alias("wide"), *[F.col(c).alias(f"{c}_b") for c in carried])
+    a, b = ([F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in CARRIED]] for x in ("a", "b"))
+    loose = sets.where("loose").select(*a).withColumn("wide", F.explode(F.sequence(F.floor(F.log2(F.col("n_a") * 0.79)), F.floor(F.log2(F.col("n_a") * 1.26)))))
+    others = sets.select(*b, F.floor(F.log2("n")).alias("wide"))
     return loose.join(others, "wide").where(f"a <> b and {_may_link('_a', '_b')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

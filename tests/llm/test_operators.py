@@ -523,3 +523,23 @@ def test_blobs_cost_their_length(run, end):
     start = time.process_time()
     pii.redacted(text)
     assert time.process_time() - start < 6  # the square would take minutes
+
+
+def test_bounds_let_every_link_through(spark):
+    """The parity bitmaps of linked sets pass, folded or whole, also where their lengths differ."""
+    rng = random.Random(16)
+    texts = []
+    for n in (5, 20, 60, 63, 66, 120, 130, 250, 520, 1030):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(n + 4)]
+        for _ in range(4):
+            other = list(base)
+            for _ in range(rng.randrange(0, max(1, n // 40) + 1)):
+                other[rng.randrange(len(other))] = "other"
+            texts += [" ".join(base), " ".join(other), " ".join(base[: len(base) - n // 6])]
+    sets = [jaccard_join.shingle_set(t) for t in texts]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS).mapInArrow(jaccard_join.profile, jaccard_join._PROFILE).select("doc_id", *jaccard_join.CARRIED)
+    a, b = (found.withColumnsRenamed({"doc_id": x, **{c: f"{c}_{x}" for c in jaccard_join.CARRIED}}) for x in "ab")
+    passed = {(r.a, r.b) for r in a.crossJoin(b).where(jaccard_join._may_link("_a", "_b")).select("a", "b").collect()}
+    linked = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if jaccard_join.linked(sets[i], sets[j])}
+    assert linked <= passed and len(passed) < 3 * len(linked)
+    assert {len(r.whole) for r in found.collect()} >= {4, 8, 16, 32}
