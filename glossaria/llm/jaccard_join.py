@@ -14,8 +14,9 @@ never.
 Copies of a set are one node from the start: rows in the lists carry the first 64 bits of the set's hash, and sets that
 share these without being equal are candidates themselves. Equal 128-bit hashes count as equal sets; every other link is
 verified on the words. Each list yields star pairs to one hub first, found in a streaming pass over the sorted shuffle
-partition, so a list of any length costs its length. After the stars are verified and joined into components, lists that
-still span components get ROUNDS more with other hubs, and then pairs of a probing and an indexed set of one list
+partition, so a list of any length costs its length. After the stars are verified and joined into components, the sets of
+lists that still span components meet a few neighbours each in random orders of their lists, which joins most of a large
+group at a cost in proportion to its lists. Then all pairs of a probing and an indexed set of one list
 that lie in different components and are not yet verified are verified too: every link between components is found, links
 within one are not needed for the classes. Before verification two sound bounds apply: the sizes, and the parity bitmaps of
 both sets (at least two bits a shingle), whose differing bits can't outnumber the differing shingles.
@@ -54,8 +55,8 @@ COPIES, HEAVY = 512, 1 << 14
 SEEN = 1 << 16
 BITS = ["p0", "p1", "p2", "p3"]
 CARRIED = ["n", *BITS, "whole"]
-#: Further rounds of stars, to another hub each, in those lists that still span components.
-ROUNDS = 1
+#: In lists that still span components after the stars: rounds of random orders, and neighbours there that a set meets.
+ROUNDS, BESIDE = 2, 2
 #: Rows of a list: own band (indexed, may probe), band below (may probe), probes of one-deletion neighbourhoods, indexed one-deletions.
 OWN, BELOW, TWICE, DELETED = 0, 1, 2, 3
 
@@ -396,28 +397,32 @@ def join(docs: DataFrame) -> DataFrame:
 
     def unsettled(lists: DataFrame) -> DataFrame:
         """The rows of those lists that span components and have a set that probes."""
-        of = sets.select("hi", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "rep", F.coalesce("comp", "rep").alias("comp"))
-        at = lists.select("key", "hi", "code", "probes").join(of, "hi")
-        spanning = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("probes").alias("some")).where("some and x <> y").select("key")
-        return stash(at.join(spanning, "key", "left_semi"), "unsettled")
+        at = lists.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        spanning = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("probes").alias("some"), F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("salts")).where("some and x <> y").select("key", "salts")
+        return at.join(spanning, "key")
 
     def linked_further(new: DataFrame) -> DataFrame:
         more = stash(verified(new, docs), "links")
         return comps if more.isEmpty() else components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
-    indexed = f"code in ({OWN}, {DELETED})"
-    held = unsettled(shared.withColumnRenamed("node", "hi"))
+    thin = unsettled(shared.select("key", F.col("node").alias("hi"), F.expr(f"code in ({OWN}, {DELETED})").alias("indexed"), "probes").join(sets.select("hi", "rep"), "hi")).drop("comp", "salts")
+    held = stash(thin.join(sets.select("hi", "rep", *CARRIED), ["hi", "rep"]), "unsettled")
+    side = F.struct("rep", "comp", "indexed", "probes", *CARRIED)
     for turn in range(ROUNDS):
-        hub = held.where(indexed).groupBy("key").agg(F.min_by(F.struct(F.col("hi").alias("node"), "comp"), F.xxhash64("hi", F.lit(turn))).alias("hub"))
-        pairs = held.where("probes").join(hub, "key").where("comp <> hub.comp").select(F.least("hi", "hub.node").alias("node_a"), F.greatest("hi", "hub.node").alias("node_b")).distinct()
-        new = stash(represented(pairs).join(tried, ["a", "b"], "left_anti"), "stars")
+        # each set of a list that still spans components beside the next ones of a random order
+        chance = F.xxhash64("hi", "key", F.lit(turn))
+        place = Window.partitionBy("key", F.pmod(chance, F.col("salts"))).orderBy(chance)
+        met = unsettled(held).withColumn("one", side).withColumns({f"next{k}": F.lag("one", k).over(place) for k in range(1, BESIDE + 1)})
+        beside = met.select("one", F.explode(F.array(*[f"next{k}" for k in range(1, BESIDE + 1)])).alias("two"))
+        flat = beside.select(*[F.col(f"{x}.{c}").alias(f"{c}_{y}") for x, y in (("one", "a"), ("two", "b")) for c in ("rep", "comp", "indexed", "probes", *CARRIED)])
+        close = flat.where(f"comp_a <> comp_b and (probes_a and indexed_b or probes_b and indexed_a) and {_may_link('_a', '_b')}")
+        new = stash(close.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "neighbours")
         if new.isEmpty():
-            continue
+            break
         comps, tried = linked_further(new), tried.unionByName(new)
-        held = unsettled(held)
     # what still spans components: all pairs of different components that the bounds let through
-    held = held.join(sets.select("hi", "rep", *CARRIED), ["hi", "rep"])
-    p, i = (held.where(side).select("key", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", *CARRIED)]) for x, side in (("a", "probes"), ("b", indexed)))
+    held = unsettled(held).drop("salts")
+    p, i = (held.where(side).select("key", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", *CARRIED)]) for x, side in (("a", "probes"), ("b", "indexed")))
     found = p.join(i, "key").where(f"comp_a <> comp_b and {_may_link('_a', '_b')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = stash(found.unionByName(_beside(sets)).distinct(), "pairs")
     new = stash(found.join(tried, ["a", "b"], "left_anti"), "pairs")
