@@ -82,6 +82,11 @@ def clear(spark: SparkSession) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, whatever their names."""
+    return F.struct(*["`" + c.replace("`", "``") + "`" for c in docs.columns])
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty. ASCII texts take the fast built-in."""
     text = F.coalesce(text, F.lit(""))

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, near_bitmap, prepare, scratch, stash, without_keys
+from .common import lower_az, near_bitmap, prepare, scratch, stash, whole, without_keys
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of one group that are compared with the retained text under one key.
@@ -35,17 +35,26 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def from_files(docs: DataFrame) -> bool:
+    """Whether each row is one row of a Parquet file, by the plan: a scan under nothing but projections and filters."""
+    node = docs._jdf.queryExecution().analyzed()
+    name = lambda x: x.getClass().getSimpleName()
+    while name(node) in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return name(node) == "LogicalRelation" and name(node.relation()) == "HadoopFsRelation" and name(node.relation().fileFormat()) == "ParquetFileFormat"
+
+
+def place(docs: DataFrame) -> Column:
+    """File and row number of each row of docs, which come from files."""
+    file = docs.metadataColumn("_metadata")
+    return F.struct(file.getField("file_path").alias("file"), file.getField("row_index").alias("row"))
+
+
 def located(docs: DataFrame) -> DataFrame:
     """(doc_id, text, at): at locates a row's content as file and row number. Rows that don't come from files are written first."""
-    def read(df: DataFrame) -> DataFrame:
-        return df.select("doc_id", "text", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
-
-    try:
-        return read(docs)
-    except Exception as e:  # no file metadata in this plan
-        if "_metadata" not in str(e):
-            raise
-    return read(stash(docs.select("doc_id", "text"), "dedup-content"))
+    if not from_files(docs):
+        docs = stash(docs.select("doc_id", "text"), "dedup-content")
+    return docs.select("doc_id", "text", place(docs).alias("at"))
 
 
 def stream_state(arrivals: DataFrame, path: str, batch_bytes: int) -> DataFrame:
@@ -118,11 +127,7 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, batch_by
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns: those that aren't kept go by an anti join on file and row."""
-    try:
-        marked = docs.select(F.struct(*docs.columns).alias("whole"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place"))
-    except Exception as e:
-        if "_metadata" not in str(e):
-            raise
-        return survivors(stash(docs, "dedup-docs"))
+    if not from_files(docs):
+        docs = stash(docs, "dedup-docs")
     gone = stash(dedup(docs).where("not kept").select(F.col("at").alias("place")), "dedup-gone")
-    return without_keys(marked, gone, "place").select("whole.*")
+    return without_keys(docs.select(whole(docs).alias("whole"), place(docs).alias("place")), gone, "place").select("whole.*")

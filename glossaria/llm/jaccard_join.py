@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, UPPER, mix, near_bitmap, prepare, stash, text_slices, tidy, to_signed, without_keys, words
+from .common import LOWER, UPPER, mix, near_bitmap, prepare, stash, text_slices, tidy, to_signed, whole, without_keys, words
 from .components import components
 
 N = 5
@@ -448,5 +448,5 @@ def survivors(docs: DataFrame) -> DataFrame:
     Documents without words stay, as they link with nothing; rows with a null doc_id stay.
     """
     gone = stash(join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "near-gone")
-    own = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"))
+    own = docs.select(whole(docs).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"))
     return without_keys(own, gone, "doc_id").select("whole.*")

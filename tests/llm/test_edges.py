@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glossaria.llm import context_mixing, exact_dedup, hilbert_ann, jaccard_join, kneser_ney, packing, pii, queries, sentencepiece_bpe, sql, toxicity, warc
@@ -91,6 +92,29 @@ def test_survivors(spark, odd, tmp_path):
     assert near == {r.doc_id for r in docs.collect()} - {67}
 
 
+def test_stages_keep_columns_of_any_name(spark, labels, tmp_path):
+    names = ["a.b", "_metadata", "tick`name", "whole", "place", "struct(x)", "A B;{}"]
+    rows = [(i, f"the same words stand here {'once' if i % 2 else 'twice'} and nothing else does", i, *[str(i)] * len(names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "n_chars", *names]).withColumn("lang", F.lit("en"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    for source in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, source, str(tmp_path))
+            kept = out.count()
+            assert name == "packing" or (out.columns == source.columns and all(r["a.b"] == r["tick`name"] == r["_metadata"] == str(r.doc_id) for r in out.collect()))
+            assert kept == {"exact": 2, "near": 2, "packing": kept}.get(name, 6)
+
+
+def test_rows_of_files_are_known_by_the_plan(spark, tmp_path):
+    spark.range(4).selectExpr("id as doc_id", "'t' as text").write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    assert exact_dedup.from_files(read.where("doc_id > 1").select("text", "doc_id"))
+    assert not exact_dedup.from_files(read.union(read)) and not exact_dedup.from_files(read.join(read.select("doc_id"), "doc_id")) and not exact_dedup.from_files(spark.range(3))
+    twice = read.union(read)
+    assert exact_dedup.dedup(twice).count() == 8 and exact_dedup.survivors(twice).count() == 1
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (2, [0.9, 0.1]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (9, [1.0]), (10, [1.0, 0.0]), (11, [-1.0, 0.0])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, point string, rank int")
