@@ -59,7 +59,10 @@ class Encoder:
         self.automaton.make_automaton()
         self.alphabet = set("".join(self.id))
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n") if "\n" not in self.alphabet else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        #: Characters that stand side by side in some piece; between others no merge can reach.
+        self.joined = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (sp.bos_id(), sp.eos_id()))
 
@@ -125,42 +128,45 @@ class Encoder:
         return ids
 
     def chunk(self, text: str) -> bytes:
-        ids: list[int] = []
-        run: list[str] = []
-
-        def close() -> None:
-            if run:
-                part = "".join(run)
-                run.clear()
-                found = self.backtrack(part)
-                ids.extend(found if found is not None else [k for p in self.merged(part) for k in self.ids_of(p)])
-
-        for c in text:
-            if c in self.alphabet:
-                run.append(c)
-            else:
-                close()
-                ids.extend(self.ids_of(c))
-        close()
+        """Ids of a chunk, from those of its parts between which no piece reaches across."""
+        joined = self.joined
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined]
+        if not cuts:
+            return self.part(text)
+        return b"".join([self.kept(text[i:j], self.part) for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+
+    def part(self, text: str) -> bytes:
+        """Ids of a part; a character in no piece is a part of its own."""
+        if text not in self.alphabet and len(text) == 1:
+            return np.array(self.ids_of(text), "<u4").tobytes()
+        ids = self.backtrack(text)
+        if ids is None:
+            ids = [k for p in self.merged(text) for k in self.ids_of(p)]
         return np.array(ids, "<u4").tobytes()
 
+    def kept(self, text: str, encode) -> bytes:
+        """From the table of known texts (two generations of at most CACHED each), or encoded and kept there."""
+        found = self.known.get(text)
+        if found is None:
+            found = self.old.get(text)
+            if found is None:
+                found = encode(text)
+            if len(text) <= CACHED_CHARS:
+                if len(self.known) > CACHED:
+                    self.known, self.old = {}, self.known
+                self.known[text] = found
+        return found
+
     def ids_of(self, piece: str) -> list[int]:
         return [self.id[piece]] if piece in self.id else [self.bytes_id[b] for b in piece.encode()]
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        known, out = self.known, []
-        for c in self.cut.findall(MARK + text.replace(" ", MARK)):
-            found = known.get(c)
-            if found is None:
-                found = self.chunk(c)
-                if len(c) <= CACHED_CHARS:
-                    if len(known) > CACHED:
-                        known.clear()
-                    known[c] = found
-            out.append(found)
-        return b"".join(out)
+        chunks = self.cut.findall(MARK + text.replace(" ", MARK))
+        known = self.known
+        new = {c: self.kept(c, self.chunk) for c in set(chunks).difference(known)}
+        return b"".join([known.get(c) or new[c] for c in chunks]) if new else b"".join(map(known.__getitem__, chunks))
 
 
 @lru_cache
