@@ -1,8 +1,8 @@
 """Cost-balanced packing of tokenised documents into sequences of at most LENGTH tokens.
 
 A piece of n tokens costs LINEAR * n + QUADRATIC * n^2 (attention stays inside a piece). Documents of a window, in
-descending length, go to the lowest-cost sequence that has room for them; where none of the LOOK lowest has, the document
-is cut and its first part fills the lowest. A window of T tokens makes T // LENGTH full sequences and cuts what remains
+descending length, go to the lowest-cost sequence that has room for them; where none has, the document is cut and its first
+part fills the lowest-cost sequence with any room. A window of T tokens makes T // LENGTH full sequences and cuts what remains
 into sequences at powers of two, so no sequence needs padding.
 
 Scale: one scan, no shuffle. Each task packs its own rows in windows of WINDOW_TOKENS tokens, which bounds its memory; a
@@ -32,9 +32,12 @@ from .common import prepare, text_slices
 LENGTH, END = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 WINDOW_TOKENS = 1 << 22
-LOOK = 8
+NONE = (float("inf"), -1)
 #: Words kept with their ids (up to as many again from before), and the longest odd word that is kept.
-CACHED, CACHED_CHARS = 200_000, 64
+CACHED, CACHED_CHARS = 400_000, 64
+LOWERED = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
+#: What the vocabulary's special tokens begin with.
+SPECIAL = "<|"
 #: All ASCII punctuation; none of it counts as a letter or digit.
 MARKS = string.punctuation
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
@@ -84,27 +87,29 @@ class WordIds:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        # A-Z in lower case at once, as the vocabulary has it, but where that could make a special token
+        low = [t if SPECIAL in t else t.encode(errors="surrogatepass").translate(LOWERED).decode(errors="surrogatepass") for t in texts]
+        cut = [t.replace("\n", " ").split(" ") for t in low]
         if len(self.known) > CACHED:
             self.known, self.old = {"": b""}, self.known
         known, old = self.known, self.old
         new = set().union(*cut).difference(known) if cut else set()
-        stems, odd = [], []
-        for word in new:
-            found = old.get(word)
-            if found is not None:
-                known[word] = found
-                continue
+        again = old.keys() & new
+        known.update({word: old[word] for word in again})
+        new -= again
+        plain = [word for word in new if word.isalpha() and (word.isascii() or word.lower().isalpha())]
+        known.update(zip(plain, self.letters(plain), strict=True))
+        parted, odd = [], []
+        for word in new.difference(plain):
             stem = word.rstrip(MARKS)
             if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
-                stems.append((word, stem.lower() if stem.isascii() else stem, word[len(stem) :]))
+                parted.append((word, stem, word[len(stem) :]))
             else:
                 odd.append(word)
-        for todo, encode in (({s for _, s, _ in stems}, self.letters), ({t for _, _, t in stems}, self.each)):
+        for todo, encode in (({s for _, s, _ in parted}, self.letters), ({t for _, _, t in parted}, self.each)):
             todo = [x for x in todo if x not in known]
             known.update(zip(todo, encode(todo), strict=True))
-        for word, stem, tail in stems:
-            known[word] = known[stem] + known[tail]
+        known.update({word: known[stem] + known[tail] for word, stem, tail in parted})
         once = {}
         for word, ids in zip(odd, self.each(odd), strict=True):
             (known if len(word) <= CACHED_CHARS else once)[word] = ids
@@ -119,6 +124,45 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+class Rooms:
+    """The open sequences by the room they have: the lowest-cost one with enough of it, in a tree of minima over rooms."""
+
+    def __init__(self, sequences: int):
+        self.heaps: list[list] = [[] for _ in range(LENGTH + 1)]
+        self.heaps[LENGTH] = [(0.0, s) for s in range(sequences)]
+        self.size = 1 << LENGTH.bit_length()
+        self.tree = [NONE] * (2 * self.size)
+        self._settle(LENGTH)
+
+    def _settle(self, room: int) -> None:
+        i = self.size + room
+        self.tree[i] = self.heaps[room][0] if self.heaps[room] else NONE
+        while i > 1:
+            i >>= 1
+            a, b = self.tree[2 * i], self.tree[2 * i + 1]
+            self.tree[i] = a if a < b else b
+
+    def put(self, cost: float, sequence: int, room: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        self._settle(room)
+
+    def take(self, least: int, used: list[int]) -> tuple[float, int] | None:
+        """The lowest-cost sequence with at least so much room, taken out."""
+        i, best = self.size + least, NONE
+        while i > 1:  # the leaf, and all that lies to the right of its way up
+            x = self.tree[i] if i == self.size + least else NONE
+            best = x if x < best else best
+            if not i & 1 and self.tree[i + 1] < best:
+                best = self.tree[i + 1]
+            i >>= 1
+        if best is NONE:
+            return None
+        room = LENGTH - used[best[1]]
+        heapq.heappop(self.heaps[room])
+        self._settle(room)
+        return best
+
+
 def pack(lengths: list[int]) -> list[tuple[int, int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset, sequence length) of documents with these lengths, descending."""
     total = sum(lengths)
@@ -126,28 +170,12 @@ def pack(lengths: list[int]) -> list[tuple[int, int, int, int, int, int]]:
     rest = total - full * LENGTH
     size = [LENGTH] * full + [1 << b for b in range(LENGTH.bit_length() - 1, -1, -1) if rest >> b & 1]
     used = [0] * len(size)
-    heap = [(0.0, s) for s in range(full)]
-    tail = full
-    out = []
+    rooms, tail, out = Rooms(full), full, []
     for doc, n in enumerate(lengths):
         start = 0
         while start < n:
             left = n - start
-            if heap:
-                cost, s = heapq.heappop(heap)
-                if left > size[s] - used[s] and left < LENGTH:
-                    passed = [(cost, s)]
-                    while heap and len(passed) < LOOK and passed[-1][1] is not None:
-                        cost, s = heapq.heappop(heap)
-                        if left <= size[s] - used[s]:
-                            break
-                        passed.append((cost, s))
-                    else:
-                        cost, s = passed.pop(0)
-                    for x in passed:
-                        heapq.heappush(heap, x)
-            else:
-                cost, s = 0.0, tail
+            cost, s = rooms.take(min(left, LENGTH), used) or rooms.take(1, used) or (0.0, tail)
             part = min(left, size[s] - used[s])
             out.append((doc, start, part, s, used[s], size[s]))
             start += part
@@ -155,7 +183,7 @@ def pack(lengths: list[int]) -> list[tuple[int, int, int, int, int, int]]:
             if s >= full:
                 tail += used[s] == size[s]
             elif used[s] < LENGTH:
-                heapq.heappush(heap, (cost + LINEAR * part + QUADRATIC * part * part, s))
+                rooms.put(cost + LINEAR * part + QUADRATIC * part * part, s, LENGTH - used[s])
     return out
 
 
