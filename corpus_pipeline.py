@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria.llm import exact_dedup, jaccard_join, kneser_ney, packing, pii
-from glossaria.llm.common import scratch, table
+from glossaria.llm.common import clear, made, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the rows of the last."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; the rows of the last. What a stage wrote in passing is deleted when its rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        clear(spark, before, keep=path)
         docs = spark.read.parquet(path)
     return docs
