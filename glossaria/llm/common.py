@@ -5,10 +5,8 @@ Nothing here collects rows; every helper works on one task's Arrow slice or retu
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import os
-import shutil
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -19,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[str] = []
+_folders: set[str] = set()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 FALLBACK = "/tmp/checkpoints/glossaria"
@@ -48,21 +47,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, if it is set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only on one machine it may be unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = FALLBACK
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; below the fallback folder it is deleted when this process ends."""
-    path = f"{shared_dir(spark)}/glossaria/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder, below a folder of this application that is deleted when it ends."""
+    own = f"{shared_dir(spark)}/glossaria/{spark.sparkContext.applicationId}"
+    if own not in _folders:
+        files, at = _file_system(spark, own)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _folders.add(own)
+    path = f"{own}/{name}-{uuid.uuid4().hex[:12]}"
     _made.append(path)
-    if path.startswith(FALLBACK):
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
 
@@ -74,12 +84,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the scratch tables that this process has made; results that still read them are void then."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        at = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        at.getFileSystem(conf).delete(at, True)
+def made() -> int:
+    """How many scratch paths this process has made and not cleared."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete the scratch tables made since then, but one; results that still read them are void."""
+    for path in _made[since:]:
+        if path != keep:
+            files, at = _file_system(spark, path)
+            files.delete(at, True)
+    _made[since:] = [x for x in _made[since:] if x == keep]
 
 
 def whole(docs: DataFrame) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glossaria.llm import context_mixing, exact_dedup, hilbert_ann, jaccard_join, kneser_ney, packing, pii, queries, sentencepiece_bpe, sql, toxicity, warc
+from glossaria.llm import common, context_mixing, exact_dedup, hilbert_ann, jaccard_join, kneser_ney, packing, pii, queries, sentencepiece_bpe, sql, toxicity, warc
 
 EXTRA = ", ".join(f"{c} string" for c in ("id", "node", "key", "at", "_w", "n", "score", "_id", "row", "value", "code", "comp", "kept"))
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
@@ -194,3 +194,14 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words of text number {i % 3} in all") for i in range(9)], "doc_id long, text string").selectExpr("*", "'en' as lang", "1L as n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0, "t", 0.0)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    before = common.made()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert common.made() == before + 1 and out.select("doc_id").distinct().count() == 3
+    common.clear(spark, before)
+    assert common.made() == before
