@@ -100,10 +100,10 @@ def apply_answers(spark: SparkSession, sf: str) -> DataFrame:
     return joins.answers_join(answers, joins.missing_by_locale(rows, v.locales(spark, sf)), en(rows))
 
 
-@query("unanswered", f"with {_WORK}, answers as (select locale, key from vals where locale <> 'en' and ord % 4 <> 0) select locale, key, source from work w where not exists (select 1 from answers a where a.locale = w.locale and a.key = w.key)")
+@query("unanswered", f"with {_WORK}, answers as (select locale, key from vals where locale = 'fr') select locale, key, source from work w where not exists (select 1 from answers a where a.locale = w.locale and a.key = w.key)")
 def unanswered(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.coarse(spark, sf)
-    answers = rows.where("locale <> 'en' and ord % 4 <> 0")
+    answers = rows.where("locale = 'fr'")
     return joins.without(joins.missing_by_locale(rows, v.locales(spark, sf)), answers, ["locale", "key"]).select("locale", "key", "source")
 
 
@@ -168,10 +168,10 @@ def insert_absent(spark: SparkSession, sf: str) -> DataFrame:
     return joins.insert_absent(en(rows), fr(rows))
 
 
-@query("key_sync", f"with {v.VALUES}, {v.LOCALES}, {v.EN} select en.key, l.locale, en.value from en cross join locs l where en.key in (select key from vals where ord % 3 = 0) and not exists (select 1 from vals t where t.key = en.key and t.locale = l.locale)")
+@query("key_sync", f"with {v.VALUES}, {v.LOCALES}, {v.EN} select en.key, l.locale, en.value from en cross join locs l where en.key in (select key from vals where locale = 'fr') and not exists (select 1 from vals t where t.key = en.key and t.locale = l.locale)")
 def key_sync(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.values(spark, sf)
-    return joins.sync_keys(rows.where("ord % 3 = 0"), en(rows), rows, v.locales(spark, sf))
+    return joins.sync_keys(rows.where("locale = 'fr'"), en(rows), rows, v.locales(spark, sf))
 
 
 @query("locale_grid", f"with {v.GRID} select key, locale, value from grid")
@@ -250,10 +250,10 @@ def optimistic_updates(spark: SparkSession, sf: str) -> DataFrame:
     return joins.optimistic(rows, report)
 
 
-@query("report_invalidation", f"with {v.DIAGNOSTICS} select key, locale, code from diag where key not in (select key from vals where ord % 5 = 0)")
+@query("report_invalidation", f"with {v.DIAGNOSTICS} select key, locale, code from diag where key not in (select key from vals where locale = 'de')")
 def report_invalidation(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.coarse(spark, sf)
-    return joins.without(joins.diagnostics(rows, v.locales(spark, sf)), rows.where("ord % 5 = 0"))
+    return joins.without(joins.diagnostics(rows, v.locales(spark, sf)), rows.where("locale = 'de'"))
 
 
 @query("prefix_search", "select p_name as name from part where starts_with(p_name, 'red') order by p_name, p_partkey limit 200")
@@ -330,8 +330,8 @@ def keys_in_locales(spark: SparkSession, sf: str) -> DataFrame:
     return v.values(spark, sf).groupBy("locale").agg(F.count(F.lit(1)).alias("keys"), F.count_if(cat.blank(F.col("value"))).alias("blank"), F.min(F.length("value")).alias("shortest"), F.max(F.length("value")).alias("longest"))
 
 
-@query("selection_review", f"with {v.DIAGNOSTICS} select key, string_agg(distinct locale, ',' order by locale) as locales from diag where code like 'untranslated%' and key in (select key from vals where ord % 2 = 0) group by key")
+@query("selection_review", f"with {v.DIAGNOSTICS} select key, string_agg(distinct locale, ',' order by locale) as locales from diag where code like 'untranslated%' and key in (select key from vals where locale = 'es') group by key")
 def selection_review(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.coarse(spark, sf)
     d = joins.diagnostics(rows, v.locales(spark, sf)).where("code like 'untranslated%'")
-    return joins.only(d, rows.where("ord % 2 = 0")).groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("locale")), ",").alias("locales"))
+    return joins.only(d, rows.where("locale = 'es'")).groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("locale")), ",").alias("locales"))

@@ -9,6 +9,7 @@ from ..operators import recovery, references, templates
 from ..sources import history
 from . import views as v
 from .registry import query
+from .texts import lines
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,10 +59,10 @@ def recent_commits(spark: SparkSession, sf: str) -> DataFrame:
     return history.recent(o, F.lit(now), 90, 2).select(F.col("path").alias("o_custkey"), F.col("hash").alias("o_orderkey"))
 
 
-@query("version_diff", "with o as (select lang as path, unnest(string_split(text, chr(10))) as line from documents where doc_id % 2 = 0), n as (select lang as path, unnest(string_split(text, chr(10))) as line from documents where doc_id % 3 = 0) select path, '-' as sign, line from (select * from o except all select * from n) union all select path, '+', line from (select * from n except all select * from o)")
+@query("version_diff", "with o as (select lang as path, unnest(string_split(text, chr(10))) as line from documents), n as (select lang as path, unnest(string_split(replace(text, 'an', 'en'), chr(10))) as line from documents) select path, '-' as sign, line from (select * from o except all select * from n) union all select path, '+', line from (select * from n except all select * from o)")
 def version_diff(spark: SparkSession, sf: str) -> DataFrame:
     d = v.read(spark, sf, "documents").select("doc_id", F.col("lang").alias("path"), F.col("text").alias("content"))
-    return history.diff(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0"))
+    return history.diff(d, d.withColumn("content", F.replace("content", F.lit("an"), F.lit("en"))))
 
 
 @query("framework_detection", "select n_regionkey as project, case min(case when n_name like 'A%' then 0 when n_name like '%a%' then 3 else 5 end) when 0 then 'nuxt' when 3 then 'vue' else 'react' end as framework from nation group by 1")
@@ -70,12 +71,12 @@ def framework_detection(spark: SparkSession, sf: str) -> DataFrame:
     return history.framework(n.select(F.col("n_regionkey").alias("project"), F.when(F.col("n_name").startswith("A"), "nuxt").when(F.col("n_name").contains("a"), "vue").otherwise("react").alias("name")))
 
 
-@query("copy_requests", f"""with {v.COARSE}, r as (select key, 'en' as source, locale as target from vals where ord % 2 = 0 union all select key || 'x', 'en', locale from vals where ord % 11 = 0)
+@query("copy_requests", f"""with {v.COARSE}, r as (select key, 'en' as source, locale as target from vals union all select key || 'x', 'en', locale from vals)
 select r.key, r.source, r.target, case when r.source = r.target then 'same_locale' when r.key not in (select key from vals) then 'unknown_key' when coalesce(trim(t.value), '') = '' then 'empty_source' end as issue from r left join vals t on t.key = r.key and t.locale = r.source""")
 def copy_requests(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.coarse(spark, sf)
-    ask = rows.where("ord % 2 = 0").select("key", F.lit("en").alias("source"), F.col("locale").alias("target"))
-    ask = ask.unionByName(rows.where("ord % 11 = 0").select(F.concat("key", F.lit("x")).alias("key"), F.lit("en").alias("source"), F.col("locale").alias("target")))
+    ask = rows.select("key", F.lit("en").alias("source"), F.col("locale").alias("target"))
+    ask = ask.unionByName(rows.select(F.concat("key", F.lit("x")).alias("key"), F.lit("en").alias("source"), F.col("locale").alias("target")))
     return references.checked_parameters(ask, rows)
 
 
@@ -85,10 +86,9 @@ def suspicious_values(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(recovery.suspicious(F.col("key"), F.col("value"))).select("key", "locale")
 
 
-@query("long_sentences", "with x as (select doc_id, trim(split_part(text, chr(10), 1)) as t from documents), n as (select doc_id, t, len(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '')) as n from x) select doc_id from n where t <> '' and ((regexp_matches(t, '[.!?]') and n >= 4) or (regexp_matches(t, '(?i)^\\s*(we|you|i|they|he|she|it)\\b') and n >= 4) or n >= 10)")
+@query("long_sentences", "with x as (select doc_id, cast(unnest(range(len(string_split(text, chr(10))))) as integer) as line, trim(unnest(string_split(text, chr(10)))) as t from documents), n as (select doc_id, line, t, len(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '')) as n from x) select doc_id, line from n where t <> '' and ((regexp_matches(t, '[.!?]') and n >= 4) or (regexp_matches(t, '(?i)^\\s*(we|you|i|they|he|she|it)\\b') and n >= 4) or n >= 10)")
 def long_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    d = v.read(spark, sf, "documents")
-    return d.where(recovery.long_sentence(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))))).select("doc_id")
+    return lines(spark, sf).where(recovery.long_sentence(F.col("t"))).select("doc_id", "line")
 
 
 @query("grown_ignore_list", "select trim(text) as pattern from benchmark where trim(text) <> '' union select distinct event_type from events")

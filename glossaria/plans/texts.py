@@ -13,11 +13,15 @@ from . import views as v
 from .registry import query
 
 pages = lambda spark, sf: v.read(spark, sf, "pages")
-first_line = lambda: F.trim(F.split_part("text", F.lit("\n"), F.lit(1)))
-LINE = "trim(split_part(text, chr(10), 1))"
+_ROWS = "rows as (select doc_id, cast(unnest(range(len(string_split(text, chr(10))))) as integer) as line, trim(unnest(string_split(text, chr(10)))) as t from documents)"
 BODY = "regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', chr(10), 'g'), '(?s)<!--.*?-->', chr(10), 'g')"
 
 
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of every document, without blanks around it: doc_id, line, t."""
+    return v.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).withColumn("t", F.trim("t"))
+
+
 @query("html_texts", f"select page_id, cast(pos as integer) as pos, trim(t) as text from (select page_id, unnest(l) as t, unnest(range(len(l))) as pos from (select page_id, string_split(regexp_replace({BODY}, '<[^>]+>', chr(10), 'g'), chr(10)) as l from pages)) where regexp_matches(trim(t), '[a-zA-Z]')")
 def html_texts(spark: SparkSession, sf: str) -> DataFrame:
     return extract.html_texts(pages(spark, sf)).select("page_id", "pos", "text")
@@ -85,14 +89,16 @@ def comment_range_anti(spark: SparkSession, sf: str) -> DataFrame:
     return joins.outside(extract.offsets(files, '"([^"<>]{3,})"'), extract.comment_ranges(files))
 
 
-def _predicate(name: str, column, sql: str, table: str = "documents", key: str = "doc_id", expression=first_line, text: str = LINE) -> None:
-    """A query of the rows whose text meets a predicate."""
+def _predicate(name: str, column, sql: str, table: str = "documents", key: str = "doc_id", expression=None, text: str | None = None) -> None:
+    """A query of the rows whose text meets a predicate; of documents, every line is a row."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
+        if expression is None:
+            return lines(spark, sf).where(column(F.col("t"))).select("doc_id", "line")
         return v.read(spark, sf, table).select(key, expression().alias("t")).where(column(F.col("t"))).select(key)
 
     run.__name__ = name
-    query(name, f"with x as (select {key}, {text} as t from {table}) select {key} from x where {sql}")(run)
+    query(name, f"with {_ROWS} select doc_id, line from rows where {sql}" if expression is None else f"with x as (select {key}, {text} as t from {table}) select {key} from x where {sql}")(run)
 
 
 _never = ", ".join(f"'{w}'" for w in val.NEVER)
@@ -101,7 +107,7 @@ _n = lambda p: f"len(regexp_extract_all(t, '{p}'))"
 _BALANCED = f"{_n(chr(92) + '(')} = {_n(chr(92) + ')')} and {_n(chr(92) + '[')} = {_n(chr(92) + ']')} and {_n(chr(92) + '{')} = {_n(chr(92) + '}')} and ({_n(chr(39) * 2)} - {_n('[A-Za-z]' + chr(39) * 2 + '[A-Za-z]')}) % 2 = 0 and {_n(chr(34))} % 2 = 0"
 _BASIC = f"length(t) >= 2 and regexp_matches(t, '\\p{{L}}') and not (not regexp_matches(t, '\\s') and lower(t) in ({_never}))"
 _predicate("basic_requirements", val.basic, _BASIC)
-_predicate("unbalanced_delimiters", lambda t: ~val.balanced(t), f"not ({_BALANCED})", table="pages", key="page_id", expression=lambda: F.substring("html", 1, 200), text="left(html, 200)")
+_predicate("unbalanced_delimiters", lambda t: ~val.balanced(t), f"not ({_BALANCED})", table="pages", key="page_id", expression=lambda: F.col("html"), text="html")
 _predicate("placeholder_only", lambda t: val.placeholder_only(t), "t = '' or not regexp_matches(t, '\\p{L}')", table="conversations", key="conv_id", expression=lambda: F.regexp_extract("text", "[0-9]+", 0), text="regexp_extract(text, '[0-9]+')")
 _words = "list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '')"
 _one = f"regexp_replace({_words}[1], '[.,:;!?]+$', '')"
@@ -113,13 +119,13 @@ _predicate("version_like", val.is_version, "regexp_matches(t, '(?i)^v?[0-9]+\\.[
 _predicate("query_string_like", val.is_query_string, "regexp_matches(t, '(?i)^[?&]?[a-z_][a-z0-9_]*=[^&\\s]*') or regexp_matches(t, '%[0-9A-F]{2}')", table="pages", key="page_id", expression=lambda: F.regexp_extract("url", r"\?.*$", 0), text="regexp_extract(url, '\\?.*$')")
 _predicate("numeric_like", val.is_numeric, "regexp_matches(trim(t), '^[+-]?[0-9][0-9\\s.,()/-]*%?$')", table="orders", key="o_orderkey", expression=lambda: F.col("o_totalprice").cast("decimal(18,2)").cast("string"), text="cast(cast(o_totalprice as decimal(18,2)) as varchar)")
 _predicate("common_short_text", fn.common_short, "trim(t) <> '' and len(string_split_regex(trim(t), '\\s+')) <= 2 and length(trim(t)) <= 24 and not regexp_matches(trim(t), '[.!?/]')", table="part", key="p_partkey", expression=lambda: F.col("p_name"), text="p_name")
-_predicate("unbalanced_parens", lambda t: F.regexp_count(t, F.lit(r"\(")) != F.regexp_count(t, F.lit(r"\)")), f"{_n(chr(92) + '(')} <> {_n(chr(92) + ')')}", table="pages", key="page_id", expression=lambda: F.substring("html", 1, 180), text="left(html, 180)")
+_predicate("unbalanced_parens", lambda t: F.regexp_count(t, F.lit(r"\(")) != F.regexp_count(t, F.lit(r"\)")), f"{_n(chr(92) + '(')} <> {_n(chr(92) + ')')}", table="pages", key="page_id", expression=lambda: F.col("html"), text="html")
 
 
 @query("rejection_histogram")
 def rejection_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    """Reasons of the whole cascade over first lines."""
-    rows = extract.translatable(v.read(spark, sf, "documents").select(first_line().alias("text")))
+    """Reasons of the whole cascade over all lines."""
+    rows = extract.translatable(lines(spark, sf).select(F.col("t").alias("text")))
     return reports.histogram(rows.select(F.coalesce("reason", F.lit("translatable")).alias("reason")), "reason")
 
 
@@ -130,13 +136,13 @@ def should_translate_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ACC, _BAS = zip(*[(a, b) for a, b in zip(*fn.ACCENTS, strict=False) if b != "\0"], strict=True)
-_PLAIN = f"regexp_replace(translate({LINE}, '{''.join(_ACC)}', '{''.join(_BAS)}'), '[^\\x00-\\x7F]', '', 'g')"
+_PLAIN = f"regexp_replace(translate(t, '{''.join(_ACC)}', '{''.join(_BAS)}'), '[^\\x00-\\x7F]', '', 'g')"
 
 
-@query("slugify_ascii", f"""with s as (select doc_id, array_to_string(list_slice(regexp_extract_all(lower({_PLAIN}), '[a-z0-9]+'), 1, 4), '_') as s from documents)
-select doc_id, case when length(s) > 48 then regexp_replace(left(s, 48), '_+$', '') else s end as slug from s where s <> ''""")
+@query("slugify_ascii", f"""with {_ROWS}, s as (select doc_id, line, array_to_string(list_slice(regexp_extract_all(lower({_PLAIN}), '[a-z0-9]+'), 1, 4), '_') as s from rows)
+select doc_id, line, case when length(s) > 48 then regexp_replace(left(s, 48), '_+$', '') else s end as slug from s where s <> ''""")
 def slugify_ascii(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.read(spark, sf, "documents").select("doc_id", fn.slug(first_line()).alias("slug"))
+    rows = lines(spark, sf).select("doc_id", "line", fn.slug(F.col("t")).alias("slug"))
     return rows.where(~F.col("slug").startswith("text_"))
 
 
@@ -173,12 +179,12 @@ def slug_collisions(spark: SparkSession, sf: str) -> DataFrame:
     return cat.number_slugs(items).select("ns", "slug", "text", "final")
 
 
-@query("typo_repair", """with k as (select distinct p_type as prefix, p_name as leaf from part), b as (select distinct p_type as prefix, p_name || 'x' as leaf from part where p_partkey % 10 = 0),
+@query("typo_repair", """with k as (select distinct p_type as prefix, p_name as leaf from part), b as (select distinct p_type as prefix, p_name || 'x' as leaf from part),
 m as (select b.prefix || '.' || b.leaf as key, k.prefix || '.' || k.leaf as repair, levenshtein(b.leaf, k.leaf) as distance, length(b.leaf) as n from b join k using (prefix))
 select key, repair, distance from (select *, row_number() over (partition by key order by distance, repair) as r from m where distance <= greatest(2, n // 4)) where r = 1""")
 def typo_repair(spark: SparkSession, sf: str) -> DataFrame:
     known = v.read(spark, sf, "part").select(F.concat_ws(".", "p_type", "p_name").alias("key"), "p_partkey")
-    broken = known.where("p_partkey % 10 = 0").select(F.concat("key", F.lit("x")).alias("key")).distinct()
+    broken = known.select(F.concat("key", F.lit("x")).alias("key")).distinct()
     return joins.typo_repair(broken, known.select("key").distinct())
 
 
@@ -198,9 +204,9 @@ def key_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "other")).alias("b")).select("key", F.col("b.other").alias("other"), (-F.col("b.s")).alias("score"))
 
 
-@query("placeholder_sets", "select conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\{([A-Za-z0-9_.]+)\\}', 1))), ',') as names from conversations")
+@query("placeholder_sets", "select conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(text, ' (t[a-z]+)', ' {\\1}', 'g'), '\\{([A-Za-z0-9_.]+)\\}', 1))), ',') as names from conversations")
 def placeholder_sets(spark: SparkSession, sf: str) -> DataFrame:
-    return v.read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(fn.placeholders(F.col("text")), ",").alias("names"))
+    return v.read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(fn.placeholders(F.regexp_replace("text", " (t[a-z]+)", " {$1}")), ",").alias("names"))
 
 
 @query("cache_keys", "select conv_id, turn, 'en::fr::' || lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as entry from conversations")
@@ -214,9 +220,9 @@ def distinct_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("role", "phrase").agg(F.min_by("text", "ord").alias("text"), F.count(F.lit(1)).alias("n"))
 
 
-@query("relevance_scores", "select doc_id, (case when contains(lower(t), 'the') then 10 else 0 end) + (case when contains(lower(t), 'and') then 10 else 0 end) + (case when regexp_matches(t, '^[A-Z]') then 2 else 0 end) + (case when regexp_matches(t, '[.!?]$') then 2 else 0 end) + (case when contains(t, ' ') then 1 else 0 end) + (case when length(t) between 5 and 100 then 2 else 0 end) as score from (select doc_id, trim(split_part(text, chr(10), 1)) as t from documents)")
+@query("relevance_scores", f"with {_ROWS} select doc_id, line, (case when contains(lower(t), 'the') then 10 else 0 end) + (case when contains(lower(t), 'and') then 10 else 0 end) + (case when regexp_matches(t, '^[A-Z]') then 2 else 0 end) + (case when regexp_matches(t, '[.!?]$') then 2 else 0 end) + (case when contains(t, ' ') then 1 else 0 end) + (case when length(t) between 5 and 100 then 2 else 0 end) as score from rows")
 def relevance_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return v.read(spark, sf, "documents").select("doc_id", fn.relevance(first_line(), F.array(F.lit("the"), F.lit("and"))).alias("score"))
+    return lines(spark, sf).select("doc_id", "line", fn.relevance(F.col("t"), F.array(F.lit("the"), F.lit("and"))).alias("score"))
 
 
 @query("typography", "select doc_id, replace(translate(text, '‘’“”–—', '''''\"\"--'), '…', '...') as text from documents")
@@ -246,17 +252,18 @@ def wrap_known_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("english_words")
 def english_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of first lines by language that sound like English."""
-    d = v.read(spark, sf, "documents")
-    return d.groupBy("lang").agg(F.count_if(val.english_text(first_line())).alias("english"), F.count(F.lit(1)).alias("n"))
+    """Lines by language, and those that sound like English."""
+    d = v.read(spark, sf, "documents").select("lang", F.explode(F.split("text", "\n")).alias("t"))
+    return d.groupBy("lang").agg(F.count_if(val.english_text(F.trim("t"))).alias("english"), F.count(F.lit(1)).alias("n"))
 
 
 _SHORTS = ", ".join(f"'{w}'" for w in val.SHORT)
 
 
-@query("short_english_words", f"select n_nationkey from nation where lower(left(n_name, 2)) in ({_SHORTS})")
+@query("short_english_words", f"select distinct w from (select lower(unnest(string_split_regex(text, '[^A-Za-z]+'))) as w from conversations) where length(w) = 2 and w in ({_SHORTS})")
 def short_english_words(spark: SparkSession, sf: str) -> DataFrame:
-    return v.read(spark, sf, "nation").where(val.english_word(F.substring("n_name", 1, 2))).select("n_nationkey")
+    words = v.read(spark, sf, "conversations").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) = 2").distinct()
+    return words.where(val.english_word(F.col("w")))
 
 
 @query("invalid_base_values")

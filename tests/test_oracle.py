@@ -1,4 +1,4 @@
-"""Every registered query runs; those with SQL give the same rows in DuckDB."""
+"""Queries with SQL give the same rows in DuckDB; the others give rows, with values in every column."""
 
 import math
 
@@ -46,7 +46,8 @@ def test_same_rows(name, spark, sf, duck):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(name, spark, sf):
-    assert QUERIES[name](spark, sf).count() >= 0
+    found = QUERIES[name](spark, sf).toPandas()
+    assert len(found) and all(found[c].notna().any() for c in found.columns)
 
 
 def test_entry(spark):
