@@ -120,7 +120,7 @@ def _bitmap(keys: DataFrame, key: str) -> DataFrame:
     return keys.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / 64).cast("long").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits"))
 
 
-def _looked_up(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def looked_up(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """rows with _hit: whether the bitmap of keys has the key's bit."""
     place = F.pmod(F.xxhash64(key), F.lit(BITMAP_WORDS * 64))
     marked = rows.withColumn("_p", place).withColumn("_w", F.floor(F.col("_p") / 64).cast("long"))
@@ -130,12 +130,12 @@ def _looked_up(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def near_bitmap(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows whose key may be among the wanted keys: a semi join against a bitmap of fixed size, never missing one."""
-    return _looked_up(rows, wanted, key).where("_hit").drop("_hit")
+    return looked_up(rows, wanted, key).where("_hit").drop("_hit")
 
 
 def without_keys(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Anti join that shuffles only the rows whose key's bit is set; the others (most, where few keys go) stay in place."""
-    looked = _looked_up(rows, gone, key)
+    looked = looked_up(rows, gone, key)
     sure = looked.where("not _hit").drop("_hit")
     return sure.unionByName(looked.where("_hit").drop("_hit").join(gone.select(key), key, "left_anti").select(sure.columns))
 

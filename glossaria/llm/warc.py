@@ -1,10 +1,11 @@
 """WARC archives: written from pages, read back, and their capture index merged externally.
 
 Writing: a page whose payload (HTML in UTF-8) has at least LEAST bytes and equals that of a page with a larger id becomes a
-revisit record of the page with the largest id, else a response record. Records are built by built-in functions and written
-by Spark as text files whose line separator is the blank line pair that ends a WARC record, so any file system will do.
+revisit record of the page with the largest id, else a response record. Records are built by built-in functions, each becomes
+a gzip member of its own, and Spark's text sink writes them, so any file system will do.
 
-Reading: each archive is parsed record by record along its Content-Length; positions count its uncompressed bytes. A task sorts the captures it read into a run by
+Reading: each archive is parsed member by member, each along its Content-Length; positions are those of the members in the
+compressed archive, so that a record can be read by itself. A task sorts the captures it read into a run by
 (URL key, timestamp, page); runs are dealt by ranges of that order and each range merges its k runs with a loser tree, which
 gives globally ordered capture histories over partitions in order. A range is as even as the sampled order allows, a
 frequent host is split by URL, time and page.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -30,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, scratch, stash
+from .common import looked_up, prepare, scratch, stash
 
 LEAST = 1000
-#: Rows of one archive: bounds the bytes that one reading task holds.
-ARCHIVE_ROWS = 1000
+#: Records of one archive, bytes of a payload up to which that holds, and bytes of an archive of longer ones.
+ARCHIVE_ROWS, SHORT, ARCHIVE_BYTES = 1000, 1 << 20, 1 << 29
+EMPTY = gzip.compress(b"", mtime=0)
 VERSION = "WARC/1.1"
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 CAPTURE = "page_id long, url_key string, stamp string, archive string, position long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -45,13 +48,27 @@ def _lines(*parts) -> F.Column:
     return F.concat(*[F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit("")) for name, value in parts])
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """One record per page, as (value) without the blank lines behind it."""
+def judged(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, size, digest (SHA-1) and keeper: the largest page_id with an equal payload, where there are several.
+
+    Equal is equal by SHA-256 and size. Only thin rows meet by payload; the rows with their HTML stay where they are, but for
+    copies (and what a bitmap of fixed size takes for them), which find their keeper by page.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
-    own = own.withColumn("size", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    again = own.where(F.col("size") >= LEAST).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "size", "keeper")
-    own = own.join(again, ["digest", "size"], "left")
+    own = own.withColumn("size", F.octet_length("html").cast("long")).withColumn("same", F.sha2("html", 256)).withColumn("k", F.xxhash64("page_id", "same"))
+    thin = own.where(F.col("size") >= LEAST).select("page_id", "same", "k")
+    again = thin.groupBy("same").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null").select("same", "keeper")
+    copies = stash(thin.distinct().join(again, "same"), "warc-copies")
+    found = looked_up(own, copies, "k")
+    alone = found.where("not _hit").withColumn("keeper", F.lit(None).cast("long"))
+    several = found.where("_hit").join(copies.select(F.col("page_id").alias("p"), F.col("same").alias("s"), F.col("k").alias("j"), "keeper"), F.expr("k = j and same = s and page_id <=> p"), "left")
+    return alone.unionByName(several.select(alone.columns)).drop("_hit", "k", "same").withColumn("digest", F.sha1(F.col("html").cast("binary")))
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """One record per page, as (value, size of its payload) without the blank lines behind it."""
+    own = judged(pages)
     revisit = F.col("keeper").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("keeper")))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     stamp = F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.coalesce(F.pmod("page_id", F.lit(10**9)), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -74,12 +91,42 @@ def records(pages: DataFrame) -> DataFrame:
         ),
         F.lit("\r\n"),
     )
-    return own.select(F.concat(head, "block").alias("value"))
+    return own.select(F.concat(head, "block").alias("value"), "size")
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record with its blank lines as one gzip member."""
+    for rows in batches:
+        out = [gzip.compress(x.encode() + b"\r\n\r\n", 6, mtime=0) for x in rows.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Archives of at most ARCHIVE_ROWS records each, as compressed parts of a folder."""
-    records(pages).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
+    """Archives of one gzip member per record, in the folders short and long below path.
+
+    Records of short payloads go ARCHIVE_ROWS to an archive; longer ones so many that an archive stays below ARCHIVE_BYTES.
+    Spark's text sink writes the members' bytes as they are, and an empty member where it would end a line.
+    """
+    made = stash(records(pages), "warc-records")
+    longest = made.agg(F.max("size")).first()[0] or 0
+    for name, some, rows in (("short", made.where(F.col("size") <= SHORT), ARCHIVE_ROWS), ("long", made.where(F.col("size") > SHORT), max(1, ARCHIVE_BYTES // (longest + 4096)))):
+        if name == "short" or longest > SHORT:
+            members = some.select("value").mapInArrow(_members, "value binary").select(F.col("value").cast("string").alias("value"))
+            members.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("maxRecordsPerFile", rows).text(f"{path}/{name}")
+
+
+def members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(position in the compressed bytes, content) of each gzip member that isn't empty."""
+    at, step, view = 0, 1 << 16, memoryview(data)
+    while at < len(data):
+        start, out, unzip = at, [], zlib.decompressobj(31)
+        while not unzip.eof:
+            if at >= len(data):
+                raise ValueError(f"no end of member at {start}")
+            out.append(unzip.decompress(view[at : at + step]))
+            at = min(at + step, len(data)) - len(unzip.unused_data)
+        if content := b"".join(out):
+            yield start, content
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -114,7 +161,8 @@ def _run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for some in rows:
         for path, data in zip(some["path"], some["content"], strict=True):
             out, data = [], bytes(data)
-            for at, header, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            zipped = data[:2] == b"\x1f\x8b"
+            for at, header, block in ((at if zipped else own, header, block) for at, part in (members(data) if zipped else [(0, data)]) for own, header, block in parse(part)):
                 page = _PAGE.match(header.get("warc-record-id", ""))
                 refers = _PAGE.match(header.get("warc-refers-to", ""))
                 if header["warc-type"] == "response":
@@ -196,7 +244,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """The merged capture index of a folder of archives, globally ordered by URL key, timestamp and page."""
     prepare(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     runs = stash(files.mapInPandas(_run, CAPTURE), "runs")
     dealt = runs.repartitionByRange("url_key", "stamp", "page_id").sortWithinPartitions("archive", "url_key", "stamp", F.col("page_id").asc_nulls_first(), "position")
     return dealt.mapInArrow(_merge, CAPTURE)

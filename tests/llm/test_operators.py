@@ -543,3 +543,21 @@ def test_bounds_let_every_link_through(spark):
     linked = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if jaccard_join.linked(sets[i], sets[j])}
     assert linked <= passed and len(passed) < 3 * len(linked)
     assert {len(r.whole) for r in found.collect()} >= {4, 8, 16, 32}
+
+
+def test_each_record_is_a_member_of_its_archive(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SHORT", 3000)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 9000)
+    same, rows = "x" * 1500, [(i, f"http://h{i % 3}.org/{i}", "é" * (i * 200)) for i in range(20)]
+    rows += [(100, "u", same), (101, "u", same), (101, "u", same), (None, "u", same), (102, None, None)]
+    path = str(tmp_path / "archives")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    found = warc.captures(spark, path).collect()
+    assert len(found) == len(rows) and len({r.archive for r in found if "/long/" in r.archive}) > 3
+    for r in found:
+        with open(r.archive.removeprefix("file:"), "rb") as f:
+            f.seek(r.position)
+            member = zlib.decompressobj(31).decompress(f.read())
+        assert member.startswith(b"WARC/1.1\r\n") and member.endswith(b"\r\n\r\n") and (r.page_id is None or f"<urn:page:{r.page_id}>".encode() in member)
+    kinds = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in found if r.payload_bytes == 1500)
+    assert kinds == [(0, "revisit", 101), (100, "revisit", 101), (101, "response", None), (101, "response", None)]
