@@ -34,8 +34,6 @@ from .common import fold, prepare, text_slices, words
 FOLDS = 5
 #: Bounds of the training sample, of the vocabulary, and the number of averaged classifiers.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS, MODELS = 2000, 6000, 4096, 3
-#: Distinct features of one training text that are kept, lowest hashes first.
-MAX_TEXT_WORDS = 8000
 PREFIXES = (4, 5, 6)
 #: Least estimated share of toxic texts among those with a feature: prior * share in P / share in U.
 PURITY = 0.85
@@ -60,7 +58,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, at in text_slices(batches):
         h, row = distinct_words(data, at)
         cut = np.searchsorted(row, np.arange(len(at)))
-        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("part")), pa.array([h[a : min(b, a + MAX_TEXT_WORDS)].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["part", "words"])
+        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("part")), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["part", "words"])
 
 
 class Model:
