@@ -4,9 +4,10 @@ A text is its UTF-8 bytes and an end symbol. Each symbol is a path of binary dec
 before (Huffman trees of the training counts, so a byte takes about as many decisions as it has bits of order-1 entropy).
 Three predictors, each a table hashed by a context (two bytes, four bytes, the letters of the word so far; A-Z lower-cased), give the
 odds of a decision's bit from the training counts of their context. A mixer adds the odds with weights gated by the depth
-in the tree and the place in the word; the weights start from values learned on MIX_DOCS training texts that are kept out
-of the counts, and are refined online after every block of BLOCK symbols of the text itself. The cost in bits of all
-decisions is the text's code length; score is its log10 probability, bits_per_byte the length per byte.
+in the tree and the place in the word, and a refinement by gate and step of the mixed odds corrects the sum. Weights and
+refinements start from values learned on MIX_DOCS training texts that are kept out of the counts, and both adapt
+after every block of BLOCK symbols of the text itself; the predictors' counts don't change while a text is scored. Texts are
+lower-cased (A-Z) first, as for the base. The cost in bits of all decisions is the text's code length; score is its log10 probability, bits_per_byte the length per byte.
 
 The base is an add-one unigram over word tokens; its counts, and those of the predictors, come from all training texts
 (crc32(doc_id) mod 7 is not 2).
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, prepare, stash, text_slices, to_signed, words
+from .common import fold, lower_az, prepare, stash, text_slices, to_signed, words
 
 FOLDS, HELD = 7, 2
 END, SYMBOLS = 256, 257
@@ -45,7 +46,9 @@ SLOTS = (1 << 15, 1 << 16, 1 << 17)
 SHARDS = 128
 #: Texts that set the first weights, the longest of them, and passes over them.
 MIX_DOCS, MIX_BYTES, MIX_EPOCHS = 192, 100_000, 4
-BLOCK, GATES, RATE = 256, 15, 0.006
+BLOCK, GATES, RATE = 128, 15, 0.006
+#: Steps of the mixed odds that have a refinement of their own under each gate, and its rate.
+STEPS, REFINING = 24, 0.02
 HEAVY = 1 << 17
 #: The mixed odds end here on either side, so no bit is impossible.
 EDGE = np.float32(11.5)
@@ -263,9 +266,10 @@ class Mixer:
     def __init__(self, trees: Trees, odds: list[np.ndarray]):
         self.trees, self.odds = trees, odds
         self.weight = np.full((GATES, len(SLOTS)), 0.4, np.float32)
+        self.refined = np.zeros(GATES * STEPS, np.float32)
 
-    def cost(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each text, and the weights that each text ends with."""
+    def cost(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of each text, and the weights and refinements that each text ends with."""
         symbols, length, place = stream(data, at)
         docs = len(length)
         b1, slots, letters = self.trees.slots(symbols, place)
@@ -293,6 +297,7 @@ class Mixer:
             x.append(odds.take((slot.take(order) * np.uint32(LEAVES)).take(of) + node).astype(np.float32) * np.float32(1 / SCALE))
         sign = (2 * bit - 1).astype(np.float32)
         w = [np.tile(self.weight[:, k], docs) for k in range(len(SLOTS))]
+        refined = np.tile(self.refined, docs)
         nats = np.empty(ends[-1], np.float32)
         a = 0
         for end in ends[np.cumsum(steps) - 1]:
@@ -300,6 +305,9 @@ class Mixer:
             margin = w[0].take(g) * x[0][a:end]
             for k in range(1, len(SLOTS)):
                 margin += w[k].take(g) * x[k][a:end]
+            # the refinement of these odds: what the text, and the training texts before it, showed where the odds were alike
+            like = g * STEPS + np.clip(margin * np.float32(1.5) + np.float32(STEPS / 2), 0, STEPS - 1).astype(np.intp)
+            margin += refined.take(like)
             margin *= s
             np.clip(margin, -EDGE, EDGE, out=margin)
             wrong = 1 / (1 + np.exp(margin))  # probability of the other bit
@@ -307,11 +315,12 @@ class Mixer:
             wrong *= s
             for k in range(len(SLOTS)):
                 w[k] += RATE * np.bincount(g, wrong * x[k][a:end], len(w[k])).astype(np.float32)
+            refined += REFINING * np.bincount(like, wrong, len(refined)).astype(np.float32)
             a = end
         # a text's decisions lie together in each step: sums over these runs, then over the steps
         run = np.concatenate([[0], np.flatnonzero(np.diff(doc.take(order)) | np.diff(step.take(order))) + 1])
         bits = -np.bincount(doc.take(order.take(run)), np.add.reduceat(nats, begin.take(run), dtype=np.float64), docs)
-        return bits / np.log(2), np.stack(w, axis=1)
+        return bits / np.log(2), np.stack(w, axis=1), refined.reshape(docs, -1)
 
 
 def train(texts: DataFrame, mixing: list[str], pairs: list[tuple[int, int]]) -> Mixer:
@@ -332,7 +341,8 @@ def train(texts: DataFrame, mixing: list[str], pairs: list[tuple[int, int]]) ->
         encoded = [t.encode() for t in mixing]
         data, at = np.frombuffer(b"".join(encoded), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in encoded])])
         for _ in range(MIX_EPOCHS):
-            _, w = mixer.cost(data, at)
+            _, w, refined = mixer.cost(data, at)
+            mixer.refined = refined.mean(0).astype(np.float32)
             mixer.weight = w.reshape(len(encoded), GATES, len(SLOTS)).mean(0).astype(np.float32)
     return mixer
 
@@ -348,7 +358,7 @@ def _score(model):
         row = TaskContext.get().partitionId() << 33
         for rows, data, at in text_slices(batches, limit=SLICE):
             n = len(at) - 1
-            bits, _ = mixer.cost(data, at)
+            bits, _, _ = mixer.cost(data, at)
             h, r, _, _ = words(data, at)
             tokens = np.bincount(r, minlength=n) + 1
             h, r = np.concatenate([h, np.full(n, _END_TOKEN)]), np.concatenate([r, np.arange(n)])
@@ -379,7 +389,7 @@ def _score(model):
 def scored(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = prepare(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_az(F.col("text")).alias("text"), (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"))
     trained = own.where("not held_out")
     counts = stash(trained.select("text").mapInArrow(_token_counts, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c")), "tokens")
     tokens = counts.where("kind = 0").select("key", "c")

@@ -170,13 +170,13 @@ def test_mixing_is_a_distribution(spark):
     mixer = context_mixing.train(frame(spark, texts).select("text"), texts[:4], [])
     every = [bytes([b]) for b in range(256)]
     data, at = np.frombuffer(b"".join([b"", *every]), np.uint8), np.concatenate([[0, 0], np.arange(1, 257)])
-    bits, _ = mixer.cost(data, at)
+    bits, *_ = mixer.cost(data, at)
     assert 0 < (2.0**-bits).sum() <= 1 + 1e-6
-    a, _ = mixer.cost(*flat(["the cat sat. "]))
-    b, _ = mixer.cost(*flat(["xq zvk wpl jj"]))
+    a, *_ = mixer.cost(*flat(["the cat sat. "]))
+    b, *_ = mixer.cost(*flat(["xq zvk wpl jj"]))
     assert a[0] < b[0] / 2
-    alone, _ = mixer.cost(*flat([texts[0]]))
-    together, _ = mixer.cost(*flat(["a" * 900, texts[0], "", "b c d"]))
+    alone, *_ = mixer.cost(*flat([texts[0]]))
+    together, *_ = mixer.cost(*flat(["a" * 900, texts[0], "", "b c d"]))
     assert together[1] == pytest.approx(alone[0])  # a text's cost doesn't depend on its neighbours
 
 
@@ -193,7 +193,7 @@ def test_every_byte_is_learned(spark):
     mixer = context_mixing.train(frame(spark, texts).select("text"), texts[:2] + texts[-2:], list(pairs.items()))
     for w in words:  # each script's own words cost far less than 8 bits a byte, the rare scripts' too
         t = " ".join(rng.choice(w) for _ in range(20))
-        bits, _ = mixer.cost(*flat([t]))
+        bits, *_ = mixer.cost(*flat([t]))
         assert bits[0] < 1.5 * len(t.encode())
 
 
