@@ -39,8 +39,6 @@ from .common import fold, lower_az, prepare, stash, text_slices, to_signed, word
 
 FOLDS, HELD = 7, 2
 END, SYMBOLS = 256, 257
-#: Every symbol has a leaf of its own in the trees.
-LEAVES = SYMBOLS
 #: Slots of the predictors' tables, and shards of each.
 SLOTS = (1 << 15, 1 << 16, 1 << 17)
 SHARDS = 128
@@ -107,18 +105,33 @@ def _word_power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trees:
-    """A code tree by the byte before: (first, length) of each symbol's path in flat arrays of nodes and bits."""
+    """A code tree by the byte before: (first, length) of each leaf's path in flat arrays of nodes and bits.
+
+    Every symbol that occurs in training has a leaf (without any counts, all have). Those that never do, of which nothing is
+    known, share one more and cost the same there.
+    """
 
     def __init__(self, counts: np.ndarray):
         counts = counts.reshape(256, SYMBOLS).astype(np.float64)
-        share = counts.sum(0) / max(counts.sum(), 1)
+        seen = (counts.sum(0) > 0) | (counts.sum() == 0)
+        seen[END] = True
+        listed = np.flatnonzero(seen)
+        unseen = SYMBOLS - len(listed)
+        leaves = self.leaves = max(2, len(listed) + (unseen > 0))
+        self.leaf = np.full(SYMBOLS, leaves - 1, np.uint16)
+        self.leaf[listed] = np.arange(len(listed))
+        self.shared = leaves - 1 if unseen else -1
+        self.rest_bits = float(np.log2(max(unseen, 1)))
+        by_leaf = np.zeros((256, leaves))
+        by_leaf[:, : len(listed)] = counts[:, listed]
+        share = by_leaf.sum(0) / max(by_leaf.sum(), 1)
         nodes, bits = [], []
-        self.first = np.zeros(256 * LEAVES, np.int32)
-        self.length = np.zeros(256 * LEAVES, np.int32)
+        self.first = np.zeros(256 * leaves, np.int32)
+        self.length = np.zeros(256 * leaves, np.int32)
         at = 0
         for prev in range(256):
-            for leaf, path in enumerate(self._huffman(counts[prev] + 0.5 * share + 1e-3)):
-                self.first[prev * LEAVES + leaf], self.length[prev * LEAVES + leaf] = at, len(path)
+            for leaf, path in enumerate(self._huffman(by_leaf[prev] + 0.5 * share + 1e-3)):
+                self.first[prev * leaves + leaf], self.length[prev * leaves + leaf] = at, len(path)
                 nodes += [n for n, _ in path]
                 bits += [b for _, b in path]
                 at += len(path)
@@ -203,7 +216,8 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _context_counts(trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(s * LEAVES, np.int32) for s in SLOTS]
+        leaves, leaf = np.uint32(trees.value.leaves), trees.value.leaf
+        counts = [np.zeros(s * int(leaves), np.int32) for s in SLOTS]
         held, size = [[] for _ in SLOTS], 0
 
         def add() -> None:
@@ -215,8 +229,9 @@ def _context_counts(trees):
 
         for _, data, at in text_slices(batches, limit=SLICE):
             symbols, _, place = stream(data, at)
+            found = leaf.take(symbols)
             for k, slot in enumerate(trees.value.slots(symbols, place)[1]):
-                held[k].append((slot * np.uint32(LEAVES) + symbols).astype(np.int32))
+                held[k].append((slot * leaves + found).astype(np.int32))
             size += len(symbols)
             if size > COUNTED:
                 add()
@@ -235,22 +250,22 @@ def _odds(trees):
     def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sum a shard's counts task by task, and turn them into the odds of every node of every slot."""
         k, shard = int(key[0]), int(key[1])
-        slots = SLOTS[k] // SHARDS
-        table = np.zeros(slots * LEAVES, np.float32)
+        slots, leaves = SLOTS[k] // SHARDS, trees.value.leaves
+        table = np.zeros(slots * leaves, np.float32)
         for x in batches:
             for at, c in zip(x["at"], x["c"], strict=True):
                 table[np.frombuffer(at, np.uint32)] += np.frombuffer(c, np.uint32)
-        table = table.reshape(slots, LEAVES)
-        out = np.zeros((slots, LEAVES), np.int8)
+        table = table.reshape(slots, leaves)
+        out = np.zeros((slots, leaves), np.int8)
         start, size = trees.value.regions[k]
         for prev in range(256):
             a, b = max(int(start[prev]) - shard * slots, 0), min(int(start[prev]) + int(size[prev]) - shard * slots, slots)
             if a >= b or not table[a:b].any():
                 continue
-            sides = np.zeros((2, LEAVES, LEAVES), np.float32)
-            row = slice(prev * LEAVES, (prev + 1) * LEAVES)
+            sides = np.zeros((2, leaves, leaves), np.float32)
+            row = slice(prev * leaves, (prev + 1) * leaves)
             first, length = trees.value.first[row], trees.value.length[row]
-            leaf = np.repeat(np.arange(LEAVES), length)
+            leaf = np.repeat(np.arange(leaves), length)
             path = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
             sides[trees.value.bit[path], leaf, trees.value.node[path]] = 1
             zero, one = table[a:b] @ sides[0], table[a:b] @ sides[1]
@@ -278,7 +293,8 @@ class Mixer:
         order = np.argsort(step.astype(np.int16) if step.max() < 1 << 15 else step, kind="stable")
         steps = np.bincount(step)
         b1 = b1.take(order)
-        path = b1 * np.uint32(LEAVES) + symbols.take(order)
+        leaf, leaves = self.trees.leaf.take(symbols), np.uint32(self.trees.leaves)
+        path = b1 * leaves + leaf.take(order)
         count = self.trees.length.take(path)
         ends = np.cumsum(count, dtype=np.int64)
         begin = ends - count
@@ -294,7 +310,7 @@ class Mixer:
         gate = np.minimum(depth, 2) + kind.take(of)
         x = []
         for odds, slot in zip(self.odds, slots, strict=True):
-            x.append(odds.take((slot.take(order) * np.uint32(LEAVES)).take(of) + node).astype(np.float32) * np.float32(1 / SCALE))
+            x.append(odds.take((slot.take(order) * leaves).take(of) + node).astype(np.float32) * np.float32(1 / SCALE))
         sign = (2 * bit - 1).astype(np.float32)
         w = [np.tile(self.weight[:, k], docs) for k in range(len(SLOTS))]
         refined = np.tile(self.refined, docs)
@@ -320,7 +336,8 @@ class Mixer:
         # a text's decisions lie together in each step: sums over these runs, then over the steps
         run = np.concatenate([[0], np.flatnonzero(np.diff(doc.take(order)) | np.diff(step.take(order))) + 1])
         bits = -np.bincount(doc.take(order.take(run)), np.add.reduceat(nats, begin.take(run), dtype=np.float64), docs)
-        return bits / np.log(2), np.stack(w, axis=1), refined.reshape(docs, -1)
+        unseen = np.bincount(doc[leaf == self.trees.shared], minlength=docs) * self.trees.rest_bits
+        return bits / np.log(2) + unseen, np.stack(w, axis=1), refined.reshape(docs, -1)
 
 
 def train(texts: DataFrame, mixing: list[str], pairs: list[tuple[int, int]]) -> Mixer:
@@ -332,10 +349,10 @@ def train(texts: DataFrame, mixing: list[str], pairs: list[tuple[int, int]]) ->
     trees = Trees(counts)
     shared = spark.sparkContext.broadcast(trees)
     found = texts.mapInArrow(_context_counts(shared), "k int, shard int, at binary, c binary").groupBy("k", "shard").applyInPandas(_odds(shared), "k int, shard int, odds binary").collect()
-    odds = [np.zeros((s, LEAVES), np.int8) for s in SLOTS]
+    odds = [np.zeros((s, trees.leaves), np.int8) for s in SLOTS]
     for r in found:
         n = SLOTS[r.k] // SHARDS
-        odds[r.k][r.shard * n : (r.shard + 1) * n] = np.frombuffer(r.odds, np.int8).reshape(n, LEAVES)
+        odds[r.k][r.shard * n : (r.shard + 1) * n] = np.frombuffer(r.odds, np.int8).reshape(n, trees.leaves)
     mixer = Mixer(trees, [o.reshape(-1) for o in odds])
     if mixing:
         encoded = [t.encode() for t in mixing]
