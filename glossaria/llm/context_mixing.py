@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, lower_az, prepare, stash, text_slices, to_signed, words
+from .common import fold, prepare, stash, text_slices, to_signed, words
 
 FOLDS, HELD = 7, 2
 END, SYMBOLS = 256, 257
@@ -44,7 +44,7 @@ SLOTS = (1 << 15, 1 << 16, 1 << 17)
 SHARDS = 128
 #: Texts that set the first weights, the longest of them, and passes over them.
 MIX_DOCS, MIX_BYTES, MIX_EPOCHS = 192, 100_000, 4
-BLOCK, GATES, RATE = 128, 15, 0.006
+BLOCK, GATES, RATE = 256, 15, 0.006
 #: Steps of the mixed odds that have a refinement of their own under each gate, and its rate.
 STEPS, REFINING = 24, 0.02
 HEAVY = 1 << 17
@@ -66,13 +66,13 @@ _LOW[ord("A") : ord("Z") + 1] += 32
 
 
 def stream(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts with their ends, each text's number of symbols, and each symbol's place in its text."""
+    """Symbols of all texts (A-Z lower-cased) with their ends, each text's number of symbols, and each symbol's place in its text."""
     length = np.diff(at) + 1
     ends = np.cumsum(length) - 1
     is_end = np.zeros(ends[-1] + 1, bool)
     is_end[ends] = True
     out = np.full(len(is_end), END, np.uint16)
-    out[~is_end] = data
+    out[~is_end] = _LOW.take(data)
     place = np.arange(len(out), dtype=np.int32) - np.repeat((ends - length + 1).astype(np.int32), length)
     return out, length, place
 
@@ -165,9 +165,8 @@ class Trees:
 
     def slots(self, symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """The byte before, the slot of each predictor, and the letters of the word so far (4 stands for more)."""
-        low, raw = _LOW.take(symbols), before(symbols, place, 1)
-        by = raw.astype(np.intp)
-        b1, b2, b3, b4 = (before(low, place, k) for k in (1, 2, 3, 4))
+        b1, b2, b3, b4 = (before(symbols, place, k) for k in (1, 2, 3, 4))
+        raw, by = b1, b1.astype(np.intp)
         # letters of the word so far: difference of weighted sums over the run of letters before each symbol
         n = len(symbols)
         inside = _INSIDE.take(b1)
@@ -307,7 +306,8 @@ class Mixer:
         node, bit = self.trees.node.take(at_path), self.trees.bit.take(at_path)
         doc = np.repeat(np.arange(docs, dtype=np.int32), length)
         kind = letters.take(order) * np.int32(3) + doc.take(order) * np.int32(GATES)
-        gate = np.minimum(depth, 2) + kind.take(of)
+        gate = (np.minimum(depth, 2) + kind.take(of)).astype(np.intp)
+        step_of = gate * STEPS
         x = []
         for odds, slot in zip(self.odds, slots, strict=True):
             x.append(odds.take((slot.take(order) * leaves).take(of) + node).astype(np.float32) * np.float32(1 / SCALE))
@@ -317,12 +317,14 @@ class Mixer:
         nats = np.empty(ends[-1], np.float32)
         a = 0
         for end in ends[np.cumsum(steps) - 1]:
-            g, s = gate[a:end].astype(np.intp), sign[a:end]
+            g, s = gate[a:end], sign[a:end]
             margin = w[0].take(g) * x[0][a:end]
             for k in range(1, len(SLOTS)):
                 margin += w[k].take(g) * x[k][a:end]
             # the refinement of these odds: what the text, and the training texts before it, showed where the odds were alike
-            like = g * STEPS + np.clip(margin * np.float32(1.5) + np.float32(STEPS / 2), 0, STEPS - 1).astype(np.intp)
+            like = margin * np.float32(1.5)
+            like += np.float32(STEPS / 2)
+            like = step_of[a:end] + np.clip(like, 0, STEPS - 1, out=like).astype(np.int8)
             margin += refined.take(like)
             margin *= s
             np.clip(margin, -EDGE, EDGE, out=margin)
@@ -406,7 +408,7 @@ def _score(model):
 def scored(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = prepare(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_az(F.col("text")).alias("text"), (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"))
     trained = own.where("not held_out")
     counts = stash(trained.select("text").mapInArrow(_token_counts, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c")), "tokens")
     tokens = counts.where("kind = 0").select("key", "c")
