@@ -136,6 +136,7 @@ class Trees:
                 bits += [b for _, b in path]
                 at += len(path)
         self.node, self.bit = np.array(nodes, np.uint32), np.array(bits, np.int8)
+        self.sign = (2 * self.bit - 1).astype(np.float32)
         part = (counts.sum(1) + 1) / (counts.sum() + 256)
         self.regions = []
         for slots in SLOTS:
@@ -301,17 +302,18 @@ class Mixer:
         marks = np.zeros(ends[-1], np.int8)
         marks[begin[1:]] = 1
         of = np.cumsum(marks, dtype=np.int64)
-        depth = np.arange(ends[-1], dtype=np.int32) - begin.astype(np.int32).take(of)
-        at_path = self.trees.first.take(path).take(of) + depth
-        node, bit = self.trees.node.take(at_path), self.trees.bit.take(at_path)
+        at_path = (self.trees.first.take(path) - begin.astype(np.int32)).take(of)
+        at_path += np.arange(ends[-1], dtype=np.int32)
+        node, sign = self.trees.node.take(at_path), self.trees.sign.take(at_path)
         doc = np.repeat(np.arange(docs, dtype=np.int32), length)
         kind = letters.take(order) * np.int32(3) + doc.take(order) * np.int32(GATES)
-        gate = (np.minimum(depth, 2) + kind.take(of)).astype(np.intp)
+        gate = (kind + np.int32(2)).astype(np.intp).take(of)
+        gate[begin] -= 2  # a symbol's first decision, its second, and all others
+        gate[begin[count > 1] + 1] -= 1
         step_of = gate * STEPS
         x = []
         for odds, slot in zip(self.odds, slots, strict=True):
-            x.append(odds.take((slot.take(order) * leaves).take(of) + node).astype(np.float32) * np.float32(1 / SCALE))
-        sign = (2 * bit - 1).astype(np.float32)
+            x.append(np.multiply(odds.take((slot.take(order) * leaves).take(of) + node), np.float32(1 / SCALE), dtype=np.float32))
         w = [np.tile(self.weight[:, k], docs) for k in range(len(SLOTS))]
         refined = np.tile(self.refined, docs)
         nats = np.empty(ends[-1], np.float32)
