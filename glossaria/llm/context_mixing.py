@@ -52,8 +52,8 @@ HEAVY = 1 << 17
 EDGE = np.float32(11.5)
 #: Odds are kept as eighths in a byte.
 SCALE = 16.0
-#: Bytes of a slice: small enough for a core's cache; symbols counted at a time.
-SLICE, COUNTED = 1 << 17, 1 << 22
+#: Bytes of a slice, few enough for a core's cache; symbols counted at a time.
+SLICE, COUNTED = 1 << 18, 1 << 22
 _END_TOKEN = np.uint64(0x9D39247E33776D41)
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = True
@@ -292,6 +292,11 @@ class Mixer:
         step = place // BLOCK
         order = np.argsort(step.astype(np.int16) if step.max() < 1 << 15 else step, kind="stable")
         steps = np.bincount(step)
+        # texts numbered from the one with most blocks on: those still there in a step are the first ones
+        blocks = (length + BLOCK - 1) // BLOCK
+        number = np.empty(docs, np.int32)
+        number[np.argsort(-blocks, kind="stable")] = np.arange(docs)
+        there = docs - np.cumsum(np.bincount(blocks))[: len(steps)]
         b1 = b1.take(order)
         leaf, leaves = self.trees.leaf.take(symbols), np.uint32(self.trees.leaves)
         path = b1 * leaves + leaf.take(order)
@@ -302,46 +307,51 @@ class Mixer:
         marks = np.zeros(ends[-1], np.int8)
         marks[begin[1:]] = 1
         of = np.cumsum(marks, dtype=np.int64)
-        at_path = (self.trees.first.take(path) - begin.astype(np.int32)).take(of)
+        at_path = (self.trees.first.take(path) - begin.astype(np.int32)).take(of, mode="clip")
         at_path += np.arange(ends[-1], dtype=np.int32)
-        node, sign = self.trees.node.take(at_path), self.trees.sign.take(at_path)
-        doc = np.repeat(np.arange(docs, dtype=np.int32), length)
+        node, sign = self.trees.node.take(at_path, mode="clip"), self.trees.sign.take(at_path, mode="clip")
+        doc = np.repeat(number, length)
         kind = letters.take(order) * np.int32(3) + doc.take(order) * np.int32(GATES)
-        gate = (kind + np.int32(2)).astype(np.intp).take(of)
+        gate = (kind + np.int32(2)).astype(np.intp).take(of, mode="clip")
         gate[begin] -= 2  # a symbol's first decision, its second, and all others
         gate[begin[count > 1] + 1] -= 1
         step_of = gate * STEPS
+        # every index is in range: mode clip only spares the check for it
         x = []
         for odds, slot in zip(self.odds, slots, strict=True):
-            x.append(np.multiply(odds.take((slot.take(order) * leaves).take(of) + node), np.float32(1 / SCALE), dtype=np.float32))
+            at_odds = (slot.take(order) * leaves).take(of, mode="clip")
+            at_odds += node
+            x.append(np.multiply(odds.take(at_odds, mode="clip"), np.float32(1 / SCALE), dtype=np.float32))
         w = [np.tile(self.weight[:, k], docs) for k in range(len(SLOTS))]
         refined = np.tile(self.refined, docs)
         nats = np.empty(ends[-1], np.float32)
         a = 0
-        for end in ends[np.cumsum(steps) - 1]:
+        for end, n in zip(ends[np.cumsum(steps) - 1].tolist(), there.tolist(), strict=True):
             g, s = gate[a:end], sign[a:end]
-            margin = w[0].take(g) * x[0][a:end]
+            margin = w[0].take(g, mode="clip")
+            margin *= x[0][a:end]
             for k in range(1, len(SLOTS)):
-                margin += w[k].take(g) * x[k][a:end]
+                margin += w[k].take(g, mode="clip") * x[k][a:end]
             # the refinement of these odds: what the text, and the training texts before it, showed where the odds were alike
             like = margin * np.float32(1.5)
             like += np.float32(STEPS / 2)
             like = step_of[a:end] + np.clip(like, 0, STEPS - 1, out=like).astype(np.int8)
-            margin += refined.take(like)
+            margin += refined.take(like, mode="clip")
             margin *= s
             np.clip(margin, -EDGE, EDGE, out=margin)
             wrong = 1 / (1 + np.exp(margin))  # probability of the other bit
-            np.log1p(-wrong, out=nats[a:end])
+            np.log(1 - wrong, out=nats[a:end])
             wrong *= s
             for k in range(len(SLOTS)):
-                w[k] += RATE * np.bincount(g, wrong * x[k][a:end], len(w[k])).astype(np.float32)
-            refined += REFINING * np.bincount(like, wrong, len(refined)).astype(np.float32)
+                w[k][: n * GATES] += RATE * np.bincount(g, wrong * x[k][a:end], n * GATES).astype(np.float32)
+            refined[: n * GATES * STEPS] += REFINING * np.bincount(like, wrong, n * GATES * STEPS).astype(np.float32)
             a = end
         # a text's decisions lie together in each step: sums over these runs, then over the steps
         run = np.concatenate([[0], np.flatnonzero(np.diff(doc.take(order)) | np.diff(step.take(order))) + 1])
         bits = -np.bincount(doc.take(order.take(run)), np.add.reduceat(nats, begin.take(run), dtype=np.float64), docs)
         unseen = np.bincount(doc[leaf == self.trees.shared], minlength=docs) * self.trees.rest_bits
-        return bits / np.log(2) + unseen, np.stack(w, axis=1), refined.reshape(docs, -1)
+        weight = np.stack(w, axis=1).reshape(docs, GATES, -1)
+        return (bits / np.log(2) + unseen)[number], weight[number], refined.reshape(docs, -1)[number]
 
 
 def train(texts: DataFrame, mixing: list[str], pairs: list[tuple[int, int]]) -> Mixer:
@@ -364,7 +374,7 @@ def train(texts: DataFrame, mixing: list[str], pairs: list[tuple[int, int]]) ->
         for _ in range(MIX_EPOCHS):
             _, w, refined = mixer.cost(data, at)
             mixer.refined = refined.mean(0).astype(np.float32)
-            mixer.weight = w.reshape(len(encoded), GATES, len(SLOTS)).mean(0).astype(np.float32)
+            mixer.weight = w.mean(0).astype(np.float32)
     return mixer
 
 
