@@ -146,7 +146,7 @@ def escape_markdown(text: Column) -> Column:
 
 
 def strip_fence(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*```[A-Za-z]*\s*", ""), r"\s*```\s*$", ""))
 
 
 def inline_default(code: Column) -> Column:

@@ -87,6 +87,17 @@ def json_error(text: str) -> tuple[str, int] | None:
     return None
 
 
+def json_errors(files: DataFrame) -> DataFrame:
+    """(path, message, line) of the files (path, text) that are not JSON, comments and trailing commas left aside."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            rows = [(p, *e) for p, t in zip(x["path"], x["text"], strict=True) if (e := json_error(t or ""))]
+            yield pd.DataFrame(rows, columns=["path", "message", "line"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, message string, line int")
+
+
 def walk_json(node, prefix: str = "") -> Iterator[tuple[str, str]]:
     """(dotted key, string): objects nest, arrays are message lists of {id | key, translation | message | text | other}."""
     if isinstance(node, str):
