@@ -561,3 +561,18 @@ def test_each_record_is_a_member_of_its_archive(spark, tmp_path, monkeypatch):
         assert member.startswith(b"WARC/1.1\r\n") and member.endswith(b"\r\n\r\n") and (r.page_id is None or f"<urn:page:{r.page_id}>".encode() in member)
     kinds = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in found if r.payload_bytes == 1500)
     assert kinds == [(0, "revisit", 101), (100, "revisit", 101), (101, "response", None), (101, "response", None)]
+
+
+def test_mixing_costs_do_not_depend_on_neighbours():
+    """Texts of very different lengths, scored together and one by one, cost the same bits and end with the same weights."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice(list(b"abcde \n"), n).astype(np.uint8)) for n in (0, 5000, 3, 700, 255, 256, 257, 9000, 1, 5000)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    trees = context_mixing.Trees(np.bincount(data[:-1].astype(np.int64) * context_mixing.SYMBOLS + data[1:], minlength=256 * context_mixing.SYMBOLS))
+    odds = [np.clip(rng.normal(0, 20, s * trees.leaves), -127, 127).astype(np.int8) for s in context_mixing.SLOTS]
+    mixer = context_mixing.Mixer(trees, odds)
+    bits, weight, refined = mixer.cost(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for i, t in enumerate(texts):
+        own = mixer.cost(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert np.isclose(bits[i], own[0][0], rtol=1e-5)
+        assert np.allclose(weight[i], own[1][0], atol=1e-5) and np.allclose(refined[i], own[2][0], atol=1e-5)
