@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions import validate as val
-from ..operators import extract, joins, references
+from ..operators import extract, joins, recovery, references, templates
 from ..sources import history, sinks
 from ..sources import locales as src
 from . import views as v
@@ -298,3 +298,86 @@ _kinds("cli_argument_like", val.is_cli_argument, ["--size=#", "-v", "# --size",
 _kinds("dsn_like", val.is_dsn, ["postgresql://#", "Server=#;", "my # server", "redis://#", "user: #"], [True, True, False, True, False])
 _kinds("identifier_like", val.is_identifier, ["123e4567-e89b-42d3-a456-426614174000", "two words #", "0x0123456789abcdef", "sk_abcdefghij0123456789", "see #, now"], [True, False, True, True, False])
 _kinds("complex_key_like", references.complex_key, ["Div", "shop.#", "padding", "a.rounded-xl.#", "body.text"], [True, False, True, True, False])
+_kinds("english_like", val.english_text, ["Add the thing to the cart", "xkcdq zzxpwv qwrtzk", "Your order is ready"], [True, False, True])
+_kinds("should_translate_like", lambda t: val.should_translate(t, exact=["Home page here"], contains=["©"]), ["Add the item to your cart", "Home page here", "© All rights of this shop", "{name}", "Your order is ready"], [True, False, False, False, True])
+_kinds("invalid_value_like", val.value_invalid, ["{name}", "Add # to the cart", "https://a.b/#", 'class="#"', "/a/b/", "x"], [True, False, True, True, True, True])
+_kinds("unreported_like", val.not_reported, ["api.example.com", "Add # now", "a?b=#", "ns:#", "Your order is ready"], [True, False, True, True, False])
+_kinds("user_text_like", recovery.user_text, ["Save your changes", "flex-row", "#_a", "Please wait", "https://a.b/#", "./x/y.ts"], [True, False, False, True, False, False])
+_kinds("acceptable_text_like", lambda t: recovery.acceptable(t, F.array(lit("order"), lit("ready"))), ["Your order is here", "Nothing to see", "order", "order.ready", "It is ready"], [True, False, False, False, True])
+
+# Texts and why they are not translated; # stands for a name in one word
+REASONS = {
+    "Add the item to your cart": "translatable", "Save": "translatable", "7": "basic_requirements", "Open (now": "unbalanced_delimiters", "color: red;": "css_content", ".btn-primary": "css_content",
+    "@media print": "css_content", "12px": "css_content", "const a = f(1);": "code_content", "a === b": "code_content", "userName": "code_content", "x_#": "code_content", "user.name": "code_content",
+    "<b>bold</b>": "html_content", "123e4567-e89b-42d3-a456-426614174000": "technical_content", "$AB$12": "spreadsheet_reference",
+}
+
+
+@query("validation_reasons", f"select p_partkey, {list(REASONS.values())}[p_partkey % {len(REASONS)} + 1] as reason from part")
+def validation_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """The first step of the cascade that rejects each text."""
+    texts = F.array(*[F.concat(*[F.col("word") if x is None else lit(x) for x in _split(f)]) for f in REASONS])
+    items = parts(spark, sf).select("p_partkey", F.element_at(texts, (F.col("p_partkey") % len(REASONS)).cast("int") + 1).alias("text"))
+    return extract.translatable(items).select("p_partkey", F.coalesce("reason", lit("translatable")).alias("reason"))
+
+
+# ---- components -------------------------------------------------------------------------------------------------
+
+_FORMS = {
+    "vue": "<template><h1>Buy @ now</h1></template>", "svelte": "<h1>Buy @ now</h1>", "blade.php": "<h1>Buy @ now</h1>", "jsx": "export default () => <h1>Buy @ now</h1>;",
+    "py": 'label = "Buy @ now"', "go": 'label := "Buy @ now"',
+}
+
+
+@query("component_texts", f"select 'src/p' || p_partkey || '.' || {list(_FORMS)}[p_partkey % {len(_FORMS)} + 1] as path, 'Buy ' || p_name || ' now' as text from part")
+def component_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of each component, whatever its format."""
+    at = (F.col("p_partkey") % len(_FORMS)).cast("int") + 1
+    body = F.replace(F.element_at(F.array(*map(lit, _FORMS.values())), at), lit("@"), F.col("p_name"))
+    files = parts(spark, sf).select(F.concat(lit("src/p"), "p_partkey", lit("."), F.element_at(F.array(*map(lit, _FORMS)), at)).alias("path"), body.alias("text"))
+    return templates.extract_texts(spark, files).select("path", "text").distinct()
+
+
+def _wrapped(framework: str) -> None:
+    """Texts that a key map knows, as calls of a framework."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        p = parts(spark, sf)
+        keys = p.where("p_partkey % 2 = 0").select(F.col("p_name").alias("text"), F.concat(lit("shop."), "word").alias("key")).distinct()
+        text = F.concat(lit('<p class="x">\n  '), "p_name", lit("\n</p><i>&nbsp;</i>"))
+        return extract.wrap_texts(p.select(F.col("p_partkey").cast("string").alias("file"), text.alias("text")), keys, framework)
+
+    run.__name__ = f"wrapped_{framework}"
+    before, after = (x.replace("'", "''") for x in extract.CALL_TEXT[framework].split("\0"))
+    known = "p_name in (select p_name from part where p_partkey % 2 = 0)"
+    query(run.__name__, f"""with {PARTS} select cast(p_partkey as varchar) as file, '<p class="x">' || chr(10) || '  ' || case when {known} then '{before}shop.' || word || '{after}' else p_name end
+|| chr(10) || '</p><i>&nbsp;</i>' as text from parts""")(run)
+
+
+for _framework in ("laravel", "vue", "react"):
+    _wrapped(_framework)
+
+
+@query("restored_texts", f"""with {PARTS} select cast(p_partkey as varchar) as file,
+'show(' || case when word in (select word from parts where p_partkey % 3 = 0) then chr(39) || p_name || chr(39) else 't(''shop.' || word || ''')' end || ', 1)' as text from parts""")
+def restored_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of withdrawn keys back to their texts."""
+    p = parts(spark, sf)
+    files = p.select(F.col("p_partkey").cast("string").alias("file"), F.concat(lit("show(t('shop."), "word", lit("'), 1)")).alias("text"))
+    return extract.inline(files, p.where("p_partkey % 3 = 0").select(F.concat(lit("shop."), "word").alias("key"), F.col("p_name").alias("value")).distinct())
+
+
+@query("texts_outside_comments", """select cast(p_partkey as varchar) as file, cast(strpos('<!-- "hidden ' || p_name || '" --><p title=', 'title=') + 5 as bigint) as pos, p_name as value from part""")
+def texts_outside_comments(spark: SparkSession, sf: str) -> DataFrame:
+    """Quoted texts outside comments, scripts and styles."""
+    text = F.concat(lit('<!-- "hidden '), "p_name", lit('" --><p title="'), "p_name", lit('"><script>x("no text")</script>'))
+    files = parts(spark, sf).select(F.col("p_partkey").cast("string").alias("file"), text.alias("text"))
+    return joins.outside(extract.offsets(files, '"([^"<>]{3,})"'), extract.comment_ranges(files)).select("file", "pos", "value")
+
+
+@query("best_component_texts", "select cast(p_partkey as varchar) as file, 'Please buy ' || p_name || ' now.' as text from part")
+def best_component_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The likeliest text for people in each file, among classes, paths and identifiers."""
+    text = F.concat(lit('<div class="flex-row p-4"><img src="./a/b.png" alt="'), "word", lit('" title="Please buy '), "p_name", lit(' now.">'))
+    files = parts(spark, sf).select(F.col("p_partkey").cast("string").alias("file"), text.alias("text"))
+    return recovery.best_text(recovery.harvest(files), "file").select("file", "text")
