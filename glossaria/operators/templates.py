@@ -1,4 +1,4 @@
-"""Texts of templates and components (Vue, Svelte, Blade, JSX and generic sources) as a table function.
+"""Texts of templates and components (Vue, Svelte, Blade, JSX and generic sources).
 
 One scanner walks markup: comments, tags with quoted attributes, text between tags, expressions in braces. What differs by
 format is a Format value: which braces hold expressions, whether a text keeps them, which calls mark it as translated.
@@ -11,8 +11,8 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import udtf
 
 from .extract import ATTRIBUTES, LENGTHS, LOGGING, MODULES, TAG_KINDS
 
@@ -220,14 +220,14 @@ def parse(path: str, source: str, parsers: list | None = None) -> Iterator[Item]
 
 
 def extract_texts(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """files (path, text) with a row for each text found: a table function, joined laterally."""
+    """files (path, text) with a row for each text found, in Arrow batches."""
     parsers = list(PARSERS)  # goes to the workers with the function, so parsers registered here count there
+    schema = f"path string, {SCHEMA}"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
-    class Extract:
-        def eval(self, path: str, source: str):
-            if path and source:
-                yield from parse(path, source, parsers)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            rows = [(p, *item) for p, t in zip(x["path"], x["text"], strict=True) if p and t for item in parse(p, t, parsers)]
+            yield pd.DataFrame(rows, columns=columns)
 
-    spark.udtf.register("extract_texts", udtf(Extract, returnType=SCHEMA))
-    files.createOrReplaceTempView("_template_files")
-    return spark.sql("select f.path, x.* from _template_files f, lateral extract_texts(f.path, f.text) x")
+    return files.select("path", "text").mapInPandas(run, schema)
