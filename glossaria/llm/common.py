@@ -201,16 +201,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words(data: np.ndarray, at: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple:
+def words(data: np.ndarray, at: np.ndarray, prefixes: tuple[int, ...] = (), space: np.ndarray = _SPACE) -> tuple:
     """Words `[^\\x20\\x09-\\x0D]+` of each text, A-Z lower-cased: (64-bit hash, row, start, end) per word in text order.
 
-    For each of prefixes, two more arrays: hash and row of the first so many bytes of each longer word.
+    space: by byte, whether it parts words instead. For each of prefixes, two more arrays: hash and row of the first so many bytes of each longer word.
     """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none, *[none.astype(np.uint64), none] * len(prefixes)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True  # a text starts here: no word goes over it
     starts = solid.copy()

@@ -31,5 +31,26 @@ select s.doc_id, len(s.g) as n_shingles, r.component_id from s join (select id,
 """
 
 
+OP13 = """
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+t as (select id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+k as (select lang, term, count(*) as n from t group by all having count(distinct id) >= 3),
+l as (select lang, count(*) as v, sum(n) as total from k group by lang),
+g as (select distinct lang, source from d),
+c as (select t.lang, t.source, t.term, count(*) as n from t join k on t.lang = k.lang and t.term = k.term group by all),
+s as (select lang, source, sum(n) as total from c group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0)::hugeint + 1)) // (coalesce(s.total, 0)::hugeint + l.v) as p,
+  1 + (1000000000 * (k.n::hugeint + 1)) // (l.total::hugeint + l.v) as q
+  from g join k on g.lang = k.lang join l on l.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term left join s on s.lang = g.lang and s.source = g.source),
+pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (select a.lang, a.source, b.source as item, coalesce(x.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select lang, source, term as item, ((p - q) * (p - q)) // q as value from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source order by value desc, encode(item)) as rank from terms)
+select lang, source, 'pair' as part, item, value::bigint as value, (row_number() over (partition by lang, source order by value desc, encode(item)))::int as rank from every
+union all select lang, source, 'term', item, value::bigint, rank::int from ranked where rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op5_warc_index_merge": OP5, "op10_jaccard_join": OP10}
+    return {"op3_exact_dedup": OP3, "op5_warc_index_merge": OP5, "op10_jaccard_join": OP10, "op13_source_divergence": OP13}
