@@ -19,6 +19,7 @@ import hashlib
 import re
 import string
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -300,10 +301,17 @@ def added(text: str, base: list[Span]) -> list[Span]:
     tape = disguised(text)
     if tape is None or tape.text == text:
         return []
+    known: dict[str, tuple[list[int], list[int]]] = {k: ([], []) for k in KINDS}
+    for kind, s, e in sorted(base, key=lambda x: x[1]):
+        known[kind][0].append(s)
+        known[kind][1].append(e)
     out: list[Span] = []
     for kind, i, j in plain(tape.text):
         s, e = tape.start[i], tape.end[j - 1]
-        if not any(k == kind and x <= s and e <= y for k, x, y in base):
+        starts, ends = known[kind]
+        # plain spans of a kind don't overlap: only the last that starts no later can hold this one
+        at = bisect_right(starts, s) - 1
+        if at < 0 or ends[at] < e:
             out.append((kind, s, e))
     return out
 
