@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import placeholders
+from . import chains, fuzzy
 from .catalog import blank, first_wins
 
 
@@ -124,36 +125,27 @@ def diagnostics(values: DataFrame, locales: DataFrame, base: str = "en") -> Data
 
 
 def outside(matches: DataFrame, ranges: DataFrame, on: str = "file") -> DataFrame:
-    """Matches (file, pos) in no range [start, end) of their file: equality on the file, the rest a residual."""
-    r = ranges.select(F.col(on).alias("_f"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return matches.join(r, (F.col(on) == F.col("_f")) & (F.col("pos") >= F.col("_s")) & (F.col("pos") < F.col("_e")), "left_anti")
+    """Matches (file, pos and others) in no range [start, end) of their file: found in bins of the position, so a file may have any number of either."""
+    inside = chains.containing(matches.select(F.col(on).alias("file"), "pos"), ranges.select(F.col(on).alias("file"), "start", "end"))
+    return matches.join(inside.select(F.col("file").alias("_f"), F.col("pos").alias("_p")), (F.col(on) == F.col("_f")) & (F.col("pos") == F.col("_p")), "left_anti")
 
 
 def greedy_intervals(edits: DataFrame) -> DataFrame:
-    """Edits (file, start, end, new) in order of start, each taken unless it overlaps one already taken. One file at a time."""
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x, end, keep = x.sort_values(["start", "end"], kind="stable"), -1, []
-        for a, b in zip(x["start"], x["end"], strict=True):
-            keep.append(a >= end)
-            end = b if a >= end else end
-        return x[keep]
-
-    return edits.groupBy("file").applyInPandas(run, edits.schema)
+    """Edits (file, start, end, new) in order of start, each taken unless it overlaps one already taken."""
+    return chains.greedy(edits)
 
 
 def innermost(edits: DataFrame) -> DataFrame:
-    """Edits that contain no other edit of their file: by order of start, the next one begins behind this one's end."""
-    w = Window.partitionBy("file").orderBy("start", F.desc("end"))
-    return edits.withColumn("_next", F.lead("start").over(w)).withColumn("_end", F.lead("end").over(w)).where("_next is null or not (_next < end and _end <= end)").drop("_next", "_end")
+    """Edits that contain no other edit of their file."""
+    return chains.innermost(edits)
 
 
 def typo_repair(broken: DataFrame, known: DataFrame) -> DataFrame:
     """Of broken keys, the known key with the same prefix and the nearest last segment, within max(2, length / 4) edits."""
-    cut = lambda df, leaf: df.select(F.col("key").alias(f"{leaf}_key"), F.regexp_replace("key", r"\.[^.]*$", "").alias("prefix"), F.element_at(F.split("key", r"\."), -1).alias(leaf))
-    pairs = cut(broken, "broken").join(cut(known, "known"), "prefix").withColumn("distance", F.levenshtein("broken", "known"))
-    fits = F.col("distance") <= F.greatest(F.lit(2), F.floor(F.length("broken") / 4))
-    return pairs.where(fits).groupBy("broken_key").agg(F.min(F.struct("distance", "known_key")).alias("b")).select(F.col("broken_key").alias("key"), F.col("b.known_key").alias("repair"), F.col("b.distance").cast("long").alias("distance"))
+    cut = lambda df: df.select(F.regexp_replace("key", r"\.?[^.]*$", "").alias("path"), F.element_at(F.split("key", r"\."), -1).alias("text"), F.contains("key", F.lit(".")).alias("dotted")).select(F.struct("dotted", "path").alias("group"), "text")
+    whole = lambda c: F.when(F.col("group.dotted"), F.concat("group.path", F.lit("."), c)).otherwise(F.col(c))
+    found = fuzzy.nearest(cut(broken), cut(known))
+    return found.select(whole("text").alias("key"), whole("near").alias("repair"), F.col("distance").cast("long").alias("distance"))
 
 
 def reuse(values: DataFrame, base: str = "en") -> DataFrame:
@@ -224,21 +216,9 @@ def deduplicated_work(items: DataFrame, work) -> DataFrame:
     return keyed.join(work(once).select("_k", "result"), "_k", "left").drop("_k")
 
 
-def batches(items: DataFrame, group: str, most: int = 50, chars: int = 2000) -> DataFrame:
+def batches(items: DataFrame, group: str, most: int = 50, chars: int = 2000, block: int = chains.BLOCK) -> DataFrame:
     """Adds a batch number by group: a batch closes before it would pass so many items or characters. Greedy in order."""
-    schema = StructType([*items.schema.fields, StructField("batch", LongType())])
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("ord", kind="stable")
-        out, n, size, b = [], 0, 0, 0
-        for length in x["text"].fillna("").str.len():
-            if n and (n >= most or size + length > chars):
-                b, n, size = b + 1, 0, 0
-            n, size = n + 1, size + length
-            out.append(b)
-        return x.assign(batch=out)
-
-    return items.groupBy(group).applyInPandas(run, schema)
+    return chains.batches(items, group, most, chars, block)
 
 
 def translate(items: DataFrame, translator, most: int = 50) -> DataFrame:

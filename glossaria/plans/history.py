@@ -130,10 +130,15 @@ def index_current(spark: SparkSession, sf: str) -> DataFrame:
     return state.current(log).select("ord", F.col("file").alias("user_id"))
 
 
-@query("props_flatten", "select event_id, substr(fullkey, 3) as path, json_extract_string(value, '$') as value from (select event_id, unnest([replace(props, '69', '\"s\"')]) as p from events), json_tree(p) where type = 'VARCHAR'")
+@query("props_flatten", """with p as (select event_id, repeat('{"a' || event_id % 7 || '":', (event_id % 13)::int) || '{"t":"' || event_type || '","n":1,"p":' || props || ',"l":["x"],"o":{"u":"' || user_id || '"}}' || repeat('}', (event_id % 13)::int) as p from events)
+select event_id, substr(fullkey, 3) as path, json_extract_string(value, '$') as value from p, json_tree(p) where type = 'VARCHAR' and not contains(fullkey, '[')""")
 def props_flatten(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.read(spark, sf, "events").select("event_id", F.replace(F.col("props"), F.lit("69"), F.lit('"s"')).alias("props"))
-    return src.flatten(rows, "props", ["event_id"])
+    """Properties nested up to fourteen levels, each event's to another depth."""
+    deep = (F.col("event_id") % 13).cast("int")
+    text = F.concat(
+        F.repeat(F.concat(F.lit('{"a'), (F.col("event_id") % 7).cast("string"), F.lit('":')), deep), F.lit('{"t":"'), "event_type", F.lit('","n":1,"p":'), "props", F.lit(',"l":["x"],"o":{"u":"'), F.col("user_id").cast("string"), F.lit('"}}'), F.repeat(F.lit("}"), deep)
+    )
+    return src.flatten(v.read(spark, sf, "events").select("event_id", text.alias("props")), "props", ["event_id"])
 
 
 @query("props_values", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -176,14 +181,19 @@ def hunk_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return joins.hunks(rows).select("file", F.col("pos.l_linenumber").alias("pos"), "hunk")
 
 
-@query("greedy_intervals")
+_RANGES = "r as (select distinct l_suppkey as file, l_partkey as start, l_partkey + cast(l_quantity as bigint) as stop from lineitem)"
+
+
+@query("greedy_intervals", f"""with recursive {_RANGES}, f as (select file, start, min(stop) as stop from r group by all), n as (select f.file, f.start, f.stop, min(g.start) as next from f left join f g on g.file = f.file and g.start >= f.stop group by all),
+c as (select n.* from n join (select file, min(start) as start from f group by file) m using (file, start) union all select n.* from c join n on n.file = c.file and n.start = c.next)
+select file, start, stop as "end" from c""")
 def greedy_intervals(spark: SparkSession, sf: str) -> DataFrame:
     """Non-overlapping intervals by file, taken greedily in order."""
     rows = v.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
     return joins.greedy_intervals(rows.distinct())
 
 
-@query("innermost_intervals")
+@query("innermost_intervals", f"""with {_RANGES.replace('l_suppkey', 'l_orderkey')} select file, start, stop as "end" from r where not exists (select 1 from r o where o.file = r.file and (o.start <> r.start or o.stop <> r.stop) and o.start >= r.start and o.stop <= r.stop)""")
 def innermost_intervals(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end")).distinct()
     return joins.innermost(rows)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..functions import validate as val
 from ..operators import catalog as cat
-from ..operators import extract, joins, reports
+from ..operators import extract, fuzzy, joins, reports
 from . import views as v
 from .registry import query
 
@@ -196,12 +196,35 @@ def edit_distance_topk(spark: SparkSession, sf: str) -> DataFrame:
     return cat.top_n(pairs.withColumn("distance", F.levenshtein("name", "near").cast("long")), ["name"], [F.col("distance"), F.col("near")], 3).select("name", "near", "distance")
 
 
-@query("key_similarity")
+def _says(key: str, names: list[str]) -> str:
+    return f"regexp_matches(lower({key}), '{'|'.join(names)}')"
+
+
+_SUCCEED = [*fn.ACTION, *fn.SUCCESS, *fn.STATE]
+_OPPOSED = " or ".join(
+    [f"({_says(x, fn.FAILURE)} and {_says(y, _SUCCEED)})" for x, y in (("a.key", "b.key"), ("b.key", "a.key"))]
+    + [f"(contains(lower({x}.key), '{p.split('-')[0]}') and contains(lower({y}.key), '{p.split('-')[1]}'))" for p in fn.OPPOSITES for x, y in ("ab", "ba")]
+)
+_LIKENESS = f"""k as (select distinct key, string_split(key, '.') as s from {{keys}}), p as (select a.key, b.key as other, a.s as x, b.s as y, {_OPPOSED} as opposed from k a join k b on a.s[1] = b.s[1] and a.key <> b.key),
+l as (select key, other, case when abs(len(x) - len(y)) > 1 then 0.1 when opposed then 0.0 else greatest(0.0, least(1.0, len(list_intersect(x, y)) / greatest(len(x), len(y)) * 0.7 +
+  (1 - list_max(list_transform(range(1, greatest(len(x), len(y)) + 1), lambda i: levenshtein(coalesce(x[i], ''), coalesce(y[i], '')) / greatest(length(coalesce(x[i], '')), length(coalesce(y[i], '')), 1)))) * 0.3)) end as likeness from p),
+best as (select key, other, round(likeness, 6) as score from l where round(likeness, 6) >= 0.6 qualify row_number() over (partition by key order by round(likeness, 6) desc, other) = 1)"""
+
+
+@query("key_similarity", f"with {v.VALUES}, {_LIKENESS.format(keys='vals')} select key, other, score from best")
 def key_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Best similar key with the same first segment, at 0.6 or more."""
-    keys = v.values(spark, sf).select("key").distinct().withColumn("root", F.split_part("key", F.lit("."), F.lit(1)))
-    pairs = keys.join(keys.withColumnRenamed("key", "other"), "root").where("key <> other").withColumn("score", F.round(fn.key_likeness(F.col("key"), F.col("other")), 6)).where("score >= 0.6")
-    return pairs.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "other")).alias("b")).select("key", F.col("b.other").alias("other"), (-F.col("b.s")).alias("score"))
+    """Each key's most alike key with the same first segment, at 0.6 or more."""
+    return fuzzy.best_alike(v.values(spark, sf))
+
+
+_NAMED = "named as (select distinct lower(split_part(p_type, ' ', 1)) || '.' || replace(p_name, ' ', '.') as key from part)"
+
+
+@query("part_name_similarity", f"with {_NAMED}, {_LIKENESS.format(keys='named')} select key, other, score from best")
+def part_name_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over names of several words, whose segments repeat and move."""
+    named = v.read(spark, sf, "part").select(F.concat_ws(".", F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))), F.replace("p_name", F.lit(" "), F.lit("."))).alias("key"))
+    return fuzzy.best_alike(named)
 
 
 @query("placeholder_sets", "select conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(text, ' (t[a-z]+)', ' {\\1}', 'g'), '\\{([A-Za-z0-9_.]+)\\}', 1))), ',') as names from conversations")
@@ -235,7 +258,11 @@ def string_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return v.read(spark, sf, "part").select("p_partkey", fn.hash36(F.col("p_name")).alias("hash"))
 
 
-@query("batch_by_chars")
+@query("batch_by_chars", """with recursive x as (select role, conv_id * 1000 + turn as ord, length(text) as size, row_number() over (partition by role order by conv_id * 1000 + turn, text) as i from conversations),
+b as (select role, ord, i, size, 1 as n, 0::bigint as batch from x where i = 1
+  union all select x.role, x.ord, x.i, case when b.n >= 50 or b.size + x.size > 2000 then x.size else b.size + x.size end, case when b.n >= 50 or b.size + x.size > 2000 then 1 else b.n + 1 end, case when b.n >= 50 or b.size + x.size > 2000 then b.batch + 1 else b.batch end
+  from b join x on x.role = b.role and x.i = b.i + 1)
+select role, ord, batch from b""")
 def batch_by_chars(spark: SparkSession, sf: str) -> DataFrame:
     """Batches of at most 50 texts or 2,000 characters by role, in order."""
     rows = v.read(spark, sf, "conversations").select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text")

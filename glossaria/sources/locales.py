@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import stash
+
 MAX_BYTES = 2 * 1024 * 1024
 #: Folders that no scan enters.
 PRUNED = ("node_modules", "vendor", "dist", "build", ".git", ".next", ".nuxt", "coverage", "storage", "public")
@@ -210,17 +212,24 @@ def catalog(files: DataFrame, prefix_stem: bool = False) -> DataFrame:
 
 
 def flatten(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """JSON objects (strings) to (keys..., path, value), nested objects by dotted paths, string leaves only; built-in throughout."""
-    node = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v is not null")
+    """JSON objects (strings) to (keys..., path, value), nested objects by dotted paths to any depth, string leaves only.
+
+    Level by level: the objects of one level are exploded, its strings go out, its objects are the next level, written in
+    passing, until there are none; a level costs a scan of what is nested so deep.
+    """
+    tvf = rows.sparkSession.tvf
+    node = rows.select(*keys, F.lit(None).cast("string").alias("path"), F.try_parse_json(column).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
     out = None
-    for _ in range(8):  # levels of nesting
-        node.createOrReplaceTempView("_flatten")
-        own = ", ".join(keys)
-        step = rows.sparkSession.sql(f"select {own}, concat_ws('.', nullif(path, ''), key) as path, value as v from _flatten, lateral variant_explode(v) where schema_of_variant(v) like 'OBJECT%'")
-        leaves = step.where("schema_of_variant(v) = 'STRING'").select(*keys, "path", F.col("v").cast("string").alias("value"))
+    while True:
+        step = node.lateralJoin(tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("_k"), F.col("value").alias("_v")))
+        step = step.select(*keys, F.concat_ws(".", "path", "_k").alias("path"), F.col("_v").alias("v"), F.schema_of_variant("_v").alias("_kind"))
+        leaves = step.where("_kind = 'STRING'").select(*keys, "path", F.col("v").cast("string").alias("value"))
         out = leaves if out is None else out.unionByName(leaves)
-        node = step.where("schema_of_variant(v) like 'OBJECT%'")
-    return out
+        # a level is written as JSON text, which any file format can hold
+        deeper = stash(step.where(F.col("_kind").startswith("OBJECT")).select(*keys, "path", F.to_json("v").alias("v")), "flatten-level")
+        if deeper.isEmpty():
+            return out
+        node = deeper.withColumn("v", F.parse_json("v"))
 
 
 def map_entries(text: DataFrame, column: str, keys: list[str]) -> DataFrame:
