@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 from ..sources.scratch import stash
 
 #: Rows of a block.
-BLOCK = 4096
+BLOCK = 1 << 16
 
 
 def followed(edges: DataFrame, first: DataFrame, group: str = "g", node: str = "node") -> DataFrame:
@@ -136,10 +137,10 @@ def containing(points: DataFrame, ranges: DataFrame) -> DataFrame:
     return p.join(r, ["file", "level", "bin"]).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))).select("file", "pos").distinct()
 
 
-def _ahead(nodes: DataFrame, width: int) -> DataFrame:
-    """(file, stop, next): for each distinct stop of nodes (file, start, stop) the first start at or behind it, by bins of the position."""
+def _ahead(starts: DataFrame, stops: DataFrame, width: int) -> DataFrame:
+    """(file, stop, next): for each distinct (file, stop) the first of starts (file, start) at or behind it, by bins of the position."""
     span = lambda c: F.floor(F.col(c) / width).cast("long").alias("bin")
-    both = nodes.select("file", F.col("start").alias("x"), F.col("start").alias("s"), span("start")).unionByName(nodes.select("file", F.col("stop").alias("x"), F.lit(None).cast("long").alias("s"), span("stop")).distinct())
+    both = starts.select("file", F.col("start").alias("x"), F.col("start").alias("s"), span("start")).unionByName(stops.select("file", F.col("stop").alias("x"), F.lit(None).cast("long").alias("s"), span("stop")).distinct())
     in_bin = Window.partitionBy("file", "bin").orderBy(F.desc("x"), F.col("s").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("near", F.last("s", ignorenulls=True).over(in_bin)).where("s is null")
     later = Window.partitionBy("file").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
@@ -147,57 +148,66 @@ def _ahead(nodes: DataFrame, width: int) -> DataFrame:
     return found.join(bins, ["file", "bin"]).select("file", F.col("x").alias("stop"), F.coalesce("near", "far").alias("next"))
 
 
+def _leave(x: pa.Table) -> pa.Table:
+    """For each node of a stretch (file, start, stop) in a group, the first stop behind it that a pass reaches which comes in there."""
+    x = x.sort_by("start")
+    starts, out = x.column("start").to_numpy(), x.column("stop").to_numpy().copy()
+    at = np.searchsorted(starts, out)
+    for i in range(len(out) - 1, -1, -1):
+        if at[i] < len(starts):
+            out[i] = out[at[i]]
+    return pa.table([x.column("file"), x.column("start"), pa.array(out)], names=["file", "start", "stop"])
+
+
+def _walk(x: pa.Table) -> pa.Table:
+    """The nodes of a stretch that a pass takes from its column `enter` on."""
+    x = x.sort_by("start")
+    starts = x.column("start").to_numpy()
+    at, i, keep = np.searchsorted(starts, x.column("stop").to_numpy()), int(np.searchsorted(starts, x.column("enter")[0].as_py())), []
+    while i < len(starts):
+        keep.append(i)
+        i = int(at[i])
+    return x.take(keep).drop_columns(["enter", "stop", "block"])
+
+
 def greedy(edits: DataFrame, width: int = BLOCK) -> DataFrame:
     """Rows of edits (file, start, end and others) in order of start, then end, then the rest: each is taken unless it overlaps one already taken.
 
     Of equal starts the empty intervals are taken and the first other one; positions are whole numbers. Blocks are stretches
-    of `width` positions, so none holds more than `width` starts, however many rows a file has.
+    of `width` positions, so none holds more than `width` starts, however many rows a file has; a file within one block is
+    walked at once.
     """
     rest = [c for c in edits.columns if c not in ("file", "start", "end")]
-    order = F.struct("end", *rest)
-    nodes = edits.where("start is not null and end is not null").groupBy("file", "start").agg(F.min(F.when(F.col("end") > F.col("start"), order)).alias("pick"))
-    nodes = stash(nodes.select("file", F.col("start").cast("long").alias("start"), F.coalesce(F.col("pick.end").cast("long"), F.col("start").cast("long") + 1).alias("stop"), "pick"), "interval-nodes")
-    linked = nodes.select("file", "start", "stop").join(_ahead(nodes, width), ["file", "stop"], "left")
-    linked = stash(linked.select("file", F.col("start").alias("node"), "next", F.floor(F.col("start") / width).cast("long").alias("block")), "interval-links")
-
-    schema = StructType([edits.schema["file"], *(StructField(c, LongType()) for c in ("node", "next", "weight"))])
-
-    def leave(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("node")
-        starts, end = x["node"].to_numpy(), x["next"].isna().to_numpy()
-        out = x["next"].fillna(starts[-1] + 1).astype("int64").to_numpy(copy=True)
-        at = np.searchsorted(starts, out)
-        for i in range(len(out) - 1, -1, -1):
-            if at[i] < len(starts):
-                out[i], end[i] = out[at[i]], end[at[i]]
-        return pd.DataFrame({"file": x["file"], "node": starts, "next": pd.arrays.IntegerArray(out, end), "weight": 0})
-
-    edges = linked.groupBy("file", "block").applyInPandas(leave, schema)
-    first = linked.groupBy("file").agg(F.min("node").alias("node"))
-    # only nodes at which a pass can enter a block need an edge
-    edges = stash(edges, "interval-edges")
-    doors = edges.where("next is not null").select("file", F.col("next").alias("node")).union(first.select("file", "node")).distinct()
-    entered = followed(edges.join(doors, ["file", "node"], "left_semi"), first, "file")
-    entered = entered.select("file", F.col("node").alias("enter"), F.floor(F.col("node") / width).cast("long").alias("block"))
-
-    taken_schema = StructType([edits.schema["file"], StructField("node", LongType())])
-
-    def walk(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("node")
-        starts, keep = x["node"].to_numpy(), []
-        ahead = np.searchsorted(starts, x["next"].fillna(starts[-1] + 1).astype("int64").to_numpy())
-        i = int(np.searchsorted(starts, x["enter"].iloc[0]))
-        while i < len(starts):
-            keep.append(i)
-            i = int(ahead[i])
-        return x.iloc[keep][["file", "node"]]
-
-    taken = linked.join(entered, ["file", "block"]).groupBy("file", "block").applyInPandas(walk, taken_schema)
-    chosen = nodes.join(taken.select("file", F.col("node").alias("start")), ["file", "start"])
-    columns = lambda c: [F.col(f"{c}.{x}").alias(x) if x in ("end", *rest) else F.col(x) for x in edits.columns]
-    own = chosen.where("pick is not null").select(*columns("pick"))
-    empty = edits.where("end <= start").join(taken.select("file", F.col("node").alias("start")), ["file", "start"], "left_semi").select(*edits.columns)
-    return own.unionByName(empty)
+    long = lambda c: F.col(c).cast("long")
+    real = edits.where("end is not null").select("file", long("start").alias("start"), F.when(F.col("end") > F.col("start"), F.struct("end", *rest) if rest else long("end")).alias("pick")).where("start is not null")
+    nodes = real.groupBy("file", "start").agg(F.min("pick").alias("pick"))
+    end = F.col("pick.end").cast("long") if rest else F.col("pick")
+    nodes = stash(nodes.select("file", "start", F.coalesce(end, F.col("start") + 1).alias("stop"), "pick", F.floor(F.col("start") / width).cast("long").alias("block")), "interval-nodes")
+    files = stash(nodes.groupBy("file").agg(F.min("start").alias("enter"), F.min("block").alias("block"), F.max("block").alias("last")), "interval-files")
+    entered = files.where("block = last").select("file", "block", "enter")
+    wide = files.where("block < last").select("file", F.col("enter").alias("node"))
+    if not wide.isEmpty():
+        own = nodes.join(wide.select("file"), "file", "left_semi").select("file", "start", "stop", "block")
+        out = StructType([edits.schema["file"], StructField("start", LongType()), StructField("stop", LongType())])
+        leaving = stash(own.groupBy("file", "block").applyInArrow(_leave, out), "interval-exits")
+        doors = _ahead(own.select("file", "start"), leaving.select("file", "stop"), width)
+        edges = leaving.join(doors, ["file", "stop"], "left").select("file", F.col("start").alias("node"), "next", F.lit(0).alias("weight"))
+        # only nodes at which a pass can enter a block need an edge
+        edges = edges.join(doors.select("file", F.col("next").alias("node")).union(wide).distinct(), ["file", "node"], "left_semi")
+        reached = followed(stash(edges, "interval-edges"), wide, "file")
+        entered = entered.unionByName(reached.select("file", F.floor(F.col("node") / width).cast("long").alias("block"), F.col("node").alias("enter")))
+    walked = nodes.join(entered, ["file", "block"])
+    kept = StructType([f for f in walked.schema.fields if f.name not in ("enter", "stop", "block")])
+    taken = walked.groupBy("file", "block").applyInArrow(_walk, kept)
+    if edits.where("end <= start").isEmpty():
+        empty = None
+    else:
+        taken = stash(taken, "interval-taken")
+        empty = edits.where("end <= start").join(taken.select("file", "start"), ["file", "start"], "left_semi").select(*edits.columns)
+    kind = {f.name: f.dataType for f in edits.schema.fields}
+    value = lambda x: F.col("file") if x == "file" else F.col("start") if x == "start" else F.col(f"pick.{x}") if rest else F.col("pick")
+    own = taken.where("pick is not null").select(*[value(x).cast(kind[x]).alias(x) for x in edits.columns])
+    return own if empty is None else own.unionByName(empty)
 
 
 def innermost(edits: DataFrame, width: int = BLOCK) -> DataFrame:
