@@ -30,17 +30,36 @@ def cache_key(source: Column, target: Column, text: Column) -> Column:
 
 
 def typography(text: Column) -> Column:
-    for chars, to in TYPOGRAPHY:
-        text = F.translate(text, chars, to * len(chars))
-    return F.regexp_replace(F.regexp_replace(text, f"[{ZERO_WIDTH}]", ""), "\u2026", "...")
+    """Typographic quotes, dashes and blanks as ASCII, no zero-width characters, dots for an ellipsis; ASCII texts stay as they are."""
+    chars, plain = "".join(c for c, _ in TYPOGRAPHY), "".join(to * len(c) for c, to in TYPOGRAPHY)
+    fixed = F.replace(F.translate(text, chars + ZERO_WIDTH, plain), F.lit("\u2026"), F.lit("..."))
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(fixed)
 
 
 def decode_entities(text: Column) -> Column:
+    """Named references and numeric ones, decimal or hexadecimal; a number that is no character stays. An ampersand comes last."""
+    parts = F.split(text, "&#")
+    code = lambda x: F.split_part(x, F.lit(";"), F.lit(1))
+    hexed = lambda x: F.lower(F.left(x, F.lit(1))) == "x"
+    number = lambda x: F.when(hexed(x) & F.substring(code(x), 2, 9).rlike("^[0-9a-fA-F]{1,6}$"), F.conv(F.substring(code(x), 2, 9), 16, 10).try_cast("int")).when(code(x).rlike("^[0-9]{1,7}$"), code(x).try_cast("int"))
+    known = lambda x: x.contains(";") & number(x).between(1, 0x10FFFF) & ~number(x).between(0xD800, 0xDFFF)
+    put = lambda x: F.concat(_character(number(x)), F.substring(x, F.char_length(code(x)) + 2, F.char_length(x)))
+    rest = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.when(known(x), put(x)).otherwise(F.concat(F.lit("&#"), x)))
+    text = F.when(text.contains("&#"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
     for name, to in ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(to))
     return text
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point, by its UTF-8 bytes."""
+    low = lambda shift: (F.call_function("shiftright", code, F.lit(shift)) % 64) + 128
+    lead = lambda mark, shift: F.call_function("shiftright", code, F.lit(shift)) + mark
+    two = lambda x: F.lpad(F.hex(x), 2, "0")
+    hexed = F.when(code < 0x80, two(code)).when(code < 0x800, F.concat(two(lead(192, 6)), two(low(0)))).when(code < 0x10000, F.concat(two(lead(224, 12)), two(low(6)), two(low(0)))).otherwise(F.concat(two(lead(240, 18)), two(low(12)), two(low(6)), two(low(0))))
+    return F.decode(F.unhex(hexed), "UTF-8")
+
+
 def unaccent(text: Column) -> Column:
     """Accented Latin letters to their base letters."""
     source, to = zip(*[(a, b) for a, b in zip(*ACCENTS, strict=False) if b != "\0"], strict=True)
@@ -54,12 +73,24 @@ def hash36(text: Column) -> Column:
     return F.substring(F.lower(F.conv(F.abs(wrapped).cast("string"), 10, 36)), 1, 8)
 
 
+def slug_words(text: Column, words: int = 4) -> Column:
+    """The first words of letters and digits, joined by underscores; only the text's beginning is matched."""
+    plain = F.lower(unaccent(text))
+    plain = F.when(F.octet_length(plain) == F.char_length(plain), plain).otherwise(F.regexp_replace(plain, r"[^\x00-\x7F]+", ""))
+    begin = F.regexp_extract(plain, r"^[^a-z0-9]*+((?:[a-z0-9]++[^a-z0-9]++){0,%d}[a-z0-9]*+)" % (words - 1), 1)
+    return F.rtrim(F.regexp_replace(begin, "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def has_slug(text: Column) -> Column:
+    """Whether slug() finds a word."""
+    return unaccent(text).rlike("[A-Za-z0-9]")
+
+
 def slug(text: Column, words: int = 4, length: int = 48) -> Column:
     """First words of letters and digits, joined by underscores; a text without any is named by its hash."""
-    plain = F.regexp_replace(unaccent(text), r"[^\x00-\x7F]", "")
-    found = F.array_join(F.slice(F.regexp_extract_all(F.lower(plain), F.lit("[a-z0-9]+"), F.lit(0)), 1, words), "_")
-    named = F.when(found == "", F.concat(F.lit("text_"), hash36(text))).otherwise(found)
-    return F.when(F.length(named) > length, F.regexp_replace(F.substring(named, 1, length), "_+$", "")).otherwise(named)
+    cut = F.substring(slug_words(text, words), 1, length + 1)
+    found = F.when(F.char_length(cut) > length, F.rtrim(F.substring(cut, 1, length), F.lit("_"))).otherwise(cut)
+    return F.coalesce(F.nullif(found, F.lit("")), F.concat(F.lit("text_"), hash36(text)))
 
 
 def pascal(text: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.validate import reason
+from ..functions.validate import cascade, plain
 
 # Calls by framework
 CALLS = {"any": r"(?:\bt|\$t)", "laravel": r"(?:\b__|\btrans|@lang)", "python": r"(?:\b_|\bgettext)"}
@@ -92,7 +92,7 @@ def struct_tags(files: DataFrame, text: str = "text") -> DataFrame:
 
 def translatable(items: DataFrame, text: str = "text") -> DataFrame:
     """Items with the reason of the cascade; null reason means to translate."""
-    return items.withColumn("reason", reason(F.col(text)))
+    return items.withColumn("_plain", plain(F.col(text))).withColumn("reason", cascade(F.col("_plain"))).drop("_plain")
 
 
 def comment_ranges(files: DataFrame, text: str = "text") -> DataFrame:

@@ -142,8 +142,7 @@ _PLAIN = f"regexp_replace(translate(t, '{''.join(_ACC)}', '{''.join(_BAS)}'), '[
 @query("slugify_ascii", f"""with {_ROWS}, s as (select doc_id, line, array_to_string(list_slice(regexp_extract_all(lower({_PLAIN}), '[a-z0-9]+'), 1, 4), '_') as s from rows)
 select doc_id, line, case when length(s) > 48 then regexp_replace(left(s, 48), '_+$', '') else s end as slug from s where s <> ''""")
 def slugify_ascii(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lines(spark, sf).select("doc_id", "line", fn.slug(F.col("t")).alias("slug"))
-    return rows.where(~F.col("slug").startswith("text_"))
+    return lines(spark, sf).where(fn.has_slug(F.col("t"))).select("doc_id", "line", fn.slug(F.col("t")).alias("slug"))
 
 
 @query("pascal_case", "select p_partkey, array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace(p_name, '[_-]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '\\s+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '') as name from part")

@@ -98,3 +98,9 @@ def test_likeness(value):
     like = lambda a, b: value(fn.key_likeness(F.col("a"), F.col("b")), a=a, b=b)
     assert like("common.import_file", "common.failed_to_import_file") == 0.0 and like("a.save", "a.load") == 0.0
     assert like("common.greeting", "common.greetings") > 0.3 and like("x.y", "x.y") == 1.0
+
+
+def test_numeric_entities(spark):
+    cases = {"&#65;&#x42;&#X43;": "ABC", "caf&#233; &#8364; &#x1F600;": "café € 😀", "&#0; &#55296; &#x110000; &#99999999;": "&#0; &#55296; &#x110000; &#99999999;", "&#38;lt;": "<", "&# 1;&#;&#x;": "&# 1;&#;&#x;", "&#65 no": "&#65 no", "&amp;lt;": "&lt;", "plain": "plain"}
+    got = {r.t: r.x for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", fn.decode_entities(F.col("t")).alias("x")).collect()}
+    assert got == cases
