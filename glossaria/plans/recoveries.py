@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import recovery, references, templates
+from ..operators import recovery, references, source_history, templates
 from ..sources import history
 from . import views as v
 from .registry import query
@@ -95,3 +95,30 @@ def long_sentences(spark: SparkSession, sf: str) -> DataFrame:
 def grown_ignore_list(spark: SparkSession, sf: str) -> DataFrame:
     old = v.read(spark, sf, "benchmark").select(F.trim("text").alias("pattern"))
     return references.grown(old, v.read(spark, sf, "events").select(F.col("event_type").alias("pattern")))
+
+
+_TURNS = """turns as (select conv_id, turn, t, 'chat.' || array_to_string(list_slice(regexp_extract_all(lower(t), '[a-z]{3,}'), 1, 3), '_') as key
+  from (select conv_id, turn, trim(regexp_replace(regexp_replace(text, '[<>{}"''`]', ' ', 'g'), '\\s+', ' ', 'g')) as t from conversations) where regexp_matches(t, '[A-Za-z]{3}.* '))"""
+
+
+@query("source_history_recovery", f"""with {_TURNS}, gone as (select * from turns where turn % 2 = 0), keys as (select distinct conv_id, key from gone),
+w as (select conv_id, key, list_filter(string_split(key[6:], '_'), lambda x: length(x) > 2) as words from keys),
+s as (select w.conv_id, w.key, g.turn, g.t, len(list_filter(words, lambda x: contains(lower(t), x))) as hits,
+  2 + (case when regexp_matches(t, '^[A-Z]') then 2 else 0 end) + (case when regexp_matches(t, '[.!?]$') then 2 else 0 end) + (case when contains(t, ' ') then 1 else 0 end) + (case when length(t) between 5 and 100 then 2 else 0 end) as base from w join gone g on g.conv_id = w.conv_id),
+b as (select *, row_number() over (partition by conv_id, key order by base + 10 * hits + 5 desc, turn, t) as r from s where hits > 0)
+select cast(conv_id as varchar) as file, key, t as text, 'v' || (case when conv_id % 3 = 0 then 1 else 2 end) as hash from b where r = 1""")
+def source_history_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as source files: every other turn becomes a call in the second or third version, and its text is found again."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace("text", r"""[<>{}"'`]""", " "), r"\s+", " "))
+    c = v.read(spark, sf, "conversations").select("conv_id", "turn", clean.alias("t")).where(F.col("t").rlike("[A-Za-z]{3}.* "))
+    words = F.slice(F.regexp_extract_all(F.lower("t"), F.lit("[a-z]{3,}"), F.lit(0)), 1, 3)
+    c = c.withColumns({"key": F.concat(F.lit("chat."), F.array_join(words, "_")), "plain": F.concat(F.lit("<p>"), "t", F.lit("</p>"))})
+    call = F.concat(F.lit("<p>{t('"), "key", F.lit("')}</p>"))
+    lines = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", x.alias("line")))), lambda y: y["line"]), "\n")
+    files = c.groupBy("conv_id").agg(lines(F.col("plain")).alias("old"), lines(F.when(F.col("turn") % 2 == 0, call).otherwise(F.col("plain"))).alias("new"))
+    spoken = F.col("conv_id") % 3 == 0
+    state = lambda n, message, content: F.struct(F.lit(f"v{n}").alias("hash"), F.lit(f"2024-01-0{n + 1}").cast("timestamp").alias("ts"), message.alias("message"), content.alias("content"))
+    states = F.array(state(0, F.lit("first"), F.col("old")), state(1, F.when(spoken, "i18n of the chat").otherwise("tidy"), F.when(spoken, F.col("new")).otherwise(F.col("old"))), state(2, F.lit("later"), F.col("new")))
+    versions = files.select(F.col("conv_id").cast("string").alias("file"), F.explode(states).alias("s")).select("file", "s.*")
+    missing = c.where("turn % 2 = 0").select(F.col("conv_id").cast("string").alias("file"), "key").distinct()
+    return source_history.recovered(missing, versions).select("file", "key", "text", "hash")

@@ -98,3 +98,27 @@ def test_reports(spark):
     d = spark.createDataFrame([("f", 1, "k", "style"), ("f", 1, "k", "style"), ("f", 2, "k", "missing")], "file string, line int, key string, code string")
     assert references.distinct_diagnostics(d).count() == 2
     assert {r.severity for r in references.with_severity(d, {"style": "hint"}).collect()} == {3, 1}
+
+
+def test_source_history(spark):
+    from glossaria.operators import source_history as sh
+
+    t = lambda d: datetime(2024, 1, d)
+    v0 = "<em>Long enough text stays</em>\n<h1>Welcome home friend</h1>\n<p>Total amount due: {x}</p>\n<b>other</b>\n" + "\n".join(f"line {i}" for i in range(20)) + "\n<i>Contact the support team</i>\n"
+    v1 = v0.replace("Welcome home friend", "{t('home.welcomeTitle')}")
+    v2 = v1.replace("Contact the support team", "{t('home.support')}").replace("<b>other</b>", "<b>{t('home.gone')}</b>")
+    v3 = v2.replace("<b>{t('home.gone')}</b>", "<b>x</b>")
+    v4 = v3.replace("<b>x</b>", "<b>{t('home.gone', { count: n })}</b>").replace("line 3\n", "Save {count} files now\n")
+    rows = [("a", "c0", t(1), "first", v0), ("a", "c1", t(2), "titles", v1), ("a", "c2", t(3), "more", v2), ("a", "c3", t(4), "less", v3), ("a", "c4", t(5), "back", v4), ("b", "d0", t(1), "x", "<p>Hello there you</p>"), ("b", "d1", t(2), "use i18n", "<p>{t('b.hello')}</p>"), ("c", "e0", t(1), "x", "{t('c.always')}"), ("d", "f0", t(1), None, None), ("d", "f1", t(2), None, "t('d.new')")]
+    versions = spark.createDataFrame(rows, "file string, hash string, ts timestamp, message string, content string")
+    starts = {(r.file, r.key): (r.hash, r.before) for r in sh.introductions(versions).collect()}
+    assert starts == {("a", "home.welcomeTitle"): ("c1", "c0"), ("a", "home.support"): ("c2", "c1"), ("a", "home.gone"): ("c4", "c3"), ("b", "b.hello"): ("d1", "d0"), ("d", "d.new"): ("f1", "f0")}
+    missing = spark.createDataFrame([("a", "home.welcomeTitle"), ("a", "home.support"), ("a", "home.gone"), ("a", "home.none"), ("b", "b.hello"), ("c", "c.always"), ("d", "d.new")], "file string, key string")
+    got = {(r.file, r.key): (r.text, r.hash, r.before, r.place) for r in sh.recovered(missing, versions).collect()}
+    assert got[("a", "home.welcomeTitle")] == ("Welcome home friend", "c1", "c0", "change")
+    assert got[("a", "home.support")] == ("Contact the support team", "c2", "c1", "change")
+    assert got[("b", "b.hello")] == ("Hello there you", "d1", "d0", "change")
+    assert got[("a", "home.gone")] == ("Long enough text stays", "c4", "c3", "file") and set(got) == {("a", "home.welcomeTitle"), ("a", "home.support"), ("a", "home.gone"), ("b", "b.hello")}
+    lines = sh.changes(spark.createDataFrame([("a", "c0", "c2")], "file string, before string, hash string"), versions).collect()
+    assert {r.hunk for r in lines} == {0, 1} and [r.sign for r in sorted(lines, key=lambda r: r.pos)].count("-") == 3
+    assert sh.recovered(missing.limit(0), versions).count() == 0
