@@ -105,14 +105,14 @@ class Encoder:
             if self.merged(text) == [text]:
                 return text_ids
         length, shorter, compatible = self.length, self.shorter, self.compatible
-        open_at = (1 << (n + 1)) - 1  # bit p is cleared once no encoding leads on from position p
+        failed = bytearray((n >> 3) + 1)  # a bit for each position, set once no encoding leads on from it
         ids: list[int] = []
         at, token = 0, longest[0]
         while at < n:
             last = ids[-1] if ids else -1
             while token >= 0:
                 end = at + length[token]
-                if open_at >> end & 1 and (last < 0 or compatible(last, token)):
+                if not failed[end >> 3] >> (end & 7) & 1 and (last < 0 or compatible(last, token)):
                     break
                 token = shorter[token]
             if token >= 0:
@@ -122,7 +122,7 @@ class Encoder:
             else:
                 if not ids:
                     return None
-                open_at &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 token = ids.pop()
                 at -= length[token]
         return ids
