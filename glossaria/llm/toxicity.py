@@ -154,8 +154,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[Model]:
     # both samples are thinned by hash first, so that no more than about their bounds is ever moved
     confirmed = labelled.where("toxic = 1").where(draw < share(MAX_POSITIVE, n_toxic)).select("doc_id").orderBy("doc_id").limit(MAX_POSITIVE)
     own = docs.where("doc_id is not null").where(fold(F.col("doc_id"), FOLDS) != 0)
-    p = own.join(F.broadcast(confirmed), "doc_id").select(F.lit(1).alias("part"), "text").limit(MAX_POSITIVE)
-    u = own.where(F.pmod(F.xxhash64("doc_id", F.lit(18)), F.lit(1 << 30)) < share(MAX_UNLABELLED, n_docs * (FOLDS - 1) // FOLDS)).select(F.lit(0).alias("part"), "text")
+    # rows in an order that the plan doesn't change; a doc_id or a row that is there very often can't pass the bound
+    bounded = lambda df, part, most: df.withColumn("_order", F.xxhash64("doc_id", "text")).orderBy("_order", "doc_id").limit(most).select(F.lit(part).alias("part"), "text")
+    p = bounded(own.join(F.broadcast(confirmed), "doc_id"), 1, MAX_POSITIVE)
+    drawn = own.where(F.pmod(F.xxhash64("doc_id", F.lit(18)), F.lit(1 << 30)) < share(MAX_UNLABELLED, n_docs * (FOLDS - 1) // FOLDS))
+    u = bounded(drawn, 0, 2 * MAX_UNLABELLED)
     found = p.unionByName(u).mapInArrow(_features, "part int, words binary").toPandas()
     texts = [np.frombuffer(x, np.uint64) for x in found.words]
     positive = [t for t, k in zip(texts, found.part, strict=True) if k]

@@ -576,3 +576,24 @@ def test_mixing_costs_do_not_depend_on_neighbours():
         own = mixer.cost(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
         assert np.isclose(bits[i], own[0][0], rtol=1e-5)
         assert np.allclose(weight[i], own[1][0], atol=1e-5) and np.allclose(refined[i], own[2][0], atol=1e-5)
+
+
+def test_sentencepiece_of_a_long_run():
+    encode = sentencepiece_bpe.Encoder(sentencepiece_bpe.default_model())
+    text = "ab" * 500_000
+    start = time.process_time()
+    got = np.frombuffer(encode(text), "<u4").tolist()
+    assert time.process_time() - start < 20 and got == encode.sp.encode(text)
+
+
+def test_toxicity_bounds_repeated_rows(spark, monkeypatch):
+    """A doc_id that holds most rows passes no more of them to the driver than the bound."""
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 40)
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 10)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda p, u, prior, seed: seen.append((len(p), len(u))) or toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), 0.0))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text number {i}") for i in ids] + [(ids[k % 7], "the same text again") for k in range(3000)]
+    labels = spark.createDataFrame([(i, 1, int(k % 2)) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    got = toxicity.scored(spark.createDataFrame(rows, DOCS), labels)
+    assert got.count() == len(rows) and seen and all(p <= 10 and u <= 80 for p, u in seen)
