@@ -102,10 +102,12 @@ def debounce_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return state.debounce(_events(spark, sf), "user_id", gap="6 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query("throttle")
+@query("throttle", """with recursive e as (select distinct user_id, ts from events), f as (select user_id, min(ts) as ts from e group by 1
+  union all select f.user_id, (select min(e.ts) from e where e.user_id = f.user_id and e.ts >= f.ts + interval 6 hour) as ts from f where exists (select 1 from e where e.user_id = f.user_id and e.ts >= f.ts + interval 6 hour))
+select user_id, cast(ts as timestamp) as ts from f""")
 def throttle(spark: SparkSession, sf: str) -> DataFrame:
     """Per user the events that come at least six hours after the last one let through."""
-    return state.throttle(_events(spark, sf).select("user_id", "ts"), "user_id", seconds=6 * 3600)
+    return state.throttle(_events(spark, sf).select("user_id", "ts"), "user_id", seconds=6 * 3600).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("tombstone_ttl", "with m as (select max(ts) as now from events), dead as (select user_id from events, m where event_type = 'error' and ts > now - interval 24 hour) select distinct user_id from events where user_id not in (select user_id from dead)")

@@ -80,7 +80,12 @@ def copy_requests(spark: SparkSession, sf: str) -> DataFrame:
     return references.checked_parameters(ask, rows)
 
 
-@query("suspicious_values")
+_NAMES = "|".join(recovery.PLACEHOLDER_NAMES)
+_COUNT = "len(list_filter(string_split_regex(value, '\\s+'), lambda w: w <> ''))"
+
+
+@query("suspicious_values", f"""with {v.VALUES} select key || '.label' as key, locale from vals where (value <> '' and ((regexp_matches(value, '[.!?]') and {_COUNT} >= 4) or (regexp_matches(value, '(?i)^\\s*(we|you|i|they|he|she|it)\\b') and {_COUNT} >= 4) or {_COUNT} >= 10))
+or regexp_matches(regexp_replace(value, '\\{{[a-zA-Z_][a-zA-Z0-9_]*\\}}', '', 'g'), '\\b[Vv]alue[0-9]+\\b') or (regexp_matches(value, '\\b({_NAMES})\\b') and regexp_matches(value, '[A-Z][a-z]+\\s+[A-Z][a-z]+'))""")
 def suspicious_values(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.values(spark, sf).withColumn("key", F.concat("key", F.lit(".label")))
     return rows.where(recovery.suspicious(F.col("key"), F.col("value"))).select("key", "locale")

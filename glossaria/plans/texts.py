@@ -150,7 +150,12 @@ def pascal_case(spark: SparkSession, sf: str) -> DataFrame:
     return v.read(spark, sf, "part").select("p_partkey", fn.pascal(F.col("p_name")).alias("name"))
 
 
-@query("namespace_from_path")
+_PASCAL = "array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace(s, '[_-]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '\\s+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '')"
+
+
+@query("namespace_from_path", f"""with p as (select page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) as path from pages), l as (select page_id, path, list_filter(string_split(regexp_replace(path, '\\.[^./]*$', ''), '/'), lambda s: s <> '') as l from p),
+k as (select page_id, path, case when regexp_matches(l[-1], '^[A-Z][a-zA-Z0-9]*$') then l[:-2] else l end as l from l), n as (select page_id, path, array_to_string(list_filter(list_transform(l, lambda s: {_PASCAL}), lambda s: s <> ''), '.') as name from k)
+select page_id, case when name = '' then 'Common' else name end as namespace, case when contains(path, '/resources/views/') then 'views' else lower(split_part(ltrim(path, '/'), '/', 1)) end as root from n""")
 def namespace_from_path(spark: SparkSession, sf: str) -> DataFrame:
     path = F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1)
     return pages(spark, sf).select("page_id", fn.namespace(path).alias("namespace"), fn.root_of(path).alias("root"))
@@ -252,7 +257,8 @@ def typography(spark: SparkSession, sf: str) -> DataFrame:
     return v.read(spark, sf, "documents").select("doc_id", fn.typography(F.col("text")).alias("text"))
 
 
-@query("string_hashes")
+@query("string_hashes", """with h as (select p_partkey, list_reduce(list_concat([0::bigint], list_transform(string_split(p_name, ''), lambda c: ord(c)::bigint)), lambda h, c: (((h * 31 + c + 2147483648) % 4294967296) + 4294967296) % 4294967296 - 2147483648) as h from part)
+select p_partkey, left(lower(to_base(abs(h), 36)), 8) as hash from h""")
 def string_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return v.read(spark, sf, "part").select("p_partkey", fn.hash36(F.col("p_name")).alias("hash"))
 
@@ -276,7 +282,18 @@ def wrap_known_texts(spark: SparkSession, sf: str) -> DataFrame:
     return extract.wrap_texts(files, known)
 
 
-@query("english_words")
+_RUNS = "regexp_extract_all(w, '[bcdfghjklmnpqrstvwxz]{4,}')"
+_STEPS = "len(list_filter(range(1, length(w)), lambda i: (contains('aeiouy', w[i]) and contains('bcdfghjklmnpqrstvwxz', w[i + 1])) or (contains('bcdfghjklmnpqrstvwxz', w[i]) and contains('aeiouy', w[i + 1]))))"
+_PAIRS = "len(list_filter(range(1, length(w)), lambda i: regexp_matches(w[i:i + 1], '^[a-z][a-z]$')))"
+_SPOKEN = f"""case when length(w) <= 2 then w in ({", ".join(f"'{x}'" for x in val.SHORT)}) else regexp_matches(w, '[aeiouy]')
+  and not (length(w) >= 4 and ((len({_RUNS}) > 0 and len(list_filter({_RUNS}, lambda x: regexp_matches(x, '{"|".join(val.CLUSTERS)}'))) = 0) or regexp_matches(w, '[aeiouy]{{4,}}')))
+  and not ({_PAIRS} > 0 and {_STEPS} < {_PAIRS} * 0.3) and not (length(w) > 4 and not regexp_matches(w, '{"|".join(val.BIGRAMS)}')) end"""
+
+
+@query("english_words", f"""with l as (select lang, doc_id, unnest(range(len(string_split(text, chr(10))))) as line, trim(unnest(string_split(text, chr(10)))) as t from documents),
+s as (select lang, doc_id, line, list_filter(string_split_regex(t, '[\\s,;.!?()\\[\\]{{}}]+'), lambda x: x <> '') as ws from l), u as (select lang, doc_id, line, lower(regexp_replace(unnest(ws), '^[''"]+|[''"]+$', '', 'g')) as w from s),
+g as (select lang, doc_id, line, count(*) as n, count(*) filter ({_SPOKEN}) as good from u group by all)
+select s.lang, count(*) filter (g.n > 0 and g.good >= g.n * 0.5) as english, count(*) as n from s left join g on g.doc_id = s.doc_id and g.line = s.line group by s.lang""")
 def english_words(spark: SparkSession, sf: str) -> DataFrame:
     """Lines by language, and those that sound like English."""
     d = v.read(spark, sf, "documents").select("lang", F.explode(F.split("text", "\n")).alias("t"))

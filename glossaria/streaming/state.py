@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..operators.chains import greedy
+
 
 def debounce(events: DataFrame, by: str, ts: str = "ts", gap: str = "5 seconds", late: str = "1 minute") -> DataFrame:
     """One row per burst: events of a key closer than the gap. Works on streams (append, with watermark) and tables."""
@@ -19,18 +22,16 @@ def debounce(events: DataFrame, by: str, ts: str = "ts", gap: str = "5 seconds",
 
 
 def throttle(firings: DataFrame, by: str, ts: str = "ts", seconds: int = 300) -> DataFrame:
-    """Of a key's firings, each that comes at least so long after the last one let through."""
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(ts, kind="stable")
-        last, keep = None, []
-        for t in x[ts]:
-            ok = last is None or (t - last).total_seconds() >= seconds
-            last = t if ok else last
-            keep.append(ok)
-        return x[keep]
+    """Of a key's firings, each that comes at least so long after the last one let through.
 
-    return firings.groupBy(by).applyInPandas(run, firings.schema)
+    A firing blocks the time behind it like an interval, so the greedy choice of intervals that don't overlap decides; a busy
+    key is spread over stretches of time. Of rows at one time the least counts.
+    """
+    gap = seconds * 1_000_000
+    rest = [c for c in firings.columns if c not in (by, ts)]
+    edits = firings.where(F.col(by).isNotNull()).select(F.col(by).alias("file"), F.unix_micros(F.col(ts).cast("timestamp")).alias("start"), (F.unix_micros(F.col(ts).cast("timestamp")) + gap).alias("end"), F.struct(ts, *rest).alias("row"))
+    chosen = greedy(edits, width=256 * gap)
+    return chosen.select(*[F.col("file").alias(by) if c == by else F.col(f"row.{c}") for c in firings.columns])
 
 
 def throttle_stream(events: DataFrame, by: str, ts: str = "ts", seconds: int = 300, late: str = "1 minute") -> DataFrame:
@@ -88,6 +89,38 @@ def follow(changes: DataFrame, path: str, checkpoint: str):
     return changes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def log_changes(changes: DataFrame, path: str, checkpoint: str):
+    """Keep what a stream of changed files says, batch by batch: a batch writes only the rows of its own files, deletions too.
+
+    A batch that is done again after a failure overwrites its own folder, and one that fails halfway leaves nothing that
+    latest() reads, so neither changes what other batches wrote.
+    """
+
+    def append(batch: DataFrame, n: int) -> None:
+        newest = batch.withColumn("_v", F.max("version").over(Window.partitionBy("file"))).where("version = _v").drop("_v")
+        newest.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return changes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows in force in the folder of log_changes(): each file's rows of its last batch, without deleted files."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    last = rows.groupBy("file").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["file", "batch"], "left_semi").where("not deleted").select(*schema.fieldNames())
+
+
+def compact(spark: SparkSession, path: str, schema: StructType, upto: int) -> None:
+    """Put the rows in force after a batch into one folder, that batch's, in the place of all earlier ones; later batches stay."""
+    from ..sources.sinks import swapped
+
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    old = rows.where(F.col("batch") <= upto)
+    last = old.groupBy("file").agg(F.max("batch").alias("batch"))
+    kept = old.join(last, ["file", "batch"], "left_semi").where("not deleted").withColumn("batch", F.lit(upto).cast("long")).unionByName(rows.where(F.col("batch") > upto))
+    swapped(spark, path, lambda staged: kept.write.partitionBy("batch").parquet(staged))
+
+
 def until_stable(step, state, most: int = 2):
     """Repeat step(state) -> (state, mark) until the mark stays the same or the passes are used up."""
     last = None

@@ -109,3 +109,40 @@ def test_key_lookup(spark):
     items = spark.createDataFrame([(1, "Home", "button", "Save"), (2, "Home", "heading", "Title"), (3, "X", "y", "none")], "id int, ns string, kind string, text string")
     keys = spark.createDataFrame([("Commons", "button", "Save", "Commons.button.save"), ("Home", "text", "Title", "Home.text.title")], "ns string, kind string, text string, key string")
     assert {r.id: r.key for r in joins.key_lookup(items, keys).collect()} == {1: "Commons.button.save", 2: "Home.text.title", 3: None}
+
+
+def test_nested_lines(spark, tmp_path):
+    """Lines of nested files against a tree in plain Python; UTF-16 order, prefixes, quotes, control characters."""
+    import random
+
+    rng = random.Random(3)
+    parts = ["a", "b", "a-x", "ab", "é", "", "\U0001f600", "B", "10", "9", 'q"', "\\", "it's"]
+    rows = [(rng.choice(["en", "fr"]), ".".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))), rng.choice(["v", 'say "hi"', "tab\tand\nline", "it's \\", ""])) for _ in range(300)] + [("de", "k", None), ("de", "only.one", "x")]
+    df = spark.createDataFrame(rows, "locale string, key string, value string")
+    want = {}
+    for locale, key, value in rows:
+        if value is not None:
+            at = (locale, tuple(key.split(".")))
+            want[at] = max(value, want.get(at, value))
+    trees = {}
+    for (locale, path), value in want.items():
+        if any(o[0] == locale and len(o[1]) > len(path) and o[1][: len(path)] == path for o in want):
+            continue
+        node = trees.setdefault(locale, {})
+        for p in path[:-1]:
+            node = node.setdefault(p, {})
+        node[path[-1]] = value
+    deep = lambda x: {k: deep(x[k]) for k in sorted(x, key=lambda k: k.encode("utf-16-be"))} if isinstance(x, dict) else x
+    got = {r.locale: r.text for r in sinks.documents(df, ["locale"]).collect()}
+    assert got == {k: json.dumps(deep(t), ensure_ascii=False, indent=2) + "\n" for k, t in trees.items()}
+    php = {r.locale: dict(src.walk_php(r.text)) for r in sinks.documents(df.where("key not like '%\\\\\\\\%' and value not like '%\\\\\\\\%'"), ["locale"], "php").collect()}
+    assert php["de"] == {"only.one": "x"}
+    sinks.write_locales(df, str(tmp_path / "out"))
+    files = {p.parent.name.split("=")[1]: p.read_text() for p in (tmp_path / "out").glob("locale=*/part-*")}
+    assert {k: json.loads(t) for k, t in files.items()} == {k: json.loads(t) for k, t in got.items()}
+    before = sorted(p.name for p in (tmp_path / "out").rglob("*"))
+    with pytest.raises(RuntimeError):
+        sinks.swapped(spark, str(tmp_path / "out"), lambda staged: (spark.range(1).selectExpr("'x' as t").write.text(staged), (_ for _ in ()).throw(RuntimeError("no")))[0])
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*")) == before and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    ordered = spark.createDataFrame([("en", "b.x", "1", 0), ("en", "a", "2", 1), ("en", "b.c", "3", 2)], "locale string, key string, value string, ord long")
+    assert json.loads(sinks.documents(ordered, ["locale"], sort=False).first().text) == {"b": {"x": "1", "c": "3"}, "a": "2"} and list(json.loads(sinks.documents(ordered, ["locale"], sort=False).first().text)) == ["b", "a"]
