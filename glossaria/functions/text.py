@@ -125,7 +125,7 @@ def key_of(ns: Column, kind: Column, text: Column) -> Column:
 
 def placeholders(text: Column) -> Column:
     """Distinct {name} and {{ expression }} of a text."""
-    double = F.transform(F.regexp_extract_all(text, F.lit(r"\{\{\s*([^{}]+?)\s*\}\}"), F.lit(1)), F.trim)
+    double = F.transform(F.regexp_extract_all(text, F.lit(r"\{\{\s*([^{}]+?)\s*\}\}"), F.lit(1)), lambda x: F.trim(x))
     single = F.regexp_extract_all(F.regexp_replace(text, r"\{\{[^{}]*\}\}", ""), F.lit(r"\{([A-Za-z0-9_.]+)\}"), F.lit(1))
     return F.array_sort(F.array_distinct(F.concat(double, single)))
 
@@ -176,6 +176,18 @@ def escape_markdown(text: Column) -> Column:
     return F.regexp_replace(text, MARKDOWN, r"\\$1")
 
 
+def escape_regex(text: Column) -> Column:
+    """The text as a regular expression that matches just it."""
+    return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+
+
+def template_parts(text: Column) -> Column:
+    """Struct of a template literal: statics, its constant parts; expressions, what stands in ${} between them; base, the parts joined by blanks."""
+    statics = F.split(text, r"\$\{[^}]+\}")
+    base = F.trim(F.regexp_replace(F.array_join(statics, " "), r"\s+", " "))
+    return F.struct(statics.alias("statics"), F.transform(F.regexp_extract_all(text, F.lit(r"\$\{([^}]+)\}"), F.lit(1)), lambda x: F.trim(x)).alias("expressions"), base.alias("base"))
+
+
 def strip_fence(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*```[A-Za-z]*\s*", ""), r"\s*```\s*$", ""))
 

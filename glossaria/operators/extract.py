@@ -60,6 +60,24 @@ def calls(files: DataFrame, pattern: str = CALLS["any"], text: str = "text", key
     return lines.select(*keys, (F.col("pos") + 1).alias("line"), F.explode(F.regexp_extract_all("content", F.lit(pattern + KEY), F.lit(1))).alias("key"))
 
 
+def call_pattern(names: tuple[str, ...]) -> str:
+    """The pattern of calls() for configured names, which may be dotted; the usual names too."""
+    return "(?:" + "|".join([CALLS["any"], *(rf"(?<![\w.]){re.escape(n)}" for n in names)]) + ")"
+
+
+def call_bounds(files: DataFrame, text: str = "text") -> DataFrame:
+    """(file, start, end, call) of translating calls by offset; quotes, brackets and objects among the arguments are minded."""
+    from .templates import expression_end
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin = re.compile(r"(?<![\w.$])\$?t\(")
+        for x in frames:
+            rows = [(f, m.start(), e, t[m.start() : e]) for f, t in zip(x["file"], x["text"], strict=True) for m in begin.finditer(t or "") for e in [expression_end(t, m.end(), ")")]]
+            yield pd.DataFrame(rows, columns=["file", "start", "end", "call"])
+
+    return files.select(F.col("file").cast("string").alias("file"), F.col(text).alias("text")).mapInPandas(run, "file string, start long, end long, call string")
+
+
 def usage(files: DataFrame, candidates: DataFrame, text: str = "text") -> DataFrame:
     """Calls and quoted literals that name a candidate key: extracted once, then a semi join, not a pattern per key."""
     quoted = files.select("file", F.posexplode(F.split(text, "\n")).alias("pos", "content")).select("file", (F.col("pos") + 1).alias("line"), F.explode(F.regexp_extract_all("content", F.lit(r"""['"`]([A-Za-z0-9_\-:]+(?:\.[A-Za-z0-9_\-:]+)+)['"`]"""), F.lit(1))).alias("key"))

@@ -90,3 +90,14 @@ def plan_summary(pending: DataFrame, hits: DataFrame) -> DataFrame:
 def unbalanced(values: DataFrame) -> DataFrame:
     n = lambda c: F.length("value") - F.length(F.replace(F.col("value"), F.lit(c), F.lit("")))
     return values.where(n("(") != n(")"))
+
+
+def reported_unused(reports: DataFrame) -> DataFrame:
+    """One row: how many unused keys the reports (text) list; a report that isn't JSON lists none."""
+    size = F.coalesce(F.size(F.from_json("text", "unused array<string>")["unused"]), F.lit(0))
+    return reports.agg(F.coalesce(F.sum(F.greatest(size, F.lit(0))), F.lit(0)).alias("unused"))
+
+
+def reference_count(missing: DataFrame) -> DataFrame:
+    """One row: the missing references, and the files that have any."""
+    return missing.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))

@@ -80,7 +80,7 @@ def argument_names(contents: DataFrame) -> DataFrame:
     """(file, key, names): names in the objects that a file's calls pass along with a key, lower-cased."""
     call = r"""\bt\(\s*['"][A-Za-z0-9_.-]+['"]\s*,\s*\{[^}]+\}"""
     each = contents.select("file", F.explode(F.regexp_extract_all("content", F.lit(call), F.lit(0))).alias("c"))
-    name = F.explode(F.transform(F.split(F.regexp_extract("c", r"\{([^}]+)", 1), "[:,]"), F.trim))
+    name = F.explode(F.transform(F.split(F.regexp_extract("c", r"\{([^}]+)", 1), "[:,]"), lambda x: F.trim(x)))
     each = each.select("file", F.regexp_extract("c", r"""['"]([^'"]+)['"]""", 1).alias("key"), name.alias("name")).where(F.col("name").rlike("^[a-zA-Z_][a-zA-Z0-9_]*$"))
     return each.groupBy("file", "key").agg(F.collect_set(F.lower("name")).alias("names"))
 

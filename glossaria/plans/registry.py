@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import catalogues, history, recoveries, scalars, sources, texts  # noqa: F401
+    from . import catalogues, history, projects, recoveries, scalars, sources, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

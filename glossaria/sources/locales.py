@@ -40,16 +40,52 @@ class Project:
         return cls(tuple(own.get("locales") or (base,)), base, own.get("srcRoot") or "src", own.get("localesDir") or "locales", own.get("layout") or own.get("localeLayout") or "single", tuple(own.get("messagePatterns") or ()), tuple(own.get("tsExtractKeys") or ()), own)
 
 
-def scan(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = MAX_BYTES, pruned: tuple[str, ...] = PRUNED) -> DataFrame:
-    """(path, text) of files below a path: size and folders are checked on metadata, before any content is decoded."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    inside = ~F.col("path").rlike("/(" + "|".join(re.escape(p) for p in pruned) + ")/")
-    return files.where((F.col("length") <= max_bytes) & inside).select("path", decoded(F.col("content")).alias("text"))
+def listed(spark: SparkSession, path: str, glob: str = "*", pruned: tuple[str, ...] = PRUNED) -> list[tuple[str, int]]:
+    """(path, bytes) of the files below a path whose name fits, level by level; pruned folders are not entered, no file is opened.
+
+    Like Spark's own index of files this holds a name per file on the driver; a level of folders is one call to the file system.
+    """
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files, fits = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.GlobFilter(glob)
+    level, out = [root], []
+    while level:
+        folders = spark.sparkContext._gateway.new_array(hadoop.Path, len(level))
+        for i, p in enumerate(level):
+            folders[i] = p
+        level = []
+        for status in files.listStatus(folders):
+            at = status.getPath()
+            if status.isDirectory():
+                if at.getName() not in pruned:
+                    level.append(at)
+            elif fits.accept(at):
+                out.append((at.toString(), status.getLen()))
+    return out
 
 
-def skipped(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = MAX_BYTES) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.agg(F.count_if(F.col("length") > max_bytes).alias("skipped"), F.count(F.lit(1)).alias("files"))
+def scan(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = MAX_BYTES, pruned: tuple[str, ...] = PRUNED) -> DataFrame:
+    """(path, text) of files below a path. Names, folders and sizes are checked in the listing: files that are left out are never opened."""
+    chosen = [p for p, n in listed(spark, path, glob, pruned) if n <= max_bytes]
+    if not chosen:
+        return spark.createDataFrame([], "path string, text string")
+    files = spark.read.format("binaryFile").load(chosen)
+    return files.select("path", decoded(F.col("content")).alias("text"))
+
+
+def skipped(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = MAX_BYTES, pruned: tuple[str, ...] = PRUNED) -> DataFrame:
+    """One row: skipped, the files too large for scan(), and files, all that fit the glob."""
+    sizes = [n for _, n in listed(spark, path, glob, pruned)]
+    return spark.createDataFrame([(sum(n > max_bytes for n in sizes), len(sizes))], "skipped long, files long")
+
+
+def ignore_lists(files: DataFrame) -> DataFrame:
+    """(kind, pattern) of ignore files (text): the entries of exact, exactInsensitive and contains, of all files, each as often as it stands."""
+    lists = F.from_json("text", "exact array<string>, exactInsensitive array<string>, contains array<string>")
+    named = lambda k: F.transform(F.coalesce(F.col(f"l.{k}"), F.array().cast("array<string>")), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("pattern")))
+    entries = F.flatten(F.array(*[named(k) for k in ("exact", "exactInsensitive", "contains")]))
+    return files.select(lists.alias("l")).select(F.explode(entries).alias("e")).select("e.*").where("pattern is not null")
 
 
 def decoded(content: Column) -> Column:

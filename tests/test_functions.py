@@ -104,3 +104,9 @@ def test_numeric_entities(spark):
     cases = {"&#65;&#x42;&#X43;": "ABC", "caf&#233; &#8364; &#x1F600;": "café € 😀", "&#0; &#55296; &#x110000; &#99999999;": "&#0; &#55296; &#x110000; &#99999999;", "&#38;lt;": "<", "&# 1;&#;&#x;": "&# 1;&#;&#x;", "&#65 no": "&#65 no", "&amp;lt;": "&lt;", "plain": "plain"}
     got = {r.t: r.x for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", fn.decode_entities(F.col("t")).alias("x")).collect()}
     assert got == cases
+
+
+def test_trimmed_parts_keep_their_digits(value):
+    assert value(fn.placeholders(F.col("s")), s="{{ 0abc }} {{ 1.x1 }} {q}") == ["0abc", "1.x1", "q"]
+    assert value(fn.template_parts(F.col("s")).getField("expressions"), s="a ${ 0b } ${ c1 }") == ["0b", "c1"]
+    assert value(fn.escape_regex(F.col("s")), s="a.b*(c)\\") == "a\\.b\\*\\(c\\)\\\\"

@@ -122,3 +122,10 @@ def test_source_history(spark):
     lines = sh.changes(spark.createDataFrame([("a", "c0", "c2")], "file string, before string, hash string"), versions).collect()
     assert {r.hunk for r in lines} == {0, 1} and [r.sign for r in sorted(lines, key=lambda r: r.pos)].count("-") == 3
     assert sh.recovered(missing.limit(0), versions).count() == 0
+
+
+def test_argument_names(spark):
+    from glossaria.operators import source_history as sh
+
+    files = spark.createDataFrame([("f", "t('a.b', { count: n, 0x: 1, Name }) + t('a.c') + t('a.b', {Total})")], "file string, content string")
+    assert {(r.file, r.key): sorted(r.names) for r in sh.argument_names(files).collect()} == {("f", "a.b"): ["count", "n", "name", "total"]}
