@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions import validate as val
-from ..operators import extract, joins, recovery, references, reports
+from ..operators import extract, joins, recovery, references, reports, rewrites
 from ..sources import locales as src
 from ..sources import sinks
 from ..sources.scratch import scratch
@@ -180,3 +180,43 @@ def settled_references(spark: SparkSession, sf: str) -> DataFrame:
         return keys.join(unused, "key", "left_anti").unionByName(missing), (unused.count(), missing.count())
 
     return until_stable(step, start, most=3)
+
+
+_REACT = [
+    ('"use client"\nconst errorMessage = ', "'@ one'", "t('#.1')"), ("; const x = { title: ", '"@ two"', "t('#.2')"), (", size: 'no' };\ntoast.success(", "'@ three'", "t('#.3')"), (");\nfunction f() { return ", "'@ four'", "t('#.4')"),
+    (";\n}\nexport default () => <div title=", '"@ five"', "{t('#.5')}"), (" placeholder={ok ? ", "'@ six'", "t('#.6')"), (" : t('a.b')}><p> ", "@ seven", "{t('#.7')}"), (" </p>{", '"@ eight"', "t('#.8')"), ("}<b>{t('x.y')}</b></div>;\n", "", ""),
+]
+_VUE = [
+    ("<template><h1 ", 'title="@ one"', ":title=\"$t('#.1')\""), (' :alt="', "'@ two'", "$t('#.2')"), ('">', "@ three", "{{ $t('#.3') }}"), ("</h1><i v-text=\"", "'@ four'", "$t('#.4')"), ('"></i><b>{{ $t(\'x.y\') }}</b>{{ ok ? ', '"@ five"', "$t('#.5')"), (" : n }}</template>", "", ""),
+]
+_TENS = "one two three four five six seven eight".split()
+
+
+def _component(form: list[tuple[str, str, str]], new: bool) -> str:
+    return "".join(a + (c if new else b) for a, b, c in form)
+
+
+def _written(form: list[tuple[str, str, str]], head: str) -> str:
+    """SQL of a component after its rewriting: @ stands for the name, # for the number."""
+    quoted = _component(form, True).replace('"use client"\n', '"use client"\n' + head).replace("'", "''")
+    return "replace(replace('" + quoted + "', '@ ', p_name || ' ' || p_partkey || ' '), '#', 'k' || p_partkey)"
+
+
+def _rewritten(spark: SparkSession, sf: str, form: list[tuple[str, str, str]], framework: str) -> DataFrame:
+    p = parts(spark, sf)
+    fill = lambda t: F.replace(lit(t), lit("@"), F.concat("p_name", lit(" "), F.col("p_partkey").cast("string")))
+    files = p.select(F.col("p_partkey").cast("string").alias("file"), fill(_component(form, False)).alias("text"))
+    numbers = F.explode(F.array(*[F.struct(lit(w).alias("word"), lit(str(i + 1)).alias("n")) for i, w in enumerate(_TENS[: len(form) - 1])])).alias("x")
+    keys = p.select("p_name", "p_partkey", numbers).select(F.concat("p_name", lit(" "), F.col("p_partkey").cast("string"), lit(" "), "x.word").alias("text"), F.concat(lit("k"), F.col("p_partkey").cast("string"), lit("."), "x.n").alias("key"))
+    return rewrites.rewritten(files, keys, framework)
+
+
+@query("rewritten_react", f"select cast(p_partkey as varchar) as file, {_written(_REACT, rewrites.IMPORT)} as text from part")
+def rewritten_react(spark: SparkSession, sf: str) -> DataFrame:
+    """Components whose texts stand in all kinds of places, as calls, with the import."""
+    return _rewritten(spark, sf, _REACT, "react")
+
+
+@query("rewritten_vue", f"select cast(p_partkey as varchar) as file, {_written(_VUE, '')} as text from part")
+def rewritten_vue(spark: SparkSession, sf: str) -> DataFrame:
+    return _rewritten(spark, sf, _VUE, "vue")

@@ -146,3 +146,22 @@ def test_nested_lines(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").rglob("*")) == before and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
     ordered = spark.createDataFrame([("en", "b.x", "1", 0), ("en", "a", "2", 1), ("en", "b.c", "3", 2)], "locale string, key string, value string, ord long")
     assert json.loads(sinks.documents(ordered, ["locale"], sort=False).first().text) == {"b": {"x": "1", "c": "3"}, "a": "2"} and list(json.loads(sinks.documents(ordered, ["locale"], sort=False).first().text)) == ["b", "a"]
+
+
+def test_rewrite_families(spark):
+    from glossaria.operators import rewrites
+
+    react = "const errorMessage = \"It failed\";\nconst x = { title: 'It failed', size: 'It failed', message: \"Key.like.text\" };\ntoast.error('It failed'); toast.other('It failed');\nfunction f() { return 'It failed';\n}\n<p title='It failed' alt={a ? 'It failed' : t('a.b')}>It failed</p><p>It failed {n}</p>{'It failed'}<q>It failed</q>\n"
+    files = spark.createDataFrame([("a", react), ("b", "no text"), ("c", None)], "file string, text string")
+    keys = spark.createDataFrame([("It failed", "k.x")], "text string, key string")
+    once = rewrites.rewritten(files, keys, "react")
+    got = {r.file: r.text for r in once.collect()}
+    call = "t('k.x')"
+    assert got["a"] == rewrites.IMPORT + f"const errorMessage = {call};\nconst x = {{ title: {call}, size: 'It failed', message: \"Key.like.text\" }};\ntoast.error({call}); toast.other('It failed');\nfunction f() {{ return {call};\n}}\n<p title={{{call}}} alt={{a ? {call} : t('a.b')}}>{{{call}}}</p><p>It failed {{n}}</p>{{{call}}}<q>It failed</q>\n"
+    assert got["b"] == "no text" and got["c"] is None
+    assert {r.file: r.text for r in rewrites.rewritten(once, keys, "react").collect()} == got
+    vue = spark.createDataFrame([("v", "<b TITLE='It failed'>Hi {{ u.name }}</b>{{ 'It failed' }}<i :alt=\"'It failed'\" v-html=\"'It failed'\">It failed</i>")], "file string, text string")
+    more = keys.union(spark.createDataFrame([("Hi {{ u.name }}", "k.hi")], "text string, key string"))
+    done = rewrites.rewritten(vue, more, "vue")
+    assert done.first().text == "<b :TITLE=\"$t('k.x')\">{{ $t('k.hi', {name}) }}</b>{{ $t('k.x') }}<i :alt=\"$t('k.x')\" v-html=\"$t('k.x')\">{{ $t('k.x') }}</i>"
+    assert rewrites.rewritten(done, more, "vue").first().text == done.first().text
