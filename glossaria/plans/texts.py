@@ -9,6 +9,7 @@ from ..functions import text as fn
 from ..functions import validate as val
 from ..operators import catalog as cat
 from ..operators import extract, fuzzy, joins, reports
+from . import cascade
 from . import views as v
 from .registry import query
 
@@ -122,14 +123,32 @@ _predicate("common_short_text", fn.common_short, "trim(t) <> '' and len(string_s
 _predicate("unbalanced_parens", lambda t: F.regexp_count(t, F.lit(r"\(")) != F.regexp_count(t, F.lit(r"\)")), f"{_n(chr(92) + '(')} <> {_n(chr(92) + ')')}", table="pages", key="page_id", expression=lambda: F.col("html"), text="html")
 
 
-@query("rejection_histogram")
+_LINE = f"lines as (select {cascade.PLAIN.format(t='trim(l)')} as t from (select unnest(string_split(text, chr(10))) as l from documents))"
+
+
+@query("rejection_histogram", f"with {_LINE} select coalesce({cascade.REASON}, 'translatable') as reason, count(*) as n from lines group by 1")
 def rejection_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """Reasons of the whole cascade over all lines."""
     rows = extract.translatable(lines(spark, sf).select(F.col("t").alias("text")))
     return reports.histogram(rows.select(F.coalesce("reason", F.lit("translatable")).alias("reason")), "reason")
 
 
-@query("should_translate_texts")
+@query("word_shapes", f"""with w as (select distinct unnest(string_split_regex(text, '[ \\n]+')) as t from documents union select distinct unnest(string_split_regex(html, '[ \\n<>"]+')) from pages union select url from pages),
+s as (select t, array_to_string(list_filter([{", ".join(f"case when {c} then '{k}' end" for k, c in cascade.SHAPES.items())}], lambda x: x is not null), ',') as shapes from w) select t as word, shapes from s where shapes <> ''""")
+def word_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct words of documents and pages that have a technical shape, with all of theirs."""
+    tests = {
+        "path": val.is_path, "uuid": val.is_uuid, "hex": val.is_hex_colour, "query": val.is_query_string, "version": val.is_version, "identifier": val.is_identifier, "env": val.is_env_var,
+        "pair": val.is_config_pair, "argument": val.is_cli_argument, "dsn": val.is_dsn, "date": val.is_date_format, "numeric": val.is_numeric, "url": val.is_url,
+    }
+    p = pages(spark, sf)
+    words = v.read(spark, sf, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("word")).union(p.select(F.explode(F.split("html", '[ \n<>"]+')))).union(p.select("url")).distinct()
+    shapes = F.array_join(F.filter(F.array(*[F.when(f(F.col("word")), k) for k, f in tests.items()]), lambda x: x.isNotNull()), ",")
+    return words.select("word", shapes.alias("shapes")).where("shapes <> ''")
+
+
+@query("should_translate_texts", f"""with h as (select page_id, cast(pos as integer) as pos, trim(l) as text from (select page_id, unnest(l) as l, unnest(range(len(l))) as pos from (select page_id, string_split(regexp_replace({BODY}, '<[^>]+>', chr(10), 'g'), chr(10)) as l from pages)) where regexp_matches(trim(l), '[a-zA-Z]')),
+x as (select page_id, pos, text, {cascade.PLAIN.format(t='text')} as t, trim(regexp_replace(text, '\\s+', ' ', 'g')) as c from h) select page_id, pos, text from x where {cascade.REASON} is null and c <> 'Home' and lower(c) <> 'menu' and not contains(c, '©')""")
 def should_translate_texts(spark: SparkSession, sf: str) -> DataFrame:
     rows = extract.html_texts(pages(spark, sf))
     return rows.where(val.should_translate(F.col("text"), exact=["Home"], any_case=["menu"], contains=["©"])).select("page_id", "pos", "text")
@@ -309,7 +328,9 @@ def short_english_words(spark: SparkSession, sf: str) -> DataFrame:
     return words.where(val.english_word(F.col("w")))
 
 
-@query("invalid_base_values")
+@query("invalid_base_values", f"""with h as (select distinct trim(l) as text from (select unnest(string_split(regexp_replace({BODY}, '<[^>]+>', chr(10), 'g'), chr(10))) as l from pages) where regexp_matches(trim(l), '[a-zA-Z]')),
+i as (select text, {cascade.INVALID} as invalid, {cascade.UTILITY} as utility from (select text, text as t from h)),
+x as (select text, invalid, utility, {cascade.PLAIN.format(t="text")} as t from i), r as (select text, invalid, case when utility then 'css_utility' else {cascade.REASON} end as reason from x) select text, reason from r where invalid or reason is not null""")
 def invalid_base_values(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of pages that a catalogue shouldn't hold, with the reason where the cascade names one."""
     rows = extract.html_texts(pages(spark, sf)).select("text").distinct()
