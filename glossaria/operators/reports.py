@@ -101,3 +101,18 @@ def reported_unused(reports: DataFrame) -> DataFrame:
 def reference_count(missing: DataFrame) -> DataFrame:
     """One row: the missing references, and the files that have any."""
     return missing.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
+
+
+def compact(issues: DataFrame, usage: DataFrame) -> DataFrame:
+    """(locale, locale_file, file, first_line, last_line): where in source the keys of a locale file's issues (locale, locale_file, key) are used, as one range a file."""
+    found = issues.select("locale", "locale_file", "key").distinct().join(usage.select("file", "line", "key"), "key")
+    return line_ranges(found, ["locale", "locale_file", "file"]).drop("n")
+
+
+def markdown(counts: DataFrame) -> DataFrame:
+    """One row: a Markdown table of a report's counts (rows by its first column), which are few by their nature."""
+    row = lambda cells: F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
+    body = counts.select(F.col(counts.columns[0]).cast("string").alias("_k"), row([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in counts.columns]).alias("line"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "line"))), lambda x: x["line"]), "\n")
+    head = row([F.lit(c) for c in counts.columns])
+    return body.agg(F.concat(head, F.lit("\n"), row([F.lit("---") for _ in counts.columns]), F.lit("\n"), lines).alias("text"))

@@ -220,3 +220,25 @@ def rewritten_react(spark: SparkSession, sf: str) -> DataFrame:
 @query("rewritten_vue", f"select cast(p_partkey as varchar) as file, {_written(_VUE, '')} as text from part")
 def rewritten_vue(spark: SparkSession, sf: str) -> DataFrame:
     return _rewritten(spark, sf, _VUE, "vue")
+
+
+@query("written_reports", f"""with {PARTS}, l as (select unnest(['de', 'fr']) as locale), i as (select case when p_partkey % 3 = 0 then 'style' else 'untranslated' end as type, locale, 'shop.' || word as key, p_partkey from parts, l where p_partkey % 2 = 0 or locale = 'fr'),
+u as (select 'shop.' || word as key, p_partkey as file from parts), f as (select distinct i.locale, u.file from i join u on u.key = i.key where i.type = 'untranslated')
+select 'combined' as report, locale, count(*) as n from i group by locale union all select type, locale, count(*) from i group by type, locale union all select 'compact', locale, count(*) from f group by locale""")
+def written_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Four reports of issues, written and read back: issues, or ranges in source, by report and locale."""
+    locales = F.explode(F.array(lit("de"), lit("fr"))).alias("locale")
+    p = parts(spark, sf).select("p_partkey", "p_name", "word", locales).where("p_partkey % 2 = 0 or locale = 'fr'")
+    kind = F.when(F.col("p_partkey") % 3 == 0, "style").otherwise("untranslated")
+    issues = p.select(kind.alias("type"), "locale", F.concat(lit("locales/"), "locale", lit(".json")).alias("locale_file"), F.concat(lit("shop."), "word").alias("key"), F.col("p_name").alias("english"), lit("").alias("current"), F.when(kind == "style", F.col("word")).alias("suggested"))
+    path = scratch(spark, "reports")
+    sinks.write_reports(issues, extract.calls(code(spark, sf)), path)
+    n = lambda name, count: spark.read.json(f"{path}/{name}").groupBy("locale").agg(F.sum(count).cast("long").alias("n")).select(lit(name).alias("report"), "locale", "n")
+    return n("combined", lit(1)).unionByName(n("untranslated", F.size("issues"))).unionByName(n("style", F.size("issues"))).unionByName(n("compact", F.size("issues")))
+
+
+@query("health_report", f"""with {v.DIAGNOSTICS}, h as (select locale, count(*) filter (code = 'missing-default') as a, count(*) filter (code = 'untranslated-missing') as b, count(*) filter (code = 'untranslated-same') as c, count(*) filter (code = 'placeholders') as d, count(*) as n from diag group by locale)
+select '| locale | missing_default | untranslated_missing | untranslated_same | placeholders | total |' || chr(10) || '| --- | --- | --- | --- | --- | --- |' || chr(10) || string_agg('| ' || locale || ' | ' || a || ' | ' || b || ' | ' || c || ' | ' || d || ' | ' || n || ' |', chr(10) order by locale) as text from h""")
+def health_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The health report's Markdown."""
+    return reports.markdown(reports.health(joins.diagnostics(v.coarse(spark, sf), v.locales(spark, sf)), "locale"))
