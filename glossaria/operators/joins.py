@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import placeholders
+from ..sources.scratch import small
 from . import chains, fuzzy
 from .catalog import blank, first_wins
 
@@ -24,7 +25,7 @@ def missing_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
 def missing_by_locale(values: DataFrame, locales: DataFrame, base: str = "en") -> DataFrame:
     """The same for every other locale at once: (locale, key, source). locales holds one row per locale."""
     source = values.where(F.col("locale") == base).where("value <> ''").select("key", F.col("value").alias("source"))
-    grid = source.join(F.broadcast(locales.where(F.col("locale") != base).select("locale")), how="cross")
+    grid = source.join(small(locales.where(F.col("locale") != base).select("locale")), how="cross")
     return grid.join(values.select("key", "locale", "value"), ["key", "locale"], "left").where("value is null or value = '' or value = source").select("locale", "key", "source")
 
 
@@ -87,7 +88,7 @@ def prefix_conflicts(rows: DataFrame) -> DataFrame:
 
 def sync_keys(keys: DataFrame, base: DataFrame, values: DataFrame, locales: DataFrame) -> DataFrame:
     """(key, locale, value) to add: the base's value for each of keys in each locale that lacks it."""
-    grid = base.join(keys.select("key").distinct(), "key", "left_semi").select("key", "value").join(F.broadcast(locales.select("locale")), how="cross")
+    grid = base.join(keys.select("key").distinct(), "key", "left_semi").select("key", "value").join(small(locales.select("locale")), how="cross")
     return grid.join(values.select("key", "locale"), ["key", "locale"], "left_anti").select("key", "locale", "value")
 
 
@@ -107,7 +108,7 @@ def key_lookup(items: DataFrame, text_keys: DataFrame) -> DataFrame:
 
 def grid(keys: DataFrame, locales: DataFrame, values: DataFrame) -> DataFrame:
     """Every key in every locale with its value or null; locales are few and broadcast."""
-    return keys.select("key").distinct().join(F.broadcast(locales.select("locale").distinct()), how="cross").join(values.select("key", "locale", "value"), ["key", "locale"], "left")
+    return keys.select("key").distinct().join(small(locales.select("locale").distinct()), how="cross").join(values.select("key", "locale", "value"), ["key", "locale"], "left")
 
 
 def diagnostics(values: DataFrame, locales: DataFrame, base: str = "en") -> DataFrame:

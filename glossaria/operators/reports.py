@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import small
+
 CODES = ["missing-default", "untranslated-missing", "untranslated-same", "placeholders"]
 
 
 def status(values: DataFrame, locales: DataFrame, base: str = "en") -> DataFrame:
     """Per other locale: total source keys, translated, untranslated, percent."""
     source = values.where((F.col("locale") == base) & (F.col("value") != "")).select("key", F.col("value").alias("source"))
-    g = source.join(F.broadcast(locales.where(F.col("locale") != base).select("locale")), how="cross").join(values.select("key", "locale", "value"), ["key", "locale"], "left")
+    g = source.join(small(locales.where(F.col("locale") != base).select("locale")), how="cross").join(values.select("key", "locale", "value"), ["key", "locale"], "left")
     done = F.coalesce((F.col("value") != "") & (F.col("value") != F.col("source")), F.lit(False))
     out = g.groupBy("locale").agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("translated"))
     return out.select("locale", "total", "translated", (F.col("total") - F.col("translated")).alias("untranslated"), F.round(100.0 * F.col("translated") / F.col("total"), 2).alias("percent"))

@@ -35,9 +35,9 @@ PARTS = "parts as (select *, replace(p_name, ' ', '_') as word from part)"
 
 @query("decoded_pages", "select page_id, html as text from pages")
 def decoded_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as bytes behind a byte order mark, decoded."""
-    marked = F.concat(F.unhex(lit("EFBBBF")), F.encode("html", "UTF-8"))
-    return v.read(spark, sf, "pages").select("page_id", src.decoded(marked).alias("text"))
+    """Pages as bytes, decoded: UTF-8 with a mark or without, UTF-16 with a mark."""
+    forms = F.when(F.col("page_id") % 3 == 0, F.concat(F.unhex(lit("EFBBBF")), F.encode("html", "UTF-8"))).when(F.col("page_id") % 3 == 1, F.encode("html", "UTF-8")).otherwise(F.concat(F.unhex(lit("FFFE")), F.encode("html", "UTF-16LE")))
+    return v.read(spark, sf, "pages").select("page_id", src.decoded(forms).alias("text"))
 
 
 @query("jsonc_catalog", "select lang as locale, '/locales/' || lang || '/d' || doc_id || '.json' as file, 'page.body' as key, text as value from documents where text is not null")
@@ -250,9 +250,11 @@ def decoded_entities(spark: SparkSession, sf: str) -> DataFrame:
     return v.read(spark, sf, "pages").select("page_id", fn.decode_entities(F.col("html")).alias("text"))
 
 
-@query("bom_stripped", "select doc_id, text from documents")
+@query("bom_stripped", "select doc_id, case when doc_id % 2 = 0 then text else text || chr(65279) || 'x' end as text from documents")
 def bom_stripped(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", fn.strip_bom(F.concat(lit("\ufeff"), "text")).alias("text"))
+    """A mark in front goes, one inside stays."""
+    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(lit("\ufeff"), "text")).otherwise(F.concat("text", lit("\ufeffx")))
+    return documents(spark, sf).select("doc_id", fn.strip_bom(marked).alias("text"))
 
 
 @query("balanced_ends", """with x as (select p_partkey, ['(' || p_name, p_name || ' )', '(' || p_name || ')', ')' || p_name, p_name || '('][p_partkey % 5 + 1] as t from part) select p_partkey, case p_partkey % 5 when 2 then t else trim(replace(replace(t, '(', ''), ')', '')) end as text from x""")
@@ -267,9 +269,11 @@ def escaped_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return v.read(spark, sf, "pages").select("page_id", fn.escape_markdown(F.col("url")).alias("text"))
 
 
-@query("stripped_fences", "select p_partkey, p_name as text from part")
+@query("stripped_fences", "select p_partkey, case p_partkey % 3 when 1 then p_name || ' ``` ' || p_brand else p_name end as text from part")
 def stripped_fences(spark: SparkSession, sf: str) -> DataFrame:
-    return parts(spark, sf).select("p_partkey", fn.strip_fence(F.concat(lit(" ```json\n"), "p_name", lit("\n```\n"))).alias("text"))
+    """Fences around go, with a language or without; one inside stays."""
+    fenced = F.concat(lit(" ```"), F.when(F.col("p_partkey") % 3 == 0, "json").otherwise(""), lit("\n"), "p_name", lit("\n```\n"))
+    return parts(spark, sf).select("p_partkey", fn.strip_fence(F.when(F.col("p_partkey") % 3 == 1, F.concat("p_name", lit(" ``` "), "p_brand")).otherwise(fenced)).alias("text"))
 
 
 def _kinds(name: str, test, forms: list[str], met: list[bool]) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where spark.checkpoint.dir is unset and Spark runs on one machine.
 FALLBACK = "/tmp/checkpoints/glossaria-core"
@@ -32,3 +33,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a table of names (locales, files with uncommitted changes) is handed to every task.
+FEW = 10_000
+
+
+def small(names: DataFrame, most: int = FEW) -> DataFrame:
+    """A table of names, for a broadcast if it has at most so many rows: they are fetched to see, one more at most. Else as it is, for Spark to choose."""
+    rows = names.limit(most + 1).collect()
+    return F.broadcast(names.sparkSession.createDataFrame(rows, names.schema)) if len(rows) <= most else names

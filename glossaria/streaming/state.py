@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..operators.chains import greedy
+from ..sources.scratch import small
 
 
 def debounce(events: DataFrame, by: str, ts: str = "ts", gap: str = "5 seconds", late: str = "1 minute") -> DataFrame:
@@ -64,7 +65,7 @@ def purge(tombstones: DataFrame, now, keep: str = "24 hours") -> DataFrame:
 
 def not_dirty(events: DataFrame, dirty: DataFrame, on: str) -> DataFrame:
     """Events whose file or folder has no uncommitted change (stream-static anti join)."""
-    return events.join(F.broadcast(dirty.select(on).distinct()), on, "left_anti")
+    return events.join(small(dirty.select(on).distinct()), on, "left_anti")
 
 
 def current(changes: DataFrame) -> DataFrame:

@@ -165,3 +165,10 @@ def test_rewrite_families(spark):
     done = rewrites.rewritten(vue, more, "vue")
     assert done.first().text == "<b :TITLE=\"$t('k.x')\">{{ $t('k.hi', {name}) }}</b>{{ $t('k.x') }}<i :alt=\"$t('k.x')\" v-html=\"$t('k.x')\">{{ $t('k.x') }}</i>"
     assert rewrites.rewritten(done, more, "vue").first().text == done.first().text
+
+
+def test_small_tables_only_are_broadcast(spark):
+    from glossaria.sources.scratch import small
+
+    plan = lambda n: spark.range(100).join(small(spark.range(n).withColumnRenamed("id", "k"), 5), F.col("id") == F.col("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(5) and "strategy=broadcast" not in plan(6)
