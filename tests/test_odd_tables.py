@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossaria.plans import registry
+from glossaria.sources import locales as src
+from glossaria.sources import sinks
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
@@ -41,3 +43,18 @@ def test_scanned_calls_many_parts(spark, sf, same):
     one = spark.read.parquet(f"{sf}/part.parquet").limit(1).drop("p_partkey", "p_name", "p_size")
     many = one.crossJoin(spark.range(60_000, numPartitions=1)).withColumns({"p_name": F.concat(F.lit("long name "), "id"), "p_size": (F.col("id") % 3).cast("int")}).withColumnRenamed("id", "p_partkey")
     same("scanned_calls", part=many)
+
+
+@pytest.mark.parametrize("name", ["locale_round_trip", "php_round_trip", "locale_files", "php_files"])
+def test_files_of_odd_locales(name, spark, sf, same):
+    """Names of languages that no pattern of paths knows, texts that are quoted; files of a locale that are many."""
+    lang = F.when(F.col("doc_id") % 3 == 0, "english").when(F.col("doc_id") % 3 == 1, "x").otherwise("en")
+    same(name, documents=table(spark, sf, "documents", lang=lang, text=F.concat(F.lit("it's \\\\ \"q\"\n"), F.repeat("text", F.lit(3)))))
+
+
+def test_shards_are_bounded(spark):
+    rows = spark.range(300).select(F.lit("en").alias("locale"), F.concat(F.lit("a.b"), "id", F.lit(".c")).alias("key"), F.repeat(F.lit("x"), 100).alias("value"))
+    files = sinks.shards(rows, ["locale"], most=3000).withColumn("n", F.length("text"))
+    assert 8 <= files.count() <= 13 and files.agg(F.max("n")).first()[0] < 12_000
+    paths = files.select(F.concat(F.lit("/locales/en/"), "part", F.lit(".json")).alias("path"), "text")
+    assert sorted(map(tuple, src.catalog(paths).select("locale", "key", "value").collect())) == sorted(map(tuple, rows.collect()))
