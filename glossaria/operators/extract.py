@@ -148,7 +148,7 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, es) for t, es in zip(text, all_edits, strict=True)])
 
-    return files.join(each, "file", "left").select("file", put("text", "edits").alias("text"))
+    return files.join(each.hint("merge"), "file", "left").select("file", put("text", "edits").alias("text"))
 
 
 # How a call is written, by framework
@@ -190,7 +190,7 @@ def wrap_texts(files: DataFrame, keys: DataFrame, framework: str = "laravel") ->
             yield pd.DataFrame(rows, columns=["file", "start", "end", "found", "before", "after"])
 
     found = files.mapInPandas(run, "file string, start long, end long, found string, before string, after string")
-    edits = found.join(keys.select(F.col("text").alias("found"), "key"), "found").select("file", "start", "end", F.concat("before", "key", "after").alias("new"))
+    edits = found.join(keys.select(F.col("text").alias("found"), "key").hint("merge"), "found").select("file", "start", "end", F.concat("before", "key", "after").alias("new"))
     return apply_edits(files, edits)
 
 
@@ -217,4 +217,4 @@ def inline(files: DataFrame, values: DataFrame) -> DataFrame:
             yield pd.DataFrame([(f, *m.span(), m[2]) for f, t in zip(x["file"], x["text"], strict=True) for m in p.finditer(t or "")], columns=["file", "start", "end", "key"])
 
     found = files.mapInPandas(run, "file string, start long, end long, key string")
-    return apply_edits(files, found.join(values.select("key", "value"), "key").select("file", "start", "end", quote_literal(F.col("value")).alias("new")))
+    return apply_edits(files, found.join(values.select("key", "value").hint("merge"), "key").select("file", "start", "end", quote_literal(F.col("value")).alias("new")))

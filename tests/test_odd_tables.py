@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from glossaria.operators import extract, fuzzy, rewrites, templates
 from glossaria.plans import registry
 from glossaria.sources import locales as src
 from glossaria.sources import sinks
@@ -58,3 +59,31 @@ def test_shards_are_bounded(spark):
     assert 8 <= files.count() <= 13 and files.agg(F.max("n")).first()[0] < 12_000
     paths = files.select(F.concat(F.lit("/locales/en/"), "part", F.lit(".json")).alias("path"), "text")
     assert sorted(map(tuple, src.catalog(paths).select("locale", "key", "value").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_key_maps_are_not_broadcast(spark):
+    """Tables that grow with texts are merged, however small their files look."""
+    files = spark.createDataFrame([("f", "<p>Hello there</p>")], "file string, text string")
+    keys = spark.createDataFrame([("Hello there", "a.b")], "text string, key string")
+    for df in (rewrites.rewritten(files, keys, "react"), rewrites.rewritten(files, keys, "vue"), extract.wrap_texts(files, keys)):
+        assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
+
+
+def test_neighbourhoods_are_not_broadcast(spark):
+    texts = spark.createDataFrame([("g", "abc"), ("g", "abd")], "group string, text string")
+    pairs = fuzzy.near_pairs(texts, texts, F.lit(1), F.array(F.lit(1))).where("distance > 0")
+    assert "Broadcast" not in plan(pairs) and pairs.count() == 2
+    keys = spark.createDataFrame([("a.b.c.title1",), ("a.b.c.title2",)], "key string")
+    assert "Broadcast" not in plan(fuzzy.alike(keys, keys)) and fuzzy.best_alike(keys).count() == 2
+
+
+def test_template_texts_come_in_pieces(spark):
+    """Rows are handed on while a batch is read, in the order of the files, none lost."""
+    pages = spark.range(60, numPartitions=1).select(F.concat(F.lit("/p"), "id", F.lit(".html")).alias("path"), F.concat(F.lit("<p>Text number "), "id", F.lit("</p>"), F.repeat(F.lit("<br>"), 20_000)).alias("text"))
+    found = templates.extract_texts(spark, pages)
+    assert sorted(r.text for r in found.collect()) == sorted(f"Text number {i}" for i in range(60))
+    assert max(map(len, templates.pieces(((str(i), "<p>Some text</p>" * 1000) for i in range(300)), lambda p, s: [(p, s)], 1 << 20))) <= 70
