@@ -4,6 +4,9 @@ Two texts within t edits of each other: cut one into t // 2 + 1 segments, and so
 with one edit at most. Two strings one edit apart share a string that is one of them or lacks one character of it. So the
 index holds each segment and its one-deletion neighbours, keyed with the group; probes are the stretches of the other text
 that such a segment can meet, by length and place. Candidates are verified by the edit distance itself.
+
+Joins are sorted merges: from the size of a compressed file of keys Spark would take their many neighbours for a small table
+and broadcast them.
 """
 
 from __future__ import annotations
@@ -59,7 +62,7 @@ def near_pairs(left: DataFrame, right: DataFrame, edits: Column, cuts: Column) -
     a, b = _probes(left.select("group", "text").distinct().withColumn("edits", edits.cast("int"))), _index(right.select("group", "text").distinct(), cuts)
     shift = F.abs(F.col("from") - F.col("r_from")) + F.abs((F.col("len") - F.col("from") - F.col("size")) - (F.col("r_len") - F.col("r_from") - F.col("r_size")))
     fits = F.col("group").eqNullSafe(F.col("r_group")) & (F.abs(F.col("size") - F.col("r_size")) <= 1) & (shift <= F.col("edits"))
-    found = a.join(b, "key").where(fits).select("group", "text", F.col("r_text").alias("near"), "edits").distinct()
+    found = a.join(b.hint("merge"), "key").where(fits).select("group", "text", F.col("r_text").alias("near"), "edits").distinct()
     return found.withColumn("distance", F.levenshtein("text", "near").cast("int")).where("distance <= edits").drop("edits")
 
 
@@ -82,7 +85,7 @@ def nearest(left: DataFrame, right: DataFrame, least: int = 2, share: int = 4) -
         pairs = near_pairs(some, right, edits, cuts)
         best = stash(pairs.groupBy("group", "text").agg(F.min(F.struct("distance", "near")).alias("b")).select("group", "text", "b.near", "b.distance"), "fuzzy-near")
         out = best if out is None else out.unionByName(best)
-        left = stash(left.join(best, ["group", "text"], "left_anti"), "fuzzy-left")
+        left = stash(left.join(best.hint("merge"), ["group", "text"], "left_anti"), "fuzzy-left")
     return out if out is not None else left.select("group", "text", F.lit(None).cast("string").alias("near"), F.lit(0).alias("distance"))
 
 
@@ -124,15 +127,15 @@ def alike(some: DataFrame, keys: DataFrame, least: float = 0.6) -> DataFrame:
     Candidates share the first segment and as many others as they must. Meant for a stated set of keys against all.
     """
     x, y = _signatures(_keys(some), least), _signatures(_keys(keys), least).select(F.col("key").alias("other"), F.col("root").alias("_root"), "sign")
-    return _scored(x.join(y, "sign").where("root = _root").select("key", "other"), least)
+    return _scored(x.join(y.hint("merge"), "sign").where("root = _root").select("key", "other"), least)
 
 
 def _moved(keys: DataFrame, least: float) -> DataFrame:
     """(key, other): keys that share enough segments, in other places or at another depth. Most choices of segments stand in one place in all keys and drop out."""
     signs = stash(_signatures(keys, least), "fuzzy-signs")
     mixed = signs.groupBy("sign").agg(F.min("places").alias("a"), F.max("places").alias("b")).where("a <> b").select("sign")
-    some = signs.join(mixed, "sign", "left_semi")
-    return some.join(some.select(F.col("key").alias("other"), F.col("root").alias("_root"), F.col("places").alias("_places"), "sign"), "sign").where("root = _root and places <> _places").select("key", "other")
+    some = signs.join(mixed.hint("merge"), "sign", "left_semi")
+    return some.join(some.select(F.col("key").alias("other"), F.col("root").alias("_root"), F.col("places").alias("_places"), "sign").hint("merge"), "sign").where("root = _root and places <> _places").select("key", "other")
 
 
 def best_alike(keys: DataFrame, least: float = 0.6) -> DataFrame:
@@ -154,7 +157,7 @@ def best_alike(keys: DataFrame, least: float = 0.6) -> DataFrame:
         one = 0.7 * (F.col("depth") - 1) / F.col("depth") + 0.3 * (1 - (edits + 1) / (F.coalesce(longest, F.lit(0)) + edits + 1))
         two = F.when(F.col("depth") > 2, 0.7 * (F.col("depth") - 2) / F.col("depth") + 0.3).otherwise(0.0)
         best = found.groupBy("key").agg(F.max("score").alias("top"))
-        rest = todo.join(best, "key", "left").where((F.greatest(one, two) >= least - 1e-6) & (F.coalesce("top", F.lit(0.0)) <= F.greatest(one, two) + 1e-6))
+        rest = todo.join(best.hint("merge"), "key", "left").where((F.greatest(one, two) >= least - 1e-6) & (F.coalesce("top", F.lit(0.0)) <= F.greatest(one, two) + 1e-6))
         todo = stash(rest.select(*own.columns), "fuzzy-todo")
     if not todo.isEmpty():
         found = found.unionByName(alike(todo, own, least)).distinct()
