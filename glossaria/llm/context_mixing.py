@@ -5,10 +5,14 @@ before (Huffman trees of the training counts, so a byte takes about as many deci
 Three predictors, each a table hashed by a context (two bytes, four bytes, the letters of the word so far; A-Z lower-cased), give the
 odds of a decision's bit from the training counts of their context. A mixer adds the odds with weights gated by the depth
 in the tree and the place in the word, and a refinement by gate and step of the mixed odds corrects the sum. Weights and
-refinements start from values learned on MIX_DOCS training texts that are kept out of the counts, and both adapt
+refinements start from values learned on all training texts, and both adapt
 after every block of BLOCK symbols of the text itself; the predictors' counts don't change while a text is scored. Texts are
 lower-cased (A-Z) first, as for the base. The cost in bits of all decisions is the text's code length; score is its log10 probability, bits_per_byte the length per byte.
 
+Starting values are fitted across PARTS parts of the training texts: a part's decisions are tallied by gate and steps of the
+three odds, which come from the counts of the other parts, so no text vouches for itself. The tally has a fixed number of
+cells; weights by gate and then refinements are the likeliest ones for it (Newton's method). The final predictors count all parts.
+
 The base is an add-one unigram over word tokens; its counts, and those of the predictors, come from all training texts
 (crc32(doc_id) mod 7 is not 2).
 
@@ -42,9 +46,13 @@ END, SYMBOLS = 256, 257
 #: Slots of the predictors' tables, and shards of each.
 SLOTS = (1 << 15, 1 << 16, 1 << 17)
 SHARDS = 128
-#: Texts that set the first weights, the longest of them, and passes over them.
-MIX_DOCS, MIX_BYTES, MIX_EPOCHS = 192, 100_000, 4
+#: Parts of the training texts for the first weights, and steps of a predictor's odds in the tally of decisions.
+PARTS, LEVELS = 2, 32
+#: Passes over texts that are given to set the first weights.
+EPOCHS = 4
 BLOCK, GATES, RATE = 256, 15, 0.006
+#: A predictor's weight where nothing is known.
+FIRST = 0.4
 #: Steps of the mixed odds that have a refinement of their own under each gate, and its rate.
 STEPS, REFINING = 24, 0.02
 HEAVY = 1 << 17
@@ -246,15 +254,9 @@ def _context_counts(trees):
     return run
 
 
-def _odds(trees):
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sum a shard's counts task by task, and turn them into the odds of every node of every slot."""
-        k, shard = int(key[0]), int(key[1])
+def _odds(trees, parts: int):
+    def turned(k: int, shard: int, table: np.ndarray) -> bytes:
         slots, leaves = SLOTS[k] // SHARDS, trees.value.leaves
-        table = np.zeros(slots * leaves, np.float32)
-        for x in batches:
-            for at, c in zip(x["at"], x["c"], strict=True):
-                table[np.frombuffer(at, np.uint32)] += np.frombuffer(c, np.uint32)
         table = table.reshape(slots, leaves)
         out = np.zeros((slots, leaves), np.int8)
         start, size = trees.value.regions[k]
@@ -270,7 +272,19 @@ def _odds(trees):
             sides[trees.value.bit[path], leaf, trees.value.node[path]] = 1
             zero, one = table[a:b] @ sides[0], table[a:b] @ sides[1]
             out[a:b] = np.clip(np.rint(np.log((one + 0.3) / (zero + 0.3)) * SCALE), -127, 127)
-        yield pd.DataFrame({"k": [k], "shard": [shard], "odds": [out.tobytes()]})
+        return out.tobytes()
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sum a shard's counts task by task, and turn them into the odds of every node of every slot: of all parts, and without each."""
+        k, shard = int(key[0]), int(key[1])
+        table = np.zeros((parts, SLOTS[k] // SHARDS * trees.value.leaves), np.float32)
+        for x in batches:
+            for part, at, c in zip(x["part"], x["at"], x["c"], strict=True):
+                table[part, np.frombuffer(at, np.uint32)] += np.frombuffer(c, np.uint32)
+        every = table.sum(0)
+        without = range(parts) if parts > 1 else ()
+        odds = [turned(k, shard, every), *(turned(k, shard, np.delete(table, part, 0).sum(0)) for part in without)]
+        yield pd.DataFrame({"without": [-1, *without], "k": k, "shard": shard, "odds": odds})
 
     return run
 
@@ -280,9 +294,32 @@ class Mixer:
 
     def __init__(self, trees: Trees, odds: list[np.ndarray]):
         self.trees, self.odds = trees, odds
-        self.weight = np.full((GATES, len(SLOTS)), 0.4, np.float32)
+        self.weight = np.full((GATES, len(SLOTS)), FIRST, np.float32)
         self.refined = np.zeros(GATES * STEPS, np.float32)
 
+    def cells(self, levels: list[np.ndarray], data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The tally's cell of every decision: gate, the level of each predictor's odds, bit."""
+        symbols, _, place = stream(data, at)
+        b1, slots, letters = self.trees.slots(symbols, place)
+        leaves = np.uint32(self.trees.leaves)
+        path = b1 * leaves + self.trees.leaf.take(symbols)
+        count = self.trees.length.take(path)
+        ends = np.cumsum(count, dtype=np.int32)
+        begin = ends - count
+        of = np.repeat(np.arange(len(symbols), dtype=np.int32), count)
+        at_path = (self.trees.first.take(path) - begin).take(of)
+        at_path += np.arange(len(of), dtype=np.int32)
+        node = self.trees.node.take(at_path)
+        out = (letters.astype(np.int32) * np.int32(3) + np.int32(2)).take(of)
+        out[begin] -= 2
+        out[begin[count > 1] + 1] -= 1
+        for table, slot in zip(levels, slots, strict=True):
+            out *= np.int32(LEVELS)
+            out += table.take((slot * leaves).take(of) + node)
+        out *= np.int32(2)
+        out += self.trees.bit.take(at_path)
+        return out
+
     def cost(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits of each text, and the weights and refinements that each text ends with."""
         symbols, length, place = stream(data, at)
@@ -354,24 +391,119 @@ class Mixer:
         return (bits / np.log(2) + unseen)[number], weight[number], refined.reshape(docs, -1)[number]
 
 
-def train(texts: DataFrame, mixing: list[str], pairs: list[tuple[int, int]]) -> Mixer:
-    """Predictors from all texts; pairs: counts of (byte before, symbol); mixing: texts that only set the first weights."""
-    spark = prepare(texts.sparkSession)
+def _trees(pairs: list[tuple[int, int]]) -> Trees:
     counts = np.zeros(256 * SYMBOLS, np.int64)
     for key, c in pairs:
         counts[key] = c
-    trees = Trees(counts)
-    shared = spark.sparkContext.broadcast(trees)
-    found = texts.mapInArrow(_context_counts(shared), "k int, shard int, at binary, c binary").groupBy("k", "shard").applyInPandas(_odds(shared), "k int, shard int, odds binary").collect()
+    return Trees(counts)
+
+
+def _predictors(parts: list[DataFrame], trees) -> DataFrame:
+    """(without, k, shard, odds): the odds of each shard, from all parts (-1), and if there are several, without each."""
+    counted = [p.select("text").mapInArrow(_context_counts(trees), "k int, shard int, at binary, c binary").withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
+    every = counted[0]
+    for c in counted[1:]:
+        every = every.unionByName(c)
+    return every.groupBy("k", "shard").applyInPandas(_odds(trees, len(parts)), "without int, k int, shard int, odds binary")
+
+
+def _mixer(trees: Trees, found: DataFrame, without: int = -1) -> Mixer:
     odds = [np.zeros((s, trees.leaves), np.int8) for s in SLOTS]
-    for r in found:
+    for r in found.where(F.col("without") == without).collect():
         n = SLOTS[r.k] // SHARDS
         odds[r.k][r.shard * n : (r.shard + 1) * n] = np.frombuffer(r.odds, np.int8).reshape(n, trees.leaves)
-    mixer = Mixer(trees, [o.reshape(-1) for o in odds])
+    return Mixer(trees, [o.reshape(-1) for o in odds])
+
+
+def _tally(mixer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(GATES * LEVELS ** len(SLOTS) * 2, np.int64)
+        levels = [level(np.arange(-128, 128)).astype(np.uint8)[o.view(np.uint8) ^ 128] for o in mixer.value.odds]
+        for _, data, at in text_slices(batches, limit=SLICE):
+            total += np.bincount(mixer.value.cells(levels, data, at), minlength=len(total))
+        some = np.flatnonzero(total)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    return run
+
+
+def level(odds: np.ndarray) -> np.ndarray:
+    """The step of odds (sixteenths, -128 to 127) in the tally; those around 0 share one."""
+    return np.minimum((odds + 128 + 128 // LEVELS) * LEVELS >> 8, LEVELS - 1)
+
+
+def _newton(x: np.ndarray, one: np.ndarray, zero: np.ndarray, start: np.ndarray, offset: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """By group the likeliest weights of x (rows, k) for counts of ones and zeros, drawn to their start by one decision's weight."""
+    w = start.astype(np.float64)
+    k, n = x.shape[1], len(w)
+
+    def loss(w: np.ndarray) -> np.ndarray:
+        m = offset + (x * w[group]).sum(1)
+        return np.bincount(group, one * np.logaddexp(0, -m) + zero * np.logaddexp(0, m), n) + 0.5 * ((w - start) ** 2).sum(1)
+
+    now = loss(w)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(offset + (x * w[group]).sum(1), -40, 40)))
+        wrong, bend = zero * p - one * (1 - p), (one + zero) * p * (1 - p)
+        g = np.stack([np.bincount(group, wrong * x[:, i], n) for i in range(k)], 1) + w - start
+        h = np.stack([np.stack([np.bincount(group, bend * x[:, i] * x[:, j], n) for j in range(k)], 1) for i in range(k)], 1) + np.eye(k)
+        move = np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        rate = np.ones(n)
+        for _ in range(20):  # a step that loses is halved
+            then = loss(w - rate[:, None] * move)
+            if (better := then <= now + 1e-9 * np.abs(now)).all():
+                break
+            rate[~better] /= 2
+        w, now = w - np.where(better, rate, 0.0)[:, None] * move, np.where(better, then, now)
+        if np.abs(move).max() < 1e-6:
+            break
+    return w
+
+
+def fitted(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by gate and refinements by gate and step from the tally of decisions: cells and their counts."""
+    pair, bit = cell >> 1, (cell & 1).astype(bool)
+    pair, back = np.unique(pair, return_inverse=True)
+    one, zero = np.bincount(back[bit], n[bit], len(pair)), np.bincount(back[~bit], n[~bit], len(pair))
+    middle = np.array([np.mean([o for o in range(-128, 128) if level(np.array(o)) == k]) for k in range(LEVELS)]) / SCALE
+    x = np.stack([middle[pair // LEVELS**i % LEVELS] for i in range(len(SLOTS) - 1, -1, -1)], 1)
+    gate = pair // LEVELS ** len(SLOTS)
+    weight = _newton(x, one, zero, np.full((GATES, len(SLOTS)), FIRST), np.zeros(len(pair)), gate)
+    margin = (x * weight[gate]).sum(1)
+    step = gate * STEPS + np.clip(margin * 1.5 + STEPS / 2, 0, STEPS - 1).astype(np.int64)
+    refined = _newton(np.ones((len(pair), 1)), one, zero, np.zeros((GATES * STEPS, 1)), margin, step)
+    return weight.astype(np.float32), refined[:, 0].astype(np.float32)
+
+
+def train_across(parts: list[DataFrame], pairs: list[tuple[int, int]]) -> Mixer:
+    """Predictors from all texts of all parts; the first weights from the texts of each part under the predictors of the others."""
+    spark = prepare(parts[0].sparkSession)
+    trees = _trees(pairs)
+    shared = spark.sparkContext.broadcast(trees)
+    found = stash(_predictors(parts, shared), "predictors")
+    tally = None
+    for i, p in enumerate(parts):
+        others = spark.sparkContext.broadcast(_mixer(trees, found, i))
+        cells = stash(p.select("text").mapInArrow(_tally(others), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "decisions")
+        others.destroy()
+        tally = cells if tally is None else tally.unionByName(cells)
+    cells = tally.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most GATES * LEVELS^3 * 2 rows
+    mixer = _mixer(trees, found)
+    if len(cells):
+        mixer.weight, mixer.refined = fitted(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64))
+    return mixer
+
+
+def train(texts: DataFrame, mixing: list[str], pairs: list[tuple[int, int]]) -> Mixer:
+    """Predictors from all texts; pairs: counts of (byte before, symbol); mixing: given texts that set the first weights."""
+    spark = prepare(texts.sparkSession)
+    trees = _trees(pairs)
+    mixer = _mixer(trees, _predictors([texts], spark.sparkContext.broadcast(trees)))
     if mixing:
         encoded = [t.encode() for t in mixing]
         data, at = np.frombuffer(b"".join(encoded), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in encoded])])
-        for _ in range(MIX_EPOCHS):
+        for _ in range(EPOCHS):
             _, w, refined = mixer.cost(data, at)
             mixer.refined = refined.mean(0).astype(np.float32)
             mixer.weight = w.mean(0).astype(np.float32)
@@ -434,11 +566,8 @@ def scored(docs: DataFrame) -> DataFrame:
         room, least = room - r.n, r.step
     heavy = tokens.where(step >= least).toPandas()
     pairs = [(r.key, r.c) for r in counts.where("kind = 1").collect()]
-    # the texts that set the first weights: a bounded sample of the training texts, left out of the counts where others remain
-    n_docs = trained.count()
-    chosen = (F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < int(min(0.2, MIX_DOCS / max(n_docs, 1)) * (1 << 30))) & (F.octet_length(F.coalesce("text", F.lit(""))) <= MIX_BYTES)
-    mixing = [r.text or "" for r in trained.where(chosen).select("doc_id", "text").orderBy("doc_id").limit(2 * MIX_DOCS).collect()]
-    mixer = train(trained.where(~chosen).select("text"), mixing, pairs)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(PARTS))
+    mixer = train_across([trained.where(part == i) for i in range(PARTS)], pairs)
 
     below = n + v + 1
     key = heavy["key"].to_numpy(np.int64).view(np.uint64)

@@ -197,6 +197,40 @@ def test_every_byte_is_learned(spark):
         assert bits[0] < 1.5 * len(t.encode())
 
 
+def test_first_weights_come_from_all_training_texts(spark, monkeypatch):
+    """Long texts, and texts beyond any number, set the first weights too; each decision of theirs is tallied once."""
+    rng = random.Random(5)
+    texts = ["the cat sat. " * 9000, "A dog ran, " * 10_000] + [prose(rng, 60, 30) for _ in range(600)] + [None, ""]
+    seen = []
+    fitted = context_mixing.fitted
+    monkeypatch.setattr(context_mixing, "fitted", lambda cell, n: seen.append((cell, n)) or fitted(cell, n))
+    mixers = []
+    score = context_mixing._score
+    monkeypatch.setattr(context_mixing, "_score", lambda model: mixers.append(model.value[0]) or score(model))
+    context_mixing.scored(frame(spark, texts)).count()
+    trees = mixers[0].trees
+    symbols, _, place = context_mixing.stream(*flat([t or "" for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]))
+    path = context_mixing.before(symbols, place, 1).astype(np.int64) * trees.leaves + trees.leaf[symbols]
+    assert seen[0][1].sum() == trees.length[path].sum()
+    assert np.abs(mixers[0].weight - context_mixing.FIRST).max() > 0.05
+    assert np.isfinite(mixers[0].weight).all() and np.isfinite(mixers[0].refined).all()
+
+
+def test_fitted_weights_are_the_likeliest():
+    rng = np.random.default_rng(6)
+    levels, true = context_mixing.LEVELS, np.array([0.7, 0.1, 0.4])
+    middle = np.array([np.mean([o for o in range(-128, 128) if context_mixing.level(np.array(o)) == k]) for k in range(levels)]) / context_mixing.SCALE
+    q = rng.integers(8, 24, (3000, 3))
+    p = 1 / (1 + np.exp(-(middle[q] * true).sum(1)))
+    for gate in (0, 14):
+        base = ((gate * levels + q[:, 0]) * levels + q[:, 1]) * levels + q[:, 2]
+        one = rng.binomial(1000, p)
+        weight, refined = context_mixing.fitted(np.concatenate([base * 2, base * 2 + 1]), np.concatenate([1000 - one, one]).astype(float))
+        assert np.allclose(weight[gate], true, atol=0.02) and np.allclose(weight[7], context_mixing.FIRST)
+        own, other = refined.reshape(-1, context_mixing.STEPS)[[gate, 7]]
+        assert np.abs(own[6:18]).max() < 0.1 and not other.any()
+
+
 def test_base_score(spark):
     rng = random.Random(4)
     texts = [prose(rng, rng.randrange(0, 40), 30) for _ in range(80)] + [None, "  ", "Only\x0bonce here"]
