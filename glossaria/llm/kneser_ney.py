@@ -2,13 +2,14 @@
 
 The units are characters: the MAX_SYMBOLS most frequent of the trusted texts, all others one symbol more; an n-gram is
 packed into a 64-bit code. Counts, continuation counts, the discounts D1, D2, D3+ of every order and the interpolated
-probabilities come from DataFrame aggregations and joins sharded by n-gram code. The model is bounded by its training sample
-(MAX_TRUSTED texts of quality 1, chosen by hash over all rows); it is cut into shards of at most SHARD entries which are
+probabilities come from DataFrame aggregations and joins sharded by n-gram code. The model learns from every trusted text
+(quality 1) and grows with their distinct n-grams, eight bytes each; it is cut into shards of at most SHARD entries which are
 broadcast, and every task joins the n-grams of its documents with each shard by binary search, so that no n-gram of a
 document is ever shuffled. A document's perplexity is exp(-log p / characters).
 
 A document is rejected if its perplexity lies above its language's threshold: MARGIN times the QUANTILE of the perplexities of trusted
-texts in that language, and of about its length (powers of 4), which the model was not trained on; every one of them counts.
+texts in that language, and of about its length (powers of 4). All trusted texts count there too: those of each of FOLDS folds are
+scored by a model of the other folds, as texts that a model was trained on look better than others.
 Perplexities of short texts spread far more than those of long ones, so one quantile for all lengths would let long junk pass.
 Where there are fewer than LEAST such texts, those of the language in all lengths set the threshold, or else those of all
 languages.
@@ -27,16 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stash, text_slices, whole, without_keys
+from .common import near_bitmap, prepare, stash, text_slices, whole, without_keys
 
 ORDER = 4
 MAX_SYMBOLS = 254
-#: Texts in the training sample; entries of a broadcast shard.
-MAX_TRUSTED, SHARD = 6000, 1 << 20
+#: Entries of a broadcast shard.
+SHARD = 1 << 20
 #: MARGIN makes up for the quantile of a few hundred texts lying below that of all.
 QUANTILE, MARGIN, LEAST = 0.995, 1.03, 50
-#: Trusted texts by hash: this share at most trains, the rest sets thresholds.
-TRAIN_SHARE = 0.7
+#: Folds of the trusted texts, by hash, for the thresholds.
+FOLDS = 4
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +85,9 @@ def _counter(alphabet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in text_slices(batches):
             point, length = code_points(_texts(rows))
-            code, n = np.unique(codes(to_symbols(alphabet.value, point), length), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "c"])
+            fold = np.repeat(rows.column(rows.schema.get_field_index("fold")).to_numpy(), length).astype(np.int64)
+            both, n = np.unique(codes(to_symbols(alphabet.value, point), length) | fold << (8 * ORDER), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both >> (8 * ORDER)), pa.array(both & ((1 << 8 * ORDER) - 1)), pa.array(n.astype(np.int64))], names=["fold", "code", "c"])
 
     return run
 
@@ -99,17 +101,32 @@ class Model:
         self.contexts: list[list] = []
 
 
-def train(trusted: DataFrame) -> Model | None:
-    """The model of a DataFrame of trusted texts (column text), counts and probabilities by sharded joins."""
+def _counted(trusted: DataFrame) -> tuple[np.ndarray, DataFrame] | None:
+    """The alphabet of all trusted texts (text, fold), and (fold, code, c): their n-grams by fold."""
     spark = prepare(trusted.sparkSession)
     points = trusted.mapInArrow(_characters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(MAX_SYMBOLS).collect()
     if not points:
         return None
-    alphabet = spark.sparkContext.broadcast(_alphabet([r.point for r in points]))
-    counts = [stash(trusted.mapInArrow(_counter(alphabet), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "grams")]
+    alphabet = _alphabet([r.point for r in points])
+    found = trusted.mapInArrow(_counter(spark.sparkContext.broadcast(alphabet)), "fold long, code long, c long")
+    return alphabet, stash(found.groupBy("fold", "code").agg(F.sum("c").alias("c")), "grams")
+
+
+def train(trusted: DataFrame) -> Model | None:
+    """The model of a DataFrame of trusted texts (column text), counts and probabilities by sharded joins."""
+    found = _counted(trusted.select("text", F.lit(0).cast("long").alias("fold")))
+    return found and _model(*found)
+
+
+def _model(alphabet: np.ndarray, grams: DataFrame) -> Model | None:
+    """The model of n-grams (code, c), which may come in several rows each."""
+    spark = grams.sparkSession
+    counts = [stash(grams.groupBy("code").agg(F.sum("c").alias("c")), "grams")]
+    if counts[0].isEmpty():
+        return None
     for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many contexts the shorter n-gram occurs
         counts.insert(0, stash(counts[0].groupBy(F.col("code").bitwiseAND((1 << 8 * n) - 1).alias("code")).agg(F.count(F.lit(1)).alias("c")), "grams"))
-    model = Model(alphabet.value)
+    model = Model(alphabet)
     lower = spark.range(256).select(F.col("id").alias("code"), F.lit(1 / 256).alias("p"))
     for n, table in enumerate(counts, 1):
         n1, n2, n3, n4 = table.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()
@@ -129,14 +146,17 @@ def train(trusted: DataFrame) -> Model | None:
 
 
 def _shards(table: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    found = table.toPandas().sort_values("code")
-    code, v = found["code"].to_numpy(np.int64), found["v"].to_numpy(np.float64)
+    # codes have 32 bits: eight bytes an entry
+    found = table.select("code", F.col("v").cast("float").alias("v")).toPandas()
+    code, v = found["code"].to_numpy(np.int64).astype(np.uint32), found["v"].to_numpy(np.float32)
+    order = np.argsort(code)
+    code, v = code[order], v[order]
     return [(code[i : i + SHARD], v[i : i + SHARD]) for i in range(0, max(len(code), 1), SHARD)]
 
 
 def _find(shards: list, code: np.ndarray) -> np.ndarray:
     """The value of each code, nan where no shard has it."""
-    out = np.full(len(code), np.nan)
+    out, code = np.full(len(code), np.nan), code.astype(np.uint32)
     for keys, v in shards:
         if len(keys):
             at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
@@ -165,18 +185,8 @@ def log_p(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return total[end] - total[end - length], length
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, lang, n_scored, perplexity, threshold, kept."""
-    spark = prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    n_good = good.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
-    share = int(min(TRAIN_SHARE, MAX_TRUSTED / max(n_good, 1)) * (1 << 30))
-    sample = good.where(draw < share).limit(2 * MAX_TRUSTED)
-    model = spark.sparkContext.broadcast(train(stash(docs.join(F.broadcast(sample), "doc_id").select("text"), "trusted")))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scores(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in text_slices(batches):
             texts = _texts(rows)
             if model.value is None:
@@ -187,8 +197,31 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = np.where(n > 0, x, np.nan)
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), rows.column(rows.schema.get_field_index("lang")), pa.array(n, pa.int64()), pa.array(x, from_pandas=True)], names=["doc_id", "lang", "n_scored", "perplexity"])
 
-    scores = stash(docs.mapInArrow(score, "doc_id long, lang string, n_scored long, perplexity double"), "perplexities")
-    held = scores.join(good.where(draw >= share), "doc_id").where("perplexity is not null")
+    return run
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per document: doc_id, lang, n_scored, perplexity, threshold, kept."""
+    spark = prepare(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    # of the documents only the trusted ones, and few others that the bitmap lets through, are shuffled
+    of_fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).alias("fold")
+    trusted = stash(near_bitmap(docs, good, "doc_id").join(good, "doc_id").select("doc_id", "lang", "text", of_fold), "trusted")
+    found = _counted(trusted)
+
+    def scores_of(rows: DataFrame, model: Model | None) -> DataFrame:
+        shared = spark.sparkContext.broadcast(model)
+        out = stash(rows.mapInArrow(_scores(shared), "doc_id long, lang string, n_scored long, perplexity double"), "perplexities")
+        shared.destroy()
+        return out
+
+    held = None
+    for k in range(FOLDS if found else 0):
+        own = scores_of(trusted.where(F.col("fold") == k), _model(found[0], found[1].where(F.col("fold") != k)))
+        held = own if held is None else held.unionByName(own)
+    scores = scores_of(docs, found and _model(*found))
+    held = (scores.limit(0) if held is None else held).where("perplexity is not null")
     level = F.percentile_approx("perplexity", QUANTILE, 100_000) * MARGIN
     common = held.agg(level).first()[0]
     long = F.floor(F.log(4.0, F.greatest("n_scored", F.lit(1)))).cast("int").alias("long")

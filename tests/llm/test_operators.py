@@ -362,6 +362,32 @@ def test_quality_rejects_junk(spark):
     assert sorted(kneser_ney.keep(docs, labels).toPandas().doc_id) == sorted(r[r.kept].index)
 
 
+def test_every_trusted_text_counts(spark, monkeypatch):
+    """Model and thresholds see all trusted texts, whatever their number; thresholds by models that didn't see the text."""
+    rng = random.Random(10)
+    texts = [prose(rng, 6, 40) for _ in range(9000)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(9000)], "doc_id long, quality int, toxic int")
+    counted, scored = [], []
+    model, scores = kneser_ney._model, kneser_ney._scores
+    monkeypatch.setattr(kneser_ney, "_model", lambda alphabet, grams: counted.append(grams.agg({"c": "sum"}).first()[0]) or model(alphabet, grams))
+    monkeypatch.setattr(kneser_ney, "_scores", lambda shared: scored.append(shared.value) or scores(shared))
+    r = kneser_ney.scored(docs, labels).toPandas().set_index("doc_id")
+    characters = sum(len(t) for i, t in enumerate(texts) if i % 10)
+    assert counted[-1] == characters and sum(counted[:-1]) == (kneser_ney.FOLDS - 1) * characters and len(scored) == kneser_ney.FOLDS + 1
+    fold = {x.doc_id: x.k for x in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 7), {kneser_ney.FOLDS}) as k").collect()}
+    held, bins = defaultdict(list), np.floor(np.log(np.array([len(t) for t in texts])) / np.log(4.0)).astype(int)
+    for k in range(kneser_ney.FOLDS):
+        ids = [i for i in range(9000) if i % 10 and fold[i] == k]
+        lp, n = kneser_ney.log_p(scored[k], [texts[i] for i in ids])
+        for i, x in zip(ids, np.exp(-lp / n), strict=True):
+            held[bins[i]].append(x)
+    for b, x in held.items():
+        if len(x) >= kneser_ney.LEAST:
+            x = np.sort(x)
+            assert r.threshold[bins == b].iloc[0] == pytest.approx(kneser_ney.MARGIN * x[math.ceil(kneser_ney.QUANTILE * len(x)) - 1])
+
+
 # ---- op8 ----
 
 
