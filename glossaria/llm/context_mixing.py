@@ -60,8 +60,8 @@ HEAVY = 1 << 17
 EDGE = np.float32(11.5)
 #: Odds are kept as eighths in a byte.
 SCALE = 16.0
-#: Bytes of a slice, few enough for a core's cache; symbols counted at a time.
-SLICE, COUNTED = 1 << 18, 1 << 22
+#: Bytes of a slice, few enough for a core's cache with all arrays over its decisions; decisions tallied at a time.
+SLICE, COUNTED = 1 << 16, 1 << 22
 _END_TOKEN = np.uint64(0x9D39247E33776D41)
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = True
@@ -226,25 +226,12 @@ def _context_counts(trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves, leaf = np.uint32(trees.value.leaves), trees.value.leaf
         counts = [np.zeros(s * int(leaves), np.int32) for s in SLOTS]
-        held, size = [[] for _ in SLOTS], 0
-
-        def add() -> None:
-            for k, table in enumerate(counts):
-                if held[k]:
-                    at = np.concatenate(held[k])
-                    held[k].clear()
-                    np.add(table, np.bincount(at, minlength=len(table)), out=table, casting="unsafe")
-
         for _, data, at in text_slices(batches, limit=SLICE):
             symbols, _, place = stream(data, at)
             found = leaf.take(symbols)
-            for k, slot in enumerate(trees.value.slots(symbols, place)[1]):
-                held[k].append((slot * leaves + found).astype(np.int32))
-            size += len(symbols)
-            if size > COUNTED:
-                add()
-                size = 0
-        add()
+            for table, slot in zip(counts, trees.value.slots(symbols, place)[1], strict=True):
+                # in place: a count of all cells at once would make an array of the table's size
+                np.add.at(table, (slot * leaves + found).astype(np.intp), np.int32(1))
         for k, table in enumerate(counts):
             for shard, part in enumerate(np.split(table, SHARDS)):
                 some = np.flatnonzero(part)
@@ -335,8 +322,8 @@ class Mixer:
         number[np.argsort(-blocks, kind="stable")] = np.arange(docs)
         there = docs - np.cumsum(np.bincount(blocks))[: len(steps)]
         b1 = b1.take(order)
-        leaf, leaves = self.trees.leaf.take(symbols), np.uint32(self.trees.leaves)
-        path = b1 * leaves + leaf.take(order)
+        leaf, leaves = self.trees.leaf.take(symbols), self.trees.leaves
+        path = b1.astype(np.intp) * leaves + leaf.take(order)
         count = self.trees.length.take(path)
         ends = np.cumsum(count, dtype=np.int64)
         begin = ends - count
@@ -344,19 +331,20 @@ class Mixer:
         marks = np.zeros(ends[-1], np.int8)
         marks[begin[1:]] = 1
         of = np.cumsum(marks, dtype=np.int64)
-        at_path = (self.trees.first.take(path) - begin.astype(np.int32)).take(of, mode="clip")
-        at_path += np.arange(ends[-1], dtype=np.int32)
-        node, sign = self.trees.node.take(at_path, mode="clip"), self.trees.sign.take(at_path, mode="clip")
+        at_path = (self.trees.first.take(path) - begin).take(of, mode="clip")
+        at_path += np.arange(ends[-1])
+        node, sign = self.trees.node.take(at_path, mode="clip").astype(np.intp), self.trees.sign.take(at_path, mode="clip")
         doc = np.repeat(number, length)
         kind = letters.take(order) * np.int32(3) + doc.take(order) * np.int32(GATES)
         gate = (kind + np.int32(2)).astype(np.intp).take(of, mode="clip")
-        gate[begin] -= 2  # a symbol's first decision, its second, and all others
-        gate[begin[count > 1] + 1] -= 1
+        gate[begin] = kind  # a symbol's first decision, its second, and all others
+        second = count > 1
+        gate[begin[second] + 1] = kind[second] + 1
         step_of = gate * STEPS
         # every index is in range: mode clip only spares the check for it
         x = []
         for odds, slot in zip(self.odds, slots, strict=True):
-            at_odds = (slot.take(order) * leaves).take(of, mode="clip")
+            at_odds = (slot.take(order).astype(np.intp) * leaves).take(of, mode="clip")
             at_odds += node
             x.append(np.multiply(odds.take(at_odds, mode="clip"), np.float32(1 / SCALE), dtype=np.float32))
         w = [np.tile(self.weight[:, k], docs) for k in range(len(SLOTS))]
@@ -372,10 +360,13 @@ class Mixer:
             # the refinement of these odds: what the text, and the training texts before it, showed where the odds were alike
             like = margin * np.float32(1.5)
             like += np.float32(STEPS / 2)
-            like = step_of[a:end] + np.clip(like, 0, STEPS - 1, out=like).astype(np.int8)
+            np.maximum(like, 0, out=like)
+            like = np.minimum(like, STEPS - 1, out=like).astype(np.intp)
+            like += step_of[a:end]
             margin += refined.take(like, mode="clip")
             margin *= s
-            np.clip(margin, -EDGE, EDGE, out=margin)
+            np.maximum(margin, -EDGE, out=margin)
+            np.minimum(margin, EDGE, out=margin)
             wrong = 1 / (1 + np.exp(margin))  # probability of the other bit
             np.log(1 - wrong, out=nats[a:end])
             wrong *= s
@@ -384,7 +375,7 @@ class Mixer:
             refined[: n * GATES * STEPS] += REFINING * np.bincount(like, wrong, n * GATES * STEPS).astype(np.float32)
             a = end
         # a text's decisions lie together in each step: sums over these runs, then over the steps
-        run = np.concatenate([[0], np.flatnonzero(np.diff(doc.take(order)) | np.diff(step.take(order))) + 1])
+        run = np.concatenate([[0], np.flatnonzero(np.diff(doc.take(order) + step.take(order).astype(np.int64) * docs)) + 1])
         bits = -np.bincount(doc.take(order.take(run)), np.add.reduceat(nats, begin.take(run), dtype=np.float64), docs)
         unseen = np.bincount(doc[leaf == self.trees.shared], minlength=docs) * self.trees.rest_bits
         weight = np.stack(w, axis=1).reshape(docs, GATES, -1)
@@ -419,8 +410,15 @@ def _tally(mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(GATES * LEVELS ** len(SLOTS) * 2, np.int64)
         levels = [level(np.arange(-128, 128)).astype(np.uint8)[o.view(np.uint8) ^ 128] for o in mixer.value.odds]
+        held, size = [], 0
         for _, data, at in text_slices(batches, limit=SLICE):
-            total += np.bincount(mixer.value.cells(levels, data, at), minlength=len(total))
+            held.append(mixer.value.cells(levels, data, at))
+            size += len(held[-1])
+            if size > COUNTED:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
         some = np.flatnonzero(total)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -249,6 +250,23 @@ def test_base_score(spark):
         assert r.score < 0
 
 
+def test_counting_makes_no_table_beside_its_own():
+    """op4: a task's counts are added in place; no array of a whole table's size is made for a few texts."""
+    data, at = flat(["some words of a short text", "and another"])
+    symbols, _, place = context_mixing.stream(data, at)
+    pairs = np.bincount(context_mixing.before(symbols, place, 1).astype(np.int64) * context_mixing.SYMBOLS + symbols, minlength=256 * context_mixing.SYMBOLS)
+    trees = context_mixing.Trees(pairs)
+    run = context_mixing._context_counts(type("Shared", (), {"value": trees}))
+    batch = pa.RecordBatch.from_pydict({"text": ["some words of a short text", "and another"]})
+    tracemalloc.start()
+    rows = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * 4 * sum(context_mixing.SLOTS) * trees.leaves + (8 << 20)
+    for k in range(len(context_mixing.SLOTS)):
+        assert sum(int(np.frombuffer(r["c"], np.uint32).sum()) for r in rows if r["k"] == k) == len(symbols)
+
+
 # ---- op5 ----
 
 
