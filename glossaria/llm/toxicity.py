@@ -15,7 +15,7 @@ Scale: the samples are bounded (MAX_POSITIVE, MAX_UNLABELLED texts, chosen by ha
 words of vocabulary), the driver holds their hashes only. Scoring is one scan without shuffle over whole texts.
 
 Defined cases: labels are read from rows whose crc32(doc_id) mod 5 is not 0 only; null text is empty text, and any text
-without known words gets the score of the bias; null doc_ids take no part in learning and are held out; repeated rows get
+without known words gets the score of the bias; a document with several labels is toxic if any of them says so; null doc_ids take no part in learning and are held out; repeated rows get
 a row each; without any confirmed toxic text every score is 0; very long texts are scored whole; other columns are not
 inputs.
 """
@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, prepare, text_slices, words
+from .common import fold, prepare, stash, text_slices, words
 
 FOLDS = 5
 #: Bounds of the training sample, of the vocabulary, and the number of averaged classifiers.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS, MODELS = 2000, 6000, 4096, 3
 PREFIXES = (4, 5, 6)
+#: Most files of the labels by document, so that each scan of them has few tasks.
+LABEL_FILES = 32
 #: Least estimated share of toxic texts among those with a feature: prior * share in P / share in U.
 PURITY = 0.85
 _LETTER = np.zeros(256, bool)
@@ -143,8 +145,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 def learn(docs: DataFrame, labels: DataFrame) -> list[Model]:
     """Classifiers from bounded samples of the training folds; the prior from all labelled rows there."""
-    labelled = labels.where((fold(F.col("doc_id"), FOLDS) != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").dropDuplicates(["doc_id"])
-    n, n_toxic = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
+    labelled = labels.where((fold(F.col("doc_id"), FOLDS) != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    # one row per document, once for the prior and the sample: toxic where any of its rows says so
+    labelled = stash(labelled.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic")).coalesce(LABEL_FILES), "labelled")
+    n, n_toxic = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic:
         return []
     prior = min(0.5, max(1e-4, n_toxic / n))
@@ -159,10 +163,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[Model]:
     p = bounded(own.join(F.broadcast(confirmed), "doc_id"), 1, MAX_POSITIVE)
     drawn = own.where(F.pmod(F.xxhash64("doc_id", F.lit(18)), F.lit(1 << 30)) < share(MAX_UNLABELLED, n_docs * (FOLDS - 1) // FOLDS))
     u = bounded(drawn, 0, 2 * MAX_UNLABELLED)
-    found = p.unionByName(u).mapInArrow(_features, "part int, words binary").toPandas()
-    texts = [np.frombuffer(x, np.uint64) for x in found.words]
-    positive = [t for t, k in zip(texts, found.part, strict=True) if k]
-    unlabelled = [t for t, k in zip(texts, found.part, strict=True) if not k]
+    found = p.unionByName(u).mapInArrow(_features, "part int, words binary").toArrow()
+    texts = [np.frombuffer(x.as_buffer(), np.uint64) for x in found.column("words")]
+    part = found.column("part").to_pylist()
+    positive = [t for t, k in zip(texts, part, strict=True) if k]
+    unlabelled = [t for t, k in zip(texts, part, strict=True) if not k]
     if not positive or not unlabelled:
         return []
     return [train(positive, unlabelled, prior, seed) for seed in range(MODELS)]

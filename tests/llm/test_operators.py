@@ -138,6 +138,23 @@ def test_toxicity_risk_is_not_negative():
     assert set(m.vocabulary.tolist()) <= {1, 2} and (m.weight >= 0).all() and np.isfinite(m.bias)
 
 
+def test_conflicting_labels_count_once(spark):
+    """op2: a document with several labels is one document, toxic if any of them says so, for the prior and the sample alike."""
+    docs = frame(spark, [f"awful nasty rotten words {i % 7}" if i % 4 == 0 else f"plain calm words {i % 7}" for i in range(400)])
+    rows = [(i, x) for i in range(400) for x in ((0, 1) if i % 4 == 0 else (0, 0))]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int").coalesce(1)
+    seen = []
+    train = toxicity.train
+    toxicity.train = lambda positive, unlabelled, prior, seed: seen.append((len(positive), prior)) or train(positive, unlabelled, prior, seed)
+    try:
+        toxicity.learn(docs, labels)
+    finally:
+        toxicity.train = train
+    own = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    toxic = sum(i % 4 == 0 for i in own)
+    assert seen == [(toxic, toxic / len(own))] * toxicity.MODELS
+
+
 # ---- op3 ----
 
 
