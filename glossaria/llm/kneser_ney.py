@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import near_bitmap, prepare, stash, text_slices, whole, without_keys
+from .common import near_bitmap, prepare, stash, text_slices, tidy, whole, without_keys
 
 ORDER = 4
 MAX_SYMBOLS = 254
@@ -147,10 +147,12 @@ def _model(alphabet: np.ndarray, grams: DataFrame) -> Model | None:
 
 def _shards(table: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     # codes have 32 bits: eight bytes an entry
-    found = table.select("code", F.col("v").cast("float").alias("v")).toPandas()
-    code, v = found["code"].to_numpy(np.int64).astype(np.uint32), found["v"].to_numpy(np.float32)
+    found = table.select("code", F.col("v").cast("float").alias("v")).toArrow()
+    code, v = found.column("code").to_numpy().astype(np.uint32), found.column("v").to_numpy().astype(np.float32)
     order = np.argsort(code)
     code, v = code[order], v[order]
+    del found
+    tidy()
     return [(code[i : i + SHARD], v[i : i + SHARD]) for i in range(0, max(len(code), 1), SHARD)]
 
 
@@ -207,7 +209,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     # of the documents only the trusted ones, and few others that the bitmap lets through, are shuffled
     of_fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).alias("fold")
-    trusted = stash(near_bitmap(docs, good, "doc_id").join(good, "doc_id").select("doc_id", "lang", "text", of_fold), "trusted")
+    # at any size by sorting: a broadcast of the labels' ids would do for small tables only
+    trusted = stash(near_bitmap(docs, good, "doc_id").join(good.hint("merge"), "doc_id").select("doc_id", "lang", "text", of_fold), "trusted")
     found = _counted(trusted)
 
     def scores_of(rows: DataFrame, model: Model | None) -> DataFrame:

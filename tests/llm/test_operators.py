@@ -423,6 +423,24 @@ def test_every_trusted_text_counts(spark, monkeypatch):
             assert r.threshold[bins == b].iloc[0] == pytest.approx(kneser_ney.MARGIN * x[math.ceil(kneser_ney.QUANTILE * len(x)) - 1])
 
 
+def test_trusted_texts_join_alike_at_any_size(spark, monkeypatch):
+    """op7: the join of trusted texts is the same for small and large labels."""
+    docs = spark.createDataFrame([(1, "en", "some text")], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+
+    class Planned(Exception):
+        pass
+
+    def first(df, name):
+        raise Planned(name, df._jdf.queryExecution().sparkPlan().toString())
+
+    monkeypatch.setattr(kneser_ney, "stash", first)
+    with pytest.raises(Planned) as found:
+        kneser_ney.scored(docs, labels)
+    name, plan = found.value.args
+    assert name == "trusted" and "SortMergeJoin" in plan
+
+
 # ---- op8 ----
 
 
