@@ -79,6 +79,15 @@ def test_without_keys(spark):
     assert sorted(r.k for r in common.without_keys(rows, gone, "k").collect()) == [i for i in range(1000) if i % 7]
 
 
+def test_bitmap_joins_make_no_row_for_others(spark):
+    """pipeline: a look into a bitmap gives only the rows it lets through, or those it stops; no outer join hands on all rows."""
+    rows, gone = spark.range(1000).withColumnRenamed("id", "k"), spark.range(0, 1000, 7).withColumnRenamed("id", "k")
+    for df, want in ((common.near_bitmap(rows, gone, "k"), None), (common.without_keys(rows, gone, "k"), [i for i in range(1000) if i % 7])):
+        assert "LeftOuter" not in df._jdf.queryExecution().toString()
+        got = sorted(r.k for r in df.collect())
+        assert df.columns == ["k"] and (set(range(0, 1000, 7)) <= set(got) if want is None else got == want)
+
+
 # ---- op1 ----
 
 
