@@ -432,10 +432,11 @@ def test_every_trusted_text_counts(spark, monkeypatch):
             assert r.threshold[bins == b].iloc[0] == pytest.approx(kneser_ney.MARGIN * x[math.ceil(kneser_ney.QUANTILE * len(x)) - 1])
 
 
-def test_trusted_texts_join_alike_at_any_size(spark, monkeypatch):
+def test_trusted_texts_join_alike_at_any_size(spark, monkeypatch, tmp_path):
     """op7: the join of trusted texts is the same for small and large labels."""
     docs = spark.createDataFrame([(1, "en", "some text")], "doc_id long, lang string, text string")
-    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels"))  # a table whose size is known
+    labels = spark.read.parquet(str(tmp_path / "labels"))
 
     class Planned(Exception):
         pass
