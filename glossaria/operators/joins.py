@@ -99,11 +99,16 @@ def not_deleted(keys: DataFrame, deleted: DataFrame, now: Column, hours: int = 1
 
 
 def key_lookup(items: DataFrame, text_keys: DataFrame) -> DataFrame:
-    """items (id, ns, kind, text) -> key by the first of (Commons, kind), (ns, kind), (Commons, text), (ns, text) that is mapped."""
-    tries = F.array(*[F.struct(F.lit(r).alias("rank"), ns.alias("ns"), kind.alias("kind")) for r, (ns, kind) in enumerate([(F.lit("Commons"), F.col("kind")), (F.col("ns"), F.col("kind")), (F.lit("Commons"), F.lit("text")), (F.col("ns"), F.lit("text"))])])
-    each = items.select("id", "text", F.explode(tries).alias("t")).select("id", "text", "t.*")
-    found = each.join(text_keys.select("ns", "kind", "text", "key"), ["ns", "kind", "text"]).groupBy("id").agg(F.min_by("key", "rank").alias("key"))
-    return items.join(found, "id", "left")
+    """items (id, ns, kind, text) -> key by the first of (Commons, kind), (ns, kind), (Commons, text), (ns, text) that is mapped.
+
+    A join for each of them, so no item's tries have to be sorted to meet again; of several keys of one place the least counts.
+    """
+    keys = text_keys.groupBy("ns", "kind", "text").agg(F.min("key").alias("key"))
+    out = items
+    for r, (ns, kind) in enumerate([(F.lit("Commons"), F.col("kind")), (F.col("ns"), F.col("kind")), (F.lit("Commons"), F.lit("text")), (F.col("ns"), F.lit("text"))]):
+        own = keys.select(F.col("ns").alias("_n"), F.col("kind").alias("_k"), F.col("text").alias("_t"), F.col("key").alias(f"_key{r}"))
+        out = out.join(own, (ns == F.col("_n")) & (kind == F.col("_k")) & (F.col("text") == F.col("_t")), "left").drop("_n", "_k", "_t")
+    return out.select(*items.columns, F.coalesce(*[F.col(f"_key{r}") for r in range(4)]).alias("key"))
 
 
 def grid(keys: DataFrame, locales: DataFrame, values: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from glossaria.operators import joins
 from glossaria.plans import registry
 
 Q = registry.queries()
@@ -15,3 +16,18 @@ def plan(df):
 def test_harvest_is_spread(spark, sf, name):
     text = plan(Q[name](spark, sf))
     assert 0 <= text.find("Generate explode") < text.find("RepartitionByExpression")
+
+
+def test_keys_are_looked_up_without_sorting_tries(spark):
+    items = spark.createDataFrame([(1, "A", "button", "Save"), (1, "A", "link", "Go"), (2, "B", "link", "Go"), (3, None, "link", None)], "id int, ns string, kind string, text string")
+    keys = spark.createDataFrame([("Commons", "button", "Save", "c"), ("A", "link", "Go", "b"), ("A", "link", "Go", "a"), ("Commons", "text", "Go", "t")], "ns string, kind string, text string, key string")
+    found = joins.key_lookup(items, keys)
+    assert {(r.id, r.text, r.key) for r in found.collect()} == {(1, "Go", "a"), (1, "Save", "c"), (2, "Go", "t"), (3, None, None)}
+    assert "min_by" not in plan(found)
+
+
+def test_shapes_of_distinct_words_only(spark, sf):
+    """No word is judged below the step that makes words distinct."""
+    lines = plan(Q["word_shapes"](spark, sf)).split("\n")
+    at = next(i for i, x in enumerate(lines) if "Aggregate [word" in x)
+    assert "RLIKE" in "".join(lines[: at + 1]) and "RLIKE" not in "".join(lines[at + 1 :])
