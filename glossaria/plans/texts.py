@@ -9,6 +9,7 @@ from ..functions import text as fn
 from ..functions import validate as val
 from ..operators import catalog as cat
 from ..operators import extract, fuzzy, joins, reports
+from ..sources.scratch import spread
 from . import cascade
 from . import views as v
 from .registry import query
@@ -141,10 +142,11 @@ def word_shapes(spark: SparkSession, sf: str) -> DataFrame:
         "path": val.is_path, "uuid": val.is_uuid, "hex": val.is_hex_colour, "query": val.is_query_string, "version": val.is_version, "identifier": val.is_identifier, "env": val.is_env_var,
         "pair": val.is_config_pair, "argument": val.is_cli_argument, "dsn": val.is_dsn, "date": val.is_date_format, "numeric": val.is_numeric, "url": val.is_url,
     }
-    p = pages(spark, sf)
-    words = v.read(spark, sf, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("word")).union(p.select(F.explode(F.split("html", '[ \n<>"]+')))).union(p.select("url")).distinct()
-    shapes = F.array_join(F.filter(F.array(*[F.when(f(F.col("word")), k) for k, f in tests.items()]), lambda x: x.isNotNull()), ",")
-    return words.select("word", shapes.alias("shapes")).where("shapes <> ''")
+    p, d = spread(pages(spark, sf).select("page_id", "url", "html"), "page_id"), spread(v.read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    words = d.select(F.explode(F.split("text", "[ \n]+")).alias("word")).union(p.select(F.explode(F.split("html", '[ \n<>"]+')))).union(p.select("url")).distinct()
+    shapes = F.concat_ws(",", *[F.when(f(F.col("word")), k) for k, f in tests.items()])
+    # the id holds the filter behind the distinct(), where it would judge every word of every text, and then once more those that stay
+    return words.select("word", F.when(F.monotonically_increasing_id() >= 0, shapes).alias("shapes")).where("shapes <> ''")
 
 
 @query("should_translate_texts", f"""with h as (select page_id, cast(pos as integer) as pos, trim(l) as text from (select page_id, unnest(l) as l, unnest(range(len(l))) as pos from (select page_id, string_split(regexp_replace({BODY}, '<[^>]+>', chr(10), 'g'), chr(10)) as l from pages)) where regexp_matches(trim(l), '[a-zA-Z]')),
