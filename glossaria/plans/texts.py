@@ -317,7 +317,7 @@ g as (select lang, doc_id, line, count(*) as n, count(*) filter ({_SPOKEN}) as g
 select s.lang, count(*) filter (g.n > 0 and g.good >= g.n * 0.5) as english, count(*) as n from s left join g on g.doc_id = s.doc_id and g.line = s.line group by s.lang""")
 def english_words(spark: SparkSession, sf: str) -> DataFrame:
     """Lines by language, and those that sound like English."""
-    d = v.read(spark, sf, "documents").select("lang", F.explode(F.split("text", "\n")).alias("t"))
+    d = spread(v.read(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id").select("lang", F.explode(F.split("text", "\n")).alias("t"))
     return d.groupBy("lang").agg(F.count_if(val.english_text(F.trim("t"))).alias("english"), F.count(F.lit(1)).alias("n"))
 
 

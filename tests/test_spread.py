@@ -31,3 +31,8 @@ def test_shapes_of_distinct_words_only(spark, sf):
     lines = plan(Q["word_shapes"](spark, sf)).split("\n")
     at = next(i for i, x in enumerate(lines) if "Aggregate [word" in x)
     assert "RLIKE" in "".join(lines[: at + 1]) and "RLIKE" not in "".join(lines[at + 1 :])
+
+
+def test_a_line_is_split_once(spark, sf):
+    text = plan(Q["english_words"](spark, sf))
+    assert text.count("split(trim") == 1 and text.find("Generate explode") < text.find("RepartitionByExpression")
