@@ -214,12 +214,14 @@ def innermost(edits: DataFrame, width: int = BLOCK) -> DataFrame:
     """Edits (file, start, end and others) that contain no other range of their file; of ranges that are there twice, neither stays.
 
     A range contains another if one that starts no earlier ends no later: the least end among those behind it tells, within
-    its stretch of positions by a window and beyond it by a row per stretch.
+    its stretch of positions by a window and beyond it by a row per stretch. Edits of no other columns aren't joined again.
     """
     ranges = edits.groupBy("file", "start", "end").agg(F.count(F.lit(1)).alias("_n")).withColumn("bin", F.floor(F.col("start") / width).cast("long"))
     behind = Window.partitionBy("file", "bin").orderBy(F.desc("start"), "end").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy("file").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     bins = ranges.groupBy("file", "bin").agg(F.min("end").alias("_end")).withColumn("_far", F.min("_end").over(later)).drop("_end")
     least = ranges.withColumn("_near", F.min("end").over(behind)).join(bins, ["file", "bin"])
-    alone = least.where("_n = 1 and coalesce(least(_near, _far) > end, true)").select("file", "start", "end")
+    alone = least.where("_n = 1 and end is not null and coalesce(least(_near, _far) > end, true)").select("file", "start", "end")
+    if set(edits.columns) == {"file", "start", "end"}:
+        return alone.select(*edits.columns)
     return edits.join(alone, ["file", "start", "end"], "left_semi").select(*edits.columns)
