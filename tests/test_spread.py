@@ -3,7 +3,7 @@
 import pytest
 
 from glossaria.operators import chains, joins
-from glossaria.plans import registry
+from glossaria.plans import projects, registry
 from glossaria.sources import locales
 
 Q = registry.queries()
@@ -56,3 +56,8 @@ def test_innermost_without_other_columns_joins_once(spark):
     found = chains.innermost(rows)
     assert sorted(map(tuple, found.collect())) == [("a", 4, 5), ("b", 1, 1)]
     assert "LeftSemi" not in plan(found)
+
+
+def test_pages_are_written_by_several_tasks(spark, sf):
+    names = [p.rsplit("/part-", 1)[1] for p, _ in locales.listed(spark, projects._tree(spark, sf), "*.txt", ())]
+    assert len({n[:5] for n in names}) > 1 and len(names) == spark.read.parquet(f"{sf}/pages.parquet").count()
