@@ -1,6 +1,7 @@
 """Queries over small tables with odd or many rows, against their SQL."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,24 @@ def test_texts_with_a_mark_of_their_own(spark, sf, same):
     same("bom_stripped", documents=table(spark, sf, "documents", text=F.when(F.col("doc_id") % 7 != 0, own), doc_id=F.when(F.col("doc_id") > 9, F.col("doc_id"))))
 
 
+@pytest.mark.parametrize("name", ["locale_files"])
+def test_files_are_not_held_as_lines(name, spark, sf):
+    """A locale's lines stream into its value: nothing gathers them in a list."""
+    text = plan(QUERIES[name](spark, sf))
+    assert "collect_list" not in text and "MapInArrow" in text
+
+
+def test_files_over_several_batches(monkeypatch):
+    rows = [("a", "1\n"), ("a", "ü\n"), (None, "x\n"), (None, "y\n"), ("b", "2\n"), ("b", "3\n"), ("b", "4\n")]
+    whole = pa.RecordBatch.from_pylist([{"locale": k, "line": v} for k, v in rows])
+    for n in (1, 2, 3, 7):
+        found = [tuple(r.values()) for b in sinks._joined((whole.slice(i, n) for i in range(0, 7, n)), ["locale"]) for r in b.to_pylist()]
+        assert found == [("a", "1\nü\n"), (None, "x\ny\n"), ("b", "2\n3\n4\n")]
+    monkeypatch.setattr(sinks, "MOST", 5)
+    with pytest.raises(ValueError, match="too large"):
+        list(sinks._joined([whole], ["locale"]))
+
+
 def test_shards_are_bounded(spark):
     rows = spark.range(300).select(F.lit("en").alias("locale"), F.concat(F.lit("a.b"), "id", F.lit(".c")).alias("key"), F.repeat(F.lit("x"), 100).alias("value"))
     files = sinks.shards(rows, ["locale"], most=3000).withColumn("n", F.length("text"))
