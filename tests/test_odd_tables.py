@@ -59,7 +59,7 @@ def test_texts_with_a_mark_of_their_own(spark, sf, same):
     same("bom_stripped", documents=table(spark, sf, "documents", text=F.when(F.col("doc_id") % 7 != 0, own), doc_id=F.when(F.col("doc_id") > 9, F.col("doc_id"))))
 
 
-@pytest.mark.parametrize("name", ["locale_files"])
+@pytest.mark.parametrize("name", ["locale_files", "php_files"])
 def test_files_are_not_held_as_lines(name, spark, sf):
     """A locale's lines stream into its value: nothing gathers them in a list."""
     text = plan(QUERIES[name](spark, sf))
