@@ -8,6 +8,8 @@ is the logarithm of the number of blocks; with the place where the pass enters e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -170,24 +172,39 @@ def _walk(x: pa.Table) -> pa.Table:
     return x.take(keep).drop_columns(["enter", "stop", "block"])
 
 
+def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes that a pass takes, of batches (file, start, stop, pick) sorted by file and start, whole files one behind the other."""
+    file, end = None, None
+    for x in batches:
+        keep = []
+        for i, (f, start, stop) in enumerate(zip(x.column("file").to_pylist(), x.column("start").to_pylist(), x.column("stop").to_pylist(), strict=True)):
+            if end is None or f != file or start >= end:
+                keep.append(i)
+                file, end = f, stop
+        yield x.take(pa.array(keep, pa.int64())).drop_columns(["stop"])
+
+
 def greedy(edits: DataFrame, width: int = BLOCK) -> DataFrame:
     """Rows of edits (file, start, end and others) in order of start, then end, then the rest: each is taken unless it overlaps one already taken.
 
-    Of equal starts the empty intervals are taken and the first other one; positions are whole numbers. Blocks are stretches
-    of `width` positions, so none holds more than `width` starts, however many rows a file has; a file within one block is
-    walked at once.
+    Of equal starts the empty intervals are taken and the first other one; positions are whole numbers. A file of at most
+    `width` starts is passed over in one go, however far they lie apart, with many files to a task; a larger one is cut into
+    blocks of so many starts.
     """
     rest = [c for c in edits.columns if c not in ("file", "start", "end")]
     long = lambda c: F.col(c).cast("long")
-    real = edits.where("end is not null").select("file", long("start").alias("start"), F.when(F.col("end") > F.col("start"), F.struct("end", *rest) if rest else long("end")).alias("pick")).where("start is not null")
+    real = edits.where("end is not null").select("file", long("start").alias("start"), F.when(F.col("end") > F.col("start"), F.struct("end", *rest) if rest else long("end")).alias("pick")).where("file is not null and start is not null")
     nodes = real.groupBy("file", "start").agg(F.min("pick").alias("pick"))
     end = F.col("pick.end").cast("long") if rest else F.col("pick")
-    nodes = stash(nodes.select("file", "start", F.coalesce(end, F.col("start") + 1).alias("stop"), "pick", F.floor(F.col("start") / width).cast("long").alias("block")), "interval-nodes")
-    files = stash(nodes.groupBy("file").agg(F.min("start").alias("enter"), F.min("block").alias("block"), F.max("block").alias("last")), "interval-files")
-    entered = files.where("block = last").select("file", "block", "enter")
-    wide = files.where("block < last").select("file", F.col("enter").alias("node"))
-    if not wide.isEmpty():
-        own = nodes.join(wide.select("file"), "file", "left_semi").select("file", "start", "stop", "block")
+    nodes = stash(nodes.select("file", "start", F.coalesce(end, F.col("start") + 1).alias("stop"), "pick"), "interval-nodes")
+    kept = StructType([f for f in nodes.schema.fields if f.name != "stop"])
+    wide = stash(nodes.groupBy("file").agg(F.min("start").alias("node"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > width).drop("_n"), "wide-files")
+    cut = not wide.isEmpty()
+    narrow = nodes.join(wide, "file", "left_anti") if cut else nodes
+    taken = narrow.repartition("file").sortWithinPartitions("file", "start").mapInArrow(_pass, kept)
+    if cut:
+        placed = stash(numbered(nodes.join(wide, "file", "left_semi"), "file", ["start"]).withColumn("block", F.floor(F.col("idx") / width).cast("long")).drop("idx"), "interval-blocks")
+        own = placed.select("file", "start", "stop", "block")
         out = StructType([edits.schema["file"], StructField("start", LongType()), StructField("stop", LongType())])
         leaving = stash(own.groupBy("file", "block").applyInArrow(_leave, out), "interval-exits")
         doors = _ahead(own.select("file", "start"), leaving.select("file", "stop"), width)
@@ -195,10 +212,8 @@ def greedy(edits: DataFrame, width: int = BLOCK) -> DataFrame:
         # only nodes at which a pass can enter a block need an edge
         edges = edges.join(doors.select("file", F.col("next").alias("node")).union(wide).distinct(), ["file", "node"], "left_semi")
         reached = followed(stash(edges, "interval-edges"), wide, "file")
-        entered = entered.unionByName(reached.select("file", F.floor(F.col("node") / width).cast("long").alias("block"), F.col("node").alias("enter")))
-    walked = nodes.join(entered, ["file", "block"])
-    kept = StructType([f for f in walked.schema.fields if f.name not in ("enter", "stop", "block")])
-    taken = walked.groupBy("file", "block").applyInArrow(_walk, kept)
+        entered = reached.select("file", F.col("node").alias("enter")).join(own.select("file", F.col("start").alias("enter"), "block"), ["file", "enter"])
+        taken = taken.unionByName(placed.join(entered, ["file", "block"]).groupBy("file", "block").applyInArrow(_walk, kept))
     if edits.where("end <= start").isEmpty():
         empty = None
     else:

@@ -108,6 +108,20 @@ def test_greedy_intervals_over_blocks(spark):
     assert got == sorted(want)
 
 
+def test_greedy_intervals_far_apart(spark):
+    """Files of few starts aren't cut, however far these lie apart."""
+    rng = random.Random(8)
+    rows = sorted({(file, s, s + rng.randrange(1, 10**8)) for file in "abc" for s in (rng.randrange(10**9) for _ in range(60))})
+    found = chains.greedy(spark.createDataFrame([*rows, (None, 1, 2)], "file string, start long, end long"))
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want, ends = [], {}
+    for file, start, end in rows:
+        if start >= ends.get(file, 0):
+            want.append((file, start, end))
+            ends[file] = end
+    assert sorted(map(tuple, found.collect())) == want and len(want) < len(rows)
+
+
 def test_innermost_over_blocks(spark):
     rng = random.Random(7)
     rows = [(rng.choice("ab"), s, s + rng.choice([0, 1, 4, 9, 70])) for s in (rng.randrange(400) for _ in range(250))] + [("c", 0, 10), ("c", 1, 20), ("c", 2, 5), ("d", 0, 10**6), ("d", 10**5, 10**5 + 1)]
