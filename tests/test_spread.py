@@ -61,3 +61,17 @@ def test_innermost_without_other_columns_joins_once(spark):
 def test_pages_are_written_by_several_tasks(spark, sf):
     names = [p.rsplit("/part-", 1)[1] for p, _ in locales.listed(spark, projects._tree(spark, sf), "*.txt", ())]
     assert len({n[:5] for n in names}) > 1 and len(names) == spark.read.parquet(f"{sf}/pages.parquet").count()
+
+
+def test_scanned_paths_are_looked_at_by_few_tasks(spark, sf):
+    tasks, path = "spark.sql.sources.parallelPartitionDiscovery.parallelism", projects._tree(spark, sf)
+    before, track = spark.conf.get(tasks), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("scanned", "")
+    try:
+        found = locales.scan(spark, path, "*.txt")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [track.getStageInfo(k).numTasks for j in track.getJobIdsForGroup("scanned") for k in track.getJobInfo(j).stageIds]
+    assert jobs and max(jobs) <= 4
+    assert spark.conf.get(tasks) == before
+    assert found.count() == len(locales.listed(spark, path, "*.txt")) > 32
