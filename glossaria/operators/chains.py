@@ -184,12 +184,12 @@ def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield x.take(pa.array(keep, pa.int64())).drop_columns(["stop"])
 
 
-def greedy(edits: DataFrame, width: int = BLOCK) -> DataFrame:
+def greedy(edits: DataFrame, width: int = BLOCK, span: int = 0) -> DataFrame:
     """Rows of edits (file, start, end and others) in order of start, then end, then the rest: each is taken unless it overlaps one already taken.
 
     Of equal starts the empty intervals are taken and the first other one; positions are whole numbers. A file of at most
     `width` starts is passed over in one go, however far they lie apart, with many files to a task; a larger one is cut into
-    blocks of so many starts.
+    blocks of so many starts. Its ways from block to block are looked up in bins of `span` positions (`width`, if not given).
     """
     rest = [c for c in edits.columns if c not in ("file", "start", "end")]
     long = lambda c: F.col(c).cast("long")
@@ -207,7 +207,7 @@ def greedy(edits: DataFrame, width: int = BLOCK) -> DataFrame:
         own = placed.select("file", "start", "stop", "block")
         out = StructType([edits.schema["file"], StructField("start", LongType()), StructField("stop", LongType())])
         leaving = stash(own.groupBy("file", "block").applyInArrow(_leave, out), "interval-exits")
-        doors = _ahead(own.select("file", "start"), leaving.select("file", "stop"), width)
+        doors = _ahead(own.select("file", "start"), leaving.select("file", "stop"), span or width)
         edges = leaving.join(doors, ["file", "stop"], "left").select("file", F.col("start").alias("node"), "next", F.lit(0).alias("weight"))
         # only nodes at which a pass can enter a block need an edge
         edges = edges.join(doors.select("file", F.col("next").alias("node")).union(wide).distinct(), ["file", "node"], "left_semi")

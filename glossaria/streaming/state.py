@@ -26,12 +26,12 @@ def throttle(firings: DataFrame, by: str, ts: str = "ts", seconds: int = 300) ->
     """Of a key's firings, each that comes at least so long after the last one let through.
 
     A firing blocks the time behind it like an interval, so the greedy choice of intervals that don't overlap decides; a busy
-    key is spread over stretches of time. Of rows at one time the least counts.
+    key is spread over blocks of its firings. Of rows at one time the least counts.
     """
     gap = seconds * 1_000_000
     rest = [c for c in firings.columns if c not in (by, ts)]
     edits = firings.where(F.col(by).isNotNull()).select(F.col(by).alias("file"), F.unix_micros(F.col(ts).cast("timestamp")).alias("start"), (F.unix_micros(F.col(ts).cast("timestamp")) + gap).alias("end"), F.struct(ts, *rest).alias("row"))
-    chosen = greedy(edits, width=256 * gap)
+    chosen = greedy(edits, span=256 * gap)
     return chosen.select(*[F.col("file").alias(by) if c == by else F.col(f"row.{c}") for c in firings.columns])
 
 
